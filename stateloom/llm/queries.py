@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import license_scan, pii, secrets, substring
 from .common import table
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_substring_dedup,)}
+    return {f.__name__: f for f in (op3_pii, op4_license_scan, op6_secret_scan, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -117,3 +117,9 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[:-width], out[width:])
         width *= 2
     return np.minimum(out[: len(a) - w + 1], out[w - width :]) if w > width else out
+
+
+def count_words(col: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Number of words of each row."""
+    _, rows, _, _ = words(col, table)
+    return np.bincount(rows, minlength=len(col))
