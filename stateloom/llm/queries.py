@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, pii, secrets, substring
+from . import license_scan, near_dup, pii, secrets, substring
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
@@ -28,7 +32,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_pii, op4_license_scan, op6_secret_scan, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_pii, op4_license_scan, op6_secret_scan, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
