@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dup, pii, secrets, substring
+from . import license_scan, mixing, near_dup, pii, secrets, sharding, substring
 from .common import table
 
+#: Byte limit of a shard in the registered queries.
+SHARD_BYTES = 1 << 20
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -26,14 +29,93 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op3_pii, op4_license_scan, op6_secret_scan, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_pii, op4_license_scan, op6_secret_scan, op7_sharding, op9_mixing, op10_substring_dedup)}
+
+
+_OP1_SQL = r"""
+WITH RECURSIVE ws AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM ws),
+flat AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM sets),
+linked AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(id, r) AS (SELECT u, v FROM linked UNION SELECT reach.id, linked.v FROM reach JOIN linked ON reach.r = linked.u),
+low AS (SELECT id, min(r) AS r FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(r, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(r, doc_id)) AS kept
+FROM sets LEFT JOIN low ON doc_id = id"""
+
+_OP7_SQL = f"""
+WITH r AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+a AS (
+  SELECT d, h >> (60 - d) AS p, CAST(sum(n_bytes) AS BIGINT) AS b FROM r, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d)
+  GROUP BY 1, 2 HAVING sum(n_bytes) <= {SHARD_BYTES} OR min(h) = max(h)),
+l AS (SELECT r.h, min(a.d) AS d, arg_min(a.b, a.d) AS b FROM (SELECT DISTINCT h FROM r) r JOIN a ON r.h >> (60 - a.d) = a.p GROUP BY r.h)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN d = 0 THEN '' ELSE substr(lpad(bin(r.h >> (60 - d)), 60, '0'), 61 - d, d) END AS shard_id,
+  d AS depth, b AS shard_bytes
+FROM r JOIN l USING (h)"""
+
+_OP9_SQL = r"""
+WITH r AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM r GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(pos - 1) % 3 + 1] AS w, 3 * source_size AS most FROM s),
+l AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(w) OVER (ORDER BY most / w, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
+f AS (SELECT *, level * w > most AS filled FROM l),
+t AS (
+  SELECT source, source_size, pos, CASE WHEN filled THEN CAST(most AS DOUBLE)
+    ELSE w * (SELECT arg_min(level, most / w) FROM f WHERE NOT filled) END AS target FROM f),
+q AS (
+  SELECT doc_id, size, h, source_size, pos, target,
+    CAST(sum(size) OVER (PARTITION BY pos ORDER BY h, doc_id NULLS FIRST, size) AS BIGINT) AS cum
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT *, CAST(e * source_size + cum AS DOUBLE) / target AS t FROM q, (SELECT unnest(range(0, 3)) AS e) WHERE size > 0 AND target > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY t, pos, e, h, doc_id NULLS FIRST, size) AS upto FROM k),
+g AS (SELECT doc_id, pos, size, count(*) AS copies FROM o WHERE upto <= (SELECT sum(size) FROM r) GROUP BY ALL)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(copies, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN g ON q.doc_id IS NOT DISTINCT FROM g.doc_id AND q.pos = g.pos AND q.size = g.size"""
+
+_OP10_SQL = r"""
+WITH ws AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM ws WHERE len(w) >= 13)),
+low AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN low USING (g) WHERE doc_id > m),
+sets AS (SELECT doc_id, list(i) AS x FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT ws.doc_id, len(w) AS n, CASE WHEN x IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(x, i))), lambda i: w[i]) END AS k
+  FROM ws LEFT JOIN sets ON ws.doc_id = sets.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express."""
+    return {"op1_near_dedup": _OP1_SQL, "op7_sharding": _OP7_SQL, "op9_mixing": _OP9_SQL, "op10_substring_dedup": _OP10_SQL}
