@@ -42,7 +42,11 @@ def bit_position(*cols: str):
 
 def bitmap(keys: DataFrame, *cols: str) -> np.ndarray:
     """Bits of the hashes of the columns, as bytes. Collects at most BITMAP_BITS bits, whatever the input's size."""
-    pos = keys.select(bit_position(*cols).alias("p"))
+    return bitmap_of(keys.select(bit_position(*cols).alias("p")))
+
+
+def bitmap_of(pos: DataFrame) -> np.ndarray:
+    """Bitmap of the positions p, from 0 to BITMAP_BITS - 1."""
     rows = (
         pos.groupBy(F.expr("bitmap_bucket_number(p)").alias("b"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, near_dup, pii, secrets, sharding, substring
+from . import decontam, license_scan, media, mixing, near_dup, pii, secrets, sharding, substring
 from .common import table
 
 #: Byte limit of a shard in the registered queries.
@@ -15,6 +15,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    refs = media.references(media.interleave(media.page_of(docs)))
+    return media.resolve(refs, media.media_table(docs, keep_media=False), *found).select("doc_id", *found)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
@@ -33,6 +40,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op3_pii, op4_license_scan, op6_secret_scan, op7_sharding, op9_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup)}
 
 
 _OP1_SQL = r"""
