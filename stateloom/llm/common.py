@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again; for tables too wide for a checkpoint."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def without(rows: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not in gone (one column of longs). Null ids stay. A bitmap of fixed size names the rows
+    that may go, so the others, with all their columns, are not shuffled."""
+    spark = rows.sparkSession
+    gone = cut(gone.toDF("_gone_id").where("_gone_id is not null").distinct())
+    bits = spark.sparkContext.broadcast(bitmap(gone, "_gone_id"))
+
+    @F.pandas_udf("boolean")
+    def may_go(position: pd.Series) -> pd.Series:
+        return pd.Series(bitmap_has(bits.value, position.to_numpy()))
+
+    key = F.col(id_col).cast("long")
+    suspect = F.coalesce(may_go(F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))), F.lit(False))
+    kept = rows.where(suspect).join(gone, key == F.col("_gone_id"), "left_anti")
+    return rows.where(~suspect).unionByName(kept)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,8 @@
    bucket key; buckets of one class vanish in the aggregation.
 3. Each class is first paired with one star centre, the smallest document of its buckets that it meets most often,
    and the pair is confirmed on the full sets. Then components are found.
-4. Buckets that still hold several components go on in rounds. In each, the next centres in order (1, 2, 4, ... of
-   them) are tried against the later members of other components. So every pair of a bucket that could still join
+4. Buckets that still hold several components go on in rounds. In each, the next centres in order (16, 32, 64,
+   ... of them) are tried against the later members of other components. So every pair of a bucket that could still join
    two components is tried, and none within a component: a bucket full of near copies costs one star.
 
 A link of similarity 0.8 shares no bucket with a chance of (1 - 0.8^4)^32 = 5e-8, one of 0.85 with 6e-11."""
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common, wordhash as wh
 
 BINS, BANDS, ROWS = 128, 32, 4
+#: Centres that each open bucket tries in its first round; every later round tries twice as many.
+FIRST_CENTRES = 16
 
 
 @cache
@@ -191,19 +193,24 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
     met = members.where("doc_id <> low").groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("best"))
     links = confirmed(first.select(F.col("doc_id").alias("u"), (-F.col("best.low")).alias("v")))
-    open_, tried, step = None, 0, 1
+    in_order = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "n"))
+    open_, tried, step = _still_open(members.drop("low"), common.components(links)).withColumn("rank", in_order), 0, FIRST_CENTRES
+    open_ = common.cut(open_)
     while True:
-        component = common.components(links)
-        placed = (members if open_ is None else open_.drop("c")).join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-        placed = placed.join(split, "key")
-        if open_ is None:
-            placed = placed.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "n")))
-        open_ = common.cut(placed.select("key", "doc_id", "n", "rank", "c"))
         if not open_.where(F.col("rank") > tried + 1).limit(1).count():
             return links
         centre = open_.where(F.col("rank").between(tried + 1, tried + step)).select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("rank").alias("rv"), F.col("c").alias("cv"))
         close = (F.lit(100) * F.least("n", "nv") >= F.lit(percent) * F.greatest("n", "nv")) & (F.col("c") != F.col("cv")) & (F.col("rank") > F.col("rv"))
-        pairs = open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct()
-        links = common.cut(links.unionByName(confirmed(pairs)))
+        new = confirmed(open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct())
+        if new.limit(1).count():
+            links = common.cut(links.unionByName(new))
+            open_ = common.cut(_still_open(open_.drop("c"), common.components(links)))
         tried, step = tried + step, step * 2
+
+
+def _still_open(members: DataFrame, component: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component c."""
+    of = component.select(F.col("id").alias("doc_id"), F.col("component").alias("c"))
+    placed = members.join(of, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return placed.join(split, "key").select(*members.columns, "c")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, media, mixing, near_dup, pii, secrets, sharding, substring
+from . import decontam, license_scan, media, mixing, near_dup, pii, quality, secrets, sharding, substring
 from .common import table
 
 #: Byte limit of a shard in the registered queries.
@@ -32,6 +32,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup)}
 
 
 _OP1_SQL = r"""
