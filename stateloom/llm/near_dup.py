@@ -7,9 +7,13 @@
    bucket key; buckets of one class vanish in the aggregation.
 3. Each class is first paired with one star centre, the smallest document of its buckets that it meets most often,
    and the pair is confirmed on the full sets. Then components are found.
-4. Buckets that still hold several components go on in rounds. In each, the next centres in order (16, 32, 64,
-   ... of them) are tried against the later members of other components. So every pair of a bucket that could still join
-   two components is tried, and none within a component: a bucket full of near copies costs one star.
+4. Buckets that still hold several components go on. A link between two components can only rest on shingles that
+   stand in two of them, so each member's such shingles, its core, bound what it can share: members whose core is too
+   small for any link go, and pairs whose cores are too small for theirs are never made. Variants that each have
+   edits of their own fall here, however many share a bucket.
+5. What is left goes on in rounds. In each, the next centres in order (16, 32, 64, ... of them) are tried against the
+   later members of other components. So every pair of a bucket that could still join two components is tried, and
+   none within a component: a bucket full of near copies costs one star.
 
 A link of similarity 0.8 shares no bucket with a chance of (1 - 0.8^4)^32 = 5e-8, one of 0.85 with 6e-11."""
 
@@ -194,13 +198,15 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
     first = met.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("best"))
     links = confirmed(first.select(F.col("doc_id").alias("u"), (-F.col("best.low")).alias("v")))
     in_order = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "n"))
-    open_, tried, step = _still_open(members.drop("low"), common.components(links)).withColumn("rank", in_order), 0, FIRST_CENTRES
-    open_ = common.cut(open_)
+    open_ = common.cut(_still_open(members.drop("low"), common.components(links)))
+    open_ = _able(open_, sets, percent)
+    open_, tried, step = common.cut(open_.withColumn("rank", in_order)), 0, FIRST_CENTRES
     while True:
         if not open_.where(F.col("rank") > tried + 1).limit(1).count():
             return links
-        centre = open_.where(F.col("rank").between(tried + 1, tried + step)).select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("rank").alias("rv"), F.col("c").alias("cv"))
-        close = (F.lit(100) * F.least("n", "nv") >= F.lit(percent) * F.greatest("n", "nv")) & (F.col("c") != F.col("cv")) & (F.col("rank") > F.col("rv"))
+        centre = open_.where(F.col("rank").between(tried + 1, tried + step)).select("key", *(F.col(a).alias(b) for a, b in (("doc_id", "v"), ("n", "nv"), ("rank", "rv"), ("c", "cv"), ("core", "kv"))))
+        most = F.least("core", "kv")
+        close = (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("nv") - most)) & (F.col("c") != F.col("cv")) & (F.col("rank") > F.col("rv"))
         new = confirmed(open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct())
         if new.limit(1).count():
             links = common.cut(links.unionByName(new))
@@ -208,6 +214,30 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
         tried, step = tried + step, step * 2
 
 
+def _tokens(batches):
+    """(doc_id, c, shingles) to a row (doc_id, c, token) for each shingle."""
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+        n = [len(x) for x in sets]
+        ids, c = (np.repeat(b.column(k).to_numpy(zero_copy_only=False), n) for k in ("doc_id", "c"))
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        for i in range(0, len(tokens), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 500_000]) for x in (ids, c, tokens)], ["doc_id", "c", "token"])
+
+
+def _able(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of open buckets with their core: how many of their shingles stand in two components. Members whose
+    core is too small for a link go, and then buckets of one component. The bound holds for every text of an id."""
+    of = open_.select("doc_id", "c").distinct()
+    tokens = sets.join(of, "doc_id").select("doc_id", "c", "shingles").mapInArrow(_tokens, "doc_id long, c long, token long")
+    shared = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
+    core = tokens.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("core"))
+    able = open_.join(core, "doc_id").where(F.lit(100) * F.col("core") >= F.lit(percent) * F.col("n"))
+    able = common.cut(able)
+    split = able.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return able.join(split, "key")
+
+
 def _still_open(members: DataFrame, component: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component c."""
     of = component.select(F.col("id").alias("doc_id"), F.col("component").alias("c"))
