@@ -198,8 +198,13 @@ def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share
     """Rows have text, lang, source, n_chars and, if labelled, y. Every fourth labelled row is held out."""
 
     def view(rows):
-        x, layout, h, r = statistics(pa.array([t["text"] for t in rows], pa.large_string()))
-        return x, layout, distinct_words(h, r, len(rows)), [t["lang"] for t in rows], [t["source"] for t in rows], [t["n_chars"] for t in rows]
+        col, xs, layouts, docs = pa.array([t["text"] for t in rows], pa.large_string()), [], [], []
+        for i, j in wh.chunks(col):
+            x, layout, h, r = statistics(col.slice(i, j - i))
+            xs.append(x)
+            layouts.append(layout)
+            docs += distinct_words(h, r, j - i)
+        return np.concatenate(xs), np.concatenate(layouts), docs, [t["lang"] for t in rows], [t["source"] for t in rows], [t["n_chars"] for t in rows]
 
     y_all = np.array([t["y"] for t in labelled], float)
     held = np.arange(len(labelled)) % 4 == 3
