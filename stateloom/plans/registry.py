@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import series
+from . import inference, series
 
+assert inference  # registers its queries in the same tables
 QUERIES = series.QUERIES
 SQL = series.SQL
