@@ -9,9 +9,10 @@
    and the pair is confirmed on the full sets. Then components are found.
 4. Buckets that still hold several components go on. A link between two components can only rest on shingles that
    stand in two of them, so each member's such shingles, its core, bound what it can share: members whose core is too
-   small for any link go, and pairs whose cores are too small for theirs are never made. Variants that each have
-   edits of their own fall here, however many share a bucket.
-5. What is left goes on in rounds. In each, the next centres in order (16, 32, 64, ... of them) are tried against the
+   small for any link go. Cores are counted by slices of the hash range, and two members share no more than the sum
+   of the smaller counts: pairs for which that is too few are never made. Variants that each have edits of their own
+   fall here, however many share a bucket.
+5. What is left goes on in rounds. In each, the next centres in order (256, 512, ... of them) are tried against the
    later members of other components. So every pair of a bucket that could still join two components is tried, and
    none within a component: a bucket full of near copies costs one star.
 
@@ -30,7 +31,9 @@ from . import common, wordhash as wh
 
 BINS, BANDS, ROWS = 128, 32, 4
 #: Centres that each open bucket tries in its first round; every later round tries twice as many.
-FIRST_CENTRES = 16
+FIRST_CENTRES = 256
+#: Slices of the hash range by which cores are counted.
+SLICES = 16
 
 
 @cache
@@ -197,16 +200,20 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
     met = members.where("doc_id <> low").groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("best"))
     links = confirmed(first.select(F.col("doc_id").alias("u"), (-F.col("best.low")).alias("v")))
-    in_order = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "n"))
+    # of two linked sets the smaller one shares this part of its own at least, so it alone need be a centre
+    can = F.lit(100 + percent) * F.col("core") >= F.lit(2 * percent) * F.col("n")
+    in_order = F.row_number().over(Window.partitionBy("key").orderBy((~can).cast("int"), "doc_id", "n"))
     open_ = common.cut(_still_open(members.drop("low"), common.components(links)))
     open_ = _able(open_, sets, percent)
     open_, tried, step = common.cut(open_.withColumn("rank", in_order)), 0, FIRST_CENTRES
     while True:
-        if not open_.where(F.col("rank") > tried + 1).limit(1).count():
+        centre = open_.where(can & F.col("rank").between(tried + 1, tried + step))
+        if not centre.limit(1).count():
             return links
-        centre = open_.where(F.col("rank").between(tried + 1, tried + step)).select("key", *(F.col(a).alias(b) for a, b in (("doc_id", "v"), ("n", "nv"), ("rank", "rv"), ("c", "cv"), ("core", "kv"))))
-        most = F.least("core", "kv")
-        close = (F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("nv") - most)) & (F.col("c") != F.col("cv")) & (F.col("rank") > F.col("rv"))
+        centre = centre.select("key", *(F.col(a).alias(b) for a, b in (("doc_id", "v"), ("n", "nv"), ("rank", "rv"), ("c", "cv"), ("core", "kv"))), *(F.col(f"s{i}").alias(f"v{i}") for i in range(SLICES)))
+        enough = lambda most: F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("nv") - most)
+        both = sum((F.least(f"s{i}", f"v{i}") for i in range(1, SLICES)), F.least("s0", "v0"))
+        close = (F.col("rank") > F.col("rv")) & (F.col("c") != F.col("cv")) & enough(F.least("core", "kv")) & enough(both)
         new = confirmed(open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct())
         if new.limit(1).count():
             links = common.cut(links.unionByName(new))
@@ -231,7 +238,9 @@ def _able(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of = open_.select("doc_id", "c").distinct()
     tokens = sets.join(of, "doc_id").select("doc_id", "c", "shingles").mapInArrow(_tokens, "doc_id long, c long, token long")
     shared = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    core = tokens.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("core"))
+    at = F.call_function("shiftrightunsigned", "token", F.lit(64 - (SLICES.bit_length() - 1)))
+    counts = [F.count_if(F.col("at") == i).alias(f"s{i}") for i in range(SLICES)]
+    core = tokens.join(shared, "token").select("doc_id", at.alias("at")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("core"), *counts)
     able = open_.join(core, "doc_id").where(F.lit(100) * F.col("core") >= F.lit(percent) * F.col("n"))
     able = common.cut(able)
     split = able.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
