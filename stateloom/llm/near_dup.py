@@ -210,10 +210,11 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
         centre = open_.where(can & F.col("rank").between(tried + 1, tried + step))
         if not centre.limit(1).count():
             return links
-        centre = centre.select("key", *(F.col(a).alias(b) for a, b in (("doc_id", "v"), ("n", "nv"), ("rank", "rv"), ("c", "cv"), ("core", "kv"))), *(F.col(f"s{i}").alias(f"v{i}") for i in range(SLICES)))
+        centre = centre.select("key", *(F.col(a).alias(b) for a, b in (("doc_id", "v"), ("n", "nv"), ("rank", "rv"), ("c", "cv"), ("core", "kv"))), F.col("keys").alias("keysv"), *(F.col(f"s{i}").alias(f"v{i}") for i in range(SLICES)))
         enough = lambda most: F.lit(100) * most >= F.lit(percent) * (F.col("n") + F.col("nv") - most)
         both = sum((F.least(f"s{i}", f"v{i}") for i in range(1, SLICES)), F.least("s0", "v0"))
         close = (F.col("rank") > F.col("rv")) & (F.col("c") != F.col("cv")) & enough(F.least("core", "kv")) & enough(both)
+        close &= F.array_min(F.array_intersect("keys", "keysv")) == F.col("key")  # in one of their buckets only
         new = confirmed(open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct())
         if new.limit(1).count():
             links = common.cut(links.unionByName(new))
@@ -244,7 +245,8 @@ def _able(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     able = open_.join(core, "doc_id").where(F.lit(100) * F.col("core") >= F.lit(percent) * F.col("n"))
     able = common.cut(able)
     split = able.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    return able.join(split, "key")
+    able = able.join(split, "key")
+    return able.join(able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "doc_id")
 
 
 def _still_open(members: DataFrame, component: DataFrame) -> DataFrame:
