@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from . import boost, wordhash as wh
 
-LABELLED, POOL, ROUNDS = 8000, 3000, 3
+LABELLED, POOL, ROUNDS = 6000, 2000, 3
 #: Words kept for the content view, the least number of documents a word is judged on, and the least z-score.
 WORDS, WORD_DOCS, WORD_Z = 512, 5, 4.0
+#: Bytes of the beginnings of words that are features too.
+HEADS = (4, 5)
 
 _CLASSES = np.zeros(256, np.int64)  # 0 other, then the classes below
 for _i, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"!", b"|", b"#$%&*^~=<>{}[]\\@_+/", b".,;:'\"?()-"), 1):
@@ -37,10 +39,14 @@ def _by_row(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content statistics, layout statistics, words' hashes, words' rows) of an array of texts."""
+    """(content statistics, layout statistics, hashes, rows) of an array of texts. The hashes are of words and of their
+    beginnings, so that forms of one stem have something in common."""
     raw, off = wh.string_parts(col)
     n = len(col)
     h, rows, starts, ends = wh.words(col, wh.ALNUM_LOWER)
+    values = wh.ALNUM_LOWER[raw]
+    heads = [wh.ranges_hash(values, starts, np.minimum(ends, starts + k)) + np.uint64(k) for k in HEADS] if len(h) else [h] * len(HEADS)
+    h, rows = np.stack([h, *heads], 1).ravel(), np.repeat(rows, 1 + len(HEADS))
     spaced, srows, _, _ = wh.words(col, wh.SPACED_LOWER)
     sizes = np.maximum(np.diff(off), 1)
     c = _CLASSES[raw]
@@ -194,17 +200,22 @@ def _stack(a: np.ndarray, b: np.ndarray, y: np.ndarray, steps: int = 60) -> np.n
     return np.array([max(w[0], 0.0), max(w[1], 0.0), w[2]])
 
 
+def featurized(rows: list[dict]) -> list[dict]:
+    """Rows of text, lang, source, n_chars with their texts replaced by both views' numbers and the distinct words."""
+    out, col = [], pa.array([t["text"] for t in rows], pa.large_string())
+    for i, j in wh.chunks(col):
+        x, layout, h, r = statistics(col.slice(i, j - i))
+        for k, words in enumerate(distinct_words(h, r, j - i)):
+            out.append({c: v for c, v in rows[i + k].items() if c != "text"} | {"x": x[k], "layout": layout[k], "words": words})
+    return out
+
+
 def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share: float = 0.1, sure: float = 0.97) -> Model:
-    """Rows have text, lang, source, n_chars and, if labelled, y. Every fourth labelled row is held out."""
+    """Rows as from featurized, with y if labelled. Every fourth labelled row is held out."""
 
     def view(rows):
-        col, xs, layouts, docs = pa.array([t["text"] for t in rows], pa.large_string()), [], [], []
-        for i, j in wh.chunks(col):
-            x, layout, h, r = statistics(col.slice(i, j - i))
-            xs.append(x)
-            layouts.append(layout)
-            docs += distinct_words(h, r, j - i)
-        return np.concatenate(xs), np.concatenate(layouts), docs, [t["lang"] for t in rows], [t["source"] for t in rows], [t["n_chars"] for t in rows]
+        named = ([t[c] for t in rows] for c in ("lang", "source", "n_chars"))
+        return np.stack([t["x"] for t in rows]), np.stack([t["layout"] for t in rows]), [t["words"] for t in rows], *named
 
     y_all = np.array([t["y"] for t in labelled], float)
     held = np.arange(len(labelled)) % 4 == 3
@@ -272,16 +283,28 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     kinds = set(chosen.values()) - {None}
     if len(kinds) < 2:
         return None
-    # at most labelled + pool ids: a bounded broadcast
+    # at most labelled + pool ids: a bounded broadcast; texts become numbers where they are
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    rows = {r["doc_id"]: r.asDict() for r in _typed(docs).join(F.broadcast(wanted), "doc_id").sortWithinPartitions("doc_id", "text").collect()}
-    known, rest = [], []
-    for i in sorted(rows, key=lambda i: (i * 0x9E3779B97F4A7C15 % (1 << 64), i)):
-        r = rows[i]
-        (rest if chosen[i] is None else known).append(r | {"y": chosen[i]})
+    sample = _typed(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_sampled, "doc_id long, lang string, source string, n_chars long, x array<double>, layout array<double>, words binary")
+    known, rest, seen = [], [], set()
+    for r in sorted(sample.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"], bytes(r["words"]))):
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            row = {"lang": r["lang"], "source": r["source"], "n_chars": r["n_chars"], "x": np.array(r["x"]), "layout": np.array(r["layout"]), "words": np.frombuffer(bytes(r["words"]), np.uint64)}
+            (rest if chosen[r["doc_id"]] is None else known).append(row | {"y": chosen[r["doc_id"]]})
     return co_train(known, rest, rounds)
 
 
+def _sampled(batches):
+    for b in batches:
+        for i, j in wh.chunks(b.column("text")):
+            p = b.slice(i, j - i)
+            x, layout, h, r = statistics(p.column("text"))
+            words = [w.tobytes() for w in distinct_words(h, r, j - i)]
+            parts = [p.column(c) for c in ("doc_id", *_COLUMNS[1:])] + [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(parts, ["doc_id", *_COLUMNS[1:], "x", "layout", "words"])
+
+
 def _judge(batch: pa.RecordBatch, model: Model | None):
     """(content, metadata, score) of a batch's rows, chunk by chunk; without a model all are 1."""
     if model is None:
