@@ -78,17 +78,19 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, bins:
 
 
 def platt(raw: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through held-out scores (Newton steps, smoothed targets)."""
+    """Slope and offset of the logistic curve through held-out scores (Newton steps of bounded length, smoothed targets,
+    the slope drawn a little towards 1)."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * raw + b)
         w = np.maximum(p * (1 - p), 1e-9)
-        ga, gb = (raw * (p - t)).sum() + 1e-3 * (a - 1), (p - t).sum()
-        haa, hab, hbb = (w * raw * raw).sum() + 1e-3, (w * raw).sum(), w.sum() + 1e-9
+        ga, gb = (raw * (p - t)).sum() + (a - 1), (p - t).sum()
+        haa, hab, hbb = (w * raw * raw).sum() + 1, (w * raw).sum(), w.sum() + 1e-9
         det = haa * hbb - hab * hab
         if det < 1e-12:
             break
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+        a -= float(np.clip((hbb * ga - hab * gb) / det, -0.5, 0.5))
+        b -= float(np.clip((haa * gb - hab * ga) / det, -0.5, 0.5))
     return float(a), float(b)
