@@ -42,6 +42,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    spark = table.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(rows: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows whose id is not in gone (one column of longs). Null ids stay. A bitmap of fixed size names the rows
     that may go, so the others, with all their columns, are not shuffled."""
@@ -106,9 +114,10 @@ def components(edges: DataFrame) -> DataFrame:
     component is the smallest id reachable. Labels move along edges and to the labels' own rows, then jump to the
     label's label, so rounds grow with the logarithm of a chain's length. Self links are allowed; nulls are dropped."""
     e = edges.select("u", "v").where("u is not null and v is not null").distinct()
-    both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    # tables in files, not checkpoints: their size is known, so small ones are joined without a shuffle
+    both = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     nearest = both.groupBy("u").agg(F.min("v").alias("m"))
-    labels = cut(nearest.select(F.col("u").alias("id"), F.least("u", "m").alias("c")))
+    labels = stored(nearest.select(F.col("u").alias("id"), F.least("u", "m").alias("c"), F.lit(0).cast("long").alias("old")))
     while True:
         far = labels.select(F.col("id").alias("v"), F.col("c").alias("cv"))
         near = labels.select(F.col("id").alias("u"), F.col("c").alias("cu"))
@@ -118,10 +127,11 @@ def components(edges: DataFrame) -> DataFrame:
             told.select(F.col("cu").alias("id"), F.col("cv").alias("o"))
         )
         best = offers.groupBy("id").agg(F.min("o").alias("o"))
-        hooked = labels.join(best, "id", "left").select("id", F.least("c", "o").alias("c"), F.col("c").alias("old"))
+        hooked = labels.select("id", "c").join(best, "id", "left").select("id", F.least("c", "o").alias("c"), F.col("c").alias("old"))
         up = hooked.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        jumped = cut(hooked.join(up, "c", "left").select("id", F.least("c", "cc").alias("c"), "old"))
-        changed = jumped.where("c <> old").limit(1).count()
-        labels = jumped.select("id", "c")
-        if not changed:
+        jumped = stored(hooked.join(up, "c", "left").select("id", F.least("c", "cc").alias("c"), "old"))
+        discard(labels)
+        labels = jumped
+        if not labels.where("c <> old").limit(1).count():
+            discard(both)
             return labels.select("id", F.col("c").alias("component"))

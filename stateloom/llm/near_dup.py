@@ -195,7 +195,7 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
         b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-        return common.cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long"))
+        return common.stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long"))
 
     met = members.where("doc_id <> low").groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("best"))
@@ -217,7 +217,7 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
         close &= F.array_min(F.array_intersect("keys", "keysv")) == F.col("key")  # in one of their buckets only
         new = confirmed(open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct())
         if new.limit(1).count():
-            links = common.cut(links.unionByName(new))
+            links = links.unionByName(new)
             open_ = common.cut(_still_open(open_.drop("c"), common.components(links)))
         tried, step = tried + step, step * 2
 
