@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boost, wordhash as wh
+from . import boost, common, wordhash as wh
 
-LABELLED, POOL, ROUNDS = 6000, 2000, 3
+LABELLED, POOL, ROUNDS = 6000, 1500, 3
 #: Words kept for the content view, the least number of documents a word is judged on, and the least z-score.
 WORDS, WORD_DOCS, WORD_Z = 512, 5, 4.0
+#: Words that may be features of the sample at all.
+VOCABULARY = 4096
 #: Bytes of the beginnings of words that are features too.
 HEADS = (4, 5)
 
@@ -200,25 +202,15 @@ def _stack(a: np.ndarray, b: np.ndarray, y: np.ndarray, steps: int = 60) -> np.n
     return np.array([max(w[0], 0.0), max(w[1], 0.0), w[2]])
 
 
-def featurized(rows: list[dict]) -> list[dict]:
-    """Rows of text, lang, source, n_chars with their texts replaced by both views' numbers and the distinct words."""
-    out, col = [], pa.array([t["text"] for t in rows], pa.large_string())
-    for i, j in wh.chunks(col):
-        x, layout, h, r = statistics(col.slice(i, j - i))
-        for k, words in enumerate(distinct_words(h, r, j - i)):
-            out.append({c: v for c, v in rows[i + k].items() if c != "text"} | {"x": x[k], "layout": layout[k], "words": words})
-    return out
-
-
 def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share: float = 0.1, sure: float = 0.97) -> Model:
-    """Rows as from featurized, with y if labelled. Every fourth labelled row is held out."""
+    """Rows have x, layout, words, lang, source and n_chars, and y and held if they are labelled."""
 
     def view(rows):
         named = ([t[c] for t in rows] for c in ("lang", "source", "n_chars"))
         return np.stack([t["x"] for t in rows]), np.stack([t["layout"] for t in rows]), [t["words"] for t in rows], *named
 
     y_all = np.array([t["y"] for t in labelled], float)
-    held = np.arange(len(labelled)) % 4 == 3
+    held = np.array([t["held"] for t in labelled], bool)
     train = [t for t, m in zip(labelled, held) if not m]
     rows = train + pool
     x, layout, docs, langs, sources, n_chars = view(rows)
@@ -250,10 +242,11 @@ def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share
         exchanged.append(given)
         if not given:
             break
-    test = [t for t, m in zip(labelled, held) if m]
+    test = [t for t, m in zip(labelled, held) if m] or train
+    y_test = y_all[held] if held.any() else y_all
     tx, tlayout, tdocs, tl, ts, tn = view(test)
     flat, rr = np.concatenate(tdocs), np.repeat(np.arange(len(test)), [len(d) for d in tdocs])
-    a, b, y = content.score(tx, flat, rr), metadata.score(tlayout, tl, ts, tn), y_all[held]
+    a, b, y = content.score(tx, flat, rr), metadata.score(tlayout, tl, ts, tn), y_test
     weights = _stack(a, b, y)
     p = boost.sigmoid(weights[0] * _logit(a) + weights[1] * _logit(b) + weights[2])
     cuts = np.linspace(0.1, 0.9, 81)
@@ -268,9 +261,9 @@ def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share
 _COLUMNS = ("text", "lang", "source", "n_chars")
 
 
-def _typed(docs: DataFrame, *more: str) -> DataFrame:
+def _typed(docs: DataFrame) -> DataFrame:
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", *_COLUMNS)), *more)
+    return docs.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", *_COLUMNS)))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
@@ -285,15 +278,35 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if len(kinds) < 2:
         return None
     # at most labelled + pool ids: a bounded broadcast; texts become numbers where they are
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    sample = _typed(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_sampled, "doc_id long, lang string, source string, n_chars long, x array<double>, layout array<double>, words binary")
+    schema = "doc_id long, y double, held boolean"
+    wanted = docs.sparkSession.createDataFrame([(i, None if y is None else float(y), _held(i)) for i, y in chosen.items()], schema)
+    sample = _typed(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_sampled, _SAMPLE)
+    sample = common.cut(sample)
+    vocabulary = _vocabulary(sample)
     known, rest, seen = [], [], set()
-    for r in sorted(sample.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"], bytes(r["words"]))):
+    for r in sorted(sample.mapInArrow(_restricted(vocabulary), _SAMPLE).collect(), key=lambda r: (_scattered(r["doc_id"]), r["doc_id"], r["words"])):
         if r["doc_id"] not in seen:
             seen.add(r["doc_id"])
-            row = {"lang": r["lang"], "source": r["source"], "n_chars": r["n_chars"], "x": np.array(r["x"]), "layout": np.array(r["layout"]), "words": np.frombuffer(bytes(r["words"]), np.uint64)}
-            (rest if chosen[r["doc_id"]] is None else known).append(row | {"y": chosen[r["doc_id"]]})
-    return co_train(known, rest, rounds)
+            row = r.asDict() | {"x": np.array(r["x"]), "layout": np.array(r["layout"]), "words": np.array(r["words"], np.int64).view(np.uint64)}
+            (rest if r["y"] is None else known).append(row)
+    return co_train(known, rest, rounds) if len({r["y"] for r in known if not r["held"]}) == 2 else None
+
+
+def _scattered(i: int) -> int:
+    return i * 0x9E3779B97F4A7C15 % (1 << 64)
+
+
+def _held(i: int) -> bool:
+    """Every fourth labelled row, by a hash of its id, is held out."""
+    return _scattered(i) >> 62 == 3
+
+
+_SAMPLE = "doc_id long, lang string, source string, n_chars long, y double, held boolean, x array<double>, layout array<double>, words array<long>"
+_KEPT = ("doc_id", "lang", "source", "n_chars", "y", "held")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.view(np.int64) for a in arrays], pa.list_(pa.int64()))
 
 
 def _sampled(batches):
@@ -301,9 +314,33 @@ def _sampled(batches):
         for i, j in wh.chunks(b.column("text")):
             p = b.slice(i, j - i)
             x, layout, h, r = statistics(p.column("text"))
-            words = [w.tobytes() for w in distinct_words(h, r, j - i)]
-            parts = [p.column(c) for c in ("doc_id", *_COLUMNS[1:])] + [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())), pa.array(words, pa.binary())]
-            yield pa.RecordBatch.from_arrays(parts, ["doc_id", *_COLUMNS[1:], "x", "layout", "words"])
+            more = [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())), _lists(distinct_words(h, r, j - i))]
+            yield pa.RecordBatch.from_arrays([*(p.column(c) for c in _KEPT), *more], [*_KEPT, "x", "layout", "words"])
+
+
+def _restricted(vocabulary: np.ndarray):
+    """Words outside the vocabulary dropped."""
+
+    def run(batches):
+        for b in batches:
+            words = [np.array(w, np.int64) for w in b.column("words").to_pylist()]
+            kept = [w[np.isin(w, vocabulary)] for w in words]
+            yield pa.RecordBatch.from_arrays([_lists(kept) if c == "words" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return run
+
+
+def _vocabulary(sample: DataFrame) -> np.ndarray:
+    """The words (at most VOCABULARY) that tell the classes apart beyond chance in the labelled rows not held out."""
+    train = sample.where("y is not null and not held")
+    row = train.agg(F.avg("y")).first()
+    rate = row[0] if row[0] is not None else 0.0
+    if not 0 < rate < 1:
+        return np.zeros(0, np.int64)
+    words = train.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("good"))
+    z = F.abs(F.col("good") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
+    top = words.where(F.col("df") >= WORD_DOCS).withColumn("z", z).where(F.col("z") >= WORD_Z).orderBy(F.desc("z"), "w").limit(VOCABULARY)
+    return np.array([r["w"] for r in top.select("w").collect()], np.int64)
 
 
 def _judge(batch: pa.RecordBatch, model: Model | None):
