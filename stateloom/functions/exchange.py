@@ -1,0 +1,141 @@
+"""Exchangeability blocks: nested blocks of units, and random shuffles that respect them.
+
+Column 0 is the whole; each further column divides its parent. A positive number lets the blocks inside be exchanged
+as wholes (with blocks of the same shape); a negative one lets only what is inside each block be shuffled."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from .special import gammaln
+
+
+@dataclass
+class Node:
+    """whole: whether the children change places with each other; units: of a leaf."""
+
+    whole: bool
+    children: list[Node] = field(default_factory=list)
+    units: np.ndarray | None = None
+
+    def all_units(self) -> np.ndarray:
+        return self.units if self.units is not None else np.concatenate([c.all_units() for c in self.children])
+
+    def shape(self):
+        """What must be equal for two blocks to be exchanged."""
+        return len(self.units) if self.units is not None else (self.whole, tuple(c.shape() for c in self.children))
+
+
+def renumber(blocks: np.ndarray) -> np.ndarray:
+    """Each column's labels counted from 1 inside their parent block, in order; signs are kept."""
+    blocks = np.asarray(blocks)
+    out = np.zeros_like(blocks)
+    parents = np.zeros(len(blocks), int)
+    for j in range(blocks.shape[1]):
+        path = np.zeros(len(blocks), int)
+        for p in np.unique(parents):
+            at = np.flatnonzero(parents == p)
+            labels, place = np.unique(np.abs(blocks[at, j]), return_inverse=True)
+            out[at, j] = (place + 1) * np.where(blocks[at, j] < 0, -1, 1)
+            path[at] = place
+        _, parents = np.unique(np.stack([parents, path]), axis=1, return_inverse=True)
+        parents = parents.ravel()
+    return out
+
+
+def tree(blocks: np.ndarray) -> Node:
+    """The nested blocks of an integer matrix (units by levels)."""
+    blocks = np.asarray(blocks)
+    if blocks.ndim == 1:
+        blocks = np.column_stack([np.ones(len(blocks), int), blocks])
+
+    def make(at: np.ndarray, j: int, whole: bool) -> Node:
+        if j == blocks.shape[1]:
+            return Node(whole, units=at)
+        labels = blocks[at, j]
+        kids = [make(at[labels == v], j + 1, v > 0) for v in np.unique(labels)]
+        # a last level of single units is a leaf, whose units change places
+        if all(k.units is not None and len(k.units) == 1 for k in kids):
+            return Node(whole, units=np.concatenate([k.units for k in kids]))
+        return Node(whole, kids)
+
+    top = blocks[:, 0]
+    if len(np.unique(top)) > 1:
+        return make(np.arange(len(blocks)), 0, False)
+    return make(np.arange(len(blocks)), 1, bool(top[0] > 0))
+
+
+def shuffle(node: Node, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(places, units put there) of one random shuffle of the tree."""
+    if node.units is not None:
+        return node.units, node.units[r.permutation(len(node.units))] if node.whole or len(node.units) > 1 else node.units
+    kids = [shuffle(c, r) for c in node.children]
+    if not node.whole:
+        return np.concatenate([k[0] for k in kids]), np.concatenate([k[1] for k in kids])
+    to = np.arange(len(kids))
+    shapes = [c.shape() for c in node.children]
+    for s in set(shapes):
+        at = np.array([i for i, x in enumerate(shapes) if x == s])
+        to[at] = at[r.permutation(len(at))]
+    return np.concatenate([kids[i][0] for i in range(len(kids))]), np.concatenate([kids[j][1] for j in to])
+
+
+def shuffles(blocks: np.ndarray, n: int, seed: int = 0, repeats: bool = False) -> np.ndarray:
+    """(n, units) shuffles, the identity first; unless repeats they differ, and there may be fewer than n."""
+    root, r = tree(blocks), np.random.default_rng(seed)
+    size = len(root.all_units())
+    out, seen = [np.arange(size)], {tuple(range(size))}
+    for _ in range(50 * n):
+        if len(out) >= n:
+            break
+        places, units = shuffle(root, r)
+        row = np.empty(size, int)
+        row[places] = units
+        if repeats or tuple(row) not in seen:
+            seen.add(tuple(row))
+            out.append(row)
+    return np.array(out)
+
+
+def log_count(node: Node) -> float:
+    """Natural logarithm of the number of shuffles of a tree."""
+    if node.units is not None:
+        return float(gammaln(len(node.units) + 1))
+    total = sum(log_count(c) for c in node.children)
+    if node.whole:
+        shapes = [c.shape() for c in node.children]
+        total += sum(float(gammaln(shapes.count(s) + 1)) for s in set(shapes))
+    return total
+
+
+def families_to_blocks(subject, mother, father, zygosity) -> np.ndarray:
+    """Blocks of a twin table: column 0 is -1 (families are not mixed), then the family's type (its make-up, among whose
+    equals whole families change places), the family, the sibling type (monozygotic, dizygotic, other; exchanged inside a
+    family among their own), and the unit. Families are subjects tied by a parent."""
+    subject, mother, father = (np.asarray(v) for v in (subject, mother, father))
+    kind = np.array([{"MZ": 1, "DZ": 2}.get(str(z).upper(), 3) for z in zygosity])
+    parent = list(range(len(subject)))
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for column in (mother, father):
+        first: dict = {}
+        for i, v in enumerate(column):
+            if v is not None and v == v:
+                a, b = top(first.setdefault(v, i)), top(i)
+                parent[max(a, b)] = min(a, b)
+    family = np.array([top(i) for i in range(len(subject))])
+    # a twin without its other half is an ordinary sibling
+    for i in range(len(subject)):
+        if kind[i] < 3 and ((family == family[i]) & (kind == kind[i])).sum() < 2:
+            kind[i] = 3
+    makeup = {f: tuple(sorted(kind[family == f])) for f in np.unique(family)}
+    types = {m: t + 1 for t, m in enumerate(sorted(set(makeup.values())))}
+    rows = [(-1, types[makeup[f]], int(f) + 1, -int(k) if len(set(makeup[f])) > 1 else int(k), i + 1) for i, (f, k) in enumerate(zip(family, kind))]
+    return np.array(rows)
