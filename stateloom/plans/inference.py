@@ -273,3 +273,64 @@ def family_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families as connected components of shared blocks: customers tied by supplier nations' order pairs."""
     o = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 4).alias("b"))
     return predict.families(o.distinct())
+
+
+# Model selection, exchangeability, factors, confounds
+
+
+@query()
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free energy and similarity over numbers of states."""
+    from ..operators import hmm
+
+    swept = hmm.sweep(_z(spark, sf_dir), [2, 3], 2, hmm.Spec(2, "diag", "state", "no"), hmm.Options(cycles=3, starts=1, start_cycles=1))
+    return hmm.selection(swept)
+
+
+@query()
+def tree_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffles of nations that keep regions whole: regions of one size change places, nations inside them too."""
+    from ..functions import exchange
+
+    n = V.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_regionkey", "n_nationkey").collect()
+    blocks = np.array([[1, r["n_regionkey"] + 1, r["n_nationkey"] + 1] for r in n])
+    return T.table_permutations(spark, exchange.shuffles(blocks, PERMS, SEED))
+
+
+@query()
+def nmf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency factors of the coherence of three channels of the embeddings."""
+    e = _emb(spark, sf_dir).withColumn("session_id", F.col("label") % 2).withColumn("y", F.slice("y", 1, 3))
+    c = spectral.coherence(spectral.state_spectra(V.renumber_rows(e), None, 100.0, 16, 2.0, 3), "session_id", "state", "f")
+    return spectral.factorise(c, 2)[0]
+
+
+@query(f"WITH {_UNITS}, m AS (SELECT avg(total) AS my, avg(n) AS mx, regr_slope(total, n) AS b FROM units) SELECT unit_id, round(total - my - b * (n - mx), 2) + 0.0 AS r FROM units, m")
+def deconfounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _units(spark, sf_dir).withColumn("c", F.slice("d", 1, 1))
+    return T.deconfound(u, "r", "c").select("unit_id", (F.round(F.col("r")[0], 2) + 0.0).alias("r"))
+
+
+@query("WITH f AS (SELECT session_id, (row_number() OVER (ORDER BY session_id) - 1) % 5 AS fold FROM (SELECT DISTINCT user_id AS session_id FROM events)) SELECT session_id, CAST(fold AS INTEGER) AS fold FROM f")
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"))
+    return predict.folds_of(u.distinct(), 5, "session_id").select("session_id", "fold")
+
+
+@query(f"""WITH {S.STATES}, r AS (SELECT session_id, t, state, row_number() OVER (PARTITION BY session_id ORDER BY md5('{SEED}:' || session_id || ':' || t), t) % 2 = 1 AS train FROM path)
+SELECT session_id, t, train FROM r""")
+def split_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.state_sequence(spark, sf_dir).withColumn("unit_id", F.col("t"))
+    return T.session_halves(p, SEED).select("session_id", "t", "train")
+
+
+@query()
+def split_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb(spark, sf_dir).select(F.col("t").alias("unit_id"), F.slice("y", 2, 10).alias("features"), F.col("y")[0].alias("target"))
+    return predict.split_predict(e.where("unit_id % 2 = 0"), e.where("unit_id % 2 = 1"))
+
+
+@query()
+def split_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb(spark, sf_dir).select(F.col("t").alias("unit_id"), F.slice("y", 1, 10).alias("features"), (F.col("label") % 2).cast("double").alias("target"))
+    return predict.split_classify(e.where("unit_id % 2 = 0"), e.where("unit_id % 2 = 1"))

@@ -56,3 +56,9 @@ def n_states(gamma: DataFrame) -> int:
     """Length of the state vectors, from the first row; 0 for an empty table."""
     row = gamma.select(F.size("gamma").alias("n")).first()
     return row["n"] if row else 0
+
+
+def renumber_rows(obs: DataFrame) -> DataFrame:
+    """t counted anew from 0 in each session, in the order of t."""
+    t = F.row_number().over(Window.partitionBy("session_id").orderBy("t")) - 1
+    return obs.withColumn("t", t.cast("int"))
