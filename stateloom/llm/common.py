@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A bitmap has this many bits (8 MiB): the bound of all that is broadcast for prefilters, at any input size.
 BITMAP_BITS = 1 << 26
+#: Edges for each task of a round of components.
+ROWS_A_TASK = 100_000
 _BUCKET_BITS = 32768  # fixed by bitmap_construct_agg
 
 
@@ -115,9 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
     label's label, so rounds grow with the logarithm of a chain's length. Self links are allowed; nulls are dropped."""
     e = edges.select("u", "v").where("u is not null and v is not null").distinct()
     # tables in files, not checkpoints: their size is known, so small ones are joined without a shuffle
-    both = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    parts = max(1, -(-2 * e.count() // ROWS_A_TASK))
+    both = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts))
     nearest = both.groupBy("u").agg(F.min("v").alias("m"))
-    labels = stored(nearest.select(F.col("u").alias("id"), F.least("u", "m").alias("c"), F.lit(0).cast("long").alias("old")))
+    labels = stored(nearest.select(F.col("u").alias("id"), F.least("u", "m").alias("c"), F.lit(0).cast("long").alias("old")).coalesce(parts))
     while True:
         far = labels.select(F.col("id").alias("v"), F.col("c").alias("cv"))
         near = labels.select(F.col("id").alias("u"), F.col("c").alias("cu"))
@@ -129,7 +132,7 @@ def components(edges: DataFrame) -> DataFrame:
         best = offers.groupBy("id").agg(F.min("o").alias("o"))
         hooked = labels.select("id", "c").join(best, "id", "left").select("id", F.least("c", "o").alias("c"), F.col("c").alias("old"))
         up = hooked.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        jumped = stored(hooked.join(up, "c", "left").select("id", F.least("c", "cc").alias("c"), "old"))
+        jumped = stored(hooked.join(up, "c", "left").select("id", F.least("c", "cc").alias("c"), "old").coalesce(parts))
         discard(labels)
         labels = jumped
         if not labels.where("c <> old").limit(1).count():
