@@ -189,15 +189,15 @@ def _rowwise(m: DataFrame, keys, solve, schema: str) -> DataFrame:
 
 def state_vs_rest(path: DataFrame, value: str = "value", how: str = "mean") -> DataFrame:
     """(state, difference): the signal in a state less that outside it."""
-    agg = F.avg if how == "mean" else F.median
-    states = path.select(F.col("state").alias("k")).distinct()
-    # a row of states is small; every row meets each state once
-    j = path.select("state", F.col(value).alias("v")).crossJoin(F.broadcast(states)) if how != "mean" else None
     if how == "mean":
         s = path.groupBy("state").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
         t = s.select("*", F.sum("s").over(Window.partitionBy()).alias("ts"), F.sum("n").over(Window.partitionBy()).alias("tn"))
         return t.select("state", (F.col("s") / F.col("n") - (F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("difference"))
-    return j.groupBy(F.col("k").alias("state")).agg((agg(F.when(F.col("state") == F.col("k"), F.col("v"))) - agg(F.when(F.col("state") != F.col("k"), F.col("v")))).alias("difference"))
+    states = F.array(*(F.lit(r["state"]) for r in path.select("state").distinct().collect()))  # one for each state
+    v, k = F.col(value), F.col("k")
+    rows = path.withColumn("k", F.explode(states))
+    medians = F.median(F.when(F.col("state") == k, v)) - F.median(F.when(F.col("state") != k, v))
+    return rows.groupBy(k.alias("state")).agg(medians.alias("difference"))
 
 
 def state_pairs(path: DataFrame, value: str = "value", how: str = "mean") -> DataFrame:
