@@ -117,7 +117,7 @@ def _gates() -> dict[str, tuple[int, ...]]:
 
 
 #: A text without any of these is no license text: one pass before the keywords.
-_STEMS = ("licen", "spdx", "copyright", "public domain", "rights reserved", "creativecommons", "opensource.org", "gnu.org", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "mpl-", "epl-")
+_STEMS = ("licen", "spdx", "copyright", "public domain", "rights reserved", "creativecommons", "opensource.org", "gnu.org", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "mpl-", "epl-", "mozilla.org/mpl", "afl-", "osl-", "ecl-", "upl-", "rpl-", "ofl-", "psf-", "bsl", "cddl", "eupl", "lppl", "gfdl", "sspl", "busl", "odbl", "pddl", "odc-by", "apache-", "artistic-", "elastic-", "uganda", "w3.org/consortium")
 
 
 def lowered(text: str) -> str:
