@@ -11,7 +11,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Text handled at once: keeps the temporary arrays, 8 bytes for each byte of text, small.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def byte_table(separators: bytes, lower: bool = False) -> np.ndarray:
@@ -43,7 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     a, b = _powers(size)
     return a[:n], b[:n]
 
