@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = nodes.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     rows = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    members = common.cut(rows.join(shared.select("key", "low"), "key").select("key", "doc_id", "n", "low"))
+    members = common.cut_narrow(rows.join(shared.select("key", "low"), "key").select("key", "doc_id", "n", "low"))
     links = _links(base, members, shingle, percent)
     if links is None:
         component = spark.createDataFrame([], "id long, component long")
@@ -203,9 +203,9 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
     # of two linked sets the smaller one shares this part of its own at least, so it alone need be a centre
     can = F.lit(100 + percent) * F.col("core") >= F.lit(2 * percent) * F.col("n")
     in_order = F.row_number().over(Window.partitionBy("key").orderBy((~can).cast("int"), "doc_id", "n"))
-    open_ = common.cut(_still_open(members.drop("low"), common.components(links)))
+    open_ = common.cut_narrow(_still_open(members.drop("low"), common.components(links)))
     open_ = _able(open_, sets, percent)
-    open_, tried, step = common.cut(open_.withColumn("rank", in_order)), 0, FIRST_CENTRES
+    open_, tried, step = common.cut_narrow(open_.withColumn("rank", in_order)), 0, FIRST_CENTRES
     while True:
         centre = open_.where(can & F.col("rank").between(tried + 1, tried + step))
         if not centre.limit(1).count():
@@ -218,7 +218,7 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
         new = confirmed(open_.join(centre, "key").where(close).select(F.col("doc_id").alias("u"), "v").distinct())
         if new.limit(1).count():
             links = links.unionByName(new)
-            open_ = common.cut(_still_open(open_.drop("c"), common.components(links)))
+            open_ = common.cut_narrow(_still_open(open_.drop("c"), common.components(links)))
         tried, step = tried + step, step * 2
 
 
@@ -243,7 +243,7 @@ def _able(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = [F.count_if(F.col("at") == i).alias(f"s{i}") for i in range(SLICES)]
     core = tokens.join(shared, "token").select("doc_id", at.alias("at")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("core"), *counts)
     able = open_.join(core, "doc_id").where(F.lit(100) * F.col("core") >= F.lit(percent) * F.col("n"))
-    able = common.cut(able)
+    able = common.cut_narrow(able)
     split = able.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     able = able.join(split, "key")
     return able.join(able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "doc_id")
