@@ -2,12 +2,13 @@
 
 Two classifiers see separate views of a document: its content (character and word statistics, and words that tell
 the classes apart) and its page metadata (language, source, length, layout). They are fitted on a bounded sample of
-labelled rows. In each round each one labels the part of an unlabelled pool that it is surest of, and those rows
-join the other's training set. In the end both are calibrated on held-out labelled rows, a logistic curve through
+labelled rows. In each round each one scores all unlabelled documents on the executors and labels those that it is
+surest of, and those rows join the other's training set. In the end both are calibrated on held-out labelled rows, a logistic curve through
 both calibrated scores is fitted there too, and all documents are scored in one pass.
 
-A document is good if its label says quality 1 and toxic 0. Bounds: LABELLED rows of labels and POOL other rows, the
-first in order of a hash of the id. The model is some tens of kilobytes, whatever the input's size."""
+A document is good if its label says quality 1 and toxic 0. Bounds: LABELLED rows of labels, the first in order of a
+hash of the id, and a tenth of POOL other rows from each view in a round, the surest of all. The model is some tens of
+kilobytes, whatever the input's size."""
 
 from __future__ import annotations
 
@@ -15,12 +16,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boost, common, wordhash as wh
 
-LABELLED, POOL, ROUNDS = 6000, 1500, 3
+LABELLED, POOL, ROUNDS = 8000, 3000, 3
 #: Words kept for the content view, the least number of documents a word is judged on, and the least z-score.
 WORDS, WORD_DOCS, WORD_Z = 512, 5, 4.0
 #: Words that may be features of the sample at all.
@@ -202,8 +204,13 @@ def _stack(a: np.ndarray, b: np.ndarray, y: np.ndarray, steps: int = 60) -> np.n
     return np.array([max(w[0], 0.0), max(w[1], 0.0), w[2]])
 
 
-def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share: float = 0.1, sure: float = 0.97) -> Model:
-    """Rows have x, layout, words, lang, source and n_chars, and y and held if they are labelled."""
+_TAKER = {"content": "metadata", "metadata": "content"}
+
+
+def co_train(labelled: list[dict], draw=None, rounds: int = ROUNDS, pool: int = POOL, share: float = 0.1) -> Model:
+    """Rows have doc_id, x, layout, words, lang, source, n_chars, y and held. draw(content, metadata, known, most) gives
+    (giver, row) of the unlabelled rows that a view is surest of, their y being what it says: at most most[y] of each
+    giver and y, none whose id is in known[taker]."""
 
     def view(rows):
         named = ([t[c] for t in rows] for c in ("lang", "source", "n_chars"))
@@ -212,35 +219,22 @@ def co_train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS, share
     y_all = np.array([t["y"] for t in labelled], float)
     held = np.array([t["held"] for t in labelled], bool)
     train = [t for t, m in zip(labelled, held) if not m]
-    rows = train + pool
-    x, layout, docs, langs, sources, n_chars = view(rows)
-    n = len(train)
-    label = {"content": dict(enumerate(y_all[~held])), "metadata": dict(enumerate(y_all[~held]))}
-    pick = lambda values, at: [values[i] for i in at]
+    most = {1.0: int(share * pool * y_all.mean()) + 1, 0.0: int(share * pool * (1 - y_all.mean())) + 1}
+    more = {"content": [], "metadata": []}
     exchanged = []
     for turn in range(rounds + 1):
-        at = sorted(label["content"])
-        content = Content.fit(x[at], pick(docs, at), np.array([label["content"][i] for i in at]))
-        at = sorted(label["metadata"])
-        metadata = Metadata.fit(layout[at], pick(langs, at), pick(sources, at), pick(n_chars, at), np.array([label["metadata"][i] for i in at]))
-        if turn == rounds or not pool:
-            break
-        free = [i for i in range(n, len(rows)) if i not in label["content"] or i not in label["metadata"]]
-        if not free:
+        said = {v: np.array([t["y"] for t in train + more[v]], float) for v in more}
+        x, _, docs, *_ = view(train + more["content"])
+        content = Content.fit(x, docs, said["content"])
+        _, layout, _, langs, sources, n_chars = view(train + more["metadata"])
+        metadata = Metadata.fit(layout, langs, sources, n_chars, said["metadata"])
+        if turn == rounds or draw is None:
             break
-        flat, rr = np.concatenate(pick(docs, free)), np.repeat(np.arange(len(free)), [len(docs[i]) for i in free])
-        said = {"content": content.score(x[free], flat, rr), "metadata": metadata.score(layout[free], pick(langs, free), pick(sources, free), pick(n_chars, free))}
-        given = 0
-        for giver, taker in (("content", "metadata"), ("metadata", "content")):
-            p = said[giver]
-            for side, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                certain = p[order] >= sure if side else p[order] <= 1 - sure
-                most = int(share * len(pool) * (y_all.mean() if side else 1 - y_all.mean())) + 1
-                for i in (free[k] for k in order[certain][:most]):
-                    given += i not in label[taker]
-                    label[taker].setdefault(i, side)
-        exchanged.append(given)
-        if not given:
+        drawn = draw(content, metadata, {v: np.array([t["doc_id"] for t in more[v]], np.int64) for v in more}, most)
+        for giver, row in drawn:
+            more[_TAKER[giver]].append(row)
+        exchanged.append(len(drawn))
+        if not drawn:
             break
     test = [t for t, m in zip(labelled, held) if m] or train
     y_test = y_all[held] if held.any() else y_all
@@ -272,24 +266,44 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     first = F.xxhash64("doc_id")
     said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("y")).where("doc_id is not null and y is not null")
     ids = said.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(first).limit(labelled)
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(said, "doc_id", "left_anti").distinct().orderBy(first).limit(pool)
-    chosen = {r["doc_id"]: r["y"] for r in ids.unionByName(others.withColumn("y", F.lit(None).cast("boolean"))).collect()}
-    kinds = set(chosen.values()) - {None}
-    if len(kinds) < 2:
+    chosen = {r["doc_id"]: r["y"] for r in ids.collect()}
+    if len(set(chosen.values())) < 2:
         return None
-    # at most labelled + pool ids: a bounded broadcast; texts become numbers where they are
+    # at most labelled ids: a bounded broadcast; texts become numbers where they are
     schema = "doc_id long, y double, held boolean"
-    wanted = docs.sparkSession.createDataFrame([(i, None if y is None else float(y), _held(i)) for i, y in chosen.items()], schema)
+    wanted = docs.sparkSession.createDataFrame([(i, float(y), _held(i)) for i, y in chosen.items()], schema)
     sample = _typed(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_sampled, _SAMPLE)
     sample = common.cut(sample)
     vocabulary = _vocabulary(sample)
-    known, rest, seen = [], [], set()
+    known, seen = [], set()
     for r in sorted(sample.mapInArrow(_restricted(vocabulary), _SAMPLE).collect(), key=lambda r: (_scattered(r["doc_id"]), r["doc_id"], r["words"])):
         if r["doc_id"] not in seen:
             seen.add(r["doc_id"])
-            row = r.asDict() | {"x": np.array(r["x"]), "layout": np.array(r["layout"]), "words": np.array(r["words"], np.int64).view(np.uint64)}
-            (rest if r["y"] is None else known).append(row)
-    return co_train(known, rest, rounds) if len({r["y"] for r in known if not r["held"]}) == 2 else None
+            known.append(_as_row(r))
+    if len({r["y"] for r in known if not r["held"]}) < 2:
+        return None
+    if rounds < 1 or pool < 1:
+        return co_train(known, None, rounds)
+    # all unlabelled documents as numbers, written once; each round reads them
+    features = _typed(docs).where("doc_id is not null").mapInArrow(_featured(vocabulary), _FEATURES).join(said.select("doc_id"), "doc_id", "left_anti")
+    rest = common.stored(features.groupBy("doc_id").agg(F.min(F.struct(*_FEATURED[1:])).alias("f")).select("doc_id", "f.*"))
+
+    def draw(content, metadata, ids, most):
+        best = common.cut(rest.mapInArrow(_surest(content, metadata, ids, most), f"giver string, side double, rank double, tie long, {_FEATURES}"))
+        out = []
+        for giver in _TAKER:
+            for side, n in most.items():
+                top = best.where((F.col("giver") == giver) & (F.col("side") == side)).orderBy("rank", "tie", "doc_id").limit(n)
+                out += [(giver, _as_row(r) | {"y": side}) for r in top.collect()]
+        return out
+
+    model = co_train(known, draw, rounds, pool)
+    common.discard(rest)
+    return model
+
+
+def _as_row(r) -> dict:
+    return r.asDict() | {"x": np.array(r["x"]), "layout": np.array(r["layout"]), "words": np.array(r["words"], np.int64).view(np.uint64)}
 
 
 def _scattered(i: int) -> int:
@@ -301,6 +315,8 @@ def _held(i: int) -> bool:
     return _scattered(i) >> 62 == 3
 
 
+_FEATURES = "doc_id long, lang string, source string, n_chars long, x array<double>, layout array<double>, words array<long>"
+_FEATURED = ("doc_id", "lang", "source", "n_chars", "x", "layout", "words")
 _SAMPLE = "doc_id long, lang string, source string, n_chars long, y double, held boolean, x array<double>, layout array<double>, words array<long>"
 _KEPT = ("doc_id", "lang", "source", "n_chars", "y", "held")
 
@@ -318,6 +334,58 @@ def _sampled(batches):
             yield pa.RecordBatch.from_arrays([*(p.column(c) for c in _KEPT), *more], [*_KEPT, "x", "layout", "words"])
 
 
+def _featured(vocabulary: np.ndarray):
+    """Texts as numbers, words outside the vocabulary dropped."""
+    known = np.sort(vocabulary).view(np.uint64)
+    known.sort()
+
+    def run(batches):
+        for b in batches:
+            for i, j in wh.chunks(b.column("text")):
+                p = b.slice(i, j - i)
+                x, layout, h, r = statistics(p.column("text"))
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                more = [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())), _lists(distinct_words(h[hit], r[hit], j - i))]
+                yield pa.RecordBatch.from_arrays([*(p.column(c) for c in _FEATURED[:4]), *more], list(_FEATURED))
+
+    return run
+
+
+def _surest(content: Content, metadata: Metadata, known: dict[str, np.ndarray], most: dict[float, int], sure: float = 0.97):
+    """A partition's surest rows of each view and side, at most most[side] each, without those that the other view has."""
+
+    def run(batches):
+        best: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            matrix = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            words = b.column("words")
+            rows = np.repeat(np.arange(b.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            h = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            tie = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
+            said = {"content": content.score(matrix("x"), h, rows), "metadata": metadata.score(matrix("layout"), *(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))}
+            for giver, taker in _TAKER.items():
+                p, free = said[giver], ~np.isin(ids, known[taker])
+                for side, n in most.items():
+                    rank = -p if side else p
+                    at = np.flatnonzero(free & (p >= sure if side else p <= 1 - sure))
+                    at = at[np.lexsort((ids[at], tie[at], rank[at]))][:n]
+                    t = pa.table([pa.array([giver] * len(at), pa.string()), pa.array(np.full(len(at), side)), pa.array(rank[at]), pa.array(tie[at])], ["giver", "side", "rank", "tie"])
+                    picked = b.take(pa.array(at))
+                    for c in _FEATURED:
+                        t = t.append_column(c, picked.column(c))
+                    if (giver, side) in best:
+                        t = pa.concat_tables([best[giver, side], t])
+                        t = t.take(pc.sort_indices(t, [("rank", "ascending"), ("tie", "ascending"), ("doc_id", "ascending")])[:n])
+                    best[giver, side] = t
+        for t in best.values():
+            yield from t.to_batches()
+
+    return run
+
+
 def _restricted(vocabulary: np.ndarray):
     """Words outside the vocabulary dropped."""
 

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -178,6 +179,35 @@ def test_quality_on_held_out_rows(spark):
     assert {r.doc_id for r in quality.accepted_only(d, known).collect()} == {i for i, r in out.items() if r.accepted}
 
 
+def test_quality_rounds_draw_from_all_unlabelled_rows(spark, monkeypatch):
+    docs, labels = labelled()
+    d = spark.createDataFrame(docs + docs[700:720], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    known = spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int")
+    calls, real = [], quality.co_train
+
+    def spy(labelled, draw, *how):
+        def watched(content, metadata, ids, most):
+            out = draw(content, metadata, ids, most)
+            calls.append((content, metadata, ids, most, out))
+            return out
+
+        return real(labelled, watched, *how)
+
+    monkeypatch.setattr(quality, "co_train", spy)
+    model = quality.train(d, known, pool=100)
+    assert calls and model.report["exchanged"] == [len(c[-1]) for c in calls] and model.report["exchanged"][0] > 0
+    rest = docs[600:]  # far more than a round takes
+    x, layout, h, at = quality.statistics(pa.array([t[1] for t in rest]))
+    for content, metadata, ids, most, out in calls:
+        said = {"content": content.score(x, h, at), "metadata": metadata.score(layout, *zip(*(t[2:] for t in rest)))}
+        for giver, taker in (("content", "metadata"), ("metadata", "content")):
+            for side in (1.0, 0.0):
+                p = {t[0]: v for t, v in zip(rest, said[giver]) if t[0] not in ids[taker] and (v >= 0.97 if side else v <= 0.03)}
+                got = [r["doc_id"] for g, r in out if g == giver and r["y"] == side]
+                assert len(got) == len(set(got)) == min(most[side], len(p))
+                assert np.allclose(sorted(p[i] for i in got), sorted(p.values(), reverse=bool(side))[: len(got)][:: -1 if side else 1])
+
+
 def test_quality_cases(docs, rows, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.accepted for r in quality.classify(docs, none).collect()] == [True] * len(rows)
