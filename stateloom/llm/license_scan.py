@@ -1,7 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, with priorities and containment suppression.
 
 The rules are hundreds of regular expressions, written as a table of license families (names, versions, addresses)
-and, in order of priority, the ways in which notices state a family. A rule runs only on texts that hold its keyword.
+and, in order of priority, the ways in which notices state a family. A rule runs only on texts that hold
+its literals, which every match of it holds.
 Detections are taken in order of priority and then length; one whose interval lies inside a taken one is
 suppressed."""
 
@@ -20,7 +21,8 @@ from .spans import Taken
 # fixed values: the base phrases and their labels
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# fixed values: license families as (SPDX stem, keyword, name pattern, versions, address)
+# fixed values: license families as (SPDX stem, keywords, name pattern, versions, address); a match of the name holds all
+# words of one of the keywords
 FAMILIES = (
     ("MIT", "mit", r"mit", ("",), "opensource.org/licenses/mit"),
     ("Apache", "apache", r"apache(?: software)?", ("2.0", "1.1", "1.0"), "apache.org/licenses/license-"),
@@ -33,12 +35,12 @@ FAMILIES = (
     ("MPL", "mozilla", r"mozilla public", ("2.0", "1.1", "1.0"), "mozilla.org/mpl/"),
     ("EPL", "eclipse", r"eclipse public", ("2.0", "1.0"), "eclipse.org/legal/epl-"),
     ("CDDL", "common development", r"common development and distribution", ("1.1", "1.0"), "opensource.org/licenses/cddl"),
-    ("CC-BY", "cc", r"(?:creative commons attribution|cc[ -]by)(?![ -](?:n|s))", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by/"),
-    ("CC-BY-SA", "cc", r"(?:creative commons attribution[ -]share ?alike|cc[ -]by[ -]sa)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-sa/"),
-    ("CC-BY-NC", "cc", r"(?:creative commons attribution[ -]non ?commercial|cc[ -]by[ -]nc)(?![ -](?:n|s))", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nc/"),
-    ("CC-BY-ND", "cc", r"(?:creative commons attribution[ -]no ?derivatives|cc[ -]by[ -]nd)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nd/"),
-    ("CC-BY-NC-SA", "cc", r"(?:creative commons attribution[ -]non ?commercial[ -]share ?alike|cc[ -]by[ -]nc[ -]sa)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nc-sa/"),
-    ("CC-BY-NC-ND", "cc", r"(?:creative commons attribution[ -]non ?commercial[ -]no ?derivatives|cc[ -]by[ -]nc[ -]nd)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nc-nd/"),
+    ("CC-BY", "cc|creative commons", r"(?:creative commons attribution|cc[ -]by)(?![ -](?:n|s))", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by/"),
+    ("CC-BY-SA", "cc|creative commons", r"(?:creative commons attribution[ -]share ?alike|cc[ -]by[ -]sa)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-sa/"),
+    ("CC-BY-NC", "cc|creative commons", r"(?:creative commons attribution[ -]non ?commercial|cc[ -]by[ -]nc)(?![ -](?:n|s))", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nc/"),
+    ("CC-BY-ND", "cc|creative commons", r"(?:creative commons attribution[ -]no ?derivatives|cc[ -]by[ -]nd)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nd/"),
+    ("CC-BY-NC-SA", "cc|creative commons", r"(?:creative commons attribution[ -]non ?commercial[ -]share ?alike|cc[ -]by[ -]nc[ -]sa)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nc-sa/"),
+    ("CC-BY-NC-ND", "cc|creative commons", r"(?:creative commons attribution[ -]non ?commercial[ -]no ?derivatives|cc[ -]by[ -]nc[ -]nd)", ("4.0", "3.0", "2.5", "2.0"), "creativecommons.org/licenses/by-nc-nd/"),
     ("CC0", "cc0", r"cc0", ("1.0",), "creativecommons.org/publicdomain/zero/"),
     ("ISC", "isc", r"isc", ("",), "opensource.org/licenses/isc"),
     ("Unlicense", "unlicense", r"unlicense", ("",), "unlicense.org"),
@@ -72,52 +74,58 @@ FAMILIES = (
 
 
 @cache
-def rules() -> tuple[tuple[str, str, int, float, re.Pattern], ...]:
-    """(label, keyword, priority, confidence, pattern) in order of priority, for lower-cased text."""
+def rules() -> tuple[tuple[str, tuple[tuple[str, ...], ...], int, float, re.Pattern], ...]:
+    """(label, gate, priority, confidence, pattern) in order of priority, for lower-cased text. Every match holds all
+    literals of one of the gate's alternatives."""
     out = []
     for stem, key, name, versions, address in FAMILIES:
         low = re.escape(stem.lower())
         licence = r"\s+licen[cs]e"
-        name_ = name.replace(" ", r"\s+")
+        name_ = name.replace("[ -]", r"(?:\s+|-)").replace(" ?", r"\s*").replace(" ", r"\s+")
+        named = lambda *more: tuple((*k.split(), *more) for k in key.split("|"))
         for v in versions:
             label = f"{stem}-{v}" if v else stem
             # 3.0 is also written 3
             number = re.escape(v[:-2]) + r"(?:\.0)?" if v.endswith(".0") else re.escape(v)
+            digits = v.removesuffix(".0")
             if v:
                 out += [
-                    (label, low.replace("\\", ""), 1, 1.0, rf"spdx-license-identifier:\s*{low}-{number}(?:-only|-or-later)?(?![\w.-])"),
-                    (label, key, 2, 0.95, rf"(?<!\w){name_}(?:{licence})?,?\s+(?:version\s+|v\.?\s*)?{number}(?![\w]|\.\d)"),
-                    (label, address.split("/")[0], 3, 0.9, rf"{re.escape(address)}\W?{number}(?![\w]|\.\d)"),
-                    (label, low.replace("\\", ""), 4, 0.8, rf"(?<![\w-]){low}[- ]?v?{number}(?:\+|-only|-or-later)?(?![\w-]|\.\d)"),
+                    (label, (("spdx-license-identifier", stem.lower(), digits),), 1, 1.0, rf"spdx-license-identifier:\s*{low}-{number}(?:-only|-or-later)?(?![\w.-])"),
+                    (label, named(digits), 2, 0.95, rf"(?<!\w){name_}(?:{licence})?,?\s+(?:version\s+|v\.?\s*)?{number}(?![\w]|\.\d)"),
+                    (label, ((address, digits),), 3, 0.9, rf"{re.escape(address)}\W?{number}(?![\w]|\.\d)"),
+                    (label, ((stem.lower(), digits),), 4, 0.8, rf"(?<![\w-]){low}[- ]?v?{number}(?:\+|-only|-or-later)?(?![\w-]|\.\d)"),
                 ]
             else:
                 out += [
-                    (label, low.replace("\\", ""), 1, 1.0, rf"spdx-license-identifier:\s*{low}(?![\w.-])"),
-                    (label, address.split("/")[0], 3, 0.9, rf"{re.escape(address)}(?![\w-])"),
+                    (label, (("spdx-license-identifier", stem.lower()),), 1, 1.0, rf"spdx-license-identifier:\s*{low}(?![\w.-])"),
+                    (label, ((address,),), 3, 0.9, rf"{re.escape(address)}(?![\w-])"),
                 ]
         out += [
-            (stem, key, 5, 0.75, rf"(?:under|by|of|with)\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?{name_}{licence}"),
-            (stem, key, 6, 0.6, rf"(?<!\w){name_}{licence}"),
+            (stem, named("licen"), 5, 0.75, rf"(?:under|by|of|with)\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?{name_}{licence}"),
+            (stem, named("licen"), 6, 0.6, rf"(?<!\w){name_}{licence}"),
         ]
     out += [
-        ("proprietary", "all rights reserved", 7, 0.4, r"all\s+rights\s+reserved"),
-        ("copyright-notice", "copyright", 8, 0.3, r"copyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d"),
-        ("public-domain", "public domain", 7, 0.5, r"(?:released\s+)?in(?:to)?\s+the\s+public\s+domain"),
-        ("licensed", "licen", 9, 0.2, r"licen[cs]ed\s+under\s+\S+"),
+        ("proprietary", (("reserved", "rights"),), 7, 0.4, r"all\s+rights\s+reserved"),
+        ("copyright-notice", (("copyright",),), 8, 0.3, r"copyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d"),
+        ("public-domain", (("domain", "public"),), 7, 0.5, r"(?:released\s+)?in(?:to)?\s+the\s+public\s+domain"),
+        ("licensed", (("licen", "under"),), 9, 0.2, r"licen[cs]ed\s+under\s+\S+"),
     ]
     return tuple((a, k, p, c, re.compile(x)) for a, k, p, c, x in sorted(out, key=lambda r: r[2]))
 
 
 @cache
-def _gates() -> dict[str, tuple[int, ...]]:
-    out: dict[str, list[int]] = {}
+def _gates() -> dict[str, tuple[tuple[tuple[str, ...], int], ...]]:
+    """The rules by a literal of theirs, each with its other literals."""
+    out: dict[str, list] = {}
     for i, r in enumerate(rules()):
-        out.setdefault(r[1], []).append(i)
+        for first, *more in r[1]:
+            out.setdefault(first, []).append((tuple(more), i))
     return {k: tuple(v) for k, v in out.items()}
 
 
-#: A text without any of these is no license text: one pass before the keywords.
-_STEMS = ("licen", "spdx", "copyright", "public domain", "rights reserved", "creativecommons", "opensource.org", "gnu.org", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "mpl-", "epl-", "mozilla.org/mpl", "afl-", "osl-", "ecl-", "upl-", "rpl-", "ofl-", "psf-", "bsl", "cddl", "eupl", "lppl", "gfdl", "sspl", "busl", "odbl", "pddl", "odc-by", "apache-", "artistic-", "elastic-", "uganda", "w3.org/consortium")
+def candidates(text: str) -> list[int]:
+    """The rules whose literals the text holds, in order."""
+    return sorted({i for first, at in _gates().items() if first in text for more, i in at if all(x in text for x in more)})
 
 
 def lowered(text: str) -> str:
@@ -127,11 +135,8 @@ def lowered(text: str) -> str:
 
 def detections(text: str) -> list[tuple[str, int, int, float]]:
     """(label, start, end, confidence) of the detections that stand, by start. text: A-Z lower-cased."""
-    if not any(s in text for s in _STEMS):
-        return []
-    runs = sorted({i for k, at in _gates().items() if k in text for i in at})
     found = []
-    for i in runs:
+    for i in candidates(text):
         label, _, priority, sure, pattern = rules()[i]
         found += [(priority, m.start() - m.end(), m.start(), m.end(), label, sure) for m in pattern.finditer(text)]
     taken, out = Taken(), []

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from re import _parser
 
 import pytest
 
@@ -95,6 +96,56 @@ def test_licenses(table):
     assert ends and TEXTS[6][ends[0].start : ends[0].end].endswith("version 3")
 
 
+def examples(tree) -> list[str]:
+    """Texts that hold each alternative of a pattern (parsed) at least once."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            ways = [chr(arg)]
+        elif kind == "BRANCH":
+            ways = [x for t in arg[1] for x in examples(t)]
+        elif kind == "SUBPATTERN":
+            ways = examples(arg[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            ways = [x * n for n in sorted({arg[0], max(1, arg[0])}, reverse=True) for x in (examples(arg[2]) if n else [""])]
+        elif kind == "IN":
+            named = {"CATEGORY_SPACE": [" ", "\n"], "CATEGORY_DIGIT": ["7"], "CATEGORY_NOT_SPACE": ["x"], "CATEGORY_NOT_WORD": [" ", "#"]}
+            ways = [y for k, v in arg for y in (named[str(v)] if str(k) == "CATEGORY" else [chr(v if str(k) == "LITERAL" else v[0])])]
+        else:
+            assert kind in ("ASSERT_NOT", "AT"), kind
+            continue
+        n = max(len(out), len(ways))
+        out = [out[i % len(out)] + ways[i % len(ways)] for i in range(n)] + [out[0] + w for w in ways]
+    return sorted(set(out))
+
+
+def test_license_gates_hold_whenever_their_rules_match():
+    n = 0
+    for i, (label, _, _, _, pattern) in enumerate(license_scan.rules()):
+        matched = [t for t in examples(_parser.parse(pattern.pattern)) if pattern.search(t)]
+        assert matched, label
+        for t in matched:
+            n += 1
+            assert i in license_scan.candidates(t), (label, t)
+    assert n > 1000
+
+
+def test_license_detections_do_not_depend_on_other_words(monkeypatch):
+    texts = {
+        "released under apache 2.0": "Apache-2.0", "mpl 2.0": "MPL-2.0", "artistic 2.0": "Artistic-2.0", "ofl 1.1": "OFL-1.1", "epl 2.0": "EPL-2.0",
+        "creative commons attribution 4.0": "CC-BY-4.0", "scripts.sil.org/ofl 1.1": "OFL-1.1", "under the creative commons attribution 4.0 license": "CC-BY-4.0",
+        "creative commons attribution-sharealike 3.0": "CC-BY-SA-3.0", "creative commons attribution noncommercial 4.0": "CC-BY-NC-4.0",
+        "creative commons attribution-noncommercial-noderivatives 4.0": "CC-BY-NC-ND-4.0", "gnu general\npublic license, version 3": "GPL-3.0",
+    }
+    gated = {t: license_scan.detections(t) for t in texts}
+    for t, label in texts.items():
+        assert label in [d[0] for d in gated[t]], t
+        assert license_scan.detections(t + " access") == gated[t]
+    monkeypatch.setattr(license_scan, "candidates", lambda text: range(len(license_scan.rules())))
+    assert gated == {t: license_scan.detections(t) for t in texts}
+
+
 def test_secrets(table):
     df, rows = table
     by = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
