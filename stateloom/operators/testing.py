@@ -115,9 +115,39 @@ def _moments(units: DataFrame, perms: DataFrame, p: int, q: int, *keys: str):
     joined = perms.join(complete.select(F.col("unit_id").alias("dst"), *keys, "d"), "dst").join(complete.select(F.col("unit_id").alias("src"), *keys, "r"), ["src", *keys])
     v = [F.lit(1.0), *(F.col("d")[i] for i in range(p)), *(F.col("r")[i] for i in range(q))]
     pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
+    if len(pairs) > 300:  # too many expressions for one aggregation
+        return _wide_moments(joined, p, q, *keys), pairs, len(v)
     return joined.groupBy("perm_id", *keys).agg(F.array(*(F.sum(v[i] * v[j]) for i, j in pairs)).alias("m")), pairs, len(v)
 
 
+def _wide_moments(joined: DataFrame, p: int, q: int, *keys: str) -> DataFrame:
+    """(perm_id, keys, m) as the expressions of `_moments` give it, from products of matrices."""
+    import pandas as pd
+
+    by = ["perm_id", *keys]
+    at = np.triu_indices(1 + p + q)
+
+    def told(total):
+        for k, m in total.items():
+            yield pd.DataFrame(dict(zip(by, k)) | {"i": np.arange(len(m)), "v": m})
+
+    def run(frames):
+        total: dict = {}
+        for f in frames:
+            for k, g in f.groupby(by):
+                v = np.column_stack([np.ones(len(g)), np.stack(g["d"].to_numpy())[:, :p], np.stack(g["r"].to_numpy())[:, :q]])
+                total[k] = total.get(k, 0) + (v.T @ v)[at]
+            if len(total) > 256:
+                yield from told(total)
+                total = {}
+        yield from told(total)
+
+    kinds = dict(joined.dtypes)
+    parts = joined.select(*by, "d", "r").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in by), "i int", "v double"]))
+    sums = parts.groupBy(*by, "i").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("m"))
+
+
 def _centred(row, pairs, size: int) -> tuple[float, np.ndarray]:
     a = np.zeros((size, size))
     for (i, j), x in zip(pairs, row["m"]):
@@ -149,7 +179,8 @@ def manova(units: DataFrame, perms: DataFrame, groups: int, q: int, *keys: str)
         n, c = _centred(row, pairs, size)
         explained = c[:groups, groups:].T @ np.linalg.pinv(c[:groups, :groups]) @ c[:groups, groups:]
         total = c[groups:, groups:]
-        wilks = float(np.linalg.det(total - explained) / np.linalg.det(total))
+        # determinants of many outcomes are beyond the range of doubles
+        wilks = float(np.exp(np.linalg.slogdet(total - explained)[1] - np.linalg.slogdet(total)[1]))
         df1, df2 = groups * q, n - 0.5 * (q + groups + 1)
         return [(wilks, (1 - wilks) / max(wilks, 1e-300) * df2 / df1)]
 

@@ -114,9 +114,10 @@ def cca_perm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def manova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb(spark, sf_dir)
-    labels = [r[0] for r in e.select("label").distinct().orderBy("label").limit(5).collect()]
-    u = e.select(F.col("t").alias("unit_id"), F.array(*((F.col("label") == v).cast("double") for v in labels)).alias("d"), F.slice("y", 1, 4).alias("r"))
-    return T.manova(u, T.permutations(u, 5, SEED), len(labels), 4)
+    labels = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]
+    n = e.select(F.size("y")).first()[0]
+    u = e.select(F.col("t").alias("unit_id"), F.array(*((F.col("label") == v).cast("double") for v in labels)).alias("d"), F.col("y").alias("r"))
+    return T.manova(u, T.permutations(u, 5, SEED), len(labels), n)
 
 
 _T0 = "SELECT count(*) FILTER (o_orderstatus = 'F') AS n0, count(*) FILTER (o_orderstatus = 'O') AS n1, avg(v) FILTER (o_orderstatus = 'F') AS m0, avg(v) FILTER (o_orderstatus = 'O') AS m1, var_samp(v) FILTER (o_orderstatus = 'F') AS v0, var_samp(v) FILTER (o_orderstatus = 'O') AS v1 FROM (SELECT o_orderstatus, CAST(o_totalprice AS DOUBLE) AS v FROM orders)"
@@ -257,14 +258,14 @@ def fisher_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cv_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated prediction of the first coordinate from the others."""
     e = _emb(spark, sf_dir)
-    u = e.select(F.col("t").alias("unit_id"), F.slice("y", 2, 20).alias("features"), F.col("y")[0].alias("target"), (F.col("t") % 7).alias("family"))
+    u = e.select(F.col("t").alias("unit_id"), F.expr("slice(y, 2, size(y) - 1)").alias("features"), F.col("y")[0].alias("target"), (F.col("t") % 7).alias("family"))
     return predict.cross_validate(u, folds=5, group="family")
 
 
 @query()
 def cv_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb(spark, sf_dir)
-    u = e.select(F.col("t").alias("unit_id"), F.slice("y", 1, 20).alias("features"), (F.col("label") % 2).cast("double").alias("target"))
+    u = e.select(F.col("t").alias("unit_id"), F.col("y").alias("features"), (F.col("label") % 2).cast("double").alias("target"))
     return predict.cross_validate(u, folds=3, classify=True)
 
 
@@ -299,8 +300,8 @@ def tree_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nmf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequency factors of the coherence of three channels of the embeddings."""
-    e = _emb(spark, sf_dir).withColumn("session_id", F.col("label") % 2).withColumn("y", F.slice("y", 1, 3))
+    """Frequency factors of the coherence of all channels of the embeddings."""
+    e = _emb(spark, sf_dir).withColumn("session_id", F.col("label") % 2)
     c = spectral.coherence(spectral.state_spectra(V.renumber_rows(e), None, 100.0, 16, 2.0, 3), "session_id", "state", "f")
     return spectral.factorise(c, 2)[0]
 
@@ -326,11 +327,11 @@ def split_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def split_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _emb(spark, sf_dir).select(F.col("t").alias("unit_id"), F.slice("y", 2, 10).alias("features"), F.col("y")[0].alias("target"))
+    e = _emb(spark, sf_dir).select(F.col("t").alias("unit_id"), F.expr("slice(y, 2, size(y) - 1)").alias("features"), F.col("y")[0].alias("target"))
     return predict.split_predict(e.where("unit_id % 2 = 0"), e.where("unit_id % 2 = 1"))
 
 
 @query()
 def split_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _emb(spark, sf_dir).select(F.col("t").alias("unit_id"), F.slice("y", 1, 10).alias("features"), (F.col("label") % 2).cast("double").alias("target"))
+    e = _emb(spark, sf_dir).select(F.col("t").alias("unit_id"), F.col("y").alias("features"), (F.col("label") % 2).cast("double").alias("target"))
     return predict.split_classify(e.where("unit_id % 2 = 0"), e.where("unit_id % 2 = 1"))

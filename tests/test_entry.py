@@ -3,6 +3,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -41,3 +42,28 @@ def test_query_matches_sql(spark, name):
     quote = [f"`{c}`" for c in columns]
     rows = lambda rs: sorted((tuple(map(told, r)) for r in rs), key=repr)
     assert rows(ours.select(*quote).collect()) == rows(theirs.fetchall())
+
+
+@NEEDS
+def test_manova_takes_all_labels_and_coordinates(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    y, label = np.array([r["embedding"] for r in e], float), np.array([r["label"] for r in e])
+    within = sum(np.cov(y[label == v].T, bias=True) * (label == v).sum() for v in set(label))
+    ratio = np.linalg.slogdet(within)[1] - np.linalg.slogdet(np.cov(y.T, bias=True) * len(y))[1]
+    out = {r["perm_id"]: r["wilks"] for r in registry.QUERIES["manova_f"](spark, DATA).collect()}
+    assert len(out) == 5 and math.isclose(out[0], math.exp(ratio), rel_tol=1e-6)
+
+
+@NEEDS
+def test_predictions_and_factors_take_all_coordinates(spark, monkeypatch):
+    from stateloom.operators import predict, spectral
+
+    seen = {}
+    for name in ("cross_validate", "split_predict", "split_classify"):
+        monkeypatch.setattr(predict, name, lambda u, *a, name=name, **k: seen.setdefault((name, k.get("classify", False)), len(u.first()["features"])) and u)
+    monkeypatch.setattr(spectral, "state_spectra", lambda e, *a, **k: seen.setdefault("nmf", len(e.first()["y"])) and e)
+    monkeypatch.setattr(spectral, "coherence", lambda c, *a: c)
+    monkeypatch.setattr(spectral, "factorise", lambda c, n: (c, c))
+    for name in ("cv_predict", "cv_classify", "split_sample", "split_classes", "nmf_components"):
+        registry.QUERIES[name](spark, DATA)
+    assert seen == {("cross_validate", False): 63, ("cross_validate", True): 64, ("split_predict", False): 63, ("split_classify", False): 64, "nmf": 64}
