@@ -203,10 +203,15 @@ def cluster_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of a statistic over time against permuted units: value by hour of the day."""
-    rng = spark.range(0, 50).select(F.col("id").cast("int").alias("perm_id"))
-    h = _hours(spark, sf_dir).select("tau", "m")
-    s = rng.join(h).withColumn("stat", F.when(F.col("perm_id") == 0, F.col("m")).otherwise(F.col("m") * (F.abs(F.hash("perm_id", "tau")) % 1000) / 1000))
+    """Clusters over the hours of the day against permuted units: does the number of a user's events go with the mean
+    value in that hour?"""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), "value")
+    n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    m = e.groupBy("unit_id", "tau").agg(F.avg("value").alias("m"))
+    # a row for each hour, so that a unit without events in it still lends its number to others
+    u = n.withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23)))).join(m, ["unit_id", "tau"], "left")
+    u = u.select("unit_id", "tau", F.array("n").alias("d"), F.array("m").alias("r"))
+    s = T.correlation_stats(u, T.permutations(n, 50, SEED), "tau").select("perm_id", "tau", F.col("t").alias("stat")).where("stat is not null and not isnan(stat)")
     return T.cluster_p_values(s)
 
 

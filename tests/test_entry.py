@@ -67,3 +67,17 @@ def test_predictions_and_factors_take_all_coordinates(spark, monkeypatch):
     for name in ("cv_predict", "cv_classify", "split_sample", "split_classes", "nmf_components"):
         registry.QUERIES[name](spark, DATA)
     assert seen == {("cross_validate", False): 63, ("cross_validate", True): 64, ("split_predict", False): 63, ("split_classify", False): 64, "nmf": 64}
+
+
+@NEEDS
+def test_cluster_nulls_come_from_permuted_units(spark, monkeypatch):
+    from stateloom.operators import testing as T
+
+    seen = []
+    monkeypatch.setattr(T, "cluster_p_values", lambda s: seen.append(s) or s)
+    registry.QUERIES["cluster_pvalue"](spark, DATA)
+    stat = {(r["perm_id"], r["tau"]): r["stat"] for r in seen[0].collect()}
+    hours = {t for p, t in stat if p == 0}
+    assert {p for p, _ in stat} == set(range(50))
+    higher = sum(abs(v) > abs(stat[0, t]) for (p, t), v in stat.items() if p and t in hours)
+    assert 0.1 < higher / (49 * len(hours)) < 0.9
