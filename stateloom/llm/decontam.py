@@ -93,7 +93,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         taken = np.concatenate([[0], np.cumsum(~free)])
         at = np.flatnonzero(taken[n:] == taken[:-n])
-        return at, wh.ranges_hash(values, at, at + n)
+        return at, wh.karp_rabin(values, at, at + n)
 
     def common_at(n: int):
         at_b, hb = windows(item, b_free, n)
@@ -122,7 +122,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
             while k < len(order) and sorted_a[k] == h:
                 i = int(at_a[order[k]])
                 k += 1
-                if a_free[i : i + low].all():
+                if a_free[i : i + low].all() and (doc[i : i + low] == item[j : j + low]).all():
                     a_free[i : i + low] = b_free[j : j + low] = False
                     out.append((i, j, low))
                     break

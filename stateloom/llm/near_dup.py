@@ -77,7 +77,7 @@ def shingle_sets(col: pa.Array, k: int):
         edges = np.searchsorted(rows, np.arange(len(part) + 1))
         grams = wh.ngrams(h, k)
         short = [n for n in range(len(part)) if 0 < edges[n + 1] - edges[n] < k]
-        brief = dict(zip(short, wh.ranges_hash(h, edges[short], edges[np.array(short, int) + 1]))) if short else {}
+        brief = {n: wh.ngrams(h[edges[n] : edges[n + 1]], int(edges[n + 1] - edges[n]))[0] for n in short}
         for n in range(len(part)):
             a, b = edges[n], edges[n + 1]
             if b - a >= k:

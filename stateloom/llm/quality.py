@@ -47,10 +47,8 @@ def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     beginnings, so that forms of one stem have something in common."""
     raw, off = wh.string_parts(col)
     n = len(col)
-    h, rows, starts, ends = wh.words(col, wh.ALNUM_LOWER)
-    values = wh.ALNUM_LOWER[raw]
-    heads = [wh.ranges_hash(values, starts, np.minimum(ends, starts + k)) + np.uint64(k) for k in HEADS] if len(h) else [h] * len(HEADS)
-    h, rows = np.stack([h, *heads], 1).ravel(), np.repeat(rows, 1 + len(HEADS))
+    h, rows, _, _ = wh.words(col, wh.ALNUM_LOWER, HEADS)
+    h, rows = h.ravel(), np.repeat(rows, 1 + len(HEADS))
     spaced, srows, _, _ = wh.words(col, wh.SPACED_LOWER)
     sizes = np.maximum(np.diff(off), 1)
     c = _CLASSES[raw]

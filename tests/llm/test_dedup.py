@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stateloom.llm import common, near_dup, substring, wordhash
+from stateloom.llm import common, decontam, near_dup, substring, wordhash
 
 
 def words(text):
@@ -122,3 +122,35 @@ def test_signatures_estimate_similarity():
     assert abs(same - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.15
     tiny = np.sort(r.integers(0, 1 << 63, 3).astype(np.uint64))
     assert set(near_dup.signature(tiny).tolist()) <= set(tiny.tolist())
+
+
+def thue_morse(n):
+    x = [0]
+    while len(x) < n:
+        x += [1 - y for y in x]
+    return x[:n]
+
+
+def test_words_that_a_polynomial_hash_confuses_are_told_apart(spark):
+    """The Thue-Morse word over two letters and its mirror have equal polynomial hashes modulo 2^64."""
+    a, b = ("".join(x[i] for i in thue_morse(1024)) for x in ("ab", "ba"))
+    h = wordhash.words(pa.array([a, b]), wordhash.SPACED)[0]
+    assert h[0] != h[1]
+    p, q = (np.array([x[i] for i in thue_morse(1024)], np.uint64) for x in ((5, 11), (11, 5)))
+    assert wordhash.ngrams(p, 1024) != wordhash.ngrams(q, 1024)
+    assert all(n < 1024 for *_, n in decontam.tiles(p, q, 5))
+    rows = [(1, " ".join([a, b] * 10)), (2, " ".join([a] * 20)), (3, " ".join([b] * 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df, shingle=3, percent=85).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert [r.n_removed for r in substring.remove_repeats(df).collect()] == [0, 0, 0]
+
+
+def test_long_words_and_word_places():
+    texts = ["x" * n for n in (31, 32, 33, 34, 100)] + ["x" * 32 + "y" * 40, "x" * 33 + "y" * 39, "ab", "ba", "a b", "  é", ""]
+    h, rows, starts, ends = wordhash.words(pa.array(texts), wordhash.SPACED)
+    flat = [w for t in texts for w in words(t)]
+    assert len(h) == len(flat) and len(set(h.tolist())) == len(set(flat))
+    alone = [wordhash.words(pa.array([w.decode()]), wordhash.SPACED)[0][0] for w in flat]
+    assert alone == h.tolist()
+    one, head = wordhash.words(pa.array(["abcdef abcd abcx"]), wordhash.SPACED, (4,))[0].T
+    assert head[0] == head[1] != head[2] and len(set(one.tolist())) == 3
