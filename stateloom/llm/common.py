@@ -1,4 +1,6 @@
-"""Helpers shared by the corpus operators: tables, lineage cuts, bitmaps and connected components."""
+"""Helpers shared by the corpus operators: tables, lineage cuts, bitmaps and connected components.
+
+Ids of documents, items and pages are whole numbers or strings of such; others raise."""
 
 from __future__ import annotations
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A bitmap has this many bits (8 MiB): the bound of all that is broadcast for prefilters, at any input size.
 BITMAP_BITS = 1 << 26
+#: Bytes of text that go to a Python worker at once, where the session leaves Spark's 64 MiB. A longer text goes alone.
+BATCH_BYTES = 4 << 20
 #: Edges for each task of a round of components.
 ROWS_A_TASK = 100_000
 _BUCKET_BITS = 32768  # fixed by bitmap_construct_agg
@@ -21,11 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(rows: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded bytes, so that a worker's memory doesn't follow the length of texts. The
+    bound is a setting of the session; it is set only where the session leaves the default."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864", "67108864b", "64MB", "64m"):
+        conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(function, schema)
+
+
+def fresh(name: str, *columns: str) -> str:
+    """The name, with _ added until no column has it in any case."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set, as in tests."""
+    """The cluster's shared folder, named in spark.checkpoint.dir; a folder of our own only where none is set and Spark
+    runs in one process, as in tests."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -56,8 +80,10 @@ def without(rows: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     """The rows whose id is not in gone (one column of longs). Null ids stay. A bitmap of fixed size names the rows
     that may go, so the others, with all their columns, are not shuffled."""
     spark = rows.sparkSession
-    gone = cut(gone.toDF("_gone_id").where("_gone_id is not null").distinct())
-    bits = spark.sparkContext.broadcast(bitmap(gone, "_gone_id"))
+    name = fresh("gone", *rows.columns)
+    gone = gone.toDF(name)
+    gone = cut(gone.where(F.col(name).isNotNull()).distinct())
+    bits = spark.sparkContext.broadcast(bitmap(gone, name))
 
     @F.pandas_udf("boolean")
     def may_go(position: pd.Series) -> pd.Series:
@@ -65,7 +91,7 @@ def without(rows: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
 
     key = F.col(id_col).cast("long")
     suspect = F.coalesce(may_go(F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))), F.lit(False))
-    kept = rows.where(suspect).join(gone, key == F.col("_gone_id"), "left_anti")
+    kept = rows.where(suspect).join(gone, key == F.col(name), "left_anti")
     return rows.where(~suspect).unionByName(kept)
 
 

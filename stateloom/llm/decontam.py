@@ -147,11 +147,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, row, item_id, covered, n_tiles) of each document that holds the share `coverage` of an item at least.
     row is a hash of the document's id and text. Items of fewer than `least` words can't leak."""
     spark = docs.sparkSession
-    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null").mapInArrow(_item_rows(least), "item_id long, item_words binary, grams array<long>")
+    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null").transform(common.in_batches, _item_rows(least), "item_id long, item_words binary, grams array<long>")
     bench = common.cut(bench)
     seeds = bench.select("item_id", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(_bits(seeds))
-    hits = common.cut(_keyed(docs, id_col, text_col).mapInArrow(_hit_rows(least, bits), "doc_id long, row long, doc_words binary, grams array<long>"))
+    hits = common.cut(_keyed(docs, id_col, text_col).transform(common.in_batches, _hit_rows(least, bits), "doc_id long, row long, doc_words binary, grams array<long>"))
     shared = hits.select("row", F.explode("grams").alias("gram")).distinct().join(seeds, "gram").groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("grams"))
     sized = bench.select("item_id", "item_words")
     # a shared gram covers `least` places at most for each of its places in the item
@@ -159,7 +159,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     likely = likely.where((F.col("n") - least + 1 > F.col("of")) | (F.col("grams") * least >= F.col("n") * coverage)).select("row", "item_id")
     texts = hits.select("doc_id", "row", "doc_words").dropDuplicates(["row"])
     pairs = likely.join(texts, "row").join(sized, "item_id").select("doc_id", "row", "item_id", "doc_words", "item_words")
-    return pairs.mapInArrow(_tile(least), "doc_id long, row long, item_id long, covered double, n_tiles long").where(F.col("covered") >= coverage)
+    return pairs.transform(common.in_batches, _tile(least), "doc_id long, row long, item_id long, covered double, n_tiles long").where(F.col("covered") >= coverage)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

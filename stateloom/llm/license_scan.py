@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordhash as wh
+from . import common, wordhash as wh
 from .spans import Taken
 
 # fixed values: the base phrases and their labels
@@ -194,4 +194,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_labels, labels, score (0 to 1: one minus the product of the detections' doubts) and the detections that
     stand (label, code-point interval, confidence). Null texts are empty; null ids stay null; repeated rows give
     equal rows."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, _scan, _SCHEMA)

@@ -89,7 +89,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Each text as a medium: doc_id, digest (SHA-256 of the payload as read back), n_bytes (without filling),
     payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), media_bytes, media_sha256, feature and media
     (the stored form; null unless keep_media). Null texts are empty. Equal texts give equal values."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stored(keep_media), _MEDIA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, _stored(keep_media), _MEDIA)
 
 
 # Interleaved documents
@@ -178,7 +178,7 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """(doc_id, segments): each page as ordered text and media segments. A media segment's digest is that of a
     sha256: address, or the SHA-256 of any other address. Null pages have no segments; repeated rows give equal
     rows."""
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(_parse, f"doc_id long, segments {SEGMENTS}")
+    return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").alias("html")).transform(common.in_batches, _parse, f"doc_id long, segments {SEGMENTS}")
 
 
 def references(sequences: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = common.cut(base.mapInArrow(_signed(shingle), "doc_id long, n long, d1 long, d2 long, keys array<long>"))
+    signed = common.cut(base.transform(common.in_batches, _signed(shingle), "doc_id long, n long, d1 long, d2 long, keys array<long>"))
     nodes = signed.where("doc_id is not null and n > 0")
     classes = nodes.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = nodes.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
@@ -190,12 +190,12 @@ def _links(base: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
     if not members.limit(1).count():
         return None
     bits = spark.sparkContext.broadcast(common.bitmap(members, "doc_id"))
-    sets = common.cut(base.withColumn("bit", common.bit_position("doc_id")).where("doc_id is not null").mapInArrow(_sets(shingle, bits), "doc_id long, shingles binary"))
+    sets = common.cut(base.withColumn("bit", common.bit_position("doc_id")).where("doc_id is not null").transform(common.in_batches, _sets(shingle, bits), "doc_id long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
         b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-        return common.stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long"))
+        return common.stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").transform(common.in_batches, _confirm(percent), "u long, v long"))
 
     met = members.where("doc_id <> low").groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("best"))
@@ -237,7 +237,7 @@ def _able(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members of open buckets with their core: how many of their shingles stand in two components. Members whose
     core is too small for a link go, and then buckets of one component. The bound holds for every text of an id."""
     of = open_.select("doc_id", "c").distinct()
-    tokens = sets.join(of, "doc_id").select("doc_id", "c", "shingles").mapInArrow(_tokens, "doc_id long, c long, token long")
+    tokens = sets.join(of, "doc_id").select("doc_id", "c", "shingles").transform(common.in_batches, _tokens, "doc_id long, c long, token long")
     shared = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     at = F.call_function("shiftrightunsigned", "token", F.lit(64 - (SLICES.bit_length() - 1)))
     counts = [F.count_if(F.col("at") == i).alias(f"s{i}") for i in range(SLICES)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boost
+from . import boost, common
 from .spans import Taken
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,4 +224,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "redacted_text"]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, _SCHEMA)

@@ -1,14 +1,15 @@
 """Quality classifier by co-training.
 
-Two classifiers see separate views of a document: its content (character and word statistics, and words that tell
-the classes apart) and its page metadata (language, source, length, layout). They are fitted on a bounded sample of
-labelled rows. In each round each one scores all unlabelled documents on the executors and labels those that it is
-surest of, and those rows join the other's training set. In the end both are calibrated on held-out labelled rows, a logistic curve through
-both calibrated scores is fitted there too, and all documents are scored in one pass.
+Two classifiers see separate views of a document: its content (character, line and word statistics, and words that
+tell the classes apart) and its page metadata (language, source and stated length, nothing computed from the text).
+They are fitted on a bounded sample of labelled rows. In each round each one scores all unlabelled documents on the
+executors and labels those that it is surest of, and those rows join the other's training set. In the end both are
+calibrated on held-out labelled rows, a logistic curve through both calibrated scores is fitted there too, and all
+documents are scored in one pass.
 
 A document is good if its label says quality 1 and toxic 0. Bounds: LABELLED rows of labels, the first in order of a
-hash of the id, and a tenth of POOL other rows from each view in a round, the surest of all. The model is some tens of
-kilobytes, whatever the input's size."""
+hash of the id, and a tenth of POOL other rows from each view in a round, the surest of all. What else the model holds
+(words, languages, sources) is what those rows hold, so it is some hundred kilobytes, whatever the input's size."""
 
 from __future__ import annotations
 
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from . import boost, common, wordhash as wh
 
 LABELLED, POOL, ROUNDS = 8000, 3000, 3
-#: Words kept for the content view, the least number of documents a word is judged on, and the least z-score.
-WORDS, WORD_DOCS, WORD_Z = 512, 5, 4.0
-#: Words that may be features of the sample at all.
-VOCABULARY = 4096
+#: A word of the content view stands in so many labelled documents at least, and differs between the classes by so many
+#: standard deviations.
+WORD_DOCS, WORD_Z = 5, 4.0
+#: Classifiers that aren't better than this on held-out rows, as the mean of both classes' hits, reject nothing.
+LEAST_SKILL = 0.55
+#: Least weight of a view in the combined score.
+LEAST_WEIGHT = 0.1
 #: Bytes of the beginnings of words that are features too.
 HEADS = (4, 5)
 
@@ -42,9 +46,9 @@ def _by_row(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total[edges[1:]] - total[edges[:-1]]
 
 
-def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content statistics, layout statistics, hashes, rows) of an array of texts. The hashes are of words and of their
-    beginnings, so that forms of one stem have something in common."""
+def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, hashes, rows) of an array of texts. The hashes are of words and of their beginnings, so that forms
+    of one stem have something in common."""
     raw, off = wh.string_parts(col)
     n = len(col)
     h, rows, _, _ = wh.words(col, wh.ALNUM_LOWER, HEADS)
@@ -62,10 +66,9 @@ def statistics(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])]) if len(s) else np.zeros(0, bool)
     distinct = np.bincount(r[new], minlength=n)
     chars = sizes - _by_row((raw & 0xC0) == 0x80, off)
-    content = np.column_stack([share, _by_row(again, edges) / at_least, distinct / at_least, chars / at_least, np.log1p(n_words)])
     lines = _by_row(raw == 10, off) + 1
-    layout = np.column_stack([np.log1p(np.diff(off)), np.log1p(lines), np.log1p(chars / lines), sizes / np.maximum(chars, 1)])
-    return content, layout, h, rows
+    layout = [np.log1p(np.diff(off)), np.log1p(lines), np.log1p(chars / lines), sizes / np.maximum(chars, 1)]
+    return np.column_stack([share, _by_row(again, edges) / at_least, distinct / at_least, chars / at_least, np.log1p(n_words), *layout]), h, rows
 
 
 def distinct_words(h: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
@@ -103,18 +106,16 @@ def fit_words(docs: list[np.ndarray], y: np.ndarray, steps: int = 150, l2: float
     rate = y.mean()
     z = np.abs(good - df * rate) / np.sqrt(df * rate * (1 - rate))
     z[df < WORD_DOCS] = 0
-    top = np.sort(np.argsort(-z, kind="stable")[:WORDS])
-    top = top[z[top] >= WORD_Z]
+    top = np.flatnonzero(z >= WORD_Z)
     place = np.full(len(vocabulary), -1)
     place[top] = np.arange(len(top))
-    x = np.zeros((n, len(top)), np.float32)
     use = place[at] >= 0
-    x[row[use], place[at[use]]] = 1
+    row, at = row[use], place[at[use]]  # the presence of a word in a row: a sparse matrix of ones
     w, b, v, vb = np.zeros(len(top)), float(np.log(rate / (1 - rate))), np.zeros(len(top)), 0.0
-    step = 1.0 / (0.25 * max(1.0, float((x.sum(1) + 1).mean())) * n + l2) * 2
+    step = 1.0 / (0.25 * (1 + len(row) / n) * n + l2) * 2
     for _ in range(steps):  # heavy-ball gradient descent
-        e = boost.sigmoid(x @ w + b) - y
-        v = 0.9 * v - step * (x.T @ e + l2 * w)
+        e = boost.sigmoid(np.bincount(row, w[at], n) + b) - y
+        v = 0.9 * v - step * (np.bincount(at, e[row], len(top)) + l2 * w)
         vb = 0.9 * vb - step * e.sum()
         w, b = w + v, b + vb
     return Words(vocabulary[top], w, b)
@@ -143,31 +144,30 @@ class Content:
 
 @dataclass
 class Metadata:
-    """Boosted trees over layout and the smoothed rates of good rows by language and source."""
+    """Boosted trees over the smoothed rates of good rows by language and source, and the stated length."""
 
     rates: dict[str, dict[str, float]]
     base: float
     trees: boost.Trees | None = None
 
-    def table(self, layout, langs, sources, n_chars) -> np.ndarray:
+    def table(self, langs, sources, n_chars) -> np.ndarray:
         rate = lambda name, values: np.array([self.rates[name].get(str(v), self.base) for v in values])
         n = np.array([np.log1p(max(0.0, float(v))) if v is not None else -1.0 for v in n_chars])
-        return np.column_stack([layout, rate("lang", langs), rate("source", sources), n])
+        return np.column_stack([rate("lang", langs), rate("source", sources), n])
 
     @classmethod
-    def fit(cls, layout, langs, sources, n_chars, y, most: int = 256) -> Metadata:
+    def fit(cls, langs, sources, n_chars, y) -> Metadata:
         base, rates = float(y.mean()), {}
         for name, values in (("lang", langs), ("source", sources)):
             keys, at, n = np.unique([str(v) for v in values], return_inverse=True, return_counts=True)
             good = np.bincount(at, y, len(keys))
-            top = np.argsort(-n, kind="stable")[:most]
-            rates[name] = {str(keys[i]): float((good[i] + 50 * base) / (n[i] + 50)) for i in top}
+            rates[name] = {str(k): float(r) for k, r in zip(keys, (good + 50 * base) / (n + 50))}
         out = cls(rates, base)
-        out.trees = boost.fit(out.table(layout, langs, sources, n_chars), y, rounds=40)
+        out.trees = boost.fit(out.table(langs, sources, n_chars), y, rounds=40)
         return out
 
-    def score(self, layout, langs, sources, n_chars) -> np.ndarray:
-        return self.trees.probability(self.table(layout, langs, sources, n_chars))
+    def score(self, langs, sources, n_chars) -> np.ndarray:
+        return self.trees.probability(self.table(langs, sources, n_chars))
 
 
 @dataclass
@@ -179,8 +179,7 @@ class Model:
     report: dict = field(default_factory=dict)
 
     def scores(self, col: pa.Array, langs, sources, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, layout, h, rows = statistics(col)
-        a, b = self.content.score(x, h, rows), self.metadata.score(layout, langs, sources, n_chars)
+        a, b = self.content.score(*statistics(col)), self.metadata.score(langs, sources, n_chars)
         return a, b, boost.sigmoid(self.weights[0] * _logit(a) + self.weights[1] * _logit(b) + self.weights[2])
 
 
@@ -190,29 +189,35 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def _stack(a: np.ndarray, b: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Logistic regression of y on the two views' logits, drawn towards their plain sum (Newton)."""
+    """Logistic regression of y on the two views' logits, drawn towards their plain sum (Newton steps). No weight goes
+    below LEAST_WEIGHT; a view without signal is calibrated to a constant, which the offset takes up."""
     x = np.column_stack([_logit(a), _logit(b), np.ones(len(y))])
-    w, prior = np.array([1.0, 0.3, 0.0]), np.array([1.0, 0.3, 0.0])
+    prior = np.array([1.0, 1.0, 0.0])
+    w, least = prior, np.array([LEAST_WEIGHT, LEAST_WEIGHT, -np.inf])
     for _ in range(steps):
         p = boost.sigmoid(x @ w)
         g = x.T @ (p - y) + (w - prior)
-        w = w - np.clip(np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.eye(3), g), -0.5, 0.5)
-        if np.abs(g).max() < 1e-8:
+        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.eye(3)
+        free = (w > least) | (g < 0)
+        step = np.zeros(3)
+        step[free] = np.clip(np.linalg.solve(h[np.ix_(free, free)], g[free]), -0.5, 0.5)
+        w = np.maximum(w - step, least)
+        if np.abs(step).max() < 1e-9:
             break
-    return np.array([max(w[0], 0.0), max(w[1], 0.0), w[2]])
+    return w
 
 
 _TAKER = {"content": "metadata", "metadata": "content"}
 
 
 def co_train(labelled: list[dict], draw=None, rounds: int = ROUNDS, pool: int = POOL, share: float = 0.1) -> Model:
-    """Rows have doc_id, x, layout, words, lang, source, n_chars, y and held. draw(content, metadata, known, most) gives
+    """Rows have doc_id, x, words, lang, source, n_chars, y and held. draw(content, metadata, known, most) gives
     (giver, row) of the unlabelled rows that a view is surest of, their y being what it says: at most most[y] of each
     giver and y, none whose id is in known[taker]."""
 
     def view(rows):
         named = ([t[c] for t in rows] for c in ("lang", "source", "n_chars"))
-        return np.stack([t["x"] for t in rows]), np.stack([t["layout"] for t in rows]), [t["words"] for t in rows], *named
+        return np.stack([t["x"] for t in rows]), [t["words"] for t in rows], *named
 
     y_all = np.array([t["y"] for t in labelled], float)
     held = np.array([t["held"] for t in labelled], bool)
@@ -222,10 +227,10 @@ def co_train(labelled: list[dict], draw=None, rounds: int = ROUNDS, pool: int =
     exchanged = []
     for turn in range(rounds + 1):
         said = {v: np.array([t["y"] for t in train + more[v]], float) for v in more}
-        x, _, docs, *_ = view(train + more["content"])
+        x, docs, *_ = view(train + more["content"])
         content = Content.fit(x, docs, said["content"])
-        _, layout, _, langs, sources, n_chars = view(train + more["metadata"])
-        metadata = Metadata.fit(layout, langs, sources, n_chars, said["metadata"])
+        _, _, *named = view(train + more["metadata"])
+        metadata = Metadata.fit(*named, said["metadata"])
         if turn == rounds or draw is None:
             break
         drawn = draw(content, metadata, {v: np.array([t["doc_id"] for t in more[v]], np.int64) for v in more}, most)
@@ -236,17 +241,16 @@ def co_train(labelled: list[dict], draw=None, rounds: int = ROUNDS, pool: int =
             break
     test = [t for t, m in zip(labelled, held) if m] or train
     y_test = y_all[held] if held.any() else y_all
-    tx, tlayout, tdocs, tl, ts, tn = view(test)
+    tx, tdocs, *tnamed = view(test)
     flat, rr = np.concatenate(tdocs), np.repeat(np.arange(len(test)), [len(d) for d in tdocs])
-    a, b, y = content.score(tx, flat, rr), metadata.score(tlayout, tl, ts, tn), y_test
+    a, b, y = content.score(tx, flat, rr), metadata.score(*tnamed), y_test
     weights = _stack(a, b, y)
     p = boost.sigmoid(weights[0] * _logit(a) + weights[1] * _logit(b) + weights[2])
     cuts = np.linspace(0.1, 0.9, 81)
     balanced = [((p >= c) & (y == 1)).sum() / max(1, y.sum()) + ((p < c) & (y == 0)).sum() / max(1, (1 - y).sum()) for c in cuts]
     best = np.flatnonzero(np.array(balanced) >= max(balanced) - 1e-12)
-    # classifiers without skill on the held-out rows reject nothing
-    cut = float(cuts[best[len(best) // 2]]) if max(balanced) / 2 > 0.55 else 0.0
-    report = {"held_out": len(y), "balanced": max(balanced) / 2, "kept_good": float((p[y == 1] >= cut).mean()), "caught_bad": float((p[y == 0] < cut).mean()), "exchanged": exchanged}
+    cut = float(cuts[best[len(best) // 2]]) if max(balanced) / 2 > LEAST_SKILL else 0.0
+    report = {"weights": weights.tolist(), "held_out": len(y), "balanced": max(balanced) / 2, "kept_good": float((p[y == 1] >= cut).mean()), "caught_bad": float((p[y == 0] < cut).mean()), "exchanged": exchanged}
     return Model(content, metadata, weights, cut, report)
 
 
@@ -270,29 +274,29 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     # at most labelled ids: a bounded broadcast; texts become numbers where they are
     schema = "doc_id long, y double, held boolean"
     wanted = docs.sparkSession.createDataFrame([(i, float(y), _held(i)) for i, y in chosen.items()], schema)
-    sample = _typed(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(_sampled, _SAMPLE)
+    sample = _typed(docs).join(F.broadcast(wanted), "doc_id").transform(common.in_batches, _sampled, _SAMPLE)
     sample = common.cut(sample)
     vocabulary = _vocabulary(sample)
     known, seen = [], set()
-    for r in sorted(sample.mapInArrow(_restricted(vocabulary), _SAMPLE).collect(), key=lambda r: (_scattered(r["doc_id"]), r["doc_id"], r["words"])):
+    for r in sorted(_rows(sample.transform(common.in_batches, _restricted(vocabulary), _SAMPLE)), key=lambda r: (_scattered(r["doc_id"]), r["words"].tobytes(), r["x"].tobytes())):
         if r["doc_id"] not in seen:
             seen.add(r["doc_id"])
-            known.append(_as_row(r))
+            known.append(r)
     if len({r["y"] for r in known if not r["held"]}) < 2:
         return None
     if rounds < 1 or pool < 1:
         return co_train(known, None, rounds)
     # all unlabelled documents as numbers, written once; each round reads them
-    features = _typed(docs).where("doc_id is not null").mapInArrow(_featured(vocabulary), _FEATURES).join(said.select("doc_id"), "doc_id", "left_anti")
+    features = _typed(docs).where("doc_id is not null").transform(common.in_batches, _featured(vocabulary), _FEATURES).join(said.select("doc_id"), "doc_id", "left_anti")
     rest = common.stored(features.groupBy("doc_id").agg(F.min(F.struct(*_FEATURED[1:])).alias("f")).select("doc_id", "f.*"))
 
     def draw(content, metadata, ids, most):
-        best = common.cut(rest.mapInArrow(_surest(content, metadata, ids, most), f"giver string, side double, rank double, tie long, {_FEATURES}"))
+        best = common.cut(rest.transform(common.in_batches, _surest(content, metadata, ids, most), f"giver string, side double, rank double, tie long, {_FEATURES}"))
         out = []
         for giver in _TAKER:
             for side, n in most.items():
                 top = best.where((F.col("giver") == giver) & (F.col("side") == side)).orderBy("rank", "tie", "doc_id").limit(n)
-                out += [(giver, _as_row(r) | {"y": side}) for r in top.collect()]
+                out += [(giver, r | {"y": side}) for r in _rows(top)]
         return out
 
     model = co_train(known, draw, rounds, pool)
@@ -300,8 +304,23 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return model
 
 
-def _as_row(r) -> dict:
-    return r.asDict() | {"x": np.array(r["x"]), "layout": np.array(r["layout"]), "words": np.array(r["words"], np.int64).view(np.uint64)}
+def _rows(df: DataFrame) -> list[dict]:
+    """A bounded number of rows, their lists as arrays."""
+    t = df.toArrow().combine_chunks()
+    out = t.select([c for c in t.schema.names if c not in ("x", "words")]).to_pylist()
+    for c, kind in (("x", np.float64), ("words", np.uint64)):
+        values, off = _flat(t.column(c).combine_chunks())
+        for r, i, j in zip(out, off[:-1], off[1:]):
+            r[c] = values[i:j].view(kind)
+    return out
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list array without nulls."""
+    parts = lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]
+    n = np.concatenate([[0], *(pc.list_value_length(p).to_numpy(zero_copy_only=False) for p in parts)]).astype(np.int64)
+    values = [p.flatten().to_numpy(zero_copy_only=False) for p in parts if len(p)]
+    return np.concatenate(values) if values else np.zeros(0, np.int64), np.cumsum(n)
 
 
 def _scattered(i: int) -> int:
@@ -313,9 +332,9 @@ def _held(i: int) -> bool:
     return _scattered(i) >> 62 == 3
 
 
-_FEATURES = "doc_id long, lang string, source string, n_chars long, x array<double>, layout array<double>, words array<long>"
-_FEATURED = ("doc_id", "lang", "source", "n_chars", "x", "layout", "words")
-_SAMPLE = "doc_id long, lang string, source string, n_chars long, y double, held boolean, x array<double>, layout array<double>, words array<long>"
+_FEATURES = "doc_id long, lang string, source string, n_chars long, x array<double>, words array<long>"
+_FEATURED = ("doc_id", "lang", "source", "n_chars", "x", "words")
+_SAMPLE = "doc_id long, lang string, source string, n_chars long, y double, held boolean, x array<double>, words array<long>"
 _KEPT = ("doc_id", "lang", "source", "n_chars", "y", "held")
 
 
@@ -327,23 +346,21 @@ def _sampled(batches):
     for b in batches:
         for i, j in wh.chunks(b.column("text")):
             p = b.slice(i, j - i)
-            x, layout, h, r = statistics(p.column("text"))
-            more = [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())), _lists(distinct_words(h, r, j - i))]
-            yield pa.RecordBatch.from_arrays([*(p.column(c) for c in _KEPT), *more], [*_KEPT, "x", "layout", "words"])
+            x, h, r = statistics(p.column("text"))
+            yield pa.RecordBatch.from_arrays([*(p.column(c) for c in _KEPT), pa.array(list(x), pa.list_(pa.float64())), _lists(distinct_words(h, r, j - i))], [*_KEPT, "x", "words"])
 
 
 def _featured(vocabulary: np.ndarray):
     """Texts as numbers, words outside the vocabulary dropped."""
-    known = np.sort(vocabulary).view(np.uint64)
-    known.sort()
+    known = np.sort(vocabulary.view(np.uint64))
 
     def run(batches):
         for b in batches:
             for i, j in wh.chunks(b.column("text")):
                 p = b.slice(i, j - i)
-                x, layout, h, r = statistics(p.column("text"))
+                x, h, r = statistics(p.column("text"))
                 hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-                more = [pa.array(list(x), pa.list_(pa.float64())), pa.array(list(layout), pa.list_(pa.float64())), _lists(distinct_words(h[hit], r[hit], j - i))]
+                more = [pa.array(list(x), pa.list_(pa.float64())), _lists(distinct_words(h[hit], r[hit], j - i))]
                 yield pa.RecordBatch.from_arrays([*(p.column(c) for c in _FEATURED[:4]), *more], list(_FEATURED))
 
     return run
@@ -363,7 +380,7 @@ def _surest(content: Content, metadata: Metadata, known: dict[str, np.ndarray],
             h = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             tie = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
-            said = {"content": content.score(matrix("x"), h, rows), "metadata": metadata.score(matrix("layout"), *(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))}
+            said = {"content": content.score(matrix("x"), h, rows), "metadata": metadata.score(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))}
             for giver, taker in _TAKER.items():
                 p, free = said[giver], ~np.isin(ids, known[taker])
                 for side, n in most.items():
@@ -386,18 +403,21 @@ def _surest(content: Content, metadata: Metadata, known: dict[str, np.ndarray],
 
 def _restricted(vocabulary: np.ndarray):
     """Words outside the vocabulary dropped."""
+    known = np.sort(vocabulary)
 
     def run(batches):
         for b in batches:
-            words = [np.array(w, np.int64) for w in b.column("words").to_pylist()]
-            kept = [w[np.isin(w, vocabulary)] for w in words]
-            yield pa.RecordBatch.from_arrays([_lists(kept) if c == "words" else b.column(c) for c in b.schema.names], b.schema.names)
+            words, off = _flat(b.column("words"))
+            keep = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words if len(known) else np.zeros(len(words), bool)
+            left = np.concatenate([[0], np.cumsum(keep)])[off].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(left), pa.array(words[keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([lists if c == "words" else b.column(c) for c in b.schema.names], b.schema.names)
 
     return run
 
 
 def _vocabulary(sample: DataFrame) -> np.ndarray:
-    """The words (at most VOCABULARY) that tell the classes apart beyond chance in the labelled rows not held out."""
+    """The words that tell the classes apart beyond chance in the labelled rows not held out."""
     train = sample.where("y is not null and not held")
     row = train.agg(F.avg("y")).first()
     rate = row[0] if row[0] is not None else 0.0
@@ -405,8 +425,7 @@ def _vocabulary(sample: DataFrame) -> np.ndarray:
         return np.zeros(0, np.int64)
     words = train.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("good"))
     z = F.abs(F.col("good") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
-    top = words.where(F.col("df") >= WORD_DOCS).withColumn("z", z).where(F.col("z") >= WORD_Z).orderBy(F.desc("z"), "w").limit(VOCABULARY)
-    return np.array([r["w"] for r in top.select("w").collect()], np.int64)
+    return words.where((F.col("df") >= WORD_DOCS) & (z >= WORD_Z)).select("w").toArrow().column("w").to_numpy().astype(np.int64)
 
 
 def _judge(batch: pa.RecordBatch, model: Model | None):
@@ -434,16 +453,14 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
             ok = p >= (model.threshold if model else 0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(a), pa.array(m), pa.array(p), pa.array(ok)], ["doc_id", "content", "metadata", "score", "accepted"])
 
-    return _typed(docs).mapInArrow(run, "doc_id long, content double, metadata double, score double, accepted boolean")
+    return _typed(docs).transform(common.in_batches, run, "doc_id long, content double, metadata double, score double, accepted boolean")
 
 
 def accepted_only(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The accepted rows of docs, with all their columns, without a shuffle. Cases as in `classify`."""
     model = train(docs, labels, **how)
     judged = F.struct(*(F.col(c).cast("long" if c == "n_chars" else "string").alias(c) for c in _COLUMNS))
-    name = "judged"
-    while name in docs.columns:
-        name += "_"
+    name = common.fresh("judged", *docs.columns)
 
     def run(batches):
         for b in batches:
@@ -453,4 +470,4 @@ def accepted_only(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
             keep = b.filter(pa.array(p >= (model.threshold if model else 0)))
             yield keep.select([c for c in keep.schema.names if c != name])
 
-    return docs.withColumn(name, judged).mapInArrow(run, docs.schema)
+    return docs.withColumn(name, judged).transform(common.in_batches, run, docs.schema)

@@ -97,11 +97,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row"), named(repo_col).alias("repo"), named(owner_col).alias("owner"), text.alias("text"))
     span = "array<struct<kind:string,start:int,end:int,hash:string>>"
-    found = common.cut(base.mapInArrow(_extract, f"doc_id long, row long, repo string, owner string, base {span}, extra {span}"))
+    found = common.cut(base.transform(common.in_batches, _extract, f"doc_id long, row long, repo string, owner string, base {span}, extra {span}"))
     held = found.select("row", "repo", "owner", F.explode(F.concat("base", "extra")).alias("s")).select("row", "repo", "owner", F.col("s.hash").alias("hash"))
     # distinct in two steps, so that a secret copied everywhere shrinks to its owners before it meets in one task
     by_owner = held.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     spread = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     live = spread.where(F.col("owners") <= most_owners).select("hash")
     by_row = held.select("row", "hash").distinct().join(live, "hash").groupBy("row").agg(F.collect_list("hash").alias("live"))
-    return found.join(by_row, "row", "left").select("doc_id", "base", "extra", "live").mapInArrow(_assemble, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long")
+    return found.join(by_row, "row", "left").select("doc_id", "base", "extra", "live").transform(common.in_batches, _assemble, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long")

@@ -197,9 +197,9 @@ def test_quality_rounds_draw_from_all_unlabelled_rows(spark, monkeypatch):
     model = quality.train(d, known, pool=100)
     assert calls and model.report["exchanged"] == [len(c[-1]) for c in calls] and model.report["exchanged"][0] > 0
     rest = docs[600:]  # far more than a round takes
-    x, layout, h, at = quality.statistics(pa.array([t[1] for t in rest]))
+    x, h, at = quality.statistics(pa.array([t[1] for t in rest]))
     for content, metadata, ids, most, out in calls:
-        said = {"content": content.score(x, h, at), "metadata": metadata.score(layout, *zip(*(t[2:] for t in rest)))}
+        said = {"content": content.score(x, h, at), "metadata": metadata.score(*zip(*(t[2:] for t in rest)))}
         for giver, taker in (("content", "metadata"), ("metadata", "content")):
             for side in (1.0, 0.0):
                 p = {t[0]: v for t, v in zip(rest, said[giver]) if t[0] not in ids[taker] and (v >= 0.97 if side else v <= 0.03)}
@@ -218,6 +218,26 @@ def test_quality_cases(docs, rows, empty, spark):
     assert quality.classify(empty, some).collect() == []
 
 
+def test_both_views_count_where_both_carry_signal(spark):
+    r = random.Random(8)
+    docs, labels = [], []
+    for i in range(1200):
+        bad = r.random() < 0.4
+        w = [f"w{r.randrange(300)}" for _ in range(30)]
+        if bad and r.random() < 0.6:  # each view alone sees a part of the bad ones
+            w += ["foulword"]
+        source = "farm" if (bad and r.random() < 0.6) or r.random() < 0.05 else f"s{r.randrange(5)}"
+        docs.append((i, " ".join(w), "en", source, 100))
+        labels.append((i, 0 if bad else 1, 0))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.train(d, spark.createDataFrame(labels[:1000], "doc_id long, quality int, toxic int"))
+    assert model.weights[0] > 0.5 and model.weights[1] > 0.5
+    assert model.report["balanced"] > 0.8
+    # the views don't share a column: the text has no say in the metadata view
+    a, b, p = model.scores(pa.array(["foulword", "fine"]), ["en"] * 2, ["farm"] * 2, [100] * 2)
+    assert b[0] == b[1] and a[0] < a[1] and p[0] < p[1]
+
+
 def test_boosted_trees_learn_an_interaction():
     r = np.random.default_rng(1)
     x = r.random((2000, 3))
