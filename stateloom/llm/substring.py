@@ -8,10 +8,11 @@ at least `window` words. An anchor's occurrences are compared with its smallest
 star), never with each other.
 
 The text crosses no shuffle to find repeats: map tasks send, for each run of windows with one anchor, its document
-and the windows' 64-bit hashes, packed by anchor into `buckets` rows. Before that they settle what repeats inside
+and the windows' 64-bit hashes, packed by anchor into `buckets` rows. Windows are equal if both their hashes and their
+anchors' are: 128 bits, of hashes that no family of words collides under. Before that they settle what repeats inside
 their own batch and send one occurrence of it, so an anchor held by a third of all rows costs a bucket one
-occurrence for each batch. The number of buckets follows the size of the input.
-"""
+occurrence for each batch. What is found travels as runs of windows, packed by document into as many rows, so both
+shuffles grow with the text and the matches. The number of buckets follows the size of the input."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ FLUSH_BYTES = 8 << 20
 #: Input text for each bucket: bounds what a reduce task holds.
 BUCKET_BYTES = 8 << 20
 
-_FOUND = "doc_id long, tag int, starts binary, lens binary"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -43,8 +44,8 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(data, k, int(s) // np.dtype(k).itemsize, int(o)) for k, s, o in zip(kinds, sizes, at)]
 
 
-_KINDS = (np.uint32, np.int64, np.uint16, np.uint32, np.uint16, np.uint64)  # runs' anchor, document, tag, start, length; windows
-_SETTLED = (np.int64, np.uint16, np.uint32)  # document, tag, start
+_KINDS = (np.uint64, np.int64, np.int64, np.uint32, np.uint16, np.uint64)  # runs' anchor, document, tag, start, length; windows
+_FOUND = (np.int64, np.int64, np.uint32, np.uint32)  # document, tag, first window, number of windows
 
 
 def _expand(lens: np.ndarray) -> np.ndarray:
@@ -53,15 +54,16 @@ def _expand(lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens, lens)
 
 
-def earlier(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a smaller document has the hash, whether the entry is the smallest document's)."""
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    least = d[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else d
+def earlier(anchors: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the window, for each occurrence of one."""
+    if not len(hashes):
+        return np.zeros(0, bool)
+    order = np.lexsort((docs, anchors, hashes))
+    a, h, d = anchors[order], hashes[order], docs[order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1])])
     hit = np.zeros(len(h), bool)
-    hit[order] = d > least
-    return hit, ~hit
+    hit[order] = d > d[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return hit
 
 
 def _shared(anchors: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -93,7 +95,8 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seed_rows(window: int, seed: int, buckets: int):
-    """Map side: batches of (doc_id, tag, text) to rows (bucket, runs, settled)."""
+    """Map side: batches of (doc_id, tag, text) to rows (bucket, data): runs of windows for the buckets of their anchors,
+    and what is found already for the buckets of its documents, which are numbered after those."""
 
     def of_text(ids, tags, col):
         """Runs of windows with one anchor: anchor, doc, tag, start word, length, and the windows' hashes."""
@@ -123,11 +126,11 @@ def _seed_rows(window: int, seed: int, buckets: int):
         in_run = np.repeat(np.arange(len(a)), ln)
         sub = np.flatnonzero(again[in_run])
         hit = np.zeros(len(w), bool)
-        if len(sub):
-            hit[sub], _ = earlier(w[sub], d[in_run[sub]])
+        hit[sub] = earlier(a[in_run[sub]], w[sub], d[in_run[sub]])
         step = _expand(ln)
-        sd, st, sp, sa = (x[in_run[hit]] for x in (d, t, p, a))
-        sp = sp + step[hit]
+        sd, st, sp = (x[in_run[hit]] for x in (d, t, p))
+        # it goes straight to its document's row, past the buckets of anchors
+        out = [(buckets + b, x) for b, x in _found_rows(sd, st, sp + step[hit], buckets)]
         # what is left of the runs
         keep = np.flatnonzero(~hit)
         kr, kp = in_run[keep], step[keep]
@@ -136,23 +139,18 @@ def _seed_rows(window: int, seed: int, buckets: int):
         ln2 = np.diff(np.append(s, len(keep)))
         a2, d2, t2, p2 = a[kr[s]], d[kr[s]], t[kr[s]], p[kr[s]] + kp[s]
         w2 = w[keep]
-        b2, b1 = (a2 >> np.uint64(32)) % np.uint64(buckets), (sa >> np.uint64(32)) % np.uint64(buckets)
-        out_b, out_r, out_s = [], [], []
+        b2 = (a2 >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(b2, kind="stable")
         start_w = np.cumsum(ln2) - ln2
         worder = np.repeat(start_w[order], ln2[order]) + _expand(ln2[order]) if len(order) else np.zeros(0, np.int64)
         w2 = w2[worder]
         a2, d2, t2, p2, ln2, b2 = (x[order] for x in (a2, d2, t2, p2, ln2, b2))
         ends_w = np.concatenate([[0], np.cumsum(ln2)])
-        order = np.argsort(b1, kind="stable")
-        sd, st, sp, b1 = (x[order] for x in (sd, st, sp, b1))
-        for b in np.union1d(b1, b2):
-            i, j = np.searchsorted(b2, [b, b + np.uint64(1)])
-            k, m = np.searchsorted(b1, [b, b + np.uint64(1)])
-            out_b.append(int(b))
-            out_r.append(_pack(*(x.astype(kind) for x, kind in zip((a2[i:j], d2[i:j], t2[i:j], p2[i:j], ln2[i:j], w2[ends_w[i] : ends_w[j]]), _KINDS))))
-            out_s.append(_pack(*(x.astype(kind) for x, kind in zip((sd[k:m], st[k:m], sp[k:m]), _SETTLED))))
-        return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_r, pa.binary()), pa.array(out_s, pa.binary())], ["bucket", "runs", "settled"])
+        cuts = np.flatnonzero(np.concatenate([[True], b2[1:] != b2[:-1]])) if len(b2) else np.zeros(0, np.int64)
+        for i, j in zip(cuts, np.append(cuts[1:], len(b2))):
+            values = (a2[i:j], d2[i:j], t2[i:j], p2[i:j], ln2[i:j], w2[ends_w[i] : ends_w[j]])
+            out.append((int(b2[i]), _pack(*(x.astype(kind) for x, kind in zip(values, _KINDS)))))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -174,53 +172,76 @@ def _seed_rows(window: int, seed: int, buckets: int):
     return run
 
 
-def _by_document(d: np.ndarray, t: np.ndarray, p: np.ndarray) -> pa.Table:
-    """Rows of _FOUND: each document's matched window starts, as runs."""
-    order = np.lexsort((p, t, d))
-    d, t, p = d[order].astype(np.int64), t[order].astype(np.int64), p[order].astype(np.int64)
-    same = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(d) else np.zeros(0, bool)
-    new = same | np.concatenate([[True], p[1:] != p[:-1] + 1]) if len(d) else same
+def _found_rows(d: np.ndarray, t: np.ndarray, p: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Matched windows (document, tag, window) as runs, packed into a row for each bucket of documents."""
+    if not len(d):
+        return
+    t = t.astype(np.int64)
+    b = wh.mix(d.astype(np.int64).view(np.uint64) ^ wh.mix(t.view(np.uint64))) % np.uint64(buckets)
+    order = np.lexsort((p, t, d, b))
+    d, t, p, b = d[order], t[order], p[order].astype(np.int64), b[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1] + 1)])
     s = np.flatnonzero(new)
     ln = np.diff(np.append(s, len(d)))
-    starts, lens = p[s].astype(np.int32), ln.astype(np.int32)
-    g = np.flatnonzero(same[s]) if len(s) else s
-    ends = np.append(g[1:], len(s))
-    return pa.table(
-        {
-            "doc_id": pa.array(d[s][g], pa.int64()),
-            "tag": pa.array(t[s][g], pa.int32()),
-            "starts": pa.array([starts[i:j].tobytes() for i, j in zip(g, ends)], pa.binary()),
-            "lens": pa.array([lens[i:j].tobytes() for i, j in zip(g, ends)], pa.binary()),
-        }
-    )
-
-
-def _extend(bucket: pa.Table) -> pa.Table:
-    """Reduce side: the windows of a bucket that a smaller document has too."""
-    runs = [_unpack(x, *_KINDS) for x in bucket.column("runs").to_pylist()]
-    settled = [_unpack(x, *_SETTLED) for x in bucket.column("settled").to_pylist()]
-    a, d, t, p, ln, w = (np.concatenate(x) for x in zip(*runs))
-    d0, t0, p0 = (np.concatenate(x) for x in zip(*settled))
-    ln = ln.astype(np.int64)
-    in_run = np.repeat(np.arange(len(a)), ln)
-    sub = np.flatnonzero(_shared(a, d)[in_run])
-    hit, _ = earlier(w[sub], d[in_run[sub]])
-    sub = sub[hit]
-    r = in_run[sub]
-    step = sub - (np.cumsum(ln) - ln)[r]
-    return _by_document(np.concatenate([d0, d[r]]), np.concatenate([t0, t[r]]).astype(np.int64), np.concatenate([p0.astype(np.int64), p[r] + step]))
+    d, t, p, b = d[s], t[s], p[s], b[s]
+    cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    for i, j in zip(cuts, np.append(cuts[1:], len(b))):
+        yield int(b[i]), _pack(*(x[i:j].astype(kind) for x, kind in zip((d, t, p, ln), _FOUND)))
+
+
+def _extend(buckets: int):
+    """Reduce side: of a bucket of anchors, the windows that a smaller document has too, by bucket of documents; rows
+    of what was found before pass."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        at = bucket.column("bucket")[0].as_py()
+        if at >= buckets:
+            data = bucket.column("data")
+            return pa.table({"to": pa.array(np.full(len(data), at - buckets)), "data": data})
+        a, d, t, p, ln, w = (np.concatenate(x) for x in zip(*(_unpack(x.as_buffer(), *_KINDS) for x in bucket.column("data"))))
+        ln = ln.astype(np.int64)
+        in_run = np.repeat(np.arange(len(a)), ln)
+        sub = np.flatnonzero(_shared(a, d)[in_run])
+        r = in_run[sub]
+        hit = earlier(a[r], w[sub], d[r])
+        sub, r = sub[hit], r[hit]
+        rows = list(_found_rows(d[r], t[r], p[r] + (sub - (np.cumsum(ln) - ln)[r]), buckets))
+        return pa.table({"to": pa.array([b for b, _ in rows], pa.int64()), "data": pa.array([x for _, x in rows], pa.binary())})
+
+    return run
+
+
+def _merge(window: int):
+    """Found runs of a bucket of documents to a row for each document: its spans of words, joined where they overlap."""
+
+    def run(found: pa.Table) -> pa.Table:
+        d, t, s, n = (np.concatenate(x) for x in zip(*(_unpack(x.as_buffer(), *_FOUND) for x in found.column("data"))))
+        order = np.lexsort((s, t, d))
+        d, t, s, n = d[order], t[order], s[order].astype(np.int64), n[order].astype(np.int64)
+        doc = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+        far = np.cumsum(doc) << 40  # keeps documents apart
+        e = s + n - 1 + window + far
+        # overlapping extensions join; those that only touch stay apart
+        new = doc | np.concatenate([[True], s[1:] + far[1:] >= np.maximum.accumulate(e)[:-1]])
+        at, docs = np.flatnonzero(new), np.flatnonzero(doc)
+        ends = np.maximum.reduceat(e, at) - far[at]
+        spans = pa.StructArray.from_arrays([pa.array(s[at].astype(np.int32)), pa.array(ends.astype(np.int32))], ["start", "end"])
+        offsets = np.append(np.searchsorted(at, docs), len(at)).astype(np.int32)
+        return pa.table({"doc_id": pa.array(d[docs]), "tag": pa.array(t[docs]), "spans": pa.ListArray.from_arrays(pa.array(offsets), spans)})
+
+    return run
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """tag tells apart rows that share an id but not their text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 5) -> DataFrame:
     """Maximal repeats: one row (doc_id, tag, spans) for each document with words of a window that also starts in a
     document of smaller id; spans is an array of (start, end) word positions, end exclusive, each at least `window`
-    words, in order. tag is 16 bits of the text's hash.
+    words, in order. tag is a 64-bit hash of the text.
 
     Null texts have no words. Rows whose id is null neither match nor are matched. Rows that repeat an id are judged
     each by its own text, and none counts as smaller than the other. An empty table gives no rows."""
@@ -230,31 +251,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     base = _prepared(docs, id_col, text_col).where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(common.partitions(spark), -(-size // BUCKET_BYTES))
-    seeds = base.mapInArrow(_seed_rows(window, seed, buckets), "bucket long, runs binary, settled binary")
-    found = seeds.groupBy("bucket").applyInArrow(_extend, _FOUND)
-    grouped = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("starts", "lens")).alias("found"))
-    return grouped.mapInArrow(_merge(window), "doc_id long, tag int, spans array<struct<start:int,end:int>>")
-
-
-def _merge(window: int):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def spans(found) -> list[dict]:
-        s = np.concatenate([np.frombuffer(x["starts"], np.int32) for x in found])
-        n = np.concatenate([np.frombuffer(x["lens"], np.int32) for x in found])
-        order = np.argsort(s, kind="stable")
-        s, e = s[order], (s + n)[order] - 1 + window
-        # overlapping extensions join; those that only touch stay apart
-        new = np.concatenate([[True], s[1:] >= np.maximum.accumulate(e)[:-1]])
-        at = np.flatnonzero(new)
-        return [{"start": int(x), "end": int(y)} for x, y in zip(s[at], np.maximum.reduceat(e, at))]
-
-    def run(batches):
-        for b in batches:
-            out = [spans(x) for x in b.column("found").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(out, kind)], ["doc_id", "tag", "spans"])
-
-    return run
+    seeds = base.transform(common.in_batches, _seed_rows(window, seed, buckets), "bucket long, data binary")
+    found = seeds.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_extend(buckets), "to long, data binary")
+    merged = found.repartition(buckets, "to").groupBy("to").applyInArrow(_merge(window), "doc_id long, tag long, spans array<struct<start:int,end:int>>")
+    return merged
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start:int,end:int>>"
@@ -262,7 +262,6 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha
 
 def _strip(keep_text: bool, bits=None):
     """Batches of (doc_id, text[, spans]) to results. With bits, only documents that the bitmap surely lacks."""
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
@@ -286,7 +285,7 @@ def _strip(keep_text: bool, bits=None):
                 sha.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
                 texts.append(kept if keep_text else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), pa.array(sha, pa.string()), pa.array(all_spans, span)],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), pa.array(sha, pa.string()), pa.array(all_spans, _SPANS)],
                 ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "repeats"],
             )
 
@@ -309,9 +308,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = common.cut(repeats(docs, id_col, text_col, window, seed))
     bits = spark.sparkContext.broadcast(common.bitmap(found, "doc_id"))
     base = _prepared(docs, id_col, text_col).withColumn("bit", common.bit_position("doc_id"))
-    clean = base.select("doc_id", "text", "bit").mapInArrow(_strip(keep_text, bits), _RESULT)
-    maybe = base.mapInArrow(_route(bits), "doc_id long, text string, tag int")
-    some = maybe.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_strip(keep_text), _RESULT)
+    clean = base.select("doc_id", "text", "bit").transform(common.in_batches, _strip(keep_text, bits), _RESULT)
+    maybe = base.transform(common.in_batches, _route(bits), "doc_id long, text string, tag long")
+    some = maybe.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").transform(common.in_batches, _strip(keep_text), _RESULT)
     return clean.unionByName(some)
 
 
