@@ -1,25 +1,28 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in hash order, repeated up to `most_repeats` times. A copy's virtual finish
-time is the tokens of its source up to and with it, divided by the source's target. All copies are put in order of
-that time, and the order is cut where the budget is full, so every source runs out of budget at the same virtual
-time, near its target.
+time is the tokens of its source up to and with it, divided by the source's target. All copies are sorted globally by
+ranges of that time, and the order is cut where the budget is full, so every source runs out of budget at the same
+virtual time, near its target.
 
 No window runs over a source or over all rows: running sums are taken within small hash buckets and offset by sums
-over buckets; the cut is found in a histogram of virtual time and then inside a single one of its bins."""
+over buckets; the cut is found in the sums of the sorted ranges and then inside a single one of them."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .sharding import BITS, hash60, prefix
+from .sharding import hash60, prefix
 
-#: Bins of virtual time from 0 to 2, and rows that a hash bucket of a source should hold.
-TIME_BINS, BUCKET_ROWS = 1 << 16, 4096
+#: Rows that a hash bucket of a source, and a range of the sorted copies, should hold.
+BUCKET_ROWS, RANGE_ROWS = 4096, 100_000
+#: What the copies are sorted by: virtual finish time, and what breaks ties.
+ORDER = ("time", "pos", "epoch", "h", "doc_id", "size")
 
 
 def count_words(text):
@@ -43,19 +46,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int) -> Da
     return s.select("source", "source_size", "pos", F.when(F.col("full"), F.col("most").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
-def _key(epoch, size, cum, total, target):
-    """A copy's place in the order: virtual finish time, and what breaks ties."""
-    time = (F.lit(epoch) * total + cum) / target
-    return F.struct(time.alias("time"), F.col("pos"), F.lit(epoch).alias("epoch"), F.col("h"), F.col("doc_id"), size.alias("size"))
+def _key(epoch: int) -> Column:
+    """A queued row's place in the order, as its copy number `epoch`."""
+    time = (F.lit(epoch) * F.col("source_size") + F.col("cum")) / F.col("target")
+    return F.struct(time.alias("time"), "pos", F.lit(epoch).alias("epoch"), "h", "doc_id", "size")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most_repeats: int = 3) -> DataFrame:
-    """One row for each row of docs: doc_id, size (words), source_size, target, copies (how often the mix takes it, 0
-    to most_repeats) and taken (copies * size).
+@dataclass
+class _Mix:
+    queued: DataFrame  # each row of docs in its source's queue
+    ranged: DataFrame  # all copies, sorted by ranges of ORDER; part is the range
+    last: Column | None  # place of the last copy that the budget holds
+    most_repeats: int
 
-    Null texts have size 0; documents of size 0 are never taken. Null sources are one source, the last. Rows that
-    repeat an id and a size stand side by side and are taken alike. An empty table gives no rows. Equal inputs give
-    equal results, whatever their partitions."""
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most_repeats: int) -> _Mix:
+    spark = docs.sparkSession
     rows = common.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h")))
     n = rows.count()
     bits = max(1, math.ceil(math.log2(max(2, n / BUCKET_ROWS))))
@@ -70,32 +76,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = r.join(q, F.expr("r.source <=> q.source and r.bucket = q.bucket")).select("r.doc_id", "r.size", "r.h", "r.bucket", "q.before", "q.source_size", "q.pos", "q.target")
     within = Window.partitionBy("pos", "bucket").orderBy("h", "doc_id", "size")
     queued = common.cut(placed.withColumn("cum", F.col("before") + F.sum("size").over(within)).drop("bucket", "before"))
-    keys = F.array(*(_key(e, F.col("size"), F.col("cum"), F.col("source_size"), F.col("target")) for e in range(most_repeats)))
-    copies = queued.where("size > 0 and target > 0").select(F.explode(keys).alias("k")).select("k.*").where("time < 2")
+    copies = queued.where("size > 0 and target > 0").select(F.explode(F.array(*map(_key, range(most_repeats)))).alias("k")).select("k.*")
+    parts = max(common.partitions(spark), -(-most_repeats * n // RANGE_ROWS))
+    ranged = common.cut(copies.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()))
     budget = queued.agg(F.sum("size")).first()[0] or 0
-    last = _cut(copies, budget)
-    if last is None:
-        taken = F.lit(0)
+    return _Mix(queued, ranged, _last(ranged, budget), most_repeats)
+
+
+def _last(ranged: DataFrame, budget: int) -> Column | None:
+    """The place of the last copy, in order, up to which the sizes sum to the budget at most; None if there is none."""
+    place = F.struct(*ORDER)
+    # one row for each range
+    run = ranged.groupBy("part").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(Window.orderBy("part")))
+    over = run.where(F.col("upto") > budget).orderBy("part").limit(1).collect()
+    if not over:  # all fit
+        last = ranged.agg(F.max(place)).first()[0]
     else:
-        end = F.struct(*(F.lit(v).cast(t).alias(c) for (c, t), v in zip(copies.dtypes, last)))
-        order = [_key(e, F.col("size"), F.col("cum"), F.col("source_size"), F.col("target")) for e in range(most_repeats)]
-        taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((F.when(k <= end, 1).otherwise(0) for k in order), F.lit(0))).otherwise(0)
-    out = queued.withColumn("copies", taken.cast("long"))
+        part, left = over[0]["part"], budget - (over[0]["upto"] - over[0]["size"])
+        upto = F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER))
+        inside = ranged.where(F.col("part") == part).withColumn("upto", upto).where(F.col("upto") <= left)
+        last = inside.agg(F.max(place)).first()[0] or ranged.where(F.col("part") < part).agg(F.max(place)).first()[0]
+    kinds = dict(ranged.dtypes)
+    return None if last is None else F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(ORDER, last)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most_repeats: int = 3) -> DataFrame:
+    """One row for each row of docs: doc_id, size (words), source_size, target, copies (how often the mix takes it, 0
+    to most_repeats) and taken (copies * size).
+
+    Null texts have size 0; documents of size 0 are never taken. Null sources are one source, the last. Rows that
+    repeat an id and a size stand side by side and are taken alike. An empty table gives no rows. Equal inputs give
+    equal results, whatever their partitions."""
+    m = _mix(docs, id_col, text_col, source_col, weights, most_repeats)
+    taken = F.lit(0)
+    if m.last is not None:
+        within = [F.when(_key(e) <= m.last, 1).otherwise(0) for e in range(most_repeats)]
+        taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum(within, F.lit(0))).otherwise(0)
+    out = m.queued.withColumn("copies", taken.cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _cut(copies: DataFrame, budget: int):
-    """The last copy, in order, up to which the sizes sum to the budget at most; None if there is none."""
-    binned = copies.withColumn("bin", F.floor(F.col("time") * (TIME_BINS / 2)).cast("int"))
-    sums = binned.groupBy("bin").agg(F.sum("size").alias("size"))
-    run = sums.withColumn("upto", F.sum("size").over(Window.orderBy("bin")))
-    over = run.where(F.col("upto") > budget).orderBy("bin").limit(1).collect()
-    if not over:  # all fit
-        return copies.agg(F.max(F.struct(*copies.columns))).first()[0]
-    left = budget - (over[0]["upto"] - over[0]["size"])
-    inside = binned.where(F.col("bin") == over[0]["bin"]).drop("bin")
-    upto = inside.withColumn("upto", F.sum("size").over(Window.orderBy(*copies.columns))).where(F.col("upto") <= left)
-    last = upto.agg(F.max(F.struct(*copies.columns))).first()[0]
-    if last is None:
-        last = binned.where(F.col("bin") < over[0]["bin"]).agg(F.max(F.struct(*copies.columns))).first()[0]
-    return last
+def mix_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most_repeats: int = 3) -> DataFrame:
+    """The mix itself: a row (time, epoch, doc_id, size) for each copy that it takes, partitioned by ranges of virtual
+    finish time and sorted within. epoch is 0 for a document's first copy. Cases as in `mix`."""
+    m = _mix(docs, id_col, text_col, source_col, weights, most_repeats)
+    kept = m.ranged.where(F.lit(False) if m.last is None else F.struct(*ORDER) <= m.last)
+    return kept.select("time", "epoch", "doc_id", "size")

@@ -1,8 +1,10 @@
 """Sharding by extendible hashing: a directory over hash-prefix bits in which only oversized buckets split further.
 
 A document's hash is 60 bits of the MD5 of its id. A shard is the shortest prefix whose documents fit the byte limit;
-a prefix that holds one hash only can't be split and stays, even if it is over the limit. All depths are computed
-from one aggregation by a prefix a few bits longer than needed; only cells that are still oversized there go on."""
+a prefix that holds one hash only can't be split and stays, even if it is over the limit. Bytes are summed once by
+cells, prefixes a few bits longer than an even split needs, and rolled up from there; only cells that are still
+oversized go on with more bits. Rows meet the directory by their cell, never by a short prefix, so no key holds more
+than a cell does."""
 
 from __future__ import annotations
 
@@ -42,27 +44,43 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         placed = open_.withColumn("cell", prefix(F.col("h"), F.lit(last)))
         leaf = _leaves(placed, first, last, limit_bytes)
         placed = placed.join(leaf, "cell", "left").drop("cell")
-        found = placed.where("leaf is not null")
+        found = placed.where("depth is not null")
         done = found if done is None else done.unionByName(found)
         if last == BITS:
             break
-        open_ = common.cut(placed.where("leaf is null").select("doc_id", "n_bytes", "h"))
+        open_ = common.cut(placed.where("depth is null").select("doc_id", "n_bytes", "h"))
         if not open_.limit(1).count():
             break
         first, last = last + 1, min(BITS, last + STEP)
-    depth = F.col("leaf.depth")
+    depth = F.col("depth")
     bits = F.when(depth > 0, F.lpad(F.bin(prefix(F.col("h"), depth)), BITS, "0").substr(F.lit(BITS + 1) - depth, depth)).otherwise("")
-    return done.select("doc_id", "n_bytes", bits.alias("shard_id"), depth.alias("depth"), F.col("leaf.bytes").alias("shard_bytes"))
+    return done.select("doc_id", "n_bytes", bits.alias("shard_id"), "depth", "shard_bytes")
 
 
 def _leaves(rows: DataFrame, first: int, last: int, limit_bytes: int) -> DataFrame:
-    """(cell, leaf) of the cells of `last` bits that have a prefix of first..last bits that fits or can't be split."""
+    """(cell, depth, shard_bytes) of the cells of `last` bits under a prefix of first..last bits that fits or can't be
+    split. A shard of n bits less than a cell lists its 2^n cells: no more than there are cells in all."""
     cells = rows.groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    up = cells.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("depth"))
-    up = up.withColumn("p", F.call_function("shiftright", "cell", F.lit(last) - F.col("depth")))
-    sums = up.groupBy("depth", "p").agg(F.sum("b").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    fits = sums.where((F.col("bytes") <= limit_bytes) | (F.col("lo") == F.col("hi"))).select("depth", "p", "bytes")
-    return up.select("cell", "depth", "p").join(fits, ["depth", "p"]).groupBy("cell").agg(F.min(F.struct("depth", "bytes")).alias("leaf"))
+
+    def rolled(sums: DataFrame, at: int, low: int, high: int) -> DataFrame:
+        """Sums by the prefixes of low..high bits, of sums by the prefixes p of `at` bits."""
+        up = sums.select("b", "lo", "hi", "p", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+        return up.groupBy("depth", F.call_function("shiftright", "p", F.lit(at) - F.col("depth")).alias("p")).agg(F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    # the few bits near the cells first; all shorter prefixes come from the sums at the shortest of those
+    middle = max(first, last - SLACK - 2)
+    sums = common.cut(rolled(cells.withColumnRenamed("cell", "p"), last, middle, last))
+    if middle > first:
+        sums = sums.unionByName(common.cut(rolled(sums.where(F.col("depth") == middle).drop("depth"), middle, first, middle - 1)))
+    fits = (F.col("b") <= limit_bytes) | (F.col("lo") == F.col("hi"))
+    full = sums.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("p").alias("parent"))
+    # a leaf fits and its parent doesn't; parents of the first depth were split before
+    leaf = sums.where(fits).withColumn("parent", F.call_function("shiftright", "p", F.lit(1)))
+    leaf = leaf.where(F.col("depth") == first).unionByName(leaf.where(F.col("depth") > first).join(full, ["depth", "parent"], "left_semi").select(leaf.columns))
+    wide = F.lit(last) - F.col("depth")
+    start = F.call_function("shiftleft", F.col("p"), wide)
+    cell = F.explode(F.sequence(start, start + F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1))
+    return leaf.select(cell.alias("cell"), "depth", F.col("b").alias("shard_bytes"))
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
