@@ -1,8 +1,9 @@
 """Media columns: interleaved document sequences.
 
 HTML is parsed into ordered segments, texts and media references; a join on digests resolves the references'
-payloads; positions and captions stay with their segments. Media are kept as 8-bit grey images (binary PGM), which
-hold any payload without loss."""
+payloads; positions and captions stay with their segments. Media are stored as 8-bit grey images (binary PGM), which
+hold any payload without loss, in a table of the shared folder, and all that is said of them comes from what is read
+back."""
 
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Samples of a row, and bytes to whose multiple payloads are padded: rows of 24 make blocks of 24 x 24.
 WIDTH, BLOCK = 24, 576
 SCHEME = "sha256:"
@@ -63,33 +66,45 @@ def feature_of(samples: bytes) -> str:
     return f"{a.mean():.6f}:{a.std():.6f}:{bits}"
 
 
+_STORED = "doc_id long, n_bytes long, media binary"
 _MEDIA = "doc_id long, digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
 
 
-def _stored(keep_media: bool):
+def _encode(batches):
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        n = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([store(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def _decode(keep_media: bool):
     def run(batches):
         for b in batches:
             rows = []
-            for text in b.column("text").to_pylist():
-                payload = payload_of(text)
-                media = store(payload)
+            for media in b.column("media").to_pylist():
                 back = load(media)
-                n = len((text or "").encode("utf-8", "surrogatepass"))
                 digest = hashlib.sha256(back).hexdigest()
-                rows.append((digest, n, len(back), digest, zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(back), media if keep_media else None))
-            cols = list(zip(*rows)) if rows else [()] * 9
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", *names])
+                rows.append((digest, len(back), digest, zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(back), media if keep_media else None))
+            digest, *cols = zip(*rows) if rows else [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+            more = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.string()), b.column("n_bytes"), *more], ["doc_id", "digest", "n_bytes", *names])
 
     return run
 
 
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as a stored medium, read back: doc_id, n_bytes (of the text) and media."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return common.stored(rows.transform(common.in_batches, _encode, _STORED))
+
+
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Each text as a medium: doc_id, digest (SHA-256 of the payload as read back), n_bytes (without filling),
     payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), media_bytes, media_sha256, feature and media
     (the stored form; null unless keep_media). Null texts are empty. Equal texts give equal values."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, _stored(keep_media), _MEDIA)
+    return store_media(docs, id_col, text_col).transform(common.in_batches, _decode(keep_media), _MEDIA)
 
 
 # Interleaved documents
@@ -188,8 +203,9 @@ def references(sequences: DataFrame) -> DataFrame:
 
 def resolve(refs: DataFrame, media: DataFrame, *columns: str) -> DataFrame:
     """References with the named columns of their medium, by digest; null where there is none. The media are reduced
-    to one row for each digest first, so a reference is never multiplied; rows of one digest must hold the same."""
-    one = media.where("digest is not null").groupBy("digest").agg(*(F.min(c).alias(c) for c in columns))
+    to one row for each digest first, so a reference is never multiplied; rows of one digest must hold the same. That
+    is a table of its own, so that Spark can split the references of a digest that stands everywhere."""
+    one = common.stored(media.where("digest is not null").groupBy("digest").agg(*(F.min(c).alias(c) for c in columns)))
     return refs.join(one, "digest", "left").select("doc_id", "pos", "digest", "caption", *columns)
 
 

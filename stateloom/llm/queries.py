@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, license_scan, media, mixing, near_dup, pii, quality, secrets, sharding, substring
 from .common import table
@@ -19,7 +20,17 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     refs = media.references(media.interleave(media.page_of(docs)))
-    return media.resolve(refs, media.media_table(docs, keep_media=False), *found).select("doc_id", *found)
+    return media.resolve(refs, media.media_table(docs, keep_media=False), *found).select("doc_id", *found, "pos", "caption")
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of the web pages in order, the media among them resolved against those of the documents."""
+    sequences = media.interleave(table(spark, sf_dir, "pages"))
+    refs = media.references(sequences)
+    found = media.resolve(refs, media.media_table(table(spark, sf_dir, "documents"), keep_media=False), "payload_bytes", "media_sha256")
+    placed = media.assemble(sequences, found, "payload_bytes", "media_sha256")
+    s = placed.select(F.col("doc_id").alias("page_id"), F.explode("segments").alias("s"))
+    return s.select("page_id", "s.pos", "s.kind", F.char_length("s.text").cast("long").alias("n_chars"), F.sha2("s.text", 256).alias("text_sha256"), "s.caption", "s.media.payload_bytes", "s.media.media_sha256")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup, media_pages)}
 
 
 _OP1_SQL = r"""

@@ -1,9 +1,11 @@
 """Media columns: exact round trips, and page parsing."""
 
 import hashlib
+import math
+import random
 import zlib
 
-from stateloom.llm import media
+from stateloom.llm import media, queries
 
 
 def test_every_text_comes_back(docs, rows):
@@ -23,6 +25,32 @@ def test_every_text_comes_back(docs, rows):
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in out}) == len({r.payload_sha256 for r in out})
 
 
+def test_feature_against_plain_loops():
+    r = random.Random(2)
+    for n in (1, 2, 5):
+        raw = bytes(r.randrange(256) for _ in range(576 * n - r.randrange(500)))
+        samples = raw + b"\xff" * (576 * n - len(raw))
+        mean = sum(samples) / len(samples)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in samples) / len(samples))
+        height, bits = len(samples) // 24, ""
+        rows, cols = [int(height * k / 8) for k in range(9)], [int(24 * k / 9) for k in range(10)]
+        for top, bottom in zip(rows, rows[1:]):
+            cells = [sum(samples[y * 24 + x] for y in range(top, bottom) for x in range(a, b)) for a, b in zip(cols, cols[1:])]
+            bits += "".join(str(int(b > a)) for a, b in zip(cells, cells[1:]))
+        m, d, h = media.feature_of(samples).split(":")
+        assert abs(float(m) - mean) < 1e-5 and abs(float(d) - deviation) < 1e-5 and h == f"{int(bits, 2):016x}"
+
+
+def test_pages_query(spark, tmp_path):
+    text = "the payload"
+    digest = hashlib.sha256(media.payload_of(text)).hexdigest()
+    html = f'<p>a</p><figure><img src="sha256:{digest}"><figcaption>cap</figcaption></figure><p>b</p><img src="http://h/x.png">'
+    spark.createDataFrame([(4, html), (5, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = sorted(queries.media_pages(spark, str(tmp_path)).collect(), key=lambda r: r.pos)
+    assert [(r.page_id, r.pos, r.kind, r.caption, r.payload_bytes) for r in out] == [(4, 0, "text", None, None), (4, 1, "media", "cap", 576), (4, 2, "text", None, None), (4, 3, "media", None, None)]
+
+
 def test_segments_keep_order_and_captions():
     page = """<html><head><title>no</title></head><body><p>One &amp; two <b>bold</b></p>
     <figure><img src="sha256:AB" alt="alt"><figcaption>The <i>caption</i></figcaption></figure>

@@ -25,4 +25,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_all_ten_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
