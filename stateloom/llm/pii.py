@@ -81,11 +81,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # Generators: deliberately loose, and free to overlap. Their quantifiers are bounded, so time is linear.
 _GENERATORS = (
     ("phone_like", re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])")),
-    ("email_like", re.compile(r"(?i)\b[a-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{2,40}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[a-z]{2,10}){1,3}\b")),
-    ("ip_like", re.compile(r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}:){3,7}[0-9a-f]{1,4}(?![0-9a-z:])")),
+    ("email_like", re.compile(r"(?i)\b[a-z0-9._%+-]{2,40}\x20?(?:[(\[{<]at[)\]}>]|\x20at\x20|@)\x20?[a-z0-9-]{2,40}(?:\x20?(?:[(\[{<]dot[)\]}>]|\x20dot\x20|\.)\x20?[a-z]{2,10}){1,3}\b")),
+    ("ip_like", re.compile(r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}:){1,7}(?::?[0-9a-f]{1,4}){1,7}(?![0-9a-z:])")),
 )
-#: A text without one of these has no candidate of the kind: a literal check before the pattern.
-_GATES = {"email_like": ("(at)", "[at]", " at ", "(AT)", "[AT]", " AT "), "ip_like": (":",), "phone_like": ()}
+#: A text without one of these, in any case, has no candidate of the kind: a check before the pattern.
+_GATES = {"email_like": ("at)", "at]", "at}", "at>", " at ", "@"), "ip_like": (":",), "phone_like": ()}
+_TLD = re.compile(r"(?i)(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|ch|at|eu|ru|cn|jp|br|au|ca|us)$")
 _HINTS = (
     re.compile(r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|whatsapp|sms)\b"),
     re.compile(r"(?i)\b(?:mail|e-mail|email|contact|write|reach|address)\b"),
@@ -95,11 +96,13 @@ _HINTS = (
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    out = []
+    """What the generators propose, overlaps included."""
+    out, low = [], text.lower()
     for kind, pattern in _GENERATORS:
         gates = _GATES[kind]
-        if not gates or any(g in text for g in gates):
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
+        if not gates or any(g in low for g in gates):
+            # two colons are a time of day
+            out += [(kind, *m.span()) for m in pattern.finditer(text) if kind != "ip_like" or m[0].count(":") > 2 or "::" in m[0]]
     return out
 
 
@@ -113,41 +116,51 @@ def features(text: str, kind: str, i: int, j: int) -> list[float]:
     return [
         float(ADDED.index(kind)), float(len(s)), float(n), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[-1]),
         float("(" in s and ")" in s), float(s.count("-")), float(s.count(".")), float(s.count(" ")), float(s.count("/")), float(s.count(":")), float(date),
-        float("at]" in s.lower() or "(at" in s.lower()), float("dot" in s.lower()), float(len(set(sizes)) == 1),
+        float(bool(re.search(r"(?i)[(\[{<]at[)\]}>]", s))), float(bool(re.search(r"(?i)[(\[{<]dot[)\]}>]", s))), float(bool(re.search(r"(?i)\x20dot\x20", s))), float(len(set(sizes)) == 1),
+        float(bool(_TLD.search(s))), float(". " in s), float("@" in s), float(s.islower()), float("AT" in s), float("::" in s), float(bool(re.search(r"[A-Fa-f]", s))), float(max(map(len, s.split(":")))), float(bool(re.search(r"[0-9._-]", s.split(" ")[0]))),
         *(float(bool(h.search(left))) for h in _HINTS),
         float(left[-1:] in "$€£#" and left != ""), float(right[:1] in "%€" and right != ""), float("0" <= right[:1] <= "9" if right else False), float(left.endswith(("+", "+ "))),
     ]
 
 
 #: Generated examples that the model is fitted on, a fixed bound.
-TRAINING_ROWS = 4000
+TRAINING_ROWS = 6000
 
 
 def _example(r: random.Random) -> tuple[str, str, int]:
     """(text before, candidate, label)"""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8)))
+    cased = lambda s: r.choice((str, str, str, str.capitalize, str.upper, str.title))(s)
     prose = " ".join(w() for _ in range(r.randint(1, 5)))
     pick = r.random()
     if pick < 0.2:
-        number = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}"])
-        hint = r.choice(["call", "phone", "tel", "mobile", "fax:", "Tel.", "reach me:", ""])
+        number = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}"])
+        hint = r.choice(["call", "phone", "tel", "mobile", "fax:", "Tel.", "reach me:", "Phone:", ""])
         return f"{prose} {hint} ", number, 1
-    if pick < 0.35:
-        sep = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", ".")])
-        return f"{prose} {r.choice(['mail', 'contact', 'email:', ''])} ", f"{w()}{r.choice(['', '.' + w()])}{sep[0]}{w()}{sep[1]}{r.choice(['com', 'org', 'net', 'de'])}", 1
-    if pick < 0.42:
-        h = lambda: f"{r.randrange(1 << 16):x}"
-        return f"{prose} {r.choice(['host', 'addr', 'ipv6', ''])} ", ":".join(h() for _ in range(8)), 1
-    if pick < 0.5:
-        return f"{prose} {r.choice(['score', 'at', ''])} ", ":".join(d(r.randint(1, 2)) for _ in range(r.choice([4, 4, 5]))), 0
-    if pick < 0.62:
-        return f"{prose} ", f"{w()} at {w()}. {w()}", 0
-    if pick < 0.75:
+    if pick < 0.38:
+        a, b = r.choice(["()", "[]", "{}", "<>"])
+        at, dot = cased("at"), cased("dot")
+        tld = r.choice(["com", "org", "net", "de", "io", "co", "edu", "fr"])
+        sep = r.choice([(f"{a}{at}{b}", f"{a}{dot}{b}"), (f" {a}{at}{b} ", f" {a}{dot}{b} "), (f"{a}{at}{b}", "."), (f" {at} ", f" {dot} "), (f" {at} ", "."), (" @ ", "."), ("@", f" {dot} "), ("@", f"{a}{dot}{b}")])
+        name = f"{w()}{r.choice(['', '.' + w(), '_' + w(), d(2)])}"
+        return f"{prose} {r.choice(['mail', 'contact', 'email:', 'Reach me at', ''])} ", cased(f"{name}{sep[0]}{w()}{sep[1]}{tld}") if r.random() < 0.2 else f"{name}{sep[0]}{cased(w())}{sep[1]}{tld}", 1
+    if pick < 0.46:
+        h = lambda: f"{r.randrange(1 << r.choice([1, 4, 8, 16, 16, 16])):{r.choice(['x', 'x', 'X', '04x'])}}"
+        groups = [r.choice(["fe80", "2001", "2a02", "fd00", h()]), *(h() for _ in range(7))]
+        k = r.randint(2, 6)
+        return f"{prose} {r.choice(['host', 'addr', 'ipv6', 'ping', ''])} ", ":".join(groups) if r.random() < 0.7 else ":".join(groups[:k]) + "::" + ":".join(groups[k : k + r.randint(1, 2)]), 1
+    if pick < 0.54:
+        return f"{prose} {r.choice(['score', 'at', 'ratio', 'time', ''])} ", ":".join(d(r.randint(1, 2)) for _ in range(r.choice([4, 4, 5, 6]))), 0
+    if pick < 0.68:
+        # a sentence that ends after "at", and one that goes on
+        end = r.choice([". ", ". ", ". ", ".", " . "])
+        return f"{prose} ", f"{cased(w())}{r.choice(['', '', '. At', ' at ' + w() + ' and'])} at {w()}{end}{w().capitalize()}{r.choice(['', '', end + w().capitalize()])}", 0
+    if pick < 0.8:
         return f"{prose} {r.choice(['date', 'since', 'in', ''])} ", r.choice([f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}"]), 0
-    if pick < 0.85:
-        return f"{prose} {r.choice(['version', 'page', 'pages', 'no', 'order', 'invoice', '$', ''])} ", r.choice([f"{d(2)}.{d(2)}", f"{d(3)}-{d(3)}", f"{d(4)}-{d(2)}", f"{d(2)}.{d(2)}.{d(2)}", f"{d(5)} {d(5)}"]), 0
-    return f"{prose} ", " ".join(d(r.randint(2, 5)) for _ in range(r.randint(2, 6))), 0
+    if pick < 0.88:
+        return f"{prose} {r.choice(['version', 'page', 'pages', 'no', 'order', 'invoice', '$', ''])} ", r.choice([f"{d(2)}.{d(2)}", f"{d(3)}-{d(3)}", f"{d(4)}-{d(2)}", f"{d(2)}.{d(2)}.{d(2)}", f"{d(5)} {d(5)}", f"{d(4)} {d(4)} {d(4)} {d(4)}"]), 0
+    return f"{prose} ", " ".join(d(r.randint(2, 5)) for _ in range(r.choice([2, 2, 4, 5, 6]))), 0
 
 
 @cache

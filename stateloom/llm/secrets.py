@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every candidate (the base patterns' matches and loose high-entropy tokens) is hashed; the hashes are counted over
-the whole corpus by distinct repositories and owners. A hash that several owners hold is a widely copied example;
-one that stays with a few is owner-specific and looks live. Loose tokens are reported only if they look live; base
-spans stay either way and are counted as live or copied."""
+the whole corpus by distinct repositories and owners. A hash is a widely copied example if several owners hold it in
+several repositories, or if very many repositories do, be it of one owner; else it is owner-specific and looks live.
+Loose tokens are reported only if they look live; base spans stay either way and are counted as live or copied."""
 
 from __future__ import annotations
 
@@ -53,6 +53,9 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{i}:{j}" for k, i, j in spans)
 
 
+#: A secret is copied if so many owners hold it, in so many repositories; or so many repositories, whoever owns them.
+OWNERS, REPOS, REPOS_ALONE = 3, 4, 20
+
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string())]))
 
 
@@ -73,24 +76,26 @@ def _assemble(batches):
     """Base and live loose spans to the result's columns."""
     for b in batches:
         rows = []
-        for base, extra, said in zip(*(b.column(c).to_pylist() for c in ("base", "extra", "live"))):
-            live = set(said or ())
+        for base, extra, said in zip(*(b.column(c).to_pylist() for c in ("base", "extra", "said"))):
+            live = {s["hash"] for s in said or () if s["live"]}
+            repos, owners = (max((s[c] for s in said or ()), default=None) for c in ("repos", "owners"))
             at = [(s["kind"], s["start"], s["end"]) for s in base]
             more = [(s["kind"], s["start"], s["end"]) for s in extra if s["hash"] in live]
             n_live = sum(s["hash"] in live for s in base)
             all_spans = sorted(at + more, key=lambda s: (s[1], _ORDER[s[0]]))
-            rows.append((*(sum(s[0] == k for s in at) for k in KINDS), hashlib.sha256(_joined(at).encode()).hexdigest(), _joined(all_spans), n_live + len(more), len(at) - n_live))
-        cols = list(zip(*rows)) if rows else [()] * 7
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_live", "n_copied"])
+            rows.append((*(sum(s[0] == k for s in at) for k in KINDS), hashlib.sha256(_joined(at).encode()).hexdigest(), _joined(all_spans), n_live + len(more), len(at) - n_live, repos, owners))
+        cols = list(zip(*rows)) if rows else [()] * 9
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 4
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_live", "n_copied", "most_repos", "most_owners"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", owners: int = OWNERS, repos: int = REPOS, repos_alone: int = REPOS_ALONE) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (all, as kind:start:end in
-    code points, end exclusive, by start and kind), n_live and n_copied.
+    code points, end exclusive, by start and kind), n_live, n_copied, and most_repos and most_owners (of any of its
+    candidates; null without one).
 
-    A secret that more than most_owners owners hold, in as many repositories at least, is a copied example. Null
-    texts are empty; a null owner or repository counts as one of its own kind; null ids stay null; repeated rows
+    A secret that `owners` owners hold in `repos` repositories, or that `repos_alone` repositories hold, is a copied
+    example (at least so many of each). Null texts are empty; a null owner or repository counts as one of its own kind; null ids stay null; repeated rows
     give equal rows and count once, as they name the same repository and owner."""
     text = F.col(text_col).cast("string")
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(text, F.lit("")))
@@ -102,6 +107,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # distinct in two steps, so that a secret copied everywhere shrinks to its owners before it meets in one task
     by_owner = held.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     spread = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    live = spread.where(F.col("owners") <= most_owners).select("hash")
-    by_row = held.select("row", "hash").distinct().join(live, "hash").groupBy("row").agg(F.collect_list("hash").alias("live"))
-    return found.join(by_row, "row", "left").select("doc_id", "base", "extra", "live").transform(common.in_batches, _assemble, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long")
+    copied = ((F.col("owners") >= owners) & (F.col("repos") >= repos)) | (F.col("repos") >= repos_alone)
+    # a table of its own, so that Spark can split the rows of a secret that stands everywhere
+    spread = common.cut(spread.withColumn("live", ~copied))
+    said = F.collect_list(F.struct("hash", "live", "repos", "owners")).alias("said")
+    by_row = held.select("row", "hash").distinct().join(spread, "hash").groupBy("row").agg(said)
+    columns = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long, most_repos long, most_owners long"
+    return found.join(by_row, "row", "left").select("doc_id", "base", "extra", "said").transform(common.in_batches, _assemble, columns)

@@ -20,22 +20,25 @@ class Taken:
         k = bisect_left(self._at, (j, j))
         return k > 0 and self._at[k - 1][1] > i
 
-    def covers(self, i: int, j: int) -> bool:
-        k = bisect_right(self._at, (i, float("inf")))
-        return k > 0 and self._at[k - 1][1] >= j
-
     def add(self, i: int, j: int) -> None:
         """Add an interval that overlaps none."""
         insort(self._at, (i, j))
 
-    def merge(self, i: int, j: int) -> None:
-        """Add an interval, and join it with those that it overlaps."""
-        at = self._at
-        k = bisect_left(at, (i, i))
-        if k and at[k - 1][1] > i:
-            k -= 1
-        m = k
-        while m < len(at) and at[m][0] < j:
-            i, j = min(i, at[m][0]), max(j, at[m][1])
-            m += 1
-        at[k:m] = [(i, j)]
+
+class Held:
+    """Intervals, of which those inside another one are forgotten: starts and ends both rise."""
+
+    def __init__(self):
+        self._starts: list[int] = []
+        self._ends: list[int] = []
+
+    def covers(self, i: int, j: int) -> bool:
+        """Whether i..j lies inside a single interval."""
+        k = bisect_right(self._starts, i)
+        return k > 0 and self._ends[k - 1] >= j
+
+    def add(self, i: int, j: int) -> None:
+        """Add an interval that lies inside none."""
+        k = bisect_left(self._starts, i)
+        m = bisect_right(self._ends, j, k)
+        self._starts[k:m], self._ends[k:m] = [i], [j]

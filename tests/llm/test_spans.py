@@ -1,12 +1,15 @@
 """Personal data, licenses and secrets against plain regular expressions."""
 
 import hashlib
+import os
+import random
 import re
+from collections import Counter
 from re import _parser
 
 import pytest
 
-from stateloom.llm import license_scan, pii, secrets
+from stateloom.llm import license_scan, pii, secrets, spans
 
 TEXTS = [
     "mail a.b+c@mail-1.example.com or x@y, a@b.c_d@e.f and @no.where q@@w.com",
@@ -78,6 +81,31 @@ def test_pii_model_adds_what_the_base_misses_and_leaves_prose():
     assert find("since 2024-05-06 at version 10.12 on page 12-13 we met at noon. then") == []
 
 
+VARIANTS = {
+    "email_like": ["joe(at)example(dot)com", "joe(At)example(Dot)com", "ann.lee [at] example [dot] org", "bob_1 AT example DOT net", "kim{at}mail{dot}de", "joe@example dot com"],
+    "phone_like": ["(415) 555-0134", "415-555-0134", "415.555.0134", "0415 555 0134"],
+    "ip_like": ["2001:0db8:85a3:08d3:1319:8a2e:0370:7344", "fe80:0:0:0:1:2:3:4", "2001:db8::8a2e:7344", "FE80:AB12:0:9:1F:2:3C:4"],
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_pii_recall_of_planted_variants_and_nothing_in_clean_texts(spark):
+    """Variants that the base misses, put into real documents at a random word; and the documents as they are."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    r, (trees, threshold) = random.Random(1), pii.model()
+    assert sum(len(a) - len(b) for b, a in (pii.find(t, trees, threshold) for t in texts)) <= len(texts) // 200
+    found = Counter()
+    for n, text in enumerate(texts):
+        kind = sorted(VARIANTS)[n % 3]
+        said, w = r.choice(VARIANTS[kind]), text.split(" ")
+        i = r.randrange(len(w) + 1)
+        left = " ".join([*w[:i], ""])
+        _, all_spans = pii.find(left + said + " " + " ".join(w[i:]), trees, threshold)
+        found[kind, any(s[0] == kind and s[1] <= len(left) and s[2] >= len(left) + len(said) for s in all_spans)] += 1
+    for kind in VARIANTS:
+        assert found[kind, True] / (found[kind, True] + found[kind, False]) > 0.95, found
+
+
 def test_licenses(table):
     df, rows = table
     by = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
@@ -109,6 +137,8 @@ def examples(tree) -> list[str]:
             ways = examples(arg[3])
         elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
             ways = [x * n for n in sorted({arg[0], max(1, arg[0])}, reverse=True) for x in (examples(arg[2]) if n else [""])]
+        elif kind == "IN" and str(arg[0][0]) == "NEGATE":
+            ways = ["x"]  # the rules leave out separators only
         elif kind == "IN":
             named = {"CATEGORY_SPACE": [" ", "\n"], "CATEGORY_DIGIT": ["7"], "CATEGORY_NOT_SPACE": ["x"], "CATEGORY_NOT_WORD": [" ", "#"]}
             ways = [y for k, v in arg for y in (named[str(v)] if str(k) == "CATEGORY" else [chr(v if str(k) == "LITERAL" else v[0])])]
@@ -131,6 +161,25 @@ def test_license_gates_hold_whenever_their_rules_match():
     assert n > 1000
 
 
+def test_license_sentences_and_containment():
+    labels = lambda t: [d[0] for d in license_scan.detections(license_scan.lowered(t))]
+    assert labels(' * THE SOFTWARE IS PROVIDED "AS IS",\n * WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,\n * INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY') == ["MIT"]
+    assert labels("Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote products derived from this software") == ["BSD-3-Clause"]
+    assert labels("to the extent possible under law, " + "word " * 13 + "has waived all copyright and related or neighboring rights") == []
+    held = spans.Held()
+    for i, j in ((0, 5), (4, 9), (20, 30), (12, 14)):
+        assert not held.covers(i, j)
+        held.add(i, j)
+    assert held.covers(5, 9) and held.covers(12, 13) and not held.covers(3, 6), "3..6 lies in the union of two, and in neither"
+    held.add(3, 25)
+    assert held.covers(4, 9) and held.covers(13, 25) and held.covers(20, 30) and not held.covers(19, 26)
+
+
+@pytest.mark.parametrize("text", ["neither the name of " + "a b " * 50_000, "either version " * 30_000, "#_ " * 100_000 + "version of"])
+def test_license_sentences_take_linear_time(text):
+    assert license_scan.detections(text) is not None
+
+
 def test_license_detections_do_not_depend_on_other_words(monkeypatch):
     texts = {
         "released under apache 2.0": "Apache-2.0", "mpl 2.0": "MPL-2.0", "artistic 2.0": "Artistic-2.0", "ofl 1.1": "OFL-1.1", "epl 2.0": "EPL-2.0",
@@ -162,7 +211,18 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     rows = [(i, f"key {example} here", f"o{i}") for i in range(4)] + [(9, f"my {live} and deadbeefdeadbeef", "o9"), (10, "deadbeefdeadbeef", "o1")]
     by = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert by[9].spans == "token:3:23,hex:28:44" and by[0].spans == ""
-    assert (by[9].n_live, by[9].n_copied) == (1, 1)
+    assert (by[9].n_live, by[9].n_copied, by[9].most_repos, by[9].most_owners) == (2, 0, 2, 2) and by[0].most_owners == 4
+
+
+def test_one_owner_in_many_repositories_and_few_of_several_owners(spark):
+    many, few = "Zx9Kq2Lm8Vb4Nc7Tr1Yp", "Qw3Er5Ty7Ui9Op1As2Df"
+    rows = [(i, f"key {many} here", "hot") for i in range(30)] + [(100 + i, f"my {few}", f"o{i}") for i in range(2)] + [(200, None, None), (201, "", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    assert all(by[i].spans == "" and by[i].most_repos == 30 and by[i].most_owners == 1 for i in range(30)), "copied within one owner"
+    assert by[100].spans == by[101].spans == "token:3:23" and by[100].n_live == 1
+    assert by[200].most_repos is None and by[201].n_live == 0
+    assert all(r.spans for r in secrets.find_secrets(df, repos_alone=31).collect() if r.doc_id < 30)
 
 
 def test_empty_and_redact(empty):
