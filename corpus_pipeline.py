@@ -31,10 +31,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as weighted fair queueing takes it, which may be never or up to three times."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct()
+    i, n, copies, each = (common.fresh(c, *docs.columns) for c in ("mix_id", "mix_size", "mix_copies", "mix_copy"))
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias(i), F.col("size").alias(n), F.col("copies").alias(copies)).distinct()
     size = mixing.count_words(F.col("text"))
-    rows = docs.join(taken, (docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))) & (size == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    rows = docs.join(taken, (docs["doc_id"].cast("long").eqNullSafe(F.col(i))) & (size == F.col(n)))
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(docs[c] for c in docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each one's rows written to the shared folder and read again by the next."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over the documents, each one's rows written to the shared folder, read again by the next and then
+    deleted; those of the last stage but one stay, as the result reads them."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = common.stored(docs)
+            if before is not None:
+                common.discard(before)
+            before = docs
     return docs

@@ -23,18 +23,20 @@ def _positions(h: np.ndarray) -> np.ndarray:
 
 
 def _item_rows(least: int):
-    """(item_id, text) to (item_id, words binary, grams array<long>); items shorter than `least` words are dropped."""
+    """(item_id, item, text) to (item_id, item, words binary, grams array<long>); items shorter than `least` words are
+    dropped. item is a hash of the id and the text."""
 
     def run(batches):
         for b in batches:
-            ids, w, g = [], [], []
-            for i, text in zip(b.column("item_id").to_pylist(), b.column("text")):
+            ids, keys, w, g = [], [], [], []
+            for i, key, text in zip(b.column("item_id").to_pylist(), b.column("item").to_pylist(), b.column("text")):
                 h, _, _, _ = wh.words(pa.array([text.as_py()], pa.string()), wh.ALNUM_LOWER)
                 if len(h) >= least:
                     ids.append(i)
+                    keys.append(key)
                     w.append(h.tobytes())
                     g.append(np.unique(wh.ngrams(h, least)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(w, pa.binary()), pa.array(g, pa.list_(pa.int64()))], ["item_id", "item_words", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(w, pa.binary()), pa.array(g, pa.list_(pa.int64()))], ["item_id", "item", "item_words", "grams"])
 
     return run
 
@@ -145,21 +147,25 @@ def _tile(least: int):
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5, coverage: float = 0.5) -> DataFrame:
     """(doc_id, row, item_id, covered, n_tiles) of each document that holds the share `coverage` of an item at least.
-    row is a hash of the document's id and text. Items of fewer than `least` words can't leak."""
+    row is a hash of the document's id and text. Items of fewer than `least` words can't leak, nor those without an id.
+    Items that repeat an id are tried each by its own text, and the id counts once, by the text covered most."""
     spark = docs.sparkSession
-    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null").transform(common.in_batches, _item_rows(least), "item_id long, item_words binary, grams array<long>")
-    bench = common.cut(bench)
-    seeds = bench.select("item_id", F.explode("grams").alias("gram"))
+    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null").distinct()
+    bench = bench.withColumn("item", F.xxhash64("item_id", "text"))
+    bench = common.cut(bench.transform(common.in_batches, _item_rows(least), "item_id long, item long, item_words binary, grams array<long>"))
+    seeds = bench.select("item", F.explode("grams").alias("gram"))
     bits = spark.sparkContext.broadcast(_bits(seeds))
     hits = common.cut(_keyed(docs, id_col, text_col).transform(common.in_batches, _hit_rows(least, bits), "doc_id long, row long, doc_words binary, grams array<long>"))
-    shared = hits.select("row", F.explode("grams").alias("gram")).distinct().join(seeds, "gram").groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("grams"))
-    sized = bench.select("item_id", "item_words")
+    shared = hits.select("row", F.explode("grams").alias("gram")).distinct().join(seeds, "gram").groupBy("row", "item").agg(F.count(F.lit(1)).alias("grams"))
+    sized = bench.select("item_id", "item", "item_words")
     # a shared gram covers `least` places at most for each of its places in the item
-    likely = shared.join(bench.select("item_id", F.size("grams").alias("of"), (F.length("item_words") / 8).alias("n")), "item_id")
-    likely = likely.where((F.col("n") - least + 1 > F.col("of")) | (F.col("grams") * least >= F.col("n") * coverage)).select("row", "item_id")
+    likely = shared.join(bench.select("item", F.size("grams").alias("of"), (F.length("item_words") / 8).alias("n")), "item")
+    likely = likely.where((F.col("n") - least + 1 > F.col("of")) | (F.col("grams") * least >= F.col("n") * coverage)).select("row", "item")
     texts = hits.select("doc_id", "row", "doc_words").dropDuplicates(["row"])
-    pairs = likely.join(texts, "row").join(sized, "item_id").select("doc_id", "row", "item_id", "doc_words", "item_words")
-    return pairs.transform(common.in_batches, _tile(least), "doc_id long, row long, item_id long, covered double, n_tiles long").where(F.col("covered") >= coverage)
+    pairs = likely.join(texts, "row").join(sized, "item").select("doc_id", "row", "item_id", "doc_words", "item_words")
+    tiled = pairs.transform(common.in_batches, _tile(least), "doc_id long, row long, item_id long, covered double, n_tiles long").where(F.col("covered") >= coverage)
+    best = tiled.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("covered", "n_tiles")).alias("b"))
+    return best.select("doc_id", "row", "item_id", "b.covered", "b.n_tiles")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

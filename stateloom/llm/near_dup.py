@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = spark.createDataFrame([], "id long, component long")
     else:
         component = common.components(links)
+        common.discard(links)
     by_class = classes.join(component, classes.rep == component.id, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     # ids whose rows have several texts tie their classes together
     out = signed.join(by_class, ["d1", "d2"], "left")

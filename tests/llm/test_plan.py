@@ -3,14 +3,15 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stateloom.llm import boost, decontam, mixing, quality, sharding
+from stateloom.llm import boost, common, decontam, mixing, quality, sharding
 
 
 def hash60(v):
@@ -81,6 +82,17 @@ def test_mix(docs, rows):
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
 
 
+def test_mix_in_order_is_the_mix(docs):
+    out = mixing.mix_in_order(docs).withColumn("part", F.spark_partition_id()).collect()
+    assert [r.time for r in out] == sorted(r.time for r in out), "ranges and rows in order of virtual time"
+    copies = Counter((r.doc_id, r["size"]) for r in out)
+    told = Counter()
+    for r in mixing.mix(docs).collect():
+        told[r.doc_id, r["size"]] += r.copies
+    assert copies == Counter({k: v for k, v in told.items() if v})
+    assert mixing.mix_in_order(docs.limit(0)).collect() == []
+
+
 def test_mix_of_many_small_documents_is_close(spark):
     r = random.Random(2)
     rows = [(i, "w " * r.randint(1, 9), f"s{min(4, int(r.expovariate(1)))}") for i in range(3000)]
@@ -144,10 +156,57 @@ def test_decontamination(spark, rows):
     hit = {x.doc_id: (x.item_id, x.covered, x["items"]) for x in out if x.contaminated}
     assert hit == {1000: (7, 1.0, [7]), 1001: (7, 1.0, [7]), 1006: (10, 1.0, [10])}
     assert all(x.n_items == 0 and x.item_id is None and x.covered == 0 for x in out if not x.contaminated)
+    twice = items.unionByName(spark.createDataFrame([(7, "wholly other words than those of the first one " * 3), (7, "! ".join(item))], items.schema))
+    assert {x.doc_id: (x.item_id, x.covered, x["items"]) for x in decontam.decontaminate(df, twice).where("contaminated").collect()} == hit
     assert decontam.decontaminate(df, items.limit(0)).where("contaminated").count() == 0
     assert decontam.decontaminate(df.limit(0), items).collect() == []
 
 
+def brute_leaks(texts, items, least=5, coverage=0.5):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    out = {}
+    for i, t in texts:
+        got = []
+        for k, s in items:
+            b = words(s)
+            covered = brute_tiles(words(t), b, least) / len(b) if len(b) >= least else 0
+            if covered >= coverage:
+                got.append((k, covered))
+        out[i] = got
+    return out
+
+
+def test_decontamination_against_plain_tiling(spark):
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(4, 30)))) for k in range(12)]
+    texts = []
+    for i in range(60):
+        w = [r.choice(vocabulary) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 2)):
+            s = items[r.randrange(12)][1].split()
+            a = r.randrange(len(s))
+            at = r.randrange(len(w) + 1)
+            w[at:at] = s[a : a + r.randint(3, 25)]
+        texts.append((i, " ".join(w)))
+    df, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(texts, items)
+    for x in decontam.decontaminate(df, b).collect():
+        assert (x["items"] or []) == sorted(k for k, _ in want[x.doc_id]) and x.n_items == len(want[x.doc_id])
+        assert abs(x.covered - max((c for _, c in want[x.doc_id]), default=0)) < 1e-12
+    assert any(want.values())
+
+
+def test_clashing_names_and_folders(spark):
+    names = ["gone", "Gone_", "mix_id", "mix_size", "mix_copies", "mix_copy", "judged", "_id", "_size", "_copies", "_copy", "_gone_id"]
+    df = spark.createDataFrame([(i, "a b c", "en", f"s{i % 2}", 5, *names) for i in range(9)], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in names)]))
+    gone = spark.createDataFrame([(3,), (None,)], "doc_id long")
+    assert sorted(r.doc_id for r in common.without(df, gone).collect()) == [0, 1, 2, 4, 5, 6, 7, 8]
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns and mixed.count() > 0
+    assert common.fresh("Gone", *names) == "Gone__"
+
+
 def labelled(n=900, seed=3):
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(2000)]
