@@ -418,16 +418,16 @@ def _matrices(rows) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
 
 
 def _batches(frames):
-    """Lists of (session id, y, x, t) of up to BATCH_ROWS rows."""
-    held, n = [], 0
+    """Lists of (session id, y, x, t) that hold up to BATCH_ROWS rows when all are padded to the longest."""
+    held, longest = [], 0
     for f in frames:
         for sid, rows in zip(f["session_id"], f["rows"]):
             y, x, t = _matrices(rows)
-            if held and n + len(y) > BATCH_ROWS:
+            if held and (len(held) + 1) * max(longest, len(y)) > BATCH_ROWS:
                 yield held
-                held, n = [], 0
+                held, longest = [], 0
             held.append((sid, y, x, t))
-            n += len(y)
+            longest = max(longest, len(y))
     if held:
         yield held
 
@@ -559,23 +559,28 @@ def _cycles(sessions: DataFrame, m: Model, cycles: int, o: Options) -> Model:
 
 
 def _train_batches(sessions: DataFrame, fresh: Model, o: Options) -> Model:
-    """Mini-batches: sessions drawn in inverse order of use, statistics scaled to all, steps of falling weight."""
-    ids = sorted((r[0] for r in sessions.select("session_id").collect()), key=str)
-    used, r = np.zeros(len(ids)), np.random.default_rng(o.seed)
-    m, best, n = None, np.inf, min(o.batch, len(ids))
+    """Mini-batches: sessions drawn with less weight the more they were used, statistics scaled to all, steps of falling
+    weight. How often each session was used is a table; a draw is the first rows in order of weighted hashes, so only
+    the batch's ids are ever together."""
+    from ..plans.lineage import cut
+
+    uses = cut(sessions.select("session_id", F.lit(0).alias("used")))
+    total = uses.count()
+    m, n = None, min(o.batch, total)
     for it in range(o.cycles):
-        weight = o.base ** (used - used.min())
-        chosen = r.choice(len(ids), n, replace=False, p=weight / weight.sum())
-        used[chosen] += 1
-        some = sessions.where(F.col("session_id").isin([ids[i] for i in chosen]))
+        least = uses.agg(F.min("used")).first()[0]
+        # exponential of the weight's rate: the smallest are a draw without replacement by weight
+        u = (F.pmod(F.xxhash64(F.lit(o.seed), F.lit(it), F.col("session_id")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+        key = -F.ln(u) / F.pow(F.lit(float(o.base)), F.col("used") - F.lit(least))
+        chosen = cut(uses.orderBy(key, "session_id").limit(n).select("session_id"))
+        uses = cut(uses.join(F.broadcast(chosen.withColumn("one", F.lit(1))), "session_id", "left").select("session_id", (F.col("used") + F.coalesce("one", F.lit(0))).alias("used")))
+        some = sessions.join(F.broadcast(chosen), "session_id", "left_semi")
         m = m or _first(some, fresh, o.seed)
-        rho, factor = (it + 2) ** -o.forget, len(ids) / n
+        rho, factor = (it + 2) ** -o.forget, total / n
         st = statistics(some, m)
-        fe = float(-factor * st["loglik"] + sum(m.divergences()))
-        m.trace.append(fe)
+        m.trace.append(float(-factor * st["loglik"] + sum(m.divergences())))
         m.set_dynamics(factor * st["first"], factor * st["xi"], rho)
         m.update(st, factor, rho)
-        best = min(best, fe)
     return m
 
 
@@ -674,17 +679,67 @@ def explained_variance(obs: DataFrame, gamma: DataFrame, model: Model) -> DataFr
     return j.groupBy("session_id").agg(F.array(*sums).alias("a")).select("session_id", F.explode("a").alias("r")).select("session_id", "r.*")
 
 
-def session_models(obs: DataFrame, model: Model) -> dict:
-    """A model for each session: the group model's posterior, then one update from the session's own statistics."""
+def session_models(obs: DataFrame, model: Model) -> DataFrame:
+    """(session_id, model): a model for each session as JSON (`Model.from_json`): the group model's posterior, then one
+    update from the session's own statistics. The updates run on the executors."""
     layout = Layout(model.spec, model.p, model.q)
-    out = {}
-    for r in statistics(packed(obs), model, per_session=True).toLocalIterator():
-        m = copy.deepcopy(model)
-        st = layout.read(np.array(r["stats"]))
-        m.set_dynamics(st["first"], st["xi"])
-        m.update(st)
-        out[r["session_id"]] = m
-    return out
+    stats = statistics(packed(obs), model, per_session=True)
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for flat in f["stats"]:
+                m, st = copy.deepcopy(model), layout.read(np.array(flat))
+                m.set_dynamics(st["first"], st["xi"])
+                m.update(st)
+                out.append(m.to_json())
+            yield pd.DataFrame({"session_id": f["session_id"], "model": out})
+
+    return stats.mapInPandas(run, f"session_id {dict(obs.dtypes)['session_id']}, model string")
+
+
+def pairs_of_gamma(gamma: DataFrame) -> DataFrame:
+    """(session_id, i, j, xi): each session's pair probabilities of consecutive states, approximated from its state
+    probabilities alone: products of neighbours summed over time, and divided by their sum."""
+    from pyspark.sql import Window
+
+    after = F.lead("gamma").over(Window.partitionBy("session_id").orderBy("t"))
+    j = gamma.select("session_id", "gamma", after.alias("after")).where("after is not null")
+    left = j.select("session_id", F.posexplode("gamma").alias("i", "a"), "after")
+    both = left.select("session_id", "i", "a", F.posexplode("after").alias("j", "b"))
+    s = both.groupBy("session_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    return s.select("session_id", "i", "j", (F.col("s") / F.sum("s").over(Window.partitionBy("session_id"))).alias("xi"))
+
+
+def state_regressions(obs: DataFrame, gamma: DataFrame, ridge: float = 0.1, centred: bool = True) -> DataFrame:
+    """(state, i, j, beta): regression of y on x in each state, weighted by its probability; y is centred by its weighted
+    mean first. One aggregation by state; the algebra is of p x p numbers a state."""
+    w = obs.join(gamma, ["session_id", "t"]).select(F.posexplode("gamma").alias("state", "g"), "x", "y")
+
+    def moments(frames):
+        total: dict[int, np.ndarray] = {}
+        for f in frames:
+            if not len(f):
+                continue
+            x, y, g = np.stack(f["x"].to_numpy()), np.stack(f["y"].to_numpy()), f["g"].to_numpy()
+            for k in np.unique(f["state"]):
+                at = (f["state"] == k).to_numpy()
+                v = np.column_stack([x[at], np.ones(at.sum()), y[at]])
+                total[int(k)] = total.get(int(k), 0) + (v * g[at][:, None]).T @ v
+        for k, m in total.items():
+            yield pd.DataFrame({"state": k, "size": len(m), "i": np.arange(m.size), "v": m.ravel()})
+
+    p, q = _shape_of(obs)
+    sums: dict[int, np.ndarray] = {}
+    for r in w.mapInPandas(moments, "state int, size int, i int, v double").groupBy("state", "i").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault(r["state"], np.zeros((p + 1 + q) ** 2))[r["i"]] = r["v"]
+    rows = []
+    for k, flat in sorted(sums.items()):
+        m = flat.reshape(p + 1 + q, -1)
+        mean = m[p, p + 1 :] / m[p, p] if centred else np.zeros(q)
+        beta = np.linalg.solve(m[:p, :p] + ridge * np.eye(p), m[:p, p + 1 :] - np.outer(m[:p, p], mean))
+        rows += [(k, i, j, float(b)) for (i, j), b in np.ndenumerate(beta)]
+    return obs.sparkSession.createDataFrame(rows, "state int, i int, j int, beta double")
 
 
 def sweep(obs: DataFrame, states: list[int], repeats: int, spec: Spec, options: Options | None = None) -> DataFrame:

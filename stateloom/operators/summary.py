@@ -41,8 +41,11 @@ def entropy(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.when(p > 0, -p * F.ln(p)).otherwise(0.0)).alias("entropy"))
 
 
-def evoked_response(gamma: DataFrame) -> DataFrame:
-    """(t, state, probability): mean over sessions of equal length. Raises if there is one session or lengths differ."""
+def evoked_response(gamma: DataFrame, ragged: bool = False) -> DataFrame:
+    """(t, state, probability): mean over sessions of equal length. Raises if there is one session or lengths differ;
+    ragged: sessions may differ, and the mean at t is over those that reach t."""
+    if ragged:
+        return average_by(gamma, "t")
     lengths = gamma.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("s"), F.min("n").alias("a"), F.max("n").alias("b")).first()
     if lengths["s"] < 2 or lengths["a"] != lengths["b"]:
         raise ValueError("evoked responses need two sessions at least, all of one length")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from . import results
 
 
 def order_key(seed: int, perm, unit):
@@ -258,40 +259,58 @@ def deconfound(units: DataFrame, column: str, confounds: str) -> DataFrame:
 
 # Relabelled visits
 
+#: Relabellings of a session that one task makes at once.
+PERM_CHUNK = 64
 
-def relabelled_visits(path: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame:
-    """(perm_id, session_id, t, state): every visit gets a random state other than the new one before it; perm_id 0 is
-    the path itself. The draw runs over visits, one row each, a session and permutation at a time."""
+
+def relabelled_runs(path: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame:
+    """(perm_id, session_id, onset, length, state): every visit gets a random state other than the new one before it, and
+    all states occur in a session that has visits enough; perm_id 0 is the path itself. The draw runs over visits, one
+    row each, a session and permutation at a time."""
     import pandas as pd
 
     from . import summary
 
-    runs = summary.visits(path).withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # a group holds a session's visits, and makes PERM_CHUNK of its relabellings
+    starts = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(PERM_CHUNK)))
+    runs = summary.visits(path).withColumn("chunk", starts)
     kind = dict(path.dtypes)["session_id"]
 
+    def labels(m: int, r: np.random.Generator) -> np.ndarray:
+        steps = r.integers(1, max(2, k), m)
+        for _ in range(100):
+            new = (r.integers(k) + np.cumsum(steps)) % k
+            if len(np.unique(new)) >= min(k, m):
+                return new
+            steps = r.integers(1, max(2, k), m)
+        # a random stretch takes all states in random order, and the rest goes on from it to both sides
+        need = min(k, m)
+        at, order = int(r.integers(m - need + 1)), r.permutation(k)[:need]
+        left = (order[0] + np.cumsum(steps[:at])[::-1]) % k
+        right = (order[-1] + np.cumsum(steps[at + need :])) % k
+        return np.concatenate([left, order, right]).astype(int)
+
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zlib
+
         pdf = pdf.sort_values("onset")
-        perm, sid = int(pdf["perm_id"].iloc[0]), pdf["session_id"].iloc[0]
-        if perm:
-            import zlib
-
-            r = np.random.default_rng([seed, perm, zlib.crc32(str(sid).encode())])
-            m = len(pdf)
-            need = min(k, m)
-            for _ in range(100):  # until all states occur, if there are visits enough
-                new = np.empty(m, int)
-                new[0] = r.integers(k)
-                step = r.integers(1, max(2, k), m)
-                for i in range(1, m):
-                    new[i] = (new[i - 1] + step[i]) % k
-                if len(set(new.tolist())) >= need:
-                    break
-            pdf = pdf.assign(state=new)
-        return pdf[["perm_id", "session_id", "onset", "length", "state"]]
-
-    told = runs.groupBy("perm_id", "session_id").applyInPandas(draw, f"perm_id int, session_id {kind}, onset int, length long, state int")
-    rows = told.withColumn("t", F.explode(F.sequence(F.col("onset"), (F.col("onset") + F.col("length") - 1).cast("int"))))
-    return rows.select("perm_id", "session_id", "t", "state")
+        first, sid = int(pdf["chunk"].iloc[0]), pdf["session_id"].iloc[0]
+        perms = range(first, min(first + PERM_CHUNK, n))
+        new = [labels(len(pdf), np.random.default_rng([seed, p, zlib.crc32(str(sid).encode())])) if p else pdf["state"].to_numpy() for p in perms]
+        at = np.tile(np.arange(len(pdf)), len(perms))
+        return pd.DataFrame({"perm_id": np.repeat(perms, len(pdf)), "session_id": sid, "onset": pdf["onset"].to_numpy()[at], "length": pdf["length"].to_numpy()[at], "state": np.concatenate(new)})
+
+    return runs.groupBy("chunk", "session_id").applyInPandas(draw, f"perm_id int, session_id {kind}, onset int, length long, state int")
+
+
+def _rows_of(runs: DataFrame) -> DataFrame:
+    """A row for each t of a run."""
+    return runs.withColumn("t", F.explode(F.sequence(F.col("onset"), (F.col("onset") + F.col("length") - 1).cast("int"))))
+
+
+def relabelled_visits(path: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame:
+    """(perm_id, session_id, t, state): the rows of `relabelled_runs`."""
+    return _rows_of(relabelled_runs(path, n, k, seed)).select("perm_id", "session_id", "t", "state")
 
 
 # p-values and corrections
@@ -312,28 +331,24 @@ def max_p_values(stats: DataFrame, stat: str, over: tuple[str, ...], within: tup
     s = stats.select("perm_id", *within, *over, F.col(stat).alias("raw"), F.abs(stat).alias("v"))
     top = s.groupBy("perm_id", *within).agg(F.max("v").alias("top"))
     observed = s.where("perm_id = 0").select(*within, *over, F.col("raw").alias("observed"), F.col("v").alias("v0"))
-    null = top.where("perm_id > 0")
-    j = observed.join(null, list(within)) if within else observed.crossJoin(null)
-    return j.groupBy(*within, *over).agg(F.first("observed").alias("observed"), ((F.sum((F.col("top") >= F.col("v0")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    # a row of as many numbers as there are permutations
+    null = top.where("perm_id > 0").groupBy(*within).agg(F.collect_list("top").alias("nulls"))
+    j = observed.join(F.broadcast(null), list(within), "left") if within else observed.crossJoin(F.broadcast(null))
+    reached = F.size(F.filter("nulls", lambda x: x >= F.col("v0")))
+    return j.select(*within, *over, "observed", ((reached + 1) / (F.size("nulls") + 1)).alias("p"))
 
 
 def benjamini_hochberg(p: DataFrame, column: str = "p") -> DataFrame:
     """Adds q: false discovery rate over all rows that have a p."""
-    ranked = p.where(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(Window.orderBy(column))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    raw = F.col(column) * F.col("_n") / F.col("_r")
-    from_here = Window.orderBy("_r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(raw).over(from_here))).drop("_r", "_n")
+    return results.corrected(p, "fdr_bh", column)
 
 
 def bonferroni(p: DataFrame, column: str = "p") -> DataFrame:
-    n = F.count(column).over(Window.partitionBy())
-    return p.withColumn("q", F.least(F.lit(1.0), F.col(column) * n))
+    return results.corrected(p, "bonferroni", column)
 
 
 def holm(p: DataFrame, column: str = "p") -> DataFrame:
-    ranked = p.where(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(Window.orderBy(column))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.max(F.col(column) * (F.col("_n") - F.col("_r") + 1)).over(upto))).drop("_r", "_n")
+    return results.corrected(p, "holm", column)
 
 
 def cluster_masses(stats: DataFrame, threshold: float, stat: str = "stat", *keys: str) -> DataFrame:
@@ -355,8 +370,10 @@ def cluster_p_values(stats: DataFrame, stat: str = "stat", alpha: float = 0.05,
     perms = stats.select("perm_id", *keys).where("perm_id > 0").distinct()
     top = perms.join(c.groupBy("perm_id", *keys).agg(F.max("mass").alias("top")), ["perm_id", *keys], "left").fillna(0.0, ["top"])
     found = c.where("perm_id = 0").drop("perm_id")
-    j = found.join(top, list(keys)) if keys else found.crossJoin(top)
-    return j.groupBy(*keys, "cluster", "start", "end", "mass").agg(((F.sum((F.col("top") >= F.col("mass")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    null = top.groupBy(*keys).agg(F.collect_list("top").alias("nulls"))
+    j = found.join(null, list(keys)) if keys else found.crossJoin(F.broadcast(null))
+    reached = F.size(F.filter("nulls", lambda x: x >= F.col("mass")))
+    return j.select(*keys, "cluster", "start", "end", "mass", ((reached + 1) / (F.size("nulls") + 1)).alias("p"))
 
 
 def combined_p(p: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -416,18 +433,58 @@ def across_units(units: DataFrame, n: int = 1000, method: str = "univariate", bl
     return max_p_values(stats, stat, tests, keys) if fwer else p_values(stats, stat, *keys, *tests)
 
 
-def across_visits(path: DataFrame, k: int, n: int = 200, pairs: bool = False, how: str = "mean", seed: int = 0) -> DataFrame:
+def across_columns(units: DataFrame, n: int = 1000, seed: int = 0, block: str | None = None, limit: int = 10, confounds: str | None = None, combine: bool = False) -> DataFrame:
+    """(p, q, kind, observed, pv): each predictor with each outcome by the statistic that fits it: t of two groups for
+    two distinct values, one-way F for fewer than `limit`, correlation t for others. Two-group t and correlation t of a
+    coded predictor are one statistic, so both come from `correlation_stats`. confounds: a vector column that outcomes
+    are freed of first. combine: one row (q, kind, p, z) for each outcome and kind, the combined p."""
+    from . import preprocess
+
+    p = preprocess.width(units, "d")
+    clean = deconfound(units, "r", confounds) if confounds else units
+    one = clean.select("unit_id", *([block] if block else [])).distinct()
+    perms = permutations(one, max(1, n), seed, block)
+    kinds = column_kinds(clean, "d", p, limit)
+    plain = [i for i, k in enumerate(kinds) if k != "groups"]
+    grouped = [i for i, k in enumerate(kinds) if k == "groups"]
+    parts = []
+    if plain:
+        s = correlation_stats(clean, perms).where(F.col("p").isin(plain))
+        parts.append(_column_p(s, "t"))
+    if grouped:
+        rows = _pairs(clean, perms).where(F.col("p").isin(grouped)).select("perm_id", "p", "q", F.col("x").alias("group"), F.col("y").alias("value"))
+        parts.append(_column_p(one_way_f(rows, "perm_id", "p", "q"), "f"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    names = F.array(*map(F.lit, kinds))
+    out = out.select("p", "q", F.get(names, F.col("p")).alias("kind"), "observed", "pv")
+    return combined_p(out, "pv", "q", "kind") if combine else out
+
+
+def _column_p(stats: DataFrame, stat: str) -> DataFrame:
+    """(p, q, observed, pv); p-values of `p_values` under a name that leaves the predictor's."""
+    s = stats.select("perm_id", F.col("p").alias("i"), "q", F.col(stat).alias("stat"))
+    return p_values(s, "stat", "i", "q").select(F.col("i").alias("p"), "q", "observed", F.col("p").alias("pv"))
+
+
+def across_visits(path: DataFrame, k: int, n: int = 200, pairs: bool = False, how: str = "mean", seed: int = 0, mirrored: bool = False) -> DataFrame:
     """(state[, state_b], observed, p): the signal (value) in a state against the rest, or between states, with visits
-    relabelled at random."""
+    relabelled at random. Means are taken from sums by visit, so a permutation costs a row for each visit; medians need
+    all rows. mirrored: one-sided p of pairs, in both orders."""
+    from . import summary
+
     values = path.select("session_id", "t", "value")
-    labelled = relabelled_visits(path.select("session_id", "t", "state"), n, k, seed).join(values, ["session_id", "t"])
-    agg = F.avg if how == "mean" else F.median
+    if how == "mean":
+        visits = _rows_of(summary.visits(path.select("session_id", "t", "state"))).select("session_id", "onset", "t")
+        sums = visits.join(values, ["session_id", "t"]).groupBy("session_id", "onset").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
+        told = relabelled_runs(path.select("session_id", "t", "state"), n, k, seed).join(sums, ["session_id", "onset"])
+        s = told.groupBy("perm_id", "state").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).withColumn("v", F.col("s") / F.col("c"))
+    else:
+        labelled = relabelled_visits(path.select("session_id", "t", "state"), n, k, seed).join(values, ["session_id", "t"])
+        s = labelled.groupBy("perm_id", "state").agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.median("value").alias("v"))
     if pairs:
-        s = labelled.groupBy("perm_id", "state").agg(agg("value").alias("v"))
         a, b = s.select("perm_id", F.col("state").alias("state_a"), F.col("v").alias("va")), s.select("perm_id", F.col("state").alias("state_b"), F.col("v").alias("vb"))
         stats = a.join(b, "perm_id").where("state_a < state_b").withColumn("stat", F.col("va") - F.col("vb"))
-        return p_values(stats, "stat", "state_a", "state_b")
-    s = labelled.groupBy("perm_id", "state").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
+        return results.mirrored_p(stats, "stat") if mirrored else p_values(stats, "stat", "state_a", "state_b")
     w = Window.partitionBy("perm_id")
     stats = s.withColumn("stat", F.col("s") / F.col("c") - (F.sum("s").over(w) - F.col("s")) / (F.sum("c").over(w) - F.col("c")))
     return p_values(stats, "stat", "state")

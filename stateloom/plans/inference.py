@@ -61,11 +61,6 @@ def perm_between_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.block_permutations(_units(spark, sf_dir), PERMS, SEED)
 
 
-@query()
-def perm_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.both_permutations(_units(spark, sf_dir), PERMS, SEED)
-
-
 _CORR = f"""st AS (
   SELECT perm_id, 0 AS p, count(*) AS n, corr(x.n, y.total) AS r FROM perms JOIN units x ON x.unit_id = dst JOIN units y ON y.unit_id = src GROUP BY 1
   UNION ALL SELECT perm_id, 1, count(*), corr(x.bal, y.total) FROM perms JOIN units x ON x.unit_id = dst JOIN units y ON y.unit_id = src GROUP BY 1),
@@ -99,12 +94,6 @@ def ols_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", F.round("r2", 6).alias("r2"), F.round("f", 4).alias("f"))
 
 
-@query()
-def ols_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _units(spark, sf_dir)
-    return T.multiple_regression(u, T.permutations(u, PERMS, SEED), 2, 1)
-
-
 @query()
 def cca_perm(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _units(spark, sf_dir)
@@ -274,13 +263,6 @@ def cv_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.cross_validate(u, folds=3, classify=True)
 
 
-@query()
-def family_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families as connected components of shared blocks: customers tied by supplier nations' order pairs."""
-    o = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 4).alias("b"))
-    return predict.families(o.distinct())
-
-
 # Model selection, exchangeability, factors, confounds
 
 

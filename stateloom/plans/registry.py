@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import inference, series
+from . import inference, results, series
 
-assert inference  # registers its queries in the same tables
+assert inference and results  # they register their queries in the same tables
 QUERIES = series.QUERIES
 SQL = series.SQL

@@ -38,11 +38,6 @@ def _soft(spark, sf_dir) -> DataFrame:
     return V.soft_gamma(V.sequence(spark, sf_dir))
 
 
-def _equal(spark, sf_dir, n: int = 40) -> DataFrame:
-    """The first rows of each session, so that all are of one length."""
-    return V.state_sequence(spark, sf_dir).where(F.col("t") < n)
-
-
 # Index algebra
 
 
@@ -124,14 +119,14 @@ def switching_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.switching_rate(_soft(spark, sf_dir)).select("session_id", "state", *_r("rate"))
 
 
-@query(f"WITH {S.STATES} SELECT t, CAST(s.state AS INTEGER) AS state, round(avg(CASE WHEN path.state = s.state THEN 1.0 ELSE 0.0 END), 6) AS probability FROM path, (SELECT unnest(range(0, 5)) AS state) s WHERE t < 40 GROUP BY 1, 2")
+@query(f"WITH {S.STATES} SELECT t, CAST(s.state AS INTEGER) AS state, round(avg(CASE WHEN path.state = s.state THEN 1.0 ELSE 0.0 END), 6) AS probability FROM path, (SELECT unnest(range(0, 5)) AS state) s GROUP BY 1, 2")
 def evoked_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.evoked_response(V.one_hot(_equal(spark, sf_dir), 5)).select("t", "state", *_r("probability"))
+    return summary.evoked_response(V.one_hot(V.state_sequence(spark, sf_dir), 5), ragged=True).select("t", "state", *_r("probability"))
 
 
-@query(f"WITH {S.STATES}, p AS (SELECT t, state, count(*) / sum(count(*)) OVER (PARTITION BY t) AS p FROM path WHERE t < 40 GROUP BY 1, 2) SELECT t, round(sum(-p * ln(p)), 6) AS entropy FROM p GROUP BY 1")
+@query(f"WITH {S.STATES}, p AS (SELECT t, state, count(*) / sum(count(*)) OVER (PARTITION BY t) AS p FROM path GROUP BY 1, 2) SELECT t, round(sum(-p * ln(p)), 6) AS entropy FROM p GROUP BY 1")
 def evoked_response_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = summary.evoked_response(V.one_hot(_equal(spark, sf_dir), 5))
+    r = summary.evoked_response(V.one_hot(V.state_sequence(spark, sf_dir), 5), ragged=True)
     return summary.entropy(r, "probability", "t").select("t", *_r("entropy"))
 
 
@@ -171,12 +166,12 @@ def gamma_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.overlap(V.soft_gamma(seq), V.soft_gamma(seq, V.SOFT_OTHER)).select("state_a", "state_b", *_r("overlap"))
 
 
-@query(f"""WITH {S.SEQ}, {S.soft()}, c AS (SELECT s.*, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS condition FROM soft s JOIN seq USING (session_id, t) WHERE t < 40),
+@query(f"""WITH {S.SEQ}, {S.soft()}, c AS (SELECT s.*, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS condition FROM soft s JOIN seq USING (session_id, t)),
 m AS (SELECT condition, t, round(avg(g0), 3) AS m0, round(avg(g1), 3) AS m1, round(avg(g2), 3) AS m2 FROM c GROUP BY 1, 2),
 l AS (SELECT condition, t, unnest([0, 1, 2]) AS state, unnest([m0, m1, m2]) AS m FROM m)
 SELECT t, state, max(m) FILTER (condition = 0) AS first, max(m) FILTER (condition = 1) AS second, round(max(m) FILTER (condition = 0) - max(m) FILTER (condition = 1), 6) + 0.0 AS difference FROM l GROUP BY 1, 2""")
 def condition_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = V.sequence(spark, sf_dir).where("t < 40")
+    seq = V.sequence(spark, sf_dir)
     c = seq.select("session_id", "t", F.col("event_type").isin("click", "view").cast("int").alias("condition"))
     d = summary.condition_difference(V.soft_gamma(seq).join(c, ["session_id", "t"]))
     return d.select("t", "state", "first", "second", F.round("difference", 6).alias("difference"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateloom.functions import chain, dsp, exchange, special
-from stateloom.operators import hmm, index, predict, preprocess, spectral, summary, testing
+from stateloom.operators import hmm, index, predict, preprocess, results, spectral, summary, testing
 
 
 def path_of(spark, *sessions):
@@ -171,7 +171,8 @@ def test_training_recovers_simulated_regimes(spark):
     again = hmm.Model.from_json(m.to_json())
     assert np.allclose(again.loglik(np.ones((3, 2)), None), m.loglik(np.ones((3, 2)), None))
     assert hmm.explained_variance(obs, g, m).where("r2 > 0.2").count() > 0
-    assert set(hmm.session_models(obs, m)) == set(range(8))
+    each = {r.session_id: hmm.Model.from_json(r.model) for r in hmm.session_models(obs, m).collect()}
+    assert set(each) == set(range(8)) and all(np.allclose(x.mu, m.mu, atol=1.5) for x in each.values())
 
 
 def test_model_is_kept_as_text(spark, tmp_path):
@@ -262,3 +263,120 @@ def test_session_halves_and_visit_tests(spark):
     p = spark.createDataFrame([(0, t, (t // 5) % 3, 5.0 * ((t // 5) % 3 == 1)) for t in range(150)], "session_id int, t int, state int, value double")
     out = {x.state: x for x in testing.across_visits(p, 3, n=40).collect()}
     assert out[1].observed == 5.0 and out[1].p <= 0.1
+
+
+def test_padded_batches_are_bounded(monkeypatch):
+    """A long session among short ones isn't padded with them."""
+    monkeypatch.setattr(hmm, "BATCH_ROWS", 100)
+    row = lambda n: [{"t": i, "y": [0.0], "x": None} for i in range(n)]
+    sizes = [90, *[3] * 60, 200, 1]
+    batches = list(hmm._batches([{"session_id": list(range(len(sizes))), "rows": [row(n) for n in sizes]}]))
+    assert [s for b in batches for s, *_ in b] == list(range(len(sizes)))
+    assert all(len(b) == 1 or len(b) * max(len(y) for _, y, _, _ in b) <= 100 for b in batches)
+
+
+def brute_corrections(p, method):
+    n, order = len(p), np.argsort(p, kind="stable")
+    r = np.arange(1, n + 1)
+    raw = {"holm": p[order] * (n - r + 1), "holm-sidak": 1 - (1 - p[order]) ** (n - r + 1), "simes-hochberg": p[order] * (n - r + 1), "fdr_bh": p[order] * n / r, "fdr_by": p[order] * n / r * (1 / r).sum(), "bonferroni": p[order] * n, "sidak": 1 - (1 - p[order]) ** n}[method]
+    if method.startswith("holm"):
+        raw = np.maximum.accumulate(raw)
+    elif method in ("simes-hochberg", "fdr_bh", "fdr_by"):
+        raw = np.minimum.accumulate(raw[::-1])[::-1]
+    out = np.empty(n)
+    out[order] = np.minimum(raw, 1)
+    return out
+
+
+@pytest.mark.parametrize("method", ["bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by"])
+def test_corrections_over_many_ranges(spark, monkeypatch, method):
+    monkeypatch.setattr(results, "RANGE_ROWS", 7)
+    p = np.round(np.random.default_rng(3).random(60), 2)  # with ties
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)] + [(90, None), (91, float("nan"))], "i int, p double")
+    got = {r.i: r.q for r in results.corrected(df, method).collect()}
+    want = brute_corrections(p, method)
+    assert set(got) == set(range(60)) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert len({(p[i], round(got[i], 12)) for i in got}) == len(set(p)), "equal p-values get equal q"
+    with pytest.raises(ValueError):
+        results.corrected(df, "none")
+
+
+def test_relabelled_visits_hold_all_states(spark):
+    path = spark.createDataFrame([(s, t, (t // 2) % 5) for s in range(3) for t in range(10)], "session_id int, t int, state int")
+    rows = testing.relabelled_runs(path, 70, 5, 1).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r.onset):
+        by.setdefault((r.perm_id, r.session_id), []).append(r.state)
+    assert len(by) == 210 and all(len(set(v)) == 5 for v in by.values()), "five visits, five states"
+    assert all(a != b for v in by.values() for a, b in zip(v, v[1:])) and by[0, 0] == [0, 1, 2, 3, 4]
+
+
+def test_visit_sums_give_what_rows_give(spark):
+    r = np.random.default_rng(0)
+    rows = [(s, t, int(r.integers(3)), float(r.normal())) for s in range(4) for t in range(25)]
+    path = spark.createDataFrame(rows, "session_id int, t int, state int, value double")
+    got = {x.state: x for x in testing.across_visits(path, 3, 12, seed=2).collect()}
+    for k in range(3):
+        v = np.array([x[3] for x in rows])
+        m = np.array([x[2] == k for x in rows])
+        assert abs(got[k].observed - (v[m].mean() - v[~m].mean())) < 1e-9 and 0 < got[k].p <= 1
+    pairs = {(x.state_a, x.state_b): x for x in testing.across_visits(path, 3, 12, pairs=True, seed=2, mirrored=True).collect()}
+    assert len(pairs) == 6 and all(abs(pairs[a, b].p + pairs[b, a].p - 1) < 1e-12 for a, b in pairs)
+
+
+def test_confounds_are_removed_on_training_folds(spark):
+    r = np.random.default_rng(4)
+    n = 200
+    x, c = r.normal(size=(n, 3)), r.normal(size=(n, 1))
+    y = x @ [1.0, -2.0, 0.5] + 5 * c[:, 0] + 3 + 0.1 * r.normal(size=n)
+    units = spark.createDataFrame([(i, x[i].tolist(), c[i].tolist(), float(y[i])) for i in range(n)], "unit_id int, features array<double>, confounds array<double>, target double")
+    out = {q.unit_id: q for q in predict.cross_validate(units, 4).collect()}
+    fold = np.array([out[i].fold for i in range(n)])
+    for k in range(4):
+        t = fold != k
+        beta = np.linalg.solve(c[t].T @ c[t] + 1e-5 * np.eye(1), c[t].T @ (y[t] - y[t].mean()))
+        clean = y - y[t].mean() - c @ beta
+        assert all(abs(out[i].clean_target - clean[i]) < 1e-8 for i in np.flatnonzero(fold == k)), "what the training folds say of the confound"
+    assert np.corrcoef([out[i].clean_prediction for i in range(n)], [out[i].clean_target for i in range(n)])[0, 1] > 0.98
+    assert np.corrcoef([out[i].prediction for i in range(n)], y)[0, 1] > 0.98
+    with pytest.raises(ValueError):
+        predict.cross_validate(units, 4, classify=True)
+    mean, beta = predict.fit_confounds(units)
+    back = predict.reconfound(predict.deconfound(units, mean, beta), mean, beta).collect()
+    assert all(abs(q.target - y[q.unit_id]) < 1e-9 for q in back)
+
+
+def test_kernels_in_folds_and_in_sql(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(120, 2))
+    y = (x[:, 0] ** 2 + x[:, 1] ** 2).tolist()
+    units = spark.createDataFrame([(i, x[i].tolist(), y[i]) for i in range(120)], "unit_id int, features array<double>, target double")
+    score = lambda d: d.agg(F.corr("prediction", "target")).first()[0]
+    assert score(predict.kernel_cross_validate(units, 4, shape="gaussian")) > 0.95 > 0.5 > score(predict.kernel_cross_validate(units, 4))
+    predict.register_kernel(spark, "near", shape="gaussian", tau=2.0)
+    predict.register_kernel(spark, "mine", lambda a, b: (a * b).sum(1) ** 2)
+    units.createOrReplaceTempView("units_of_kernels")
+    row = spark.sql("SELECT near(a.features, b.features) AS g, mine(a.features, b.features) AS m FROM units_of_kernels a, units_of_kernels b WHERE a.unit_id = 1 AND b.unit_id = 2").first()
+    assert abs(row.g - np.exp(-((x[1] - x[2]) ** 2).sum() / 8)) < 1e-12 and abs(row.m - (x[1] @ x[2]) ** 2) < 1e-12
+    said = units.where("unit_id = 1").select(predict.kernel_function()("features", "features").alias("k")).first().k
+    assert abs(said - x[1] @ x[1]) < 1e-12
+
+
+def test_logistic_classes_in_folds(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(90, 2))
+    units = spark.createDataFrame([(i, x[i].tolist(), float(x[i, 0] > 0)) for i in range(90)], "unit_id int, features array<double>, target double")
+    out = predict.cross_classify(units, 3, penalties=(1e-3,))
+    assert out.count() == 90 and out.where("prediction = target").count() > 80
+
+
+def test_columns_are_tested_by_their_kind(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, [float(i % 2), float(i % 4), float(r.normal())], [float(i % 2 + r.normal()), float(r.normal())], [float(r.normal())]) for i in range(80)]
+    units = spark.createDataFrame(rows, "unit_id int, d array<double>, r array<double>, c array<double>")
+    out = {(x.p, x.q): x for x in testing.across_columns(units, 40, confounds="c").collect()}
+    assert [out[p, 0].kind for p in range(3)] == ["t", "groups", "regression"] and len(out) == 6
+    assert out[0, 0].pv <= 0.05 and all(0 < x.pv <= 1 for x in out.values())
+    assert testing.across_columns(units, 10, combine=True).count() == 6
+    told = results.named(testing.across_columns(units, 5).withColumnRenamed("p", "predictor_id"), ["a", "b"], ["y"]).collect()
+    assert {(x.predictor, x.outcome) for x in told if x.q == 0} == {("a", "y"), ("b", "y"), ("Predictor 3", "y")}
