@@ -698,6 +698,20 @@ def session_models(obs: DataFrame, model: Model) -> DataFrame:
     return stats.mapInPandas(run, f"session_id {dict(obs.dtypes)['session_id']}, model string")
 
 
+def channel_table(spark: SparkSession, model: Model, axes: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
+    """(name, state, i, j, value) of a model that was fitted on projected data, back in the channels: means, coefficients
+    and covariances through the transposed axes (channels x components), with the projection's mean added to means."""
+    rows = []
+    for k in range(model.spec.n_states):
+        if model.mu is not None:
+            m = axes @ model.mu[model._of("mean", k)] + (0.0 if mean is None else mean)
+            rows += [("mean", k, i, 0, float(v)) for i, v in enumerate(m)]
+        if model.beta is not None:
+            rows += [("beta", k, i, j, float(v)) for (i, j), v in np.ndenumerate(model.beta[model._of("beta", k)] @ axes.T)]
+        rows += [("covariance", k, i, j, float(v)) for (i, j), v in np.ndenumerate(axes @ model.cov(k) @ axes.T)]
+    return spark.createDataFrame(rows, "name string, state int, i int, j int, value double")
+
+
 def pairs_of_gamma(gamma: DataFrame) -> DataFrame:
     """(session_id, i, j, xi): each session's pair probabilities of consecutive states, approximated from its state
     probabilities alone: products of neighbours summed over time, and divided by their sum."""

@@ -37,8 +37,18 @@ def _arrays(path: str, data: bytes) -> tuple[np.ndarray, np.ndarray | None, list
     return flat(y), None if x is None else flat(x), cuts
 
 
-def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
-    """Sessions of .npy and .npz files: session_id is the file's stem, with the number of the session in it if there are
+def resolve_files(spark: SparkSession, files: str | list[str], pattern: str = "*.np[yz]") -> DataFrame:
+    """(path) of a list of paths, of a manifest (a .txt file with a path on each line; blank lines are skipped), or of
+    the files in a folder whose names match the pattern."""
+    if not isinstance(files, str):
+        return spark.createDataFrame([(f,) for f in files], "path string")
+    if files.endswith(".txt"):
+        return spark.read.text(files).select(F.trim("value").alias("path")).where("path <> ''")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(files).select("path")
+
+
+def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = "*.np[yz]") -> DataFrame:
+    """Sessions of .npy and .npz files, of a folder or a list of paths: session_id is the file's stem, with the number of the session in it if there are
     several. Bounds are half-open and count from the file's first row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 

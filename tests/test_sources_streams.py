@@ -81,3 +81,51 @@ def test_mini_batch_moves_the_model(spark, model):
         data = [(f"{epoch}-{s}", t, [float(r.normal() * 0.2 + (2 if (t // 10) % 2 else -2))]) for s in range(3) for t in range(60)]
         step(spark.createDataFrame(data, "session_id string, t int, y array<double>"), epoch)
     assert m.mu[0, 0] < -0.2 and m.mu[1, 0] > 0.2
+
+
+def streamed(spark, tmp_path, df, of, name, files=1):
+    """Rows of a streaming query over the files of df."""
+    df.repartition(files).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = of(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_taper_windows_of_a_stream(spark, tmp_path):
+    from stateloom.functions import dsp
+
+    y = np.random.default_rng(3).normal(size=(70, 2))
+    df = spark.createDataFrame([("a", i, y[i].tolist()) for i in range(70)], "session_id string, i long, y array<double>").selectExpr("session_id", "timestamp_seconds(i) as ts", "y").coalesce(1)
+    out = streamed(spark, tmp_path, df, lambda s: online.taper_windows(s, 10.0, 32, 2.0, 3), "tapered")
+    assert {r.window for r in out} == {0, 1} and len(out) == 2 * 17 * 3, "two windows are full; 17 frequencies, 3 pairs"
+    table = dsp.slepian(32, 2.0, 3)
+    want = np.mean([np.abs(np.fft.rfft(y[32:64, 0] * t)) ** 2 for t in table], 0) * 2 / 10
+    got = np.array([r.re for r in sorted(out, key=lambda r: r.f) if r.window == 1 and r.i == r.j == 0])
+    assert np.allclose(got, want)
+
+
+def test_running_occupancy_and_visits_of_a_stream(spark, tmp_path):
+    rows = [("a", i * 600, [1.0, 0.0] if i < 4 else [0.0, 1.0], 0 if i < 4 else 1) for i in range(9)] + [("a", 100_000, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "session_id string, i long, gamma array<double>, state int").selectExpr("session_id", "timestamp_seconds(i) as ts", "gamma", "state")
+    (tmp_path / "x").mkdir(), (tmp_path / "y").mkdir()
+    fo = {r.window.start.timestamp() // 3600: r.fo for r in streamed(spark, tmp_path / "x", df.coalesce(1), lambda s: online.running_occupancy(s, 2), "occupied")}
+    assert len(fo) == 2 and fo[min(fo)] == [4 / 6, 2 / 6] and fo[max(fo)] == [0.0, 1.0]
+    stays = {r.state: r.n for r in streamed(spark, tmp_path / "y", df.coalesce(1), lambda s: online.visit_sessions(s), "stays")}
+    assert stays == {0: 4, 1: 5}
+
+
+def test_files_by_list_manifest_and_folder(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("/d/a.npy\n\n /d/b.npy \n")
+    np.save(tmp_path / "c.npy", np.ones(3))
+    paths = lambda f: sorted(r.path for r in ts.resolve_files(spark, f).collect())
+    assert paths(["/x", "/y"]) == ["/x", "/y"] and paths(str(tmp_path / "list.txt")) == ["/d/a.npy", "/d/b.npy"]
+    assert [p.rsplit("/", 1)[-1] for p in paths(str(tmp_path))] == ["c.npy"]
+    assert ts.read_arrays(spark, [str(tmp_path / "c.npy")]).count() == 3
+
+
+def test_a_model_back_in_the_channels(spark, model):
+    axes = np.array([[1.0], [2.0], [-1.0]])
+    t = {(r.name, r.state, r.i, r.j): r.value for r in hmm.channel_table(spark, model, axes, np.array([5.0, 0.0, 0.0])).collect()}
+    assert t["mean", 0, 0, 0] == 4.0 and t["mean", 1, 1, 0] == 2.0 and t["covariance", 0, 0, 1] == 2 * t["covariance", 0, 0, 0]
