@@ -11,8 +11,10 @@ The text crosses no shuffle to find repeats: map tasks send, for each run of win
 and the windows' 64-bit hashes, packed by anchor into `buckets` rows. Windows are equal if both their hashes and their
 anchors' are: 128 bits, of hashes that no family of words collides under. Before that they settle what repeats inside
 their own batch and send one occurrence of it, so an anchor held by a third of all rows costs a bucket one
-occurrence for each batch. What is found travels as runs of windows, packed by document into as many rows, so both
-shuffles grow with the text and the matches. The number of buckets follows the size of the input."""
+occurrence for each batch. An anchor that alone would fill a bucket, as a common phrase in many contexts does, is split:
+its windows go to buckets by their own hashes, and equal windows still meet. What is found travels as runs of windows,
+packed by document into as many rows, so both shuffles grow with the text and the matches. The number of buckets follows
+the size of the input."""
 
 from __future__ import annotations
 
@@ -30,6 +32,10 @@ from . import common, wordhash as wh
 FLUSH_BYTES = 8 << 20
 #: Input text for each bucket: bounds what a reduce task holds.
 BUCKET_BYTES = 8 << 20
+#: Windows at which an anchor is split: as many as a bucket holds of common text.
+HOT_WINDOWS = 1 << 20
+#: Windows of an anchor in one flush from which on they count towards that.
+FREQUENT = 16
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -94,63 +100,47 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, ln
 
 
-def _seed_rows(window: int, seed: int, buckets: int):
-    """Map side: batches of (doc_id, tag, text) to rows (bucket, data): runs of windows for the buckets of their anchors,
-    and what is found already for the buckets of its documents, which are numbered after those."""
-
-    def of_text(ids, tags, col):
-        """Runs of windows with one anchor: anchor, doc, tag, start word, length, and the windows' hashes."""
-        h, rows, _, _ = wh.words(col, wh.SPACED)
-        n = len(h) - window + 1
-        if n <= 0:
-            return None
-        win = wh.ngrams(h, window)
-        anchor = wh.sliding_min(wh.ngrams(h, seed), window - seed + 1)
-        whole = rows[:n] == rows[window - 1 :]
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return None
-        first = np.searchsorted(rows, np.arange(len(col)))
-        row = rows[at]
-        key_change = np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (row[1:] != row[:-1])])
-        s, ln = _runs(np.cumsum(key_change))
-        r = row[s]
-        return anchor[at][s], ids[r], tags[r], (at[s] - first[r]), ln, win[at]
-
-    def flush(parts) -> pa.RecordBatch | None:
-        if not parts:
-            return None
-        a, d, t, p, ln, w = (np.concatenate(x) for x in zip(*parts))
-        # what repeats within this batch is settled here: only its smallest document's occurrence goes on
-        again = _shared(a, d)
-        in_run = np.repeat(np.arange(len(a)), ln)
-        sub = np.flatnonzero(again[in_run])
-        hit = np.zeros(len(w), bool)
-        hit[sub] = earlier(a[in_run[sub]], w[sub], d[in_run[sub]])
-        step = _expand(ln)
-        sd, st, sp = (x[in_run[hit]] for x in (d, t, p))
-        # it goes straight to its document's row, past the buckets of anchors
-        out = [(buckets + b, x) for b, x in _found_rows(sd, st, sp + step[hit], buckets)]
-        # what is left of the runs
-        keep = np.flatnonzero(~hit)
-        kr, kp = in_run[keep], step[keep]
-        new = np.concatenate([[True], (kr[1:] != kr[:-1]) | (kp[1:] != kp[:-1] + 1)]) if len(keep) else np.zeros(0, bool)
-        s = np.flatnonzero(new)
-        ln2 = np.diff(np.append(s, len(keep)))
-        a2, d2, t2, p2 = a[kr[s]], d[kr[s]], t[kr[s]], p[kr[s]] + kp[s]
-        w2 = w[keep]
-        b2 = (a2 >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(b2, kind="stable")
-        start_w = np.cumsum(ln2) - ln2
-        worder = np.repeat(start_w[order], ln2[order]) + _expand(ln2[order]) if len(order) else np.zeros(0, np.int64)
-        w2 = w2[worder]
-        a2, d2, t2, p2, ln2, b2 = (x[order] for x in (a2, d2, t2, p2, ln2, b2))
-        ends_w = np.concatenate([[0], np.cumsum(ln2)])
-        cuts = np.flatnonzero(np.concatenate([[True], b2[1:] != b2[:-1]])) if len(b2) else np.zeros(0, np.int64)
-        for i, j in zip(cuts, np.append(cuts[1:], len(b2))):
-            values = (a2[i:j], d2[i:j], t2[i:j], p2[i:j], ln2[i:j], w2[ends_w[i] : ends_w[j]])
-            out.append((int(b2[i]), _pack(*(x.astype(kind) for x, kind in zip(values, _KINDS)))))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "data"])
+def _window_runs(ids, tags, col, window: int, seed: int):
+    """Runs of windows with one anchor: anchor, doc, tag, start word, length, and the windows' hashes."""
+    h, rows, _, _ = wh.words(col, wh.SPACED)
+    n = len(h) - window + 1
+    if n <= 0:
+        return None
+    win = wh.ngrams(h, window)
+    anchor = wh.sliding_min(wh.ngrams(h, seed), window - seed + 1)
+    whole = rows[:n] == rows[window - 1 :]
+    at = np.flatnonzero(whole)
+    if not len(at):
+        return None
+    first = np.searchsorted(rows, np.arange(len(col)))
+    row = rows[at]
+    key_change = np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (row[1:] != row[:-1])])
+    s, ln = _runs(np.cumsum(key_change))
+    r = row[s]
+    return anchor[at][s], ids[r], tags[r], (at[s] - first[r]), ln, win[at]
+
+
+def _settle(parts):
+    """What repeats within a flush is found here, and only its smallest document's occurrence goes on: found windows
+    (document, tag, window), and what is left as runs."""
+    a, d, t, p, ln, w = (np.concatenate(x) for x in zip(*parts))
+    again = _shared(a, d)
+    in_run = np.repeat(np.arange(len(a)), ln)
+    sub = np.flatnonzero(again[in_run])
+    hit = np.zeros(len(w), bool)
+    hit[sub] = earlier(a[in_run[sub]], w[sub], d[in_run[sub]])
+    step = _expand(ln)
+    sd, st, sp = (x[in_run[hit]] for x in (d, t, p))
+    keep = np.flatnonzero(~hit)
+    kr, kp = in_run[keep], step[keep]
+    new = np.concatenate([[True], (kr[1:] != kr[:-1]) | (kp[1:] != kp[:-1] + 1)]) if len(keep) else np.zeros(0, bool)
+    s = np.flatnonzero(new)
+    runs = a[kr[s]], d[kr[s]], t[kr[s]], p[kr[s]] + kp[s], np.diff(np.append(s, len(keep))), w[keep]
+    return (sd, st, sp + step[hit]), runs
+
+
+def _flushes(window: int, seed: int, out):
+    """Map side: batches of (doc_id, tag, text), by as much text as is settled at once, to what `out` makes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -160,18 +150,64 @@ def _seed_rows(window: int, seed: int, buckets: int):
             for i, j in wh.chunks(texts):
                 col = texts.slice(i, j - i)
                 held += len(wh.string_parts(col)[0])
-                if (x := of_text(ids[i:j], tags[i:j], col)) is not None:
+                if (x := _window_runs(ids[i:j], tags[i:j], col, window, seed)) is not None:
                     parts.append(x)
                 if held >= FLUSH_BYTES:
-                    if (out := flush(parts)) is not None:
-                        yield out
+                    if parts:
+                        yield out(*_settle(parts))
                     parts, held = [], 0
-        if (out := flush(parts)) is not None:
-            yield out
+        if parts:
+            yield out(*_settle(parts))
 
     return run
 
 
+def _frequent(least: int):
+    """Rows (anchor, n): the anchors with `least` windows or more in a flush."""
+
+    def out(_, runs) -> pa.RecordBatch:
+        a, ln = runs[0], runs[4]
+        order = np.argsort(a, kind="stable")
+        a, ln = a[order], ln[order]
+        cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        n = np.add.reduceat(ln, cuts) if len(cuts) else np.zeros(0, np.int64)
+        many = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(a[cuts][many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["anchor", "n"])
+
+    return out
+
+
+def _seed_rows(buckets: int, hot):
+    """Rows (bucket, data): runs of windows for the buckets of their anchors, and what is found already for the buckets
+    of its documents, which are numbered after those. Anchors whose bit is set in hot are split by windows."""
+
+    def out(found, runs) -> pa.RecordBatch:
+        # what is found goes straight to its document's row, past the buckets of anchors
+        rows = [(buckets + b, x) for b, x in _found_rows(*found, buckets)]
+        a, d, t, p, ln, w = runs
+        split = common.bitmap_has(hot.value, a & np.uint64(common.BITMAP_BITS - 1))
+        if split.any():
+            # a run of a split anchor becomes a run for each of its windows
+            parts = np.where(split, ln, 1)
+            step = np.where(np.repeat(split, parts), _expand(parts), 0)
+            a, d, t, p, split = (np.repeat(x, parts) for x in (a, d, t, p, split))
+            p, ln = p + step, np.where(split, 1, np.repeat(ln, parts))
+        first = w[np.cumsum(ln) - ln]
+        b = np.where(split, wh.mix(a ^ wh.mix(first)), a >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(b, kind="stable")
+        start_w = np.cumsum(ln) - ln
+        w = w[np.repeat(start_w[order], ln[order]) + _expand(ln[order])] if len(order) else w
+        a, d, t, p, ln, b = (x[order] for x in (a, d, t, p, ln, b))
+        ends_w = np.concatenate([[0], np.cumsum(ln)])
+        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+        for i, j in zip(cuts, np.append(cuts[1:], len(b))):
+            values = (a[i:j], d[i:j], t[i:j], p[i:j], ln[i:j], w[ends_w[i] : ends_w[j]])
+            rows.append((int(b[i]), _pack(*(x.astype(kind) for x, kind in zip(values, _KINDS)))))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "data"])
+
+    return out
+
+
 def _found_rows(d: np.ndarray, t: np.ndarray, p: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Matched windows (document, tag, window) as runs, packed into a row for each bucket of documents."""
     if not len(d):
@@ -251,7 +287,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     base = _prepared(docs, id_col, text_col).where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(common.partitions(spark), -(-size // BUCKET_BYTES))
-    seeds = base.transform(common.in_batches, _seed_rows(window, seed, buckets), "bucket long, data binary")
+    # a pass over the texts before the one that sends windows: only anchors that are frequent are counted, so little moves
+    counts = base.transform(common.in_batches, _flushes(window, seed, _frequent(FREQUENT)), "anchor long, n long")
+    many = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_WINDOWS)
+    hot = spark.sparkContext.broadcast(common.bitmap_of(many.select(F.pmod("anchor", F.lit(common.BITMAP_BITS)).alias("p"))))
+    seeds = base.transform(common.in_batches, _flushes(window, seed, _seed_rows(buckets, hot)), "bucket long, data binary")
     found = seeds.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_extend(buckets), "to long, data binary")
     merged = found.repartition(buckets, "to").groupBy("to").applyInArrow(_merge(window), "doc_id long, tag long, spans array<struct<start:int,end:int>>")
     return merged

@@ -91,9 +91,12 @@ def brute_repeats(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("flush", [1 << 12, 8 << 20])
-def test_remove_repeats(docs, rows, monkeypatch, flush):
+@pytest.mark.parametrize("flush, hot", [(1 << 12, 1 << 20), (8 << 20, 1 << 20), (1 << 12, 1), (8 << 20, 1), (1 << 12, 40)])
+def test_remove_repeats(docs, rows, monkeypatch, flush, hot):
     monkeypatch.setattr(substring, "FLUSH_BYTES", flush)
+    monkeypatch.setattr(substring, "HOT_WINDOWS", hot)
+    if hot == 1:
+        monkeypatch.setattr(substring, "FREQUENT", 1)  # every anchor is split
     out = substring.remove_repeats(docs).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute_repeats([r[:2] for r in rows], 13)
     for r in out:
@@ -101,6 +104,29 @@ def test_remove_repeats(docs, rows, monkeypatch, flush):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_windows_of_a_hot_anchor_part(spark):
+    """A phrase in many contexts: one bucket for its windows, or, once it is hot, as many as there are."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array([" ".join([*(f"b{i}x{j}" for j in range(8)), "a", "very", "common", "phrase", "here", *(f"e{i}x{j}" for j in range(8))]) for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), texts], ["doc_id", "tag", "text"])
+
+    class Bits:
+        value = np.zeros(common.BITMAP_BITS // 8, np.uint8)
+
+    counts = pa.Table.from_batches(substring._flushes(13, 5, substring._frequent(16))([batch])).to_pydict()
+    top = max(counts["n"])
+    windows = lambda: {r["bucket"]: substring._unpack(r["data"], *substring._KINDS) for r in pa.Table.from_batches(substring._flushes(13, 5, substring._seed_rows(50, Bits))([batch])).to_pylist()}
+    whole = windows()
+    Bits.value = np.full(common.BITMAP_BITS // 8, 255, np.uint8)
+    split = windows()
+    assert top > 16 and len(counts["n"]) == 1
+    sent = lambda x: sorted((int(a), int(w)) for parts in x.values() for a, w in zip(np.repeat(parts[0], parts[4]), parts[5]))
+    assert sent(whole) == sent(split) and len(sent(whole)) == 300 * 9
+    assert max(len(x[5]) for x in split.values()) < 2 * 300 * 9 / 50
+
+
 def test_word_hashes_agree_with_words():
     texts = ["a b  c", "", None, "Hello wörld a", "b", " lead", "trail "]
     h, rows, _, _ = wordhash.words(pa.array(texts), wordhash.SPACED)
