@@ -32,6 +32,8 @@ from . import common, wordhash as wh
 FLUSH_BYTES = 8 << 20
 #: Input text for each bucket: bounds what a reduce task holds.
 BUCKET_BYTES = 8 << 20
+#: Tasks of a shuffle at most; beyond, a task takes several buckets, one after the other.
+MOST_TASKS = 1 << 16
 #: Windows at which an anchor is split: as many as a bucket holds of common text.
 HOT_WINDOWS = 1 << 20
 #: Windows of an anchor in one flush from which on they count towards that.
@@ -292,9 +294,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     many = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_WINDOWS)
     hot = spark.sparkContext.broadcast(common.bitmap_of(many.select(F.pmod("anchor", F.lit(common.BITMAP_BITS)).alias("p"))))
     seeds = base.transform(common.in_batches, _flushes(window, seed, _seed_rows(buckets, hot)), "bucket long, data binary")
-    found = seeds.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_extend(buckets), "to long, data binary")
-    merged = found.repartition(buckets, "to").groupBy("to").applyInArrow(_merge(window), "doc_id long, tag long, spans array<struct<start:int,end:int>>")
-    return merged
+    found = _dealt(seeds, "bucket", buckets).applyInArrow(_extend(buckets), "to long, data binary")
+    return _dealt(found, "to", buckets).applyInArrow(_merge(window), "doc_id long, tag long, spans array<struct<start:int,end:int>>")
+
+
+def _dealt(rows: DataFrame, number: str, buckets: int):
+    """Rows grouped by bucket number; buckets are dealt to tasks in turn, as hashed numbers would put many in one task."""
+    parts = min(buckets, MOST_TASKS)
+    dealt = rows.withColumn("part", F.pmod(number, F.lit(parts)).cast("int"))
+    return dealt.repartitionById(parts, "part").groupBy("part", number)
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start:int,end:int>>"
