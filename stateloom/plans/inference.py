@@ -94,10 +94,12 @@ def ols_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", F.round("r2", 6).alias("r2"), F.round("f", 4).alias("f"))
 
 
-@query()
+@query(f"""WITH {_perm_sql(False)}, c AS (SELECT perm_id, corr(x.n, y.total) AS a, corr(x.bal, y.total) AS b, corr(x.n, x.bal) AS ab FROM perms JOIN units x ON x.unit_id = dst JOIN units y ON y.unit_id = src GROUP BY 1)
+SELECT perm_id, 0 AS component, round(sqrt((a * a + b * b - 2 * a * b * ab) / (1 - ab * ab)), 6) AS r FROM c""")
 def cca_perm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one outcome the canonical correlation is the multiple correlation."""
     u = _units(spark, sf_dir)
-    return T.canonical(u, T.permutations(u, PERMS, SEED), 2, 1)
+    return T.canonical(u, T.permutations(u, PERMS, SEED), 2, 1).select("perm_id", "component", *_r("r"))
 
 
 @query()
@@ -190,7 +192,17 @@ def cluster_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cluster_masses(z, 0.5).select("start", "end", *_r("mass"))
 
 
-@query()
+@query(f"""WITH units AS (SELECT user_id AS unit_id, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1),
+m AS (SELECT user_id AS unit_id, CAST(hour(ts) AS INTEGER) AS tau, avg(value) AS m FROM events GROUP BY 1, 2),
+u AS (SELECT unit_id, CAST(perm_id AS INTEGER) AS perm_id FROM units, (SELECT unnest(range(0, 50)) AS perm_id)),
+a AS (SELECT perm_id, unit_id AS dst, row_number() OVER (PARTITION BY perm_id ORDER BY unit_id) AS place FROM u),
+b AS (SELECT perm_id, unit_id AS src, row_number() OVER (PARTITION BY perm_id ORDER BY {_KEY}, unit_id) AS place FROM u),
+c AS (SELECT perm_id, tau, count(*) AS k, corr(n, m) AS r FROM a JOIN b USING (perm_id, place) JOIN units ON units.unit_id = dst JOIN m ON m.unit_id = src GROUP BY 1, 2),
+s AS (SELECT perm_id, tau, abs(r * sqrt((k - 2) / (1 - r * r))) AS stat FROM c WHERE k > 2 AND r IS NOT NULL AND NOT isnan(r) AND abs(r) < 1),
+o AS (SELECT *, tau - row_number() OVER (PARTITION BY perm_id ORDER BY tau) AS run FROM s WHERE stat > (SELECT quantile_cont(stat, 0.95) FROM s)),
+g AS (SELECT perm_id, min(tau) AS start, max(tau) AS stop, sum(stat) AS mass FROM o GROUP BY perm_id, run),
+top AS (SELECT perm_id, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT perm_id FROM s WHERE perm_id > 0) LEFT JOIN g USING (perm_id) GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY start) - 1 AS INTEGER) AS cluster, start, stop AS "end", round(mass, 5) AS mass, round((SELECT count(*) FILTER (top >= mass) + 1 FROM top) / ((SELECT count(*) FROM top) + 1), 6) AS p FROM g WHERE perm_id = 0""")
 def cluster_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters over the hours of the day against permuted units: does the number of a user's events go with the mean
     value in that hour?"""
@@ -201,7 +213,7 @@ def cluster_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = n.withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23)))).join(m, ["unit_id", "tau"], "left")
     u = u.select("unit_id", "tau", F.array("n").alias("d"), F.array("m").alias("r"))
     s = T.correlation_stats(u, T.permutations(n, 50, SEED), "tau").select("perm_id", "tau", F.col("t").alias("stat")).where("stat is not null and not isnan(stat)")
-    return T.cluster_p_values(s)
+    return T.cluster_p_values(s).select("cluster", "start", "end", *_r("mass", digits=5), *_r("p"))
 
 
 @query(f"WITH {_HOURS} SELECT tau % 3 AS part, round(exp(avg(ln(greatest(p, 1e-15)))), 6) AS p FROM pv GROUP BY 1")

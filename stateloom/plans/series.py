@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..operators import hmm, index, preprocess, summary
 from . import sqltext as S
 from . import views as V
@@ -254,20 +255,59 @@ def ica_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("t", *(F.col("y")[i].alias(f"s{i}") for i in range(3)))
 
 
-@query()
+_Z = "z AS (SELECT session_id, t, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS y FROM seq WINDOW w AS (PARTITION BY session_id))"
+
+
+def _filter_sql(band: tuple[float, float], fs: float, order: int) -> str:
+    """The cascade of sections as a recursion over t, which carries two numbers for each section."""
+    sos = dsp.butterworth_sos(order, band, fs)
+    k = range(len(sos))
+    v, outs = "{v}", []
+    for i, (b0, _, _, _, _, _) in enumerate(sos):
+        outs.append(f"({b0!r} * {outs[-1] if outs else v} + {{p{i}}})".replace("np.float64", ""))
+    v_in = [v, *outs[:-1]]
+    first = [f"{sos[i][1]!r} * {v_in[i]} - ({sos[i][4]!r}) * {outs[i]} + {{q{i}}}".replace("np.float64", "") for i in k]
+    second = [f"{sos[i][2]!r} * {v_in[i]} - ({sos[i][5]!r}) * {outs[i]}".replace("np.float64", "") for i in k]
+    at = {"v": "s.value"} | {f"{x}{i}": f"r.{x}{i}" for x in "pq" for i in k}
+    zero = {"v": "s.value"} | {f"{x}{i}": "0.0" for x in "pq" for i in k}
+    row = lambda names: ", ".join(x.format(**names) for x in (outs[-1], *first, *second))
+    columns = ", ".join([*(f"p{i}" for i in k), *(f"q{i}" for i in k)])
+    return f"""WITH RECURSIVE {S.SEQ}, r(session_id, t, y, {columns}) AS (
+SELECT s.session_id, s.t, {row(zero)} FROM seq s WHERE s.t = 0
+UNION ALL SELECT s.session_id, s.t, {row(at)} FROM r JOIN seq s ON s.session_id = r.session_id AND s.t = r.t + 1)
+SELECT session_id, t, round(y, 6) + 0.0 AS y FROM r"""
+
+
+@query(_filter_sql((0.05, 0.2), 1.0, 3))
 def band_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preprocess.filtered(V.sequence(spark, sf_dir), (0.05, 0.2), 1.0, order=3).select("session_id", "t", F.col("y")[0].alias("y"))
+    return preprocess.filtered(V.sequence(spark, sf_dir), (0.05, 0.2), 1.0, order=3).select("session_id", "t", (F.round(F.col("y")[0], 6) + 0.0).alias("y"))
 
 
-@query()
+@query(f"""WITH {S.SEQ}, {_Z}, n AS (SELECT session_id, count(*) AS n FROM z GROUP BY 1),
+h AS (SELECT a.session_id, a.t, any_value(a.y) AS re, sum(CASE WHEN a.t = b.t THEN 0 WHEN n % 2 = 0 THEN (a.t - b.t) % 2 * (a.t - b.t) % 2 * 2 * b.y / n / tan(pi() * (a.t - b.t) / n)
+  ELSE b.y / n * (1 / tan(pi() * (a.t - b.t) / n) - cos(pi() * (a.t - b.t)) / sin(pi() * (a.t - b.t) / n)) END) AS im
+  FROM z a JOIN z b USING (session_id) JOIN n USING (session_id) GROUP BY 1, 2),
+p AS (SELECT *, atan2(im, re) AS p FROM h), d AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY session_id ORDER BY t), 0) AS d FROM p)
+SELECT session_id, t, round(sqrt(re * re + im * im), 6) AS power, round(p - 2 * pi() * sum(round(d / (2 * pi()))) OVER (PARTITION BY session_id ORDER BY t), 6) + 0.0 AS phase FROM d""")
 def hilbert_power_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = preprocess.hilbert(preprocess.standardise(V.sequence(spark, sf_dir)), power=True, phase=True)
-    return out.select("session_id", "t", F.col("y")[0].alias("power"), F.col("y")[1].alias("phase"))
+    return out.select("session_id", "t", F.round(F.col("y")[0], 6).alias("power"), (F.round(F.col("y")[1], 6) + 0.0).alias("phase"))
 
 
-@query()
+def _downsample_sql(up: int, down: int) -> str:
+    """Each output as a weighted sum of the inputs near it; the weights are a windowed sinc."""
+    half = 10 * max(up, down)
+    k = np.arange(-half, half + 1)
+    taps = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    values = ", ".join(f"({i}, {float(v)!r})" for i, v in zip(k, taps * up / taps.sum()))
+    return f"""WITH {S.SEQ}, taps(k, w) AS (VALUES {values}), n AS (SELECT session_id, CAST(ceil(count(*) * {up} / {down}.0) AS BIGINT) AS n FROM seq GROUP BY 1),
+o AS (SELECT session_id, CAST(unnest(range(0, n)) AS INTEGER) AS t FROM n)
+SELECT o.session_id, o.t, round(sum(s.value * w), 6) + 0.0 AS y FROM o JOIN seq s ON s.session_id = o.session_id JOIN taps ON k = {down} * o.t - {up} * s.t GROUP BY 1, 2"""
+
+
+@query(_downsample_sql(2, 5))
 def downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preprocess.downsample(V.sequence(spark, sf_dir), 10, 4).select("session_id", "t", F.col("y")[0].alias("y"))
+    return preprocess.downsample(V.sequence(spark, sf_dir), 10, 4).select("session_id", "t", (F.round(F.col("y")[0], 6) + 0.0).alias("y"))
 
 
 # Decoding
@@ -393,7 +433,14 @@ def sampled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.sample(spark, sizes, fixed_model(), seed=3).select("session_id", "t", "state", F.col("y")[0].alias("y"))
 
 
-@query()
+@query(f"""WITH {S.RUNS}, k AS (SELECT CAST(unnest(range(0, (SELECT max(state) + 1 FROM path))) AS INTEGER) AS state),
+h AS (SELECT session_id, t, k.state, CASE WHEN path.state = k.state THEN 1.0 ELSE 0.0 END AS g FROM path, k),
+d AS (SELECT *, abs(g - lag(g) OVER (PARTITION BY session_id, state ORDER BY t)) AS d FROM h),
+e AS (SELECT DISTINCT session_id, k.state FROM path, k)
+SELECT session_id, state AS i, round(avg(g), 6) AS value FROM h GROUP BY 1, 2
+UNION ALL SELECT session_id, state + 5, round(avg(d), 6) FROM d WHERE d IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT e.session_id, e.state + 10, round(coalesce(avg(length), 0), 6) FROM e LEFT JOIN visits v ON v.session_id = e.session_id AND v.state = e.state GROUP BY 1, 2""")
 def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = V.state_sequence(spark, sf_dir)
-    return summary.summary_features(V.one_hot(path, 5), path)
+    f = summary.summary_features(V.one_hot(path, 5), path)
+    return f.select("session_id", F.posexplode("features").alias("i", "value")).select("session_id", "i", *_r("value"))

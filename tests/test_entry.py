@@ -73,8 +73,8 @@ def test_predictions_and_factors_take_all_coordinates(spark, monkeypatch):
 def test_cluster_nulls_come_from_permuted_units(spark, monkeypatch):
     from stateloom.operators import testing as T
 
-    seen = []
-    monkeypatch.setattr(T, "cluster_p_values", lambda s: seen.append(s) or s)
+    seen, real = [], T.cluster_p_values
+    monkeypatch.setattr(T, "cluster_p_values", lambda s: seen.append(s) or real(s))
     registry.QUERIES["cluster_pvalue"](spark, DATA)
     stat = {(r["perm_id"], r["tau"]): r["stat"] for r in seen[0].collect()}
     hours = {t for p, t in stat if p == 0}
