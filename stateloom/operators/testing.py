@@ -6,11 +6,14 @@ same ones. Statistics of all permutations are one aggregation by (perm_id, tau,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..plans.lineage import cut
 from . import results
 
 
@@ -21,16 +24,100 @@ def order_key(seed: int, perm, unit):
 # Permutations
 
 
+#: Units that one task ranks.
+RANK_ROWS = 100_000
+
+
+def _in_order(units: DataFrame, n_units: int, *keys: str) -> DataFrame:
+    """Adds place, the rank by unit_id inside keys: taken inside ranges of the id, offset by the ranges' sizes."""
+    parts = -(-n_units // RANK_ROWS)
+    if parts <= 1:
+        return units.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("unit_id")))
+    ranged = cut(units.repartitionByRange(parts, "unit_id").withColumn("part", F.spark_partition_id()))
+    return _placed(ranged, ("unit_id",), *keys)
+
+
+def _at_random(units: DataFrame, n_units: int, key, *keys: str) -> DataFrame:
+    """Adds place, the rank by the text key (as evenly spread as an MD5) and unit_id inside keys: taken inside buckets of
+    the key's first bits, offset by the buckets' sizes."""
+    bits = min(16, max(0, math.ceil(math.log2(max(1, n_units / RANK_ROWS)))))
+    keyed = units.withColumn("key", key)
+    if not bits:
+        return keyed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "unit_id"))).drop("key")
+    head = F.coalesce(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(0))
+    return _placed(keyed.withColumn("part", F.shiftright(head, 16 - bits)), ("key", "unit_id"), *keys).drop("key")
+
+
+def _placed(rows: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
+    """The rank by order inside keys, of rows whose part rises with the order."""
+    # a row for each part and value of keys
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    within = Window.partitionBy(*keys, "part").orderBy(*order)
+    ranked = rows.withColumn("place", F.row_number().over(within)).join(sizes, [*keys, "part"])
+    return ranked.withColumn("place", F.col("place") + F.col("before")).drop("part", "before")
+
+
 def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = None) -> DataFrame:
-    """(perm_id, dst, src) for perm_id 0..n-1: free, or inside blocks. units has unit_id and the block column. The rank
-    windows run inside (perm_id, block)."""
-    keys = [block] if block else []
-    u = units.select("unit_id", *keys).withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    w = Window.partitionBy("perm_id", *keys)
-    key = order_key(seed, F.col("perm_id"), F.col("unit_id"))
-    a = u.select("perm_id", *keys, F.col("unit_id").alias("dst"), F.row_number().over(w.orderBy("unit_id")).alias("place"))
-    b = u.select("perm_id", *keys, F.col("unit_id").alias("src"), F.row_number().over(w.orderBy(F.when(F.col("perm_id") == 0, "").otherwise(key), "unit_id")).alias("place"))
-    return a.join(b, ["perm_id", *keys, "place"]).select("perm_id", "dst", "src")
+    """(perm_id, dst, src) for perm_id 0..n-1: free, or inside blocks. units has unit_id and the block column. No task
+    ranks many more than RANK_ROWS units of a permutation."""
+    keys = ["block"] if block else []
+    u = units.select("unit_id", *([F.col(block).alias("block")] if block else []))
+    size = u.count()
+    placed = _in_order(u, size, *keys)
+    still = placed.select(F.lit(0).alias("perm_id"), F.col("unit_id").alias("dst"), F.col("unit_id").alias("src"))
+    if n < 2:
+        return still
+    moved = u.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+    a = placed.withColumnRenamed("unit_id", "dst").withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+    b = _at_random(moved, size, order_key(seed, F.col("perm_id"), F.col("unit_id")), "perm_id", *keys).withColumnRenamed("unit_id", "src")
+    return still.unionByName(a.join(b, ["perm_id", *keys, "place"]).select("perm_id", "dst", "src"))
+
+
+def tree_permutations(units: DataFrame, levels: list[str], n: int, seed: int = 0, whole: bool = True) -> DataFrame:
+    """(perm_id, dst, src) for perm_id 0..n-1 that respect nested blocks. Each level is a column of whole numbers that
+    divides the level before it. A positive number lets what is inside the block change places with what is inside it
+    and of the same make-up; a negative one keeps that in place and shuffles only further down. whole says so of the
+    first level's blocks. The units of a last block always change places. Ids of units are unique; perm_id 0 is the
+    identity; without units there are no rows."""
+    size = units.count()
+    path = [F.lit("").alias("p0")]
+    for j, level in enumerate(levels, 1):
+        path.append(F.concat(*(x for c in levels[:j] for x in (F.lit("/"), F.col(c).cast("string")))).alias(f"p{j}"))
+    rows = cut(units.select("unit_id", *path, *(F.col(c).alias(f"l{j}") for j, c in enumerate(levels, 1))))
+    last = len(levels)
+    # make-up of blocks, from the last level up: how many children there are of each make-up
+    shapes = [rows.groupBy(f"p{last}").agg(F.count(F.lit(1)).cast("string").alias("shape"))]
+    for j in range(last, 0, -1):
+        kin = rows.select(f"p{j - 1}", f"p{j}", F.col(f"l{j}").alias("label")).distinct().join(shapes[0], f"p{j}")
+        kinds = kin.withColumn("shape", F.concat((F.col("label") > 0).cast("string"), F.lit(":"), "shape")).groupBy(f"p{j - 1}", "shape").agg(F.count(F.lit(1)).alias("n"))
+        shapes.insert(0, kinds.groupBy(f"p{j - 1}").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("shape", "n"))))).alias("shape")))
+    pairs = units.sparkSession.range(n).select(F.col("id").cast("int").alias("perm_id"), F.lit("").alias("dst"), F.lit("").alias("src"))
+    for j in range(1, last + 1):
+        up = F.lit(whole) if j == 1 else F.col(f"l{j - 1}") > 0
+        kids = rows.select(F.col(f"p{j - 1}").alias("parent"), F.col(f"p{j}").alias("unit_id"), F.col(f"l{j}").alias("label"), up.alias("swaps")).distinct()
+        make_up = shapes[j].select(F.col(f"p{j}").alias("unit_id"), "shape")
+        kids = kids.join(make_up, "unit_id").withColumn("shape", F.concat((F.col("label") > 0).cast("string"), F.lit(":"), "shape"))
+        pairs = _paired(pairs, kids, seed, "label", size)
+    leaves = rows.select(F.col(f"p{last}").alias("parent"), "unit_id", F.col("unit_id").alias("label"), F.lit(True).alias("swaps"), F.lit("").alias("shape"))
+    return _paired(pairs, leaves, seed, "unit_id", size)
+
+
+def _paired(pairs: DataFrame, kids: DataFrame, seed: int, label: str, size: int) -> DataFrame:
+    """(perm_id, dst, src) of the children of blocks that stand in each other's place: those of one make-up in order of
+    label, and in random order where they swap."""
+    order = F.row_number().over(Window.partitionBy("parent", "shape").orderBy("label"))
+    a = kids.withColumn("place", order).select(F.col("parent").alias("dst"), "shape", "place", F.col("unit_id").alias("to"))
+    a = pairs.join(a, "dst").select("perm_id", F.col("dst").alias("of"), "shape", "place", "to")
+    b = pairs.join(kids.withColumnRenamed("parent", "src"), "src").select("perm_id", F.col("dst").alias("of"), "shape", "unit_id", "label", "swaps", "src")
+    node = F.concat("src", F.lit("/"), F.col("unit_id").cast("string")) if label == "unit_id" else F.col("unit_id")
+    key = F.when(F.col("swaps") & (F.col("perm_id") > 0), order_key(seed, F.col("perm_id"), node)).otherwise("")
+    if label == "unit_id":
+        b = _at_random(b.drop("label"), size, key, "perm_id", "of", "shape")
+    else:
+        b = b.withColumn("place", F.row_number().over(Window.partitionBy("perm_id", "of", "shape").orderBy(key, "label")))
+    b = b.select("perm_id", "of", "shape", "place", F.col("unit_id").alias("from"))
+    return a.join(b, ["perm_id", "of", "shape", "place"]).select("perm_id", F.col("to").alias("dst"), F.col("from").alias("src"))
 
 
 def block_permutations(units: DataFrame, n: int, seed: int = 0, block: str = "block") -> DataFrame:
@@ -52,12 +139,6 @@ def both_permutations(units: DataFrame, n: int, seed: int = 0, block: str = "blo
     return outer.join(inner, ["perm_id", "mid"]).select("perm_id", "dst", "src")
 
 
-def table_permutations(spark: SparkSession, rows: np.ndarray) -> DataFrame:
-    """(perm_id, dst, src) of an integer matrix with a row for each permutation (as from exchangeability trees)."""
-    flat = [(int(p), int(d), int(s)) for (p, d), s in np.ndenumerate(rows)]
-    return spark.createDataFrame(flat, "perm_id int, dst long, src long")
-
-
 def count_permutations(units: DataFrame, block: str | None = None, whole_blocks: bool = False) -> float:
     """Natural logarithm of the number of different shuffles."""
     if block is None:

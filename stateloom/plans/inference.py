@@ -287,14 +287,21 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.selection(swept)
 
 
-@query()
+_NODE = f"CASE WHEN perm_id = 0 THEN '' ELSE md5('{SEED}:' || perm_id || ':' || path) END"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS u, n_regionkey + 1 AS b, '/' || (n_regionkey + 1) || '/' || n_nationkey AS path FROM nation),
+z AS (SELECT perm_id, b, '/' || b AS path, size FROM (SELECT b, count(*) AS size FROM n GROUP BY 1), (SELECT CAST(unnest(range(0, {PERMS})) AS INTEGER) AS perm_id)),
+da AS (SELECT perm_id, b AS db, size, row_number() OVER (PARTITION BY perm_id, size ORDER BY b) AS place FROM z),
+sa AS (SELECT perm_id, b AS sb, size, row_number() OVER (PARTITION BY perm_id, size ORDER BY {_NODE}, b) AS place FROM z),
+m AS (SELECT perm_id, db, sb FROM da JOIN sa USING (perm_id, size, place)),
+du AS (SELECT perm_id, db, u AS dst, row_number() OVER (PARTITION BY perm_id, db ORDER BY u) AS place FROM m JOIN n ON b = db),
+su AS (SELECT perm_id, db, u AS src, row_number() OVER (PARTITION BY perm_id, db ORDER BY {_NODE}, u) AS place FROM m JOIN n ON b = sb)
+SELECT perm_id, dst, src FROM du JOIN su USING (perm_id, db, place)""")
 def tree_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffles of nations that keep regions whole: regions of one size change places, nations inside them too."""
-    from ..functions import exchange
-
-    n = V.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_regionkey", "n_nationkey").collect()
-    blocks = np.array([[1, r["n_regionkey"] + 1, r["n_nationkey"] + 1] for r in n])
-    return T.table_permutations(spark, exchange.shuffles(blocks, PERMS, SEED))
+    n = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"), (F.col("n_regionkey") + 1).alias("region"))
+    return T.tree_permutations(n, ["region"], PERMS, SEED)
 
 
 @query()

@@ -194,6 +194,41 @@ def test_permutations_keep_blocks(spark):
         assert all(len({v[i] // 4 for i in range(b, b + 4)}) == 1 for v in out.values() for b in range(0, 16, 4))
 
 
+def test_ranks_in_many_tasks_are_those_of_one(spark, monkeypatch):
+    u = spark.createDataFrame([(i * 7 % 101, i % 3) for i in range(101)], "unit_id long, block int")
+    for block in (None, "block"):
+        whole = sorted(map(tuple, testing.permutations(u, 4, 5, block).collect()))
+        monkeypatch.setattr(testing, "RANK_ROWS", 9)
+        assert sorted(map(tuple, testing.permutations(u, 4, 5, block).collect())) == whole and len(whole) == 404
+        monkeypatch.undo()
+    assert [tuple(r) for r in testing.permutations(u.where("unit_id < 0"), 3).collect()] == []
+
+
+def test_tree_permutations(spark, monkeypatch):
+    # two families of three and one of two may change places; the parts of family 4 stay, their units don't
+    rows = [(0, 1, 1), (1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 2, 2), (5, 2, 2), (6, 3, 1), (7, 3, 1), (8, -4, 1), (9, -4, 1), (10, -4, 2), (11, -4, 2)]
+    u = spark.createDataFrame(rows, "unit_id long, family int, part int")
+    family, part = {r[0]: r[1] for r in rows}, {r[0]: r[1:] for r in rows}
+
+    def shuffled(n):
+        out = {}
+        for r in testing.tree_permutations(u, ["family", "part"], n, 3).collect():
+            out.setdefault(r.perm_id, {})[r.dst] = r.src
+        return out
+
+    found = shuffled(40)
+    assert found[0] == {i: i for i in range(12)} and len(found) == 40
+    for m in found.values():
+        assert sorted(m.values()) == list(range(12)), "every unit once"
+        assert all(len({family[m[i]] for i in family if family[i] == f}) == 1 for f in (1, 2, 3, -4)), "families stay whole"
+        assert all(part[m[i]] == part[i] for i in (8, 9, 10, 11)) and {family[m[i]] for i in (6, 7)} == {3}
+        assert len({part[m[i]] for i in (0, 1)}) == 1 and len({part[m[i]] for i in (4, 5)}) == 1, "pairs stay together"
+    assert {family[m[0]] for m in found.values()} == {1, 2} and {m[8] for m in found.values()} == {8, 9}
+    monkeypatch.setattr(testing, "RANK_ROWS", 3)
+    assert shuffled(40) == found
+    assert testing.tree_permutations(u.where("unit_id < 0"), ["family"], 3).count() == 0
+
+
 def test_p_values(spark):
     s = spark.createDataFrame([(p, 0, float(10 - p)) for p in range(10)], "perm_id int, q int, stat double")
     assert testing.p_values(s, "stat", "q").first()["p"] == pytest.approx(1 / 10)
