@@ -143,11 +143,24 @@ def visits_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.across_visits(V.state_sequence(spark, sf_dir), 5, n=20)
 
 
-@query()
+@query(f"""WITH {S.SEQ}, h AS (SELECT session_id, t, value, row_number() OVER (PARTITION BY session_id ORDER BY md5('0:' || session_id || ':' || t), t) % 2 = 1 AS train FROM seq),
+c AS (SELECT session_id, train, t - avg(t) OVER w AS d, value - avg(value) OVER w AS r FROM h WINDOW w AS (PARTITION BY session_id, train)),
+f AS (
+  SELECT session_id, sum(d * r) FILTER (train) / (sum(d * d) FILTER (train) + 0.001) AS b,
+    sum(d * d) FILTER (NOT train) AS dd, sum(d * r) FILTER (NOT train) AS dr, sum(r * r) FILTER (NOT train) AS rr
+  FROM c GROUP BY 1),
+u AS (SELECT session_id, CAST(perm_id AS INTEGER) AS perm_id FROM f, (SELECT unnest(range(0, 20)) AS perm_id)),
+x AS (SELECT perm_id, session_id AS dst, row_number() OVER (PARTITION BY perm_id ORDER BY session_id) AS place FROM u),
+y AS (SELECT perm_id, session_id AS src, row_number() OVER (PARTITION BY perm_id ORDER BY CASE WHEN perm_id = 0 THEN '' ELSE md5('0:' || perm_id || ':' || session_id) END, session_id) AS place FROM u),
+s AS (
+  SELECT perm_id, 1 - sum(p.rr - 2 * q.b * p.dr + q.b * q.b * p.dd) / sum(p.rr) AS stat
+  FROM x JOIN y USING (perm_id, place) JOIN f p ON p.session_id = dst JOIN f q ON q.session_id = src GROUP BY 1),
+o AS (SELECT stat AS observed FROM s WHERE perm_id = 0)
+SELECT 0 AS q, round(any_value(observed), 6) AS observed, round(avg(CASE WHEN stat >= observed THEN 1.0 ELSE 0.0 END), 6) AS p FROM s, o""")
 def sessions_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does the time in a session explain the value, with coefficients swapped between sessions?"""
     s = V.sequence(spark, sf_dir).select("session_id", F.col("t").alias("unit_id"), F.array(F.col("t").cast("double")).alias("d"), F.array("value").alias("r"))
-    return T.across_sessions(s, 1, 1, n=20)
+    return T.across_sessions(s, 1, 1, n=20).select("q", *_r("observed", "p"))
 
 
 # p-values of a series: the exceedance share of each event hour stands in for a test at each time
