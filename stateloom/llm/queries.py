@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license_scan, media, mixing, near_dup, pii, quality, secrets, sharding, substring
+from . import bpe, decontam, license_scan, media, mixing, near_dup, pii, quality, secrets, sharding, substring
 from .common import table
 
 #: Byte limit of a shard in the registered queries.
@@ -68,8 +68,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    vocabulary = path("word_bpe_49k.json")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup, media_pages)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup, op13_bpe, media_pages)}
 
 
 _OP1_SQL = r"""
