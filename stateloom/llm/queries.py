@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, license_scan, media, mixing, near_dup, pii, quality, secrets, sharding, substring
+from . import bpe, decontam, license_scan, media, mixing, near_dup, pii, quality, resample, secrets, sharding, substring, wand
 from .common import table
 
 #: Byte limit of a shard in the registered queries.
@@ -68,6 +68,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), low=1, high=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -78,7 +86,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup, op13_bpe, media_pages)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_media, op3_pii, op4_license_scan, op5_quality, op6_secret_scan, op7_sharding, op8_decontamination, op9_mixing, op10_substring_dedup, op11_wand, op12_resample, op13_bpe, media_pages)}
 
 
 _OP1_SQL = r"""
@@ -151,6 +159,47 @@ kept AS (
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+x AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+v AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, x GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, x WHERE len(w) > 0),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(v.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN v USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
+_OP12_SQL = f"""
+WITH c AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS c),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+o AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+b AS (SELECT w, count(*) AS n FROM (SELECT unnest({_TERMS}) AS w FROM benchmark) GROUP BY w),
+h AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)),
+    lambda a, y: xor(a >> 8, c[CAST(xor(a, y) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS k
+  FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM o UNION SELECT w FROM b)), c),
+s AS (SELECT k, sum(n) AS s FROM o JOIN h USING (w) GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM b JOIN h USING (w) GROUP BY k),
+g AS (
+  SELECT k, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(s) FROM s), 0) + 10000 AS DOUBLE)
+    / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(t) FROM t), 0) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (k)),
+e AS (SELECT r, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS x FROM o JOIN h USING (w) JOIN g USING (k) GROUP BY r),
+v AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (x - (x % n + n) % n) // n END AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS u FROM d LEFT JOIN e USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(u AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM v),
+y AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS p FROM z)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND p <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN p END AS rank FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express."""
-    return {"op1_near_dedup": _OP1_SQL, "op7_sharding": _OP7_SQL, "op9_mixing": _OP9_SQL, "op10_substring_dedup": _OP10_SQL}
+    return {"op1_near_dedup": _OP1_SQL, "op7_sharding": _OP7_SQL, "op9_mixing": _OP9_SQL, "op10_substring_dedup": _OP10_SQL, "op11_wand": _OP11_SQL, "op12_resample": _OP12_SQL}
