@@ -24,34 +24,37 @@ def _running(lengths: np.ndarray, t: int) -> int:
 
 
 def forward(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray):
-    """Scaled forward probabilities, step by step likelihoods (log), and the likelihoods that were used."""
+    """Scaled forward probabilities, step by step likelihoods (log), and the likelihoods that were used. pi: one for all
+    sessions, or a row for each."""
     top = loglik.max(axis=2, keepdims=True)
     like = np.exp(loglik - top)
     n, steps, _ = loglik.shape
+    first = np.broadcast_to(pi, (n, like.shape[2]))
     alpha, logc = np.zeros_like(like), np.zeros((n, steps))
     for t in range(steps):
         m = _running(lengths, t)
-        a = like[:m, t] * (pi if t == 0 else alpha[:m, t - 1] @ p)
+        a = like[:m, t] * (first[:m] if t == 0 else alpha[:m, t - 1] @ p)
         c = np.maximum(a.sum(1), _TINY)
         alpha[:m, t] = a / c[:, None]
         logc[:m, t] = np.log(c) + top[:m, t, 0]
     return alpha, logc, like
 
 
-def smooth(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray):
-    """(gamma, summed pair probabilities of each session, log-likelihood of each session, sum of the chain's
-    conditional entropies)."""
+def smooth(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray, tail: np.ndarray | None = None):
+    """(gamma, summed pair probabilities of each session, log-likelihood of each session). tail: what follows a session, as
+    a row of backward probabilities at its last step; by default nothing."""
     alpha, logc, like = forward(loglik, lengths, p, pi)
     n, steps, k = loglik.shape
     gamma, xi = np.zeros_like(alpha), np.zeros((n, k, k))
     beta = np.ones((n, k))
+    after = np.ones((n, k)) if tail is None else tail
     for t in range(steps - 1, -1, -1):
         m = _running(lengths, t)
         ends = lengths[:m] == t + 1
-        g = alpha[:m, t] * np.where(ends[:, None], 1.0, beta[:m])
+        g = alpha[:m, t] * np.where(ends[:, None], after[:m], beta[:m])
         gamma[:m, t] = g / np.maximum(g.sum(1, keepdims=True), _TINY)
         if t:
-            b = like[:m, t] * np.where(ends[:, None], 1.0, beta[:m])
+            b = like[:m, t] * np.where(ends[:, None], after[:m], beta[:m])
             pair = alpha[:m, t - 1, :, None] * p * b[:, None, :]
             xi[:m] += pair / np.maximum(pair.sum((1, 2), keepdims=True), _TINY)
             back = b @ p.T
@@ -59,16 +62,17 @@ def smooth(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarra
     return gamma, xi, logc.sum(1)
 
 
-def best_path(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """Most likely states (n, T); the first state among equals. Entries past a session's end are -1."""
-    with np.errstate(divide="ignore"):
-        lp, lpi = np.log(p), np.log(pi)
+def best_path(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    """Most likely states (n, T); the first state among equals. Entries past a session's end are -1. begin: a row of log
+    scores of each session's first states, in place of those of pi; end: its last state, where that is set already."""
     n, steps, k = loglik.shape
+    with np.errstate(divide="ignore"):
+        lp, lpi = np.log(p), np.broadcast_to(np.log(pi), (n, k)) if begin is None else begin
     came, score = np.zeros((n, steps, k), np.int32), np.zeros((n, steps, k))
     for t in range(steps):
         m = _running(lengths, t)
         if t == 0:
-            score[:m, 0] = lpi + loglik[:m, 0]
+            score[:m, 0] = lpi[:m] + loglik[:m, 0]
             continue
         via = score[:m, t - 1, :, None] + lp
         came[:m, t] = via.argmax(1)
@@ -79,10 +83,36 @@ def best_path(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.nda
         ends = lengths[:m] == t + 1
         nxt = np.zeros(m, np.int32) if t + 1 == steps else np.maximum(out[:m, t + 1], 0)
         on = came[np.arange(m), min(t + 1, steps - 1), nxt] if t + 1 < steps else nxt
-        out[:m, t] = np.where(ends, score[:m, t].argmax(1), on)
+        out[:m, t] = np.where(ends, score[:m, t].argmax(1) if end is None else end[:m], on)
     return out
 
 
+def transfer(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each block of rows (scale, (n, K, K)): the probability to see its rows after the first and end in state j, given
+    that its first row is in state i, divided by exp(scale). With best, the log score of the best path between the two
+    instead, less scale."""
+    n, steps, k = loglik.shape
+    with np.errstate(divide="ignore"):
+        lp = np.log(p)
+    scale = np.zeros(n)
+    out = np.broadcast_to(np.where(np.eye(k) > 0, 0.0, -np.inf) if best else np.eye(k), (n, k, k)).copy()
+    for t in range(1, steps):
+        m = _running(lengths, t)
+        if best:
+            move = (out[:m, :, :, None] + lp).max(2) + loglik[:m, t, None]
+            top = move.max((1, 2), keepdims=True)
+            top[~np.isfinite(top)] = 0.0
+            out[:m] = move - top
+            scale[:m] += top[:, 0, 0]
+        else:
+            most = loglik[:m, t].max(1)
+            move = (out[:m] @ p) * np.exp(loglik[:m, t] - most[:, None])[:, None]
+            c = np.maximum(move.sum((1, 2), keepdims=True), _TINY)
+            out[:m] = move / c
+            scale[:m] += np.log(c[:, 0, 0]) + most
+    return scale, out
+
+
 def sample_chain(n: int, p: np.ndarray, pi: np.ndarray, r: np.random.Generator) -> np.ndarray:
     """A state path of length n."""
     u = r.random(n)

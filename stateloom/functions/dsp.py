@@ -71,6 +71,22 @@ def sos_filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y
 
 
+def sos_blocks(sos: np.ndarray, y: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filters blocks (n, T, q) of the given lengths, longest first, from a state (n, sections, 2, q) each: the outcome and
+    the state after each block's last row."""
+    y, state = np.array(y, float), np.array(state, float)
+    for t in range(y.shape[1]):
+        m = int(np.searchsorted(-lengths, -t, "left"))  # lengths above t
+        v = y[:m, t]
+        for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+            o = b0 * v + state[:m, i, 0]
+            state[:m, i, 0] = b1 * v - a1 * o + state[:m, i, 1]
+            state[:m, i, 1] = b2 * v - a2 * o
+            v = o
+        y[:m, t] = v
+    return y, state
+
+
 def analytic(x: np.ndarray) -> np.ndarray:
     """Analytic signal along the first axis (Hilbert transform by FFT)."""
     n = len(x)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from . import quantiles
 
 #: Rows that a range of sorted p-values should hold.
 RANGE_ROWS = 200_000
@@ -76,7 +77,14 @@ def null_summary(stats: DataFrame, stat: str, *keys: str, absolute: bool = True)
     at = F.max(F.when(F.col("perm_id") == 0, v)).over(Window.partitionBy(*keys))
     s = stats.withColumn("_reached", (v >= at).cast("double"))
     null = F.when(F.col("perm_id") > 0, F.col(stat))
-    return s.groupBy(*keys).agg(F.max(F.when(F.col("perm_id") == 0, F.col(stat))).alias("observed"), F.avg("_reached").alias("p"), F.percentile(null, 0.025).alias("lower"), F.percentile(null, 0.975).alias("upper"))
+    limits = quantiles.quantiles(stats, null, [0.025, 0.975], *keys)
+    limits = limits.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("quantiles")[0].alias("lower"), F.col("quantiles")[1].alias("upper"))
+    told = s.groupBy(*keys).agg(F.max(F.when(F.col("perm_id") == 0, F.col(stat))).alias("observed"), F.avg("_reached").alias("p"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    # without keys a row each
+    return told.join(limits if keys else F.broadcast(limits), on).drop(*(f"_{k}" for k in keys))
 
 
 def mirrored_p(stats: DataFrame, stat: str, a: str = "state_a", b: str = "state_b", *keys: str) -> DataFrame:

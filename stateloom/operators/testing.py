@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..plans.lineage import cut
-from . import results
+from . import quantiles, results
 
 
 def order_key(seed: int, perm, unit):
@@ -164,9 +164,11 @@ def _pairs(units: DataFrame, perms: DataFrame | None, *keys: str) -> DataFrame:
 
 
 def correlation_stats(units: DataFrame, perms: DataFrame | None = None, *keys: str) -> DataFrame:
-    """(perm_id, keys, p, q, n, r, t): Pearson correlation over complete pairs and its t value."""
-    s = _pairs(units, perms, *keys).groupBy("perm_id", *keys, "p", "q").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
-    return s.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    """(perm_id, keys, p, q, n, r, t): Pearson correlation over complete pairs and its t value. r is null where x or y does
+    not vary, t also where r is 1 or -1."""
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    s = _pairs(units, perms, *keys).groupBy("perm_id", *keys, "p", "q").agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
+    return s.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
 def single_regression(units: DataFrame, perms: DataFrame | None = None, *keys: str) -> DataFrame:
@@ -309,13 +311,17 @@ def state_vs_rest(path: DataFrame, value: str = "value", how: str = "mean") -> D
     states = F.array(*(F.lit(r["state"]) for r in path.select("state").distinct().collect()))  # one for each state
     v, k = F.col(value), F.col("k")
     rows = path.withColumn("k", F.explode(states))
-    medians = F.median(F.when(F.col("state") == k, v)) - F.median(F.when(F.col("state") != k, v))
-    return rows.groupBy(k.alias("state")).agg(medians.alias("difference"))
+    medians = quantiles.quantiles(rows.select("k", (F.col("state") == k).alias("inside"), v.alias("v")), "v", [0.5], "k", "inside")
+    middle = F.col("quantiles")[0]
+    return medians.groupBy(k.alias("state")).agg((F.max(F.when(F.col("inside"), middle)) - F.max(F.when(~F.col("inside"), middle))).alias("difference"))
 
 
 def state_pairs(path: DataFrame, value: str = "value", how: str = "mean") -> DataFrame:
     """(state_a, state_b, difference) for a < b."""
-    s = path.groupBy("state").agg((F.avg if how == "mean" else F.median)(value).alias("v"))
+    if how == "mean":
+        s = path.groupBy("state").agg(F.avg(value).alias("v"))
+    else:
+        s = quantiles.quantiles(path, value, [0.5], "state").select("state", F.col("quantiles")[0].alias("v"))
     a, b = s.select(F.col("state").alias("state_a"), F.col("v").alias("va")), s.select(F.col("state").alias("state_b"), F.col("v").alias("vb"))
     return a.join(b, F.col("state_a") < F.col("state_b")).select("state_a", "state_b", (F.col("va") - F.col("vb")).alias("difference"))
 
@@ -444,7 +450,7 @@ def cluster_masses(stats: DataFrame, threshold: float, stat: str = "stat", *keys
 def cluster_p_values(stats: DataFrame, stat: str = "stat", alpha: float = 0.05, *keys: str) -> DataFrame:
     """(keys, cluster, start, end, mass, p): clusters above the (1 - alpha) percentile of all permutations' statistics,
     against the largest cluster of each permutation; (count + 1) / (permutations + 1)."""
-    at = stats.groupBy(*keys).agg(F.percentile(F.abs(stat), 1 - alpha).alias("limit"))
+    at = quantiles.quantiles(stats, F.abs(stat), [1 - alpha], *keys).select(*keys, F.col("quantiles")[0].alias("limit"))
     s = stats.join(at, list(keys)) if keys else stats.crossJoin(F.broadcast(at))  # one row
     over = s.withColumn("stat", F.abs(stat)).withColumn("stat", F.when(F.col("stat") > F.col("limit"), F.col("stat")).otherwise(0.0))
     c = cluster_masses(over, 0.0, "stat", "perm_id", *keys)
@@ -561,7 +567,7 @@ def across_visits(path: DataFrame, k: int, n: int = 200, pairs: bool = False, ho
         s = told.groupBy("perm_id", "state").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).withColumn("v", F.col("s") / F.col("c"))
     else:
         labelled = relabelled_visits(path.select("session_id", "t", "state"), n, k, seed).join(values, ["session_id", "t"])
-        s = labelled.groupBy("perm_id", "state").agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.median("value").alias("v"))
+        s = quantiles.quantiles(labelled, "value", [0.5], "perm_id", "state").select("perm_id", "state", F.col("quantiles")[0].alias("v"))
     if pairs:
         a, b = s.select("perm_id", F.col("state").alias("state_a"), F.col("v").alias("va")), s.select("perm_id", F.col("state").alias("state_b"), F.col("v").alias("vb"))
         stats = a.join(b, "perm_id").where("state_a < state_b").withColumn("stat", F.col("va") - F.col("vb"))

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import predict, spectral
+from ..operators import clusters, predict, quantiles, spectral
 from ..operators import testing as T
 from . import sqltext as S
 from . import views as V
+from .lineage import cut
 from .series import _emb, _r, _z, query
 
 PERMS, SEED = 20, 11
@@ -229,6 +230,93 @@ def cluster_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cluster_p_values(s).select("cluster", "start", "end", *_r("mass", digits=5), *_r("p"))
 
 
+#: Permutations of the map queries: the 95 % quantile of so many falls between two of them.
+MAP_PERMS = 30
+
+
+def _map_sql(axes: str, cells: str, touch: str, how: str) -> str:
+    """Clusters of signed correlation maps, by recursion over touching cells. axes: columns of a cell; cells: the query of
+    (unit_id, axes, x, y) pairs as s (permuted outcome) and d; touch: whether cells a and b touch."""
+    cell = axes.replace(" ", "").split(",")
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in cell)
+    passed = f"""v AS (SELECT perm_id, {axes}, stat AS value FROM s JOIN (SELECT {axes}, quantile_cont(stat, 0.95) AS l FROM s GROUP BY {axes}) USING ({axes}) WHERE stat >= l AND stat > 0)"""
+    if how == "z":
+        passed = f"""v AS (SELECT perm_id, {axes}, (stat - m) / sd AS value FROM s JOIN (SELECT {axes}, avg(stat) AS m, stddev_pop(stat) AS sd FROM s GROUP BY {axes}) USING ({axes}) WHERE sd > 0 AND (stat - m) / sd >= 1.6448536269514722)"""
+    return f"""WITH RECURSIVE units AS (SELECT user_id AS unit_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS b FROM events GROUP BY 1),
+u AS (SELECT unit_id, CAST(perm_id AS INTEGER) AS perm_id FROM units, (SELECT unnest(range(0, {MAP_PERMS})) AS perm_id)),
+a AS (SELECT perm_id, unit_id AS dst, row_number() OVER (PARTITION BY perm_id ORDER BY unit_id) AS place FROM u),
+b AS (SELECT perm_id, unit_id AS src, row_number() OVER (PARTITION BY perm_id ORDER BY {_KEY}, unit_id) AS place FROM u),
+{cells},
+s AS (SELECT perm_id, {axes}, r * sqrt((k - 2) / (1 - r * r)) AS stat FROM c WHERE k > 2 AND r IS NOT NULL AND NOT isnan(r) AND abs(r) < 1),
+{passed},
+id AS (SELECT *, row_number() OVER (ORDER BY perm_id, {axes}) AS i FROM v),
+e AS (SELECT a.i AS u, b.i AS w FROM id a JOIN id b ON a.perm_id = b.perm_id AND {touch}),
+reach(i, r) AS (SELECT u, w FROM e UNION SELECT reach.i, e.w FROM reach JOIN e ON reach.r = e.u),
+g AS (SELECT i, min(r) AS cl FROM reach GROUP BY i),
+mm AS (SELECT perm_id, cl, sum(value) AS mass FROM id JOIN g USING (i) GROUP BY perm_id, cl),
+top AS (SELECT perm_id, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT perm_id FROM s) LEFT JOIN mm USING (perm_id) GROUP BY perm_id),
+l AS (SELECT quantile_cont(top, 0.95) AS l FROM top),
+o AS (SELECT cl, mass, row_number() OVER (ORDER BY cl) - 1 AS number FROM mm WHERE perm_id = 0)
+SELECT {axes}, round(value, 5) AS value, CAST(number AS INTEGER) AS cluster, round(mass, 4) AS mass, mass >= l AS kept,
+  round((SELECT count(*) FILTER (top >= mass) + 1 FROM top WHERE perm_id > 0) / {MAP_PERMS}.0, 6) AS cluster_p
+FROM id JOIN g USING (i) JOIN o USING (cl), l WHERE perm_id = 0"""
+
+
+_DAY_CELLS = """m AS (SELECT user_id AS unit_id, CAST(hour(ts) AS INTEGER) AS tau, CAST(isodow(ts) - 1 AS INTEGER) AS day, avg(value) AS m FROM events GROUP BY 1, 2, 3),
+c AS (SELECT perm_id, tau, day, count(*) AS k, corr(n, m) AS r FROM a JOIN b USING (perm_id, place) JOIN units ON units.unit_id = dst JOIN m ON m.unit_id = src GROUP BY 1, 2, 3)"""
+_JOINT_CELLS = """m AS (SELECT user_id AS unit_id, CAST(hour(ts) AS INTEGER) AS tau, avg(value) AS m FROM events GROUP BY 1, 2),
+c AS (SELECT perm_id, CAST(p AS INTEGER) AS p, tau, count(*) AS k, corr(CASE WHEN p = 0 THEN n ELSE b END, m) AS r FROM a JOIN b USING (perm_id, place) JOIN units ON units.unit_id = dst JOIN m ON m.unit_id = src, (SELECT unnest([0, 1]) AS p) GROUP BY 1, 2, 3)"""
+_NEAR_DAY = "a.tau BETWEEN b.tau - 1 AND b.tau + 1 AND a.day BETWEEN b.day - 1 AND b.day + 1"
+_NEAR_JOINT = "a.tau BETWEEN b.tau - 1 AND b.tau + 1 AND a.p BETWEEN b.p - 1 AND b.p + 1"
+
+
+def _map_result(clusters: DataFrame, *axes: str) -> DataFrame:
+    return clusters.select(*axes, *_r("value", digits=5), "cluster", *_r("mass", digits=4), "kept", *_r("cluster_p"))
+
+
+def _day_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(perm_id, tau, day, t): does the number of a user's events go with the mean value in an hour of a weekday?"""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), F.weekday("ts").alias("day"), "value")
+    n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    m = e.groupBy("unit_id", "tau", "day").agg(F.avg("value").alias("m"))
+    # a row for each cell, so that a unit without events in it still lends its number to others
+    grid = n.withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    u = grid.join(m, ["unit_id", "tau", "day"], "left").select("unit_id", "tau", "day", F.array("n").alias("d"), F.array("m").alias("r"))
+    return T.correlation_stats(u, T.permutations(n, MAP_PERMS, SEED), "tau", "day").where("n > 2").select("perm_id", "tau", "day", "t")
+
+
+@query(_map_sql("tau, day", _DAY_CELLS, _NEAR_DAY, "raw"))
+def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters in two dimensions, by hour and weekday, of raw statistics."""
+    return _map_result(clusters.cluster_correction(cut(_day_map(spark, sf_dir)), ("tau", "day"), "t"), "tau", "day")
+
+
+@query(_map_sql("tau, day", _DAY_CELLS, _NEAR_DAY, "z"))
+def cluster_map_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cluster_map, of statistics made z-scores of their cell."""
+    return _map_result(clusters.cluster_correction(cut(_day_map(spark, sf_dir)), ("tau", "day"), "t", how="z"), "tau", "day")
+
+
+@query(_map_sql("p, tau", _JOINT_CELLS, _NEAR_JOINT, "z"))
+def cluster_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One map of two predictors (a user's events and purchases) by hour."""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), "value", "event_type")
+    n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("event_type") == "purchase").cast("double").alias("b"))
+    m = e.groupBy("unit_id", "tau").agg(F.avg("value").alias("m"))
+    u = n.withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23)))).join(m, ["unit_id", "tau"], "left")
+    u = u.select("unit_id", "tau", F.array("n", "b").alias("d"), F.array("m").alias("r"))
+    s = T.correlation_stats(u, T.permutations(n, MAP_PERMS, SEED), "tau").where("n > 2").select("perm_id", "p", "tau", "t")
+    return _map_result(clusters.cluster_correction(cut(s), ("p", "tau"), "t", how="z"), "p", "tau")
+
+
+@query(f"WITH {S.STATES} SELECT state, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{round(q * 1000)}" for q in (0.0, 0.025, 0.5, 0.975, 1.0)) + " FROM path GROUP BY 1")
+def state_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the signal in each state."""
+    at = (0.0, 0.025, 0.5, 0.975, 1.0)
+    q = quantiles.quantiles(V.state_sequence(spark, sf_dir), "value", at, "state")
+    return q.select("state", "n", *(F.round(F.col("quantiles")[i], 6).alias(f"q{round(p * 1000)}") for i, p in enumerate(at)))
+
+
 @query(f"WITH {_HOURS} SELECT tau % 3 AS part, round(exp(avg(ln(greatest(p, 1e-15)))), 6) AS p FROM pv GROUP BY 1")
 def combine_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.combined_p(_hours(spark, sf_dir).withColumn("part", F.col("tau") % 3), "p", "part").select("part", *_r("p"))

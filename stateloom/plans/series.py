@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..operators import hmm, index, preprocess, summary
+from ..operators import blocks, hmm, index, preprocess, summary
 from . import sqltext as S
 from . import views as V
 
@@ -394,6 +394,32 @@ def viterbi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.viterbi(_z(spark, sf_dir), fixed_model())
 
 
+#: Rows of a block in the registered queries: sessions of the events are short.
+BLOCK = 16
+
+
+@query(SQL["posterior"])
+def posterior_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As posterior, by a scan over blocks of each session."""
+    return blocks.decode(_z(spark, sf_dir), fixed_model(), BLOCK).select("session_id", "t", F.round(F.col("gamma")[0], 6).alias("g0"))
+
+
+@query(SQL["viterbi_path"])
+def viterbi_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.viterbi(_z(spark, sf_dir), fixed_model(), BLOCK)
+
+
+@query(SQL["forward_loglik"])
+def loglik_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.loglik(_z(spark, sf_dir), fixed_model(), BLOCK).select("session_id", *_r("loglik"))
+
+
+@query(SQL["band_pass"])
+def band_pass_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocks.filtered(V.sequence(spark, sf_dir), (0.05, 0.2), 1.0, order=3, block_rows=BLOCK)
+    return out.select("session_id", "t", (F.round(F.col("y")[0], 6) + 0.0).alias("y"))
+
+
 @query(f"WITH {S.SOFT_LONG} SELECT gl.state, round(sum(g), 5) AS n, round(sum(g * value), 4) AS gy, round(sum(g * value * value), 3) AS gyy FROM gl JOIN seq USING (session_id, t) GROUP BY 1")
 def suffstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sufficient statistics of a posterior: weighted moments of each state."""
