@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hmm, predict
+from ..operators import hmm, predict, svm
 from ..operators import results as R
 from ..operators import testing as T
 from . import inference as I
@@ -196,3 +196,11 @@ def cv_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel ridge regression of the labels' parity from all coordinates, by a Gaussian kernel."""
     e = _emb(spark, sf_dir)
     return predict.kernel_cross_validate(e.select(F.col("t").alias("unit_id"), F.col("y").alias("features"), (F.col("label") % 2).cast("double").alias("target")), 3, None, "gaussian", 4.0)
+
+
+@query()
+def cv_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support vector machines with a Gaussian kernel tell the labels' parity from all coordinates."""
+    e = _emb(spark, sf_dir)
+    u = e.select(F.col("t").alias("unit_id"), F.col("y").alias("features"), (F.col("label") % 2).cast("double").alias("target"))
+    return svm.cross_svm(u, 3, None, "gaussian", 4.0, (0.1, 1.0))
