@@ -382,6 +382,73 @@ class Model:
         arr = {k: np.array(v) if isinstance(v, list) and k != "trace" else v for k, v in d.items()}
         return cls(Spec(**spec), **arr)
 
+    @classmethod
+    def from_mat(cls, variables: dict) -> Model:
+        """A model saved from MATLAB (as `sources.matfile.read` gives it), itself or in a variable hmm. Means and
+        coefficients are rows of each state's W, the mean's first; they have coefficients if there are more rows."""
+        h = variables if "K" in variables else variables["hmm"]
+        one = lambda v: float(np.ravel(v)[0])
+        k, train = int(one(h["K"])), h["train"]
+        states = [h["state"]] if isinstance(h["state"], dict) else list(np.ravel(h["state"]))
+        has_mean, cov = not int(one(train["zeromean"])), str(train["covtype"])
+        w = states[0].get("W")
+        rows = 0 if w is None else np.atleast_2d(w["Mu_W"]).shape[0]
+        prior = h["prior"]["Omega"] if "Omega" in h.get("prior", {}) else states[0]["prior"]["Omega"]
+        spec = Spec(k, cov, "state" if has_mean else "no", "state" if rows > has_mean else "no", one(train["DirichletDiag"]) if "DirichletDiag" in train else 10.0)
+        spec.transitions = np.reshape(train["Pstructure"], (k, k)).astype(bool) if "Pstructure" in train else spec.transitions
+        spec.starts = np.ravel(train["Pistructure"]).astype(bool) if "Pistructure" in train else spec.starts
+        s = np.atleast_2d(np.asarray(train["S"], float)) if "S" in train else None
+        if spec.diagonal and s is not None and spec.beta != "no" and s.shape == (rows - has_mean, np.atleast_2d(w["Mu_W"]).shape[1]):
+            spec.connectivity = s
+        rate = np.asarray(prior["Gam_rate"], float)
+        q = rate.size if spec.diagonal else rate.shape[0]
+        m = cls(spec)
+        p = rows - has_mean
+        m.set_up(p, q, np.ones(q))
+        m.prior_rate, m.prior_shape = np.ravel(rate) if spec.diagonal else rate, one(prior["Gam_shape"])
+        noise = [h["Omega"]] if spec.shared else [s["Omega"] for s in states]
+        m.sigma_rate = np.array([np.ravel(o["Gam_rate"]) if spec.diagonal else np.asarray(o["Gam_rate"], float) for o in noise], float)
+        m.sigma_shape = np.array([one(o["Gam_shape"]) for o in noise])
+        for i, state in enumerate(states if w is not None else []):
+            mu = np.asarray(state["W"]["Mu_W"], float).reshape(rows, q)
+            s_w = np.asarray(state["W"]["S_W"], float)
+            s_w = s_w.reshape(q, rows, rows) if spec.diagonal else s_w.reshape(rows * q, rows * q)
+            if has_mean:
+                m.mu[i], m.mu_cov[i] = mu[0], s_w[:, 0, 0] if spec.diagonal else s_w[:q, :q]
+            if m.beta is not None:
+                j = int(has_mean)
+                m.beta[i], m.beta_cov[i] = mu[j:], s_w[:, j:, j:] if spec.diagonal else s_w[j * q :, j * q :]
+        m.alpha, m.alpha2 = np.ravel(np.asarray(h["Dir_alpha"], float)), np.reshape(np.asarray(h["Dir2d_alpha"], float), (k, k))
+        return m
+
+    def to_mat(self) -> dict:
+        """The model as variables of a MAT file, in the form that `from_mat` reads."""
+        s = self.spec
+        if "shared" in (s.mean, s.beta) or s.covariance == "identity":
+            raise ValueError("means and coefficients must be of states, with a covariance that is estimated")
+        omega = lambda rate, shape: {"Gam_rate": rate, "Gam_shape": float(shape)}
+        prior = omega(self.prior_rate, self.prior_shape)
+        noise = [omega(r, n) for r, n in zip(self.sigma_rate, self.sigma_shape)]
+        states = np.empty(s.n_states, object)
+        for k in range(s.n_states):
+            parts = ([self.mu[k][None]] if self.mu is not None else []) + ([self.beta[k]] if self.beta is not None else [])
+            mu = np.concatenate(parts) if parts else np.zeros((0, self.q))
+            n, a = len(mu), int(self.mu is not None)
+            s_w = np.zeros((self.q, n, n) if s.diagonal else (n * self.q, n * self.q))
+            if a and s.diagonal:
+                s_w[:, 0, 0] = self.mu_cov[k]
+            elif a:
+                s_w[: self.q, : self.q] = self.mu_cov[k]
+            if self.beta is not None and s.diagonal:
+                s_w[:, a:, a:] = self.beta_cov[k]
+            elif self.beta is not None:
+                s_w[a * self.q :, a * self.q :] = self.beta_cov[k]
+            states[k] = {"W": {"Mu_W": mu, "S_W": s_w}, "prior": {"Omega": prior}} | ({} if s.shared else {"Omega": noise[k]})
+        train = {"covtype": s.covariance, "zeromean": float(s.mean == "no"), "DirichletDiag": s.dirichlet_diag, "Pstructure": s.transitions, "Pistructure": s.starts}
+        train["S"] = np.ones((max(self.p, 1), self.q)) if s.connectivity is None else np.asarray(s.connectivity, float)
+        out = {"K": float(s.n_states), "train": train, "state": states, "prior": {"Dir_alpha": 1.0}, "P": self.moves, "Pi": self.starts, "Dir_alpha": self.alpha, "Dir2d_alpha": self.alpha2}
+        return {"hmm": out | ({"Omega": noise[0]} if s.shared else {})}
+
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(self.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import blocks, hmm, index, preprocess, summary
+from ..sources import timeseries
 from . import sqltext as S
 from . import views as V
 
@@ -310,6 +311,13 @@ def downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.downsample(V.sequence(spark, sf_dir), 10, 4).select("session_id", "t", (F.round(F.col("y")[0], 6) + 0.0).alias("y"))
 
 
+@query(f"WITH {S.SEQ} SELECT CAST(session_id AS VARCHAR) AS session_id, t, value FROM seq")
+def sessions_through_mat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session written as a MAT file and read back."""
+    back = timeseries.parse_arrays(timeseries.mat_files(V.sequence(spark, sf_dir)))
+    return back.select("session_id", "t", F.col("y")[0].alias("value"))
+
+
 # Decoding
 
 

@@ -1,7 +1,7 @@
 """Readers and writers of session tables.
 
-Array files (.npy, .npz) and plain text come in through Spark's own readers, so that any store it can read will do;
-each file is parsed in the task that reads it."""
+Array files (.npy, .npz, .mat) and plain text come in through Spark's own readers, so that any store it can read will do;
+each file is parsed in the task that reads it. Arrays larger than a task are read by `arrayfile.read_npy`."""
 
 from __future__ import annotations
 
@@ -13,22 +13,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import matfile
+
 SCHEMA = "session_id string, t int, y array<double>, x array<double>"
 
 
 def _arrays(path: str, data: bytes) -> tuple[np.ndarray, np.ndarray | None, list[tuple[int, int]]]:
     """(y, x, sessions): a file with x only is read as y; without indices or lengths T it is one session."""
-    loaded = np.load(io.BytesIO(data), allow_pickle=False)
-    if isinstance(loaded, np.ndarray):
-        found = {"Y": loaded}
+    if path.lower().endswith(".mat"):
+        found = {k: v for k, v in matfile.read(data).items() if isinstance(v, np.ndarray) and v.dtype != object}
     else:
-        found = {k: loaded[k] for k in loaded.files}
+        loaded = np.load(io.BytesIO(data), allow_pickle=False)
+        found = {"Y": loaded} if isinstance(loaded, np.ndarray) else {k: loaded[k] for k in loaded.files}
     names = {k.lower(): k for k in found}
     y = found[names["y"]] if "y" in names else found.pop(names["x"]) if "x" in names else found[next(iter(found))]
     x = found.get(names.get("x", ""), None) if "y" in names else None
     flat = lambda a: np.asarray(a, float).reshape(len(a), -1)
     if "indices" in names:
-        cuts = [tuple(map(int, r)) for r in np.atleast_2d(found[names["indices"]])]
+        cuts = [tuple(map(int, r)) for r in found[names["indices"]].reshape(-1, 2)]
     elif "t" in names:
         ends = np.cumsum(np.ravel(found[names["t"]]).astype(int))
         cuts = list(zip([0, *ends[:-1]], ends))
@@ -37,7 +39,7 @@ def _arrays(path: str, data: bytes) -> tuple[np.ndarray, np.ndarray | None, list
     return flat(y), None if x is None else flat(x), cuts
 
 
-def resolve_files(spark: SparkSession, files: str | list[str], pattern: str = "*.np[yz]") -> DataFrame:
+def resolve_files(spark: SparkSession, files: str | list[str], pattern: str = "*.{npy,npz,mat}") -> DataFrame:
     """(path) of a list of paths, of a manifest (a .txt file with a path on each line; blank lines are skipped), or of
     the files in a folder whose names match the pattern."""
     if not isinstance(files, str):
@@ -47,10 +49,15 @@ def resolve_files(spark: SparkSession, files: str | list[str], pattern: str = "*
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(files).select("path")
 
 
-def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = "*.np[yz]") -> DataFrame:
-    """Sessions of .npy and .npz files, of a folder or a list of paths: session_id is the file's stem, with the number of the session in it if there are
-    several. Bounds are half-open and count from the file's first row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = "*.{npy,npz,mat}") -> DataFrame:
+    """Sessions of .npy, .npz and .mat files, of a folder or a list of paths: session_id is the file's stem, with the number
+    of the session in it if there are several. Bounds are half-open and count from the file's first row. A file is held
+    by one task."""
+    return parse_arrays(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
+def parse_arrays(files: DataFrame) -> DataFrame:
+    """Sessions of files that are at hand as rows (path, content): see `read_arrays`."""
 
     def parse(frames):
         for f in frames:
@@ -61,7 +68,24 @@ def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = "*.np
                     sid = stem if len(cuts) == 1 else f"{stem}#{i}"
                     yield pd.DataFrame({"session_id": sid, "t": np.arange(b - a, dtype="int32"), "y": list(y[a:b]), "x": list(x[a:b]) if x is not None else [None] * (b - a)})
 
-    return files.mapInPandas(parse, SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, SCHEMA)
+
+
+def mat_files(obs: DataFrame) -> DataFrame:
+    """(path, content): a .mat file for each session, with its rows in order of t as Y and, if there are any, x as X. A session
+    is held by one task. Written to a store, MATLAB reads them, as `read_arrays` does."""
+    x = F.col("x") if "x" in obs.columns else F.lit(None).cast("array<double>")
+    rows = obs.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", x.alias("x")))).alias("rows"))
+
+    def write(frames):
+        for f in frames:
+            out = []
+            for sid, part in zip(f["session_id"], f["rows"]):
+                found = {"Y": np.array([r["y"] for r in part], float)} | ({"X": np.array([r["x"] for r in part], float)} if part[0]["x"] is not None else {})
+                out.append((f"{sid}.mat", matfile.write(found)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return rows.mapInPandas(write, "path string, content binary")
 
 
 def read_text(spark: SparkSession, path: str, separator: str = r"\s+|,") -> DataFrame:
