@@ -111,20 +111,24 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class _Sequence(HTMLParser):
-    """Collects texts and media references in the order of the page. A figure's caption belongs to its media; media
-    without one take their alt text."""
+    """Collects texts and media references in the order of the page. A figure's captions belong to all its media, before or
+    after them; captions without media are texts; media without a caption take their alt text. The head ends at its end
+    tag, at body, or at anything that can't stand in a head. ignored: numbers of start tags that count as not there."""
 
-    SKIPPED = {"script", "style", "template", "noscript", "head"}
+    SKIPPED = {"script", "style", "template"}
+    HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template", "basefont", "bgsound"}
     MEDIA = {"img", "video", "audio", "source", "embed"}
     BLOCKS = {"p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "section", "article", "body", "figure", "figcaption", "blockquote", "pre", "header", "footer", "main", "nav", "aside", "title"}
 
-    def __init__(self):
+    def __init__(self, ignored: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self._text: list[str] = []
-        self._caption: list[str] | None = None
-        self._figure: list[int] | None = None
-        self._skip: list[str] = []
+        self._figures: list[tuple[list[int], list[str]]] = []  # places of media, captions
+        self._caption: tuple[int, list[str]] | None = None  # the start tag's number, and what it says
+        self._skip: list[tuple[str, int]] = []
+        self._ignored, self._number = ignored, 0
+        self._head = self._title = False
 
     def _flush(self):
         text = "".join(self._text)
@@ -133,55 +137,101 @@ class _Sequence(HTMLParser):
             self.out.append({"pos": len(self.out), "kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        self._number += 1
+        if self._number in self._ignored:
+            return
         if tag in self.SKIPPED:
-            self._skip.append(tag)
+            self._skip.append((tag, self._number))
         if self._skip:
             return
-        if tag in self.BLOCKS:
+        if tag == "head":
+            self._head = True
+        elif self._head and tag not in self.HEAD:
+            self._head = False
+        if self._head:
+            self._title = tag == "title"
+            return
+        if tag in self.BLOCKS and self._caption is None:
             self._flush()
         if tag == "figure":
-            self._figure = []
+            self._close_caption()
+            self._figures.append(([], []))
         elif tag == "figcaption":
-            self._caption = []
+            self._close_caption()
+            self._caption = (self._number, [])
         elif tag in self.MEDIA:
             said = {k: v or "" for k, v in reversed(attrs)}
             src = said.get("src", "").strip()
             if src:
                 self._flush()
-                if self._figure is not None:
-                    self._figure.append(len(self.out))
+                if self._figures:
+                    self._figures[-1][0].append(len(self.out))
                 digest = src[len(SCHEME) :].lower() if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "surrogatepass")).hexdigest()
                 self.out.append({"pos": len(self.out), "kind": "media", "text": src, "digest": digest, "caption": said.get("alt") or None})
 
+    def _close_caption(self):
+        """To the figure around it; without one it is a text."""
+        if self._caption is not None:
+            caption, self._caption = " ".join("".join(self._caption[1]).split()), None
+            if self._figures:
+                self._figures[-1][1].append(caption)
+            else:
+                self._text.append(caption)
+                self._flush()
+
+    def _close_figure(self):
+        self._close_caption()
+        self._flush()
+        places, captions = self._figures.pop()
+        caption = " ".join(filter(None, captions))
+        for i in places:
+            self.out[i]["caption"] = caption or self.out[i]["caption"]
+        if caption and not places:
+            self._text.append(caption)
+            self._flush()
+
     def handle_endtag(self, tag):
         if self._skip:
-            if tag == self._skip[-1]:
-                self._skip.pop()
-            return
-        if tag == "figcaption" and self._caption is not None:
-            caption = " ".join("".join(self._caption).split())
-            self._caption = None
-            for i in self._figure or ():
-                self.out[i]["caption"] = caption or self.out[i]["caption"]
-        elif tag == "figure":
-            self._flush()
-            self._figure = None
-        elif tag in self.BLOCKS:
+            at = [i for i, (name, _) in enumerate(self._skip) if name == tag]
+            if at:
+                del self._skip[at[-1] :]
+        elif self._head:
+            self._head, self._title = tag not in ("head", "body", "html"), False
+        elif tag == "figcaption":
+            self._close_caption()
+        elif tag == "figure" and self._figures:
+            self._close_figure()
+        elif tag in self.BLOCKS and self._caption is None:
             self._flush()
 
     def handle_data(self, data):
-        if self._skip:
+        if self._skip or (self._head and (self._title or not data.strip())):
             return
-        (self._text if self._caption is None else self._caption).append(data)
+        self._head = False
+        (self._text if self._caption is None else self._caption[1]).append(data)
+
+    def finish(self) -> set[int]:
+        """Ends the page; numbers of start tags that took all that followed, as nothing closed them."""
+        self.close()
+        open_tags = {n for tag, n in self._skip if tag == "template"} | ({self._caption[0]} if self._caption else set())
+        while self._figures:
+            self._close_figure()
+        self._close_caption()
+        self._flush()
+        return open_tags
 
 
 def segments(page: str | None) -> list[dict]:
-    """The ordered segments of a page. Texts keep their characters; blank ones between tags are dropped."""
-    p = _Sequence()
-    p.feed(page or "")
-    p.close()
-    p._flush()
-    return p.out
+    """The ordered segments of a page. Texts keep their characters; blank ones between tags are dropped, and captions
+    have single blanks. Unclosed templates and captions don't swallow the rest of a page: it is read again without them."""
+    ignored: frozenset[int] = frozenset()
+    while True:
+        p = _Sequence(ignored)
+        p.feed(page or "")
+        more = p.finish()
+        if not more:
+            return p.out
+        ignored |= more
 
 
 def _parse(batches):

@@ -3,8 +3,11 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
+import pytest
+
 from stateloom.llm import media, queries
 
 
@@ -62,6 +65,54 @@ def test_segments_keep_order_and_captions():
     assert media.segments(None) == media.segments("") == [] and media.segments("<p") is not None
 
 
+def told(page):
+    return [(x["text"].strip(), x["caption"]) for x in media.segments(page)]
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><head><title>t</title><body><p>hello</p><img src=a></body></html>", [("hello", None), ("a", None)]),
+    ("<head><meta charset=x><style>p{}</style><p>hello", [("hello", None)]),
+    ("<head><title>t</title>bare text<p>more", [("bare text", None), ("more", None)]),
+    ("a<template><p>b</p><img src=c>", [("a", None), ("b", None), ("c", None)]),
+    ("a<template>no</template>b", [("ab", None)]),
+    ("<figure><img src=a><figcaption>cap</figure><p>lost text</p>", [("a", "cap"), ("lost text", None)]),
+    ("<figure><figcaption>cap</figcaption><img src=a><img src=b alt=x></figure>", [("a", "cap"), ("b", "cap")]),
+    ("<figcaption>alone</figcaption><p>b", [("alone", None), ("b", None)]),
+    ("<figure><figcaption>no media</figcaption></figure>b", [("no media", None), ("b", None)]),
+    ("<figure><img src=a><figcaption>cap <p>rest</p><img src=b>", [("a", None), ("cap", None), ("rest", None), ("b", None)]),
+    ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("a", "out"), ("b", "in")]),
+    ("<noscript>kept</noscript><script>if (a<b) '<p>no</p>'</script>", [("kept", None)]),
+])
+def test_pages_with_omitted_tags_lose_nothing(page, want):
+    assert told(page) == want
+
+
+def test_all_words_of_random_pages_are_there():
+    """A second, independent walk: words outside of tags, scripts, styles and heads, taken by a regular expression."""
+    r = random.Random(5)
+    tags = ["p", "div", "figure", "figcaption", "b", "noscript", "ul", "li", "template"]
+    for _ in range(300):
+        parts, n = [], 0
+        for _ in range(r.randint(1, 40)):
+            kind = r.random()
+            if kind < 0.4:
+                n += 1
+                parts.append(f" w{n} ")
+            elif kind < 0.5:
+                parts.append("<img src=m>" if r.random() < 0.5 else "<script>var s1 = '<p>s2';</script>")
+            else:
+                parts.append(f"<{'/' if r.random() < 0.5 else ''}{r.choice(tags)}>")
+        page = "<head><title>t0</title>" * r.randint(0, 1) + "<body>" + "".join(parts)
+        seen = " ".join(f"{x['text']} {x['caption'] or ''}" for x in media.segments(page))
+        closed = re.sub(r"<template>.*?</template>", " ", page, flags=re.S)
+        assert set(re.findall(r"w\d+", closed)) <= set(re.findall(r"w\d+", seen)) and not re.search(r"s[12]|t0", seen), page
+
+
+def test_long_pages_of_open_tags():
+    for tag in ("figure", "figcaption", "template", "p", "head"):
+        assert sum(x["text"].count("w") for x in media.segments(f"<{tag}>w" * 5000)) == 5000
+
+
 def test_assemble_puts_media_in_place(spark):
     pages = spark.createDataFrame([(1, '<p>a</p><img src="sha256:aa"><p>b</p><img src="sha256:zz">'), (2, "plain"), (3, None)], "page_id long, html string")
     store = spark.createDataFrame([(1, "aa", 7, "x"), (2, "aa", 7, "x"), (3, None, 1, "y")], "doc_id long, digest string, width int, caption string")
