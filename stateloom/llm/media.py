@@ -126,6 +126,7 @@ class _Sequence(HTMLParser):
         self._text: list[str] = []
         self._figures: list[tuple[list[int], list[str]]] = []  # places of media, captions
         self._caption: tuple[int, list[str]] | None = None  # the start tag's number, and what it says
+        self._left: list[int] = []  # captions in a row that only another start tag ended
         self._skip: list[tuple[str, int]] = []
         self._ignored, self._number = ignored, 0
         self._head = self._title = False
@@ -153,12 +154,14 @@ class _Sequence(HTMLParser):
             return
         if tag in self.BLOCKS and self._caption is None:
             self._flush()
-        if tag == "figure":
+        if tag in ("figure", "figcaption"):
+            if self._caption is not None:
+                self._left.append(self._caption[0])
             self._close_caption()
-            self._figures.append(([], []))
-        elif tag == "figcaption":
-            self._close_caption()
-            self._caption = (self._number, [])
+            if tag == "figure":
+                self._figures.append(([], []))
+            else:
+                self._caption = (self._number, [])
         elif tag in self.MEDIA:
             said = {k: v or "" for k, v in reversed(attrs)}
             src = said.get("src", "").strip()
@@ -197,10 +200,11 @@ class _Sequence(HTMLParser):
                 del self._skip[at[-1] :]
         elif self._head:
             self._head, self._title = tag not in ("head", "body", "html"), False
-        elif tag == "figcaption":
+        elif tag == "figcaption" or (tag == "figure" and self._figures):
+            self._left = []
+            if tag == "figure":
+                self._close_figure()
             self._close_caption()
-        elif tag == "figure" and self._figures:
-            self._close_figure()
         elif tag in self.BLOCKS and self._caption is None:
             self._flush()
 
@@ -213,7 +217,7 @@ class _Sequence(HTMLParser):
     def finish(self) -> set[int]:
         """Ends the page; numbers of start tags that took all that followed, as nothing closed them."""
         self.close()
-        open_tags = {n for tag, n in self._skip if tag == "template"} | ({self._caption[0]} if self._caption else set())
+        open_tags = {n for tag, n in self._skip if tag == "template"} | ({*self._left, self._caption[0]} if self._caption else set())
         while self._figures:
             self._close_figure()
         self._close_caption()
