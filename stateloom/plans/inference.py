@@ -164,15 +164,38 @@ def sessions_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.across_sessions(s, 1, 1, n=20).select("q", *_r("observed", "p"))
 
 
-# p-values of a series: the exceedance share of each event hour stands in for a test at each time
-_HOURS = "h AS (SELECT CAST(hour(ts) AS INTEGER) AS tau, avg(value) AS m FROM events GROUP BY 1), pv AS (SELECT tau, m, row_number() OVER (ORDER BY m DESC, tau) / (count(*) OVER () * 4.0) AS p FROM h)"
+#: Permutations of the tests by hour.
+HOUR_PERMS = 40
+
+# p-values of a test in each hour of the day: does the number of a user's events go with the mean value in that hour?
+_HOURS = f"""h AS (SELECT CAST(hour(ts) AS INTEGER) AS tau, avg(value) AS m FROM events GROUP BY 1),
+hu AS (SELECT user_id AS unit_id, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1),
+hm AS (SELECT user_id AS unit_id, CAST(hour(ts) AS INTEGER) AS tau, avg(value) AS v FROM events GROUP BY 1, 2),
+hk AS (SELECT unit_id, CAST(perm_id AS INTEGER) AS perm_id FROM hu, (SELECT unnest(range(0, {HOUR_PERMS})) AS perm_id)),
+ha AS (SELECT perm_id, unit_id AS dst, row_number() OVER (PARTITION BY perm_id ORDER BY unit_id) AS place FROM hk),
+hb AS (SELECT perm_id, unit_id AS src, row_number() OVER (PARTITION BY perm_id ORDER BY {_KEY}, unit_id) AS place FROM hk),
+hc AS (SELECT perm_id, tau, count(*) AS k, corr(n, v) AS r FROM ha JOIN hb USING (perm_id, place) JOIN hu ON hu.unit_id = dst JOIN hm ON hm.unit_id = src GROUP BY 1, 2),
+hs AS (SELECT perm_id, tau, abs(r * sqrt((k - 2) / (1 - r * r))) AS s FROM hc WHERE k > 2 AND r IS NOT NULL AND NOT isnan(r) AND abs(r) < 1),
+hp AS (SELECT tau, avg(CASE WHEN x.s >= o.s THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS p FROM hs x JOIN (SELECT tau, s FROM hs WHERE perm_id = 0) o USING (tau) GROUP BY tau),
+pv AS (SELECT tau, m, p FROM hp JOIN h USING (tau))"""
+
+
+def _hour_stats(spark: SparkSession, sf_dir: str, n_perms: int) -> DataFrame:
+    """(perm_id, tau, t) of that test."""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), "value")
+    n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    m = e.groupBy("unit_id", "tau").agg(F.avg("value").alias("m"))
+    # a row for each hour, so that a unit without events in it still lends its number to others
+    u = n.withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23)))).join(m, ["unit_id", "tau"], "left")
+    u = u.select("unit_id", "tau", F.array("n").alias("d"), F.array("m").alias("r"))
+    s = T.correlation_stats(u, T.permutations(n, n_perms, SEED), "tau")
+    return s.where("n > 2 and t is not null and not isnan(t)").select("perm_id", "tau", "t")
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """(tau, m, p): the mean value and the p-value of each hour."""
     h = V.table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("tau")).agg(F.avg("value").alias("m"))
-    return h.withColumn("p", F.row_number().over(Window.orderBy(F.desc("m"), "tau")) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.lit(4.0)))
+    return h.join(T.p_values(_hour_stats(spark, sf_dir, HOUR_PERMS), "t", "tau").select("tau", "p"), "tau")
 
 
 @query(f"WITH {_HOURS}, r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM pv) SELECT tau, round(p, 6) AS p, round(least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
@@ -190,11 +213,11 @@ def bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bonferroni(_hours(spark, sf_dir)).select("tau", *_r("p", "q"))
 
 
-@query(f"WITH {_HOURS}, l AS (SELECT *, tau - row_number() OVER (ORDER BY tau) AS run FROM pv WHERE p < 0.125) SELECT min(tau) AS start, max(tau) AS \"end\" FROM l GROUP BY run")
+@query(f"WITH {_HOURS}, l AS (SELECT *, tau - row_number() OVER (ORDER BY tau) AS run FROM pv WHERE p < 0.25) SELECT min(tau) AS start, max(tau) AS \"end\" FROM l GROUP BY run")
 def sig_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import summary
 
-    return summary.significant_intervals(_hours(spark, sf_dir), 0.125).select("start", "end")
+    return summary.significant_intervals(_hours(spark, sf_dir), 0.25).select("start", "end")
 
 
 @query(f"WITH {_HOURS}, s AS (SELECT tau, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS z FROM h), l AS (SELECT *, tau - row_number() OVER (ORDER BY tau) AS run FROM s WHERE abs(z) > 0.5) SELECT min(tau) AS start, max(tau) AS \"end\", round(sum(abs(z)), 6) AS mass FROM l GROUP BY run")
@@ -220,13 +243,7 @@ SELECT CAST(row_number() OVER (ORDER BY start) - 1 AS INTEGER) AS cluster, start
 def cluster_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters over the hours of the day against permuted units: does the number of a user's events go with the mean
     value in that hour?"""
-    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), "value")
-    n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    m = e.groupBy("unit_id", "tau").agg(F.avg("value").alias("m"))
-    # a row for each hour, so that a unit without events in it still lends its number to others
-    u = n.withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23)))).join(m, ["unit_id", "tau"], "left")
-    u = u.select("unit_id", "tau", F.array("n").alias("d"), F.array("m").alias("r"))
-    s = T.correlation_stats(u, T.permutations(n, 50, SEED), "tau").select("perm_id", "tau", F.col("t").alias("stat")).where("stat is not null and not isnan(stat)")
+    s = _hour_stats(spark, sf_dir, 50).withColumnRenamed("t", "stat")
     return T.cluster_p_values(s).select("cluster", "start", "end", *_r("mass", digits=5), *_r("p"))
 
 

@@ -428,13 +428,14 @@ def band_pass_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session_id", "t", (F.round(F.col("y")[0], 6) + 0.0).alias("y"))
 
 
-@query(f"WITH {S.SOFT_LONG} SELECT gl.state, round(sum(g), 5) AS n, round(sum(g * value), 4) AS gy, round(sum(g * value * value), 3) AS gyy FROM gl JOIN seq USING (session_id, t) GROUP BY 1")
+@query(f"""WITH {_smooth_sql()}, g AS (SELECT f.session_id, f.t, a0 * r0 / (a0 * r0 + a1 * r1) AS g0 FROM f JOIN back ON f.session_id = back.session_id AND f.t = back.t),
+w AS (SELECT 0 AS state, g0 AS g, y FROM g JOIN z ON z.session_id = g.session_id AND z.t = g.t UNION ALL SELECT 1, 1 - g0, y FROM g JOIN z ON z.session_id = g.session_id AND z.t = g.t)
+SELECT state, round(sum(g), 4) AS n, round(sum(g * y), 4) AS gy, round(sum(g * y * y), 4) AS gyy FROM w GROUP BY 1""")
 def suffstats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sufficient statistics of a posterior: weighted moments of each state."""
-    seq = V.sequence(spark, sf_dir)
-    j = V.soft_gamma(seq).join(seq, ["session_id", "t"])
-    one = [F.struct(F.lit(k).alias("state"), F.sum(F.col("gamma")[k]).alias("n"), F.sum(F.col("gamma")[k] * F.col("value")).alias("gy"), F.sum(F.col("gamma")[k] * F.col("value") ** 2).alias("gyy")) for k in range(3)]
-    return j.agg(F.array(*one).alias("a")).select(F.explode("a").alias("s")).select("s.state", F.round("s.n", 5).alias("n"), F.round("s.gy", 4).alias("gy"), F.round("s.gyy", 3).alias("gyy"))
+    """Sufficient statistics of the model's posterior: weighted moments of each state."""
+    st = hmm.statistics(hmm.packed(_z(spark, sf_dir)), fixed_model())
+    rows = [(k, *(round(float(v), 4) for v in (st["n"][k], st["gy"][k, 0], st["gyy"][k, 0]))) for k in range(2)]
+    return spark.createDataFrame(rows, "state int, n double, gy double, gyy double")
 
 
 # Training
