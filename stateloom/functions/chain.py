@@ -62,6 +62,21 @@ def smooth(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarra
     return gamma, xi, logc.sum(1)
 
 
+def entropy(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """Entropy of each session's state sequence given the data: that of the first state, and of each step given the state
+    before it."""
+    alpha, _, _ = forward(loglik, lengths, p, pi)
+    gamma, _, _ = smooth(loglik, lengths, p, pi)
+    told = lambda a, b: -(a * np.log(np.where(a > 0, b, 1.0)))
+    out = told(gamma[:, 0], gamma[:, 0]).sum(1) if loglik.shape[1] else np.zeros(len(loglik))
+    for t in range(1, loglik.shape[1]):
+        m = _running(lengths, t)
+        before = alpha[:m, t - 1]
+        pair = before[:, :, None] * p * (gamma[:m, t] / np.maximum(before @ p, _TINY))[:, None]
+        out[:m] += told(pair, pair / np.maximum(pair.sum(2, keepdims=True), _TINY)).sum((1, 2))
+    return out
+
+
 def best_path(loglik: np.ndarray, lengths: np.ndarray, p: np.ndarray, pi: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
     """Most likely states (n, T); the first state among equals. Entries past a session's end are -1. begin: a row of log
     scores of each session's first states, in place of those of pi; end: its last state, where that is set already."""

@@ -692,6 +692,17 @@ def loglik(obs: DataFrame, model: Model) -> DataFrame:
     return packed(obs).mapInPandas(run, f"session_id {dict(obs.dtypes)['session_id']}, loglik double")
 
 
+def entropy(obs: DataFrame, model: Model) -> DataFrame:
+    """(session_id, entropy) of each session's states given the whole session."""
+
+    def run(frames):
+        for batch in _batches(frames):
+            padded, lengths, order = chain.pad([model.loglik(y, x) for _, y, x, _ in batch])
+            yield pd.DataFrame({"session_id": [batch[j][0] for j in order], "entropy": chain.entropy(padded, lengths, model.moves, model.starts)})
+
+    return packed(obs).mapInPandas(run, f"session_id {dict(obs.dtypes)['session_id']}, entropy double")
+
+
 def free_energy(obs: DataFrame, model: Model) -> dict[str, float]:
     """Data, dynamics and emission parts of the free energy, and their sum."""
     data = -float(loglik(obs, model).agg(F.sum("loglik")).first()[0])

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def lengths(obs: DataFrame) -> DataFrame:
     return obs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Sessions whose lengths one task sums up in order.
+RANGE_SESSIONS = 200_000
+
+
 def bounds(obs: DataFrame) -> DataFrame:
-    """(session_id, start, end): half-open rows of each session when sessions lie one after the other. The running
-    sum goes over one row for each session."""
-    n = lengths(obs)
-    upto = F.sum("n").over(Window.orderBy("session_id"))
-    return n.select("session_id", (upto - F.col("n")).alias("start"), upto.alias("end"))
+    """(session_id, start, end): half-open rows of each session when sessions lie one after the other. Lengths are summed
+    inside ranges of session_id, offset by the ranges' sums, so no task sees all sessions."""
+    n = cut(lengths(obs))
+    parts = max(1, -(-n.count() // RANGE_SESSIONS))
+    ranged = cut(n.repartitionByRange(parts, "session_id").withColumn("part", F.spark_partition_id()))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = ranged.groupBy("part").agg(F.sum("n").alias("size")).select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("session_id"))
+    return ranged.join(before, "part").select("session_id", (upto - F.col("n")).alias("start"), upto.alias("end"))
 
 
 def tiled(obs: DataFrame, size: int, step: int | None = None) -> DataFrame:

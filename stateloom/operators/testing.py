@@ -7,6 +7,7 @@ same ones. Statistics of all permutations are one aggregation by (perm_id, tau,
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -58,8 +59,8 @@ def _placed(rows: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
     return ranked.withColumn("place", F.col("place") + F.col("before")).drop("part", "before")
 
 
-def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = None) -> DataFrame:
-    """(perm_id, dst, src) for perm_id 0..n-1: free, or inside blocks. units has unit_id and the block column. No task
+def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = None, first: int = 0) -> DataFrame:
+    """(perm_id, dst, src) for perm_id first..n-1: free, or inside blocks. units has unit_id and the block column. No task
     ranks many more than RANK_ROWS units of a permutation."""
     keys = ["block"] if block else []
     u = units.select("unit_id", *([F.col(block).alias("block")] if block else []))
@@ -67,15 +68,17 @@ def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = No
     placed = _in_order(u, size, *keys)
     still = placed.select(F.lit(0).alias("perm_id"), F.col("unit_id").alias("dst"), F.col("unit_id").alias("src"))
     if n < 2:
-        return still
-    moved = u.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
-    a = placed.withColumnRenamed("unit_id", "dst").withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+        return still if first == 0 else still.limit(0)
+    ids = F.explode(F.sequence(F.lit(max(1, first)), F.lit(n - 1)))
+    moved = u.withColumn("perm_id", ids)
+    a = placed.withColumnRenamed("unit_id", "dst").withColumn("perm_id", ids)
     b = _at_random(moved, size, order_key(seed, F.col("perm_id"), F.col("unit_id")), "perm_id", *keys).withColumnRenamed("unit_id", "src")
-    return still.unionByName(a.join(b, ["perm_id", *keys, "place"]).select("perm_id", "dst", "src"))
+    shuffled = a.join(b, ["perm_id", *keys, "place"]).select("perm_id", "dst", "src")
+    return still.unionByName(shuffled) if first == 0 else shuffled
 
 
-def tree_permutations(units: DataFrame, levels: list[str], n: int, seed: int = 0, whole: bool = True) -> DataFrame:
-    """(perm_id, dst, src) for perm_id 0..n-1 that respect nested blocks. Each level is a column of whole numbers that
+def tree_permutations(units: DataFrame, levels: list[str], n: int, seed: int = 0, whole: bool = True, first: int = 0) -> DataFrame:
+    """(perm_id, dst, src) for perm_id first..n-1 that respect nested blocks. Each level is a column of whole numbers that
     divides the level before it. A positive number lets what is inside the block change places with what is inside it
     and of the same make-up; a negative one keeps that in place and shuffles only further down. whole says so of the
     first level's blocks. The units of a last block always change places. Ids of units are unique; perm_id 0 is the
@@ -92,7 +95,7 @@ def tree_permutations(units: DataFrame, levels: list[str], n: int, seed: int = 0
         kin = rows.select(f"p{j - 1}", f"p{j}", F.col(f"l{j}").alias("label")).distinct().join(shapes[0], f"p{j}")
         kinds = kin.withColumn("shape", F.concat((F.col("label") > 0).cast("string"), F.lit(":"), "shape")).groupBy(f"p{j - 1}", "shape").agg(F.count(F.lit(1)).alias("n"))
         shapes.insert(0, kinds.groupBy(f"p{j - 1}").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("shape", "n"))))).alias("shape")))
-    pairs = units.sparkSession.range(n).select(F.col("id").cast("int").alias("perm_id"), F.lit("").alias("dst"), F.lit("").alias("src"))
+    pairs = units.sparkSession.range(first, n).select(F.col("id").cast("int").alias("perm_id"), F.lit("").alias("dst"), F.lit("").alias("src"))
     for j in range(1, last + 1):
         up = F.lit(whole) if j == 1 else F.col(f"l{j - 1}") > 0
         kids = rows.select(F.col(f"p{j - 1}").alias("parent"), F.col(f"p{j}").alias("unit_id"), F.col(f"l{j}").alias("label"), up.alias("swaps")).distinct()
@@ -120,22 +123,22 @@ def _paired(pairs: DataFrame, kids: DataFrame, seed: int, label: str, size: int)
     return a.join(b, ["perm_id", "of", "shape", "place"]).select("perm_id", F.col("to").alias("dst"), F.col("from").alias("src"))
 
 
-def block_permutations(units: DataFrame, n: int, seed: int = 0, block: str = "block") -> DataFrame:
+def block_permutations(units: DataFrame, n: int, seed: int = 0, block: str = "block", first: int = 0) -> DataFrame:
     """(perm_id, dst, src): whole blocks change places with blocks of their size; units keep their order inside."""
     w = Window.partitionBy(block).orderBy("unit_id")
     placed = units.select("unit_id", block).withColumn("place", F.row_number().over(w))
     sizes = placed.groupBy(block).agg(F.max("place").alias("size"))
     as_units = sizes.select(F.col(block).alias("unit_id"), "size")
-    moves = permutations(as_units, n, seed, "size").select("perm_id", F.col("dst").alias("dst_block"), F.col("src").alias("src_block"))
+    moves = permutations(as_units, n, seed, "size", first).select("perm_id", F.col("dst").alias("dst_block"), F.col("src").alias("src_block"))
     dst = placed.select(F.col("unit_id").alias("dst"), F.col(block).alias("dst_block"), "place")
     src = placed.select(F.col("unit_id").alias("src"), F.col(block).alias("src_block"), "place")
     return moves.join(dst, "dst_block").join(src, ["src_block", "place"]).select("perm_id", "dst", "src")
 
 
-def both_permutations(units: DataFrame, n: int, seed: int = 0, block: str = "block") -> DataFrame:
+def both_permutations(units: DataFrame, n: int, seed: int = 0, block: str = "block", first: int = 0) -> DataFrame:
     """Inside blocks, then whole blocks: the two maps composed."""
-    inner = permutations(units, n, seed, block).select("perm_id", F.col("dst").alias("mid"), "src")
-    outer = block_permutations(units, n, seed + 1, block).select("perm_id", "dst", F.col("src").alias("mid"))
+    inner = permutations(units, n, seed, block, first).select("perm_id", F.col("dst").alias("mid"), "src")
+    outer = block_permutations(units, n, seed + 1, block, first).select("perm_id", "dst", F.col("src").alias("mid"))
     return outer.join(inner, ["perm_id", "mid"]).select("perm_id", "dst", "src")
 
 
@@ -420,7 +423,7 @@ def max_p_values(stats: DataFrame, stat: str, over: tuple[str, ...], within: tup
     observed = s.where("perm_id = 0").select(*within, *over, F.col("raw").alias("observed"), F.col("v").alias("v0"))
     # a row of as many numbers as there are permutations
     null = top.where("perm_id > 0").groupBy(*within).agg(F.collect_list("top").alias("nulls"))
-    j = observed.join(F.broadcast(null), list(within), "left") if within else observed.crossJoin(F.broadcast(null))
+    j = observed.join(null, list(within), "left") if within else observed.crossJoin(F.broadcast(null))
     reached = F.size(F.filter("nulls", lambda x: x >= F.col("v0")))
     return j.select(*within, *over, "observed", ((reached + 1) / (F.size("nulls") + 1)).alias("p"))
 
@@ -491,32 +494,37 @@ def parametric(stats: DataFrame, statistic: str, df1=None, df2=None) -> DataFram
 # Tests
 
 
-def across_units(units: DataFrame, n: int = 1000, method: str = "univariate", block: str | None = None, how: str = "free", fwer: bool = False, seed: int = 0, chunk: int = 200, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Test of d against r over units. how: free, within, between or both (of block). method: univariate (a correlation
+def across_units(units: DataFrame, n: int = 1000, method: str = "univariate", block: str | None = None, how: str = "free", fwer: bool = False, seed: int = 0, chunk: int = 200, keys: tuple[str, ...] = (), levels: tuple[str, ...] = ()) -> DataFrame:
+    """Test of d against r over units. how: free, within, between or both (of block), or tree (of nested blocks, whose
+    columns are levels, as `tree_permutations` takes them). method: univariate (a correlation
     for each pair), multivariate (all predictors, an outcome at a time) or cca. n = 0: parametric p. Permutations are
     made `chunk` at a time and only their statistics kept."""
     from . import preprocess
 
     p, q = preprocess.width(units, "d"), preprocess.width(units, "r")
     kept = units.where(F.forall("d", lambda v: v.isNotNull() & ~F.isnan(v))) if method != "univariate" else units
-    one = kept.select("unit_id", *([block] if block else [])).distinct()
-    make = {"free": lambda m: permutations(one, m, seed), "within": lambda m: permutations(one, m, seed, block), "between": lambda m: block_permutations(one, m, seed, block), "both": lambda m: both_permutations(one, m, seed, block)}
-    if how not in make or (how != "free" and not block):
-        raise ValueError("how is free, or with a block within, between or both")
+    one = cut(kept.select("unit_id", *([block] if block else []), *(c for c in levels if c != block)).distinct())
+    make = {
+        "free": lambda a, b: permutations(one, b, seed, None, a),
+        "within": lambda a, b: permutations(one, b, seed, block, a),
+        "between": lambda a, b: block_permutations(one, b, seed, block, a),
+        "both": lambda a, b: both_permutations(one, b, seed, block, a),
+        "tree": lambda a, b: tree_permutations(one, list(levels), b, seed, True, a),
+    }
+    if how not in make or (how == "tree" and not levels) or (how not in ("free", "tree") and not block):
+        raise ValueError("how is free, with a block within, between or both, or with levels tree")
     of = {"univariate": (lambda s: correlation_stats(kept, s, *keys), "t", ("p", "q")), "multivariate": (lambda s: multiple_regression(kept, s, p, q, *keys), "f", ("q",)), "cca": (lambda s: canonical(kept, s, p, q, 1, *keys), "r", ("component",))}
     if method not in of:
         raise ValueError(f"method is one of {sorted(of)}")
     stat_of, stat, tests = of[method]
-    perms = make[how](max(1, n))
-    parts = [stat_of(perms.where(F.col("perm_id").between(a, a + chunk - 1))).select("perm_id", *keys, *tests, stat) for a in range(0, max(1, n), chunk)]
-    stats = parts[0]
-    for x in parts[1:]:
-        stats = stats.unionByName(x)
     if not n:
-        base = stat_of(perms)
+        base = stat_of(make[how](0, 1))
         if method == "univariate":
             return parametric(base, "t", df2=F.col("n") - 2)
         return parametric(base, "f", df1=p, df2=F.col("n") - p) if method == "multivariate" else base
+    # each chunk makes its own permutations only, and leaves a row for each of them and test
+    parts = [stat_of(make[how](a, min(a + chunk, n))).select("perm_id", *keys, *tests, stat) for a in range(0, n, chunk)]
+    stats = reduce(DataFrame.unionByName, map(cut, parts)) if len(parts) > 1 else parts[0]
     return max_p_values(stats, stat, tests, keys) if fwer else p_values(stats, stat, *keys, *tests)
 
 

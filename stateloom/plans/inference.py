@@ -408,20 +408,35 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODE = f"CASE WHEN perm_id = 0 THEN '' ELSE md5('{SEED}:' || perm_id || ':' || path) END"
 
 
-@query(f"""WITH n AS (SELECT n_nationkey AS u, n_regionkey + 1 AS b, '/' || (n_regionkey + 1) || '/' || n_nationkey AS path FROM nation),
+_TREE = f"""n AS (SELECT n_nationkey AS u, n_regionkey + 1 AS b, '/' || (n_regionkey + 1) || '/' || n_nationkey AS path FROM nation),
 z AS (SELECT perm_id, b, '/' || b AS path, size FROM (SELECT b, count(*) AS size FROM n GROUP BY 1), (SELECT CAST(unnest(range(0, {PERMS})) AS INTEGER) AS perm_id)),
 da AS (SELECT perm_id, b AS db, size, row_number() OVER (PARTITION BY perm_id, size ORDER BY b) AS place FROM z),
 sa AS (SELECT perm_id, b AS sb, size, row_number() OVER (PARTITION BY perm_id, size ORDER BY {_NODE}, b) AS place FROM z),
 m AS (SELECT perm_id, db, sb FROM da JOIN sa USING (perm_id, size, place)),
 du AS (SELECT perm_id, db, u AS dst, row_number() OVER (PARTITION BY perm_id, db ORDER BY u) AS place FROM m JOIN n ON b = db),
-su AS (SELECT perm_id, db, u AS src, row_number() OVER (PARTITION BY perm_id, db ORDER BY {_NODE}, u) AS place FROM m JOIN n ON b = sb)
-SELECT perm_id, dst, src FROM du JOIN su USING (perm_id, db, place)""")
+su AS (SELECT perm_id, db, u AS src, row_number() OVER (PARTITION BY perm_id, db ORDER BY {_NODE}, u) AS place FROM m JOIN n ON b = sb)"""
+
+
+@query(f"WITH {_TREE} SELECT perm_id, dst, src FROM du JOIN su USING (perm_id, db, place)")
 def tree_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffles of nations that keep regions whole: regions of one size change places, nations inside them too."""
     n = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"), (F.col("n_regionkey") + 1).alias("region"))
     return T.tree_permutations(n, ["region"], PERMS, SEED)
 
 
+@query(f"""WITH {_TREE}, x AS (SELECT c_nationkey AS u, CAST(count(*) AS DOUBLE) AS d, avg(CAST(c_acctbal AS DOUBLE)) AS r FROM customer GROUP BY 1),
+c AS (SELECT perm_id, count(*) AS k, corr(a.d, b.r) AS r FROM du JOIN su USING (perm_id, db, place) JOIN x a ON a.u = dst JOIN x b ON b.u = src GROUP BY 1),
+s AS (SELECT perm_id, r * sqrt((k - 2) / (1 - r * r)) AS t FROM c), o AS (SELECT t AS o FROM s WHERE perm_id = 0)
+SELECT round(any_value(o), 5) AS observed, round(avg(CASE WHEN abs(t) >= abs(o) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS p FROM s, o""")
+def tree_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a nation's number of customers go with their mean balance, with shuffles that keep regions whole?"""
+    n = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"), (F.col("n_regionkey") + 1).alias("region"))
+    c = V.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("unit_id"))
+    c = c.agg(F.array(F.count(F.lit(1)).cast("double")).alias("d"), F.array(F.avg(F.col("c_acctbal").cast("double"))).alias("r"))
+    out = T.across_units(n.join(c, "unit_id"), PERMS, how="tree", levels=("region",), seed=SEED, chunk=7)
+    return out.toDF("predictor", "q", "observed", "pv").select(F.round("observed", 5).alias("observed"), F.round("pv", 6).alias("p"))
+
+
 @query()
 def nmf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency factors of the coherence of all channels of the embeddings."""

@@ -377,6 +377,24 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.occupancy(hmm.decode(_z(spark, sf_dir), fixed_model())).select("session_id", "state", *_r("fo"))
 
 
+def _entropy_sql() -> str:
+    p = [[repr(float(v)) for v in row] for row in fixed_model().moves]
+    pair = {(i, j): f"a{i} * {p[i][j]} * h{j} / (a0 * {p[0][j]} + a1 * {p[1][j]})" for i in (0, 1) for j in (0, 1)}
+    steps = ", ".join(f"{x} AS x{i}{j}" for (i, j), x in pair.items())
+    bits = " - ".join(f"x{i}{j} * ln(x{i}{j} / (x{i}0 + x{i}1))" for i, j in pair)
+    return f"""WITH {_smooth_sql()},
+g AS (SELECT f.session_id, f.t, a0, a1, a0 * r0 / (a0 * r0 + a1 * r1) AS h0, a1 * r1 / (a0 * r0 + a1 * r1) AS h1 FROM f JOIN back ON f.session_id = back.session_id AND f.t = back.t),
+x AS (SELECT session_id, {steps} FROM (SELECT b.session_id, a.a0, a.a1, b.h0, b.h1 FROM g a JOIN g b ON a.session_id = b.session_id AND b.t = a.t + 1)),
+e AS (SELECT session_id, - {bits} AS e FROM x UNION ALL SELECT session_id, -h0 * ln(h0) - h1 * ln(h1) FROM g WHERE t = 0)
+SELECT session_id, round(sum(e), 6) AS entropy FROM e GROUP BY 1"""
+
+
+@query(_entropy_sql())
+def posterior_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of each session's states given its data."""
+    return hmm.entropy(_z(spark, sf_dir), fixed_model()).select("session_id", *_r("entropy"))
+
+
 def _viterbi_sql() -> str:
     m = fixed_model()
     p, pi = np.log(m.moves), np.log(m.starts)
