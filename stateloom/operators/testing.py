@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..plans.lineage import cut
-from . import quantiles, results
+from . import exchange, quantiles, results
 
 
 def order_key(seed: int, perm, unit):
@@ -77,33 +77,18 @@ def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = No
     return still.unionByName(shuffled) if first == 0 else shuffled
 
 
-def tree_permutations(units: DataFrame, levels: list[str], n: int, seed: int = 0, whole: bool = True, first: int = 0) -> DataFrame:
-    """(perm_id, dst, src) for perm_id first..n-1 that respect nested blocks. Each level is a column of whole numbers that
+def tree_permutations(units: DataFrame, levels: list[str], n: int, seed: int = 0, whole: bool = True, first: int = 0, ids: DataFrame | None = None) -> DataFrame:
+    """(perm_id, dst, src) for perm_id first..n-1, or those of ids, that respect nested blocks. Each level is a column of whole numbers that
     divides the level before it. A positive number lets what is inside the block change places with what is inside it
     and of the same make-up; a negative one keeps that in place and shuffles only further down. whole says so of the
     first level's blocks. The units of a last block always change places. Ids of units are unique; perm_id 0 is the
     identity; without units there are no rows."""
-    size = units.count()
-    path = [F.lit("").alias("p0")]
-    for j, level in enumerate(levels, 1):
-        path.append(F.concat(*(x for c in levels[:j] for x in (F.lit("/"), F.col(c).cast("string")))).alias(f"p{j}"))
-    rows = cut(units.select("unit_id", *path, *(F.col(c).alias(f"l{j}") for j, c in enumerate(levels, 1))))
-    last = len(levels)
-    # make-up of blocks, from the last level up: how many children there are of each make-up
-    shapes = [rows.groupBy(f"p{last}").agg(F.count(F.lit(1)).cast("string").alias("shape"))]
-    for j in range(last, 0, -1):
-        kin = rows.select(f"p{j - 1}", f"p{j}", F.col(f"l{j}").alias("label")).distinct().join(shapes[0], f"p{j}")
-        kinds = kin.withColumn("shape", F.concat((F.col("label") > 0).cast("string"), F.lit(":"), "shape")).groupBy(f"p{j - 1}", "shape").agg(F.count(F.lit(1)).alias("n"))
-        shapes.insert(0, kinds.groupBy(f"p{j - 1}").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("shape", "n"))))).alias("shape")))
-    pairs = units.sparkSession.range(first, n).select(F.col("id").cast("int").alias("perm_id"), F.lit("").alias("dst"), F.lit("").alias("src"))
-    for j in range(1, last + 1):
-        up = F.lit(whole) if j == 1 else F.col(f"l{j - 1}") > 0
-        kids = rows.select(F.col(f"p{j - 1}").alias("parent"), F.col(f"p{j}").alias("unit_id"), F.col(f"l{j}").alias("label"), up.alias("swaps")).distinct()
-        make_up = shapes[j].select(F.col(f"p{j}").alias("unit_id"), "shape")
-        kids = kids.join(make_up, "unit_id").withColumn("shape", F.concat((F.col("label") > 0).cast("string"), F.lit(":"), "shape"))
+    size, tree = units.count(), exchange.tree_levels(units, levels, whole)
+    numbers = units.sparkSession.range(first, n).select(F.col("id").cast("int").alias("perm_id")) if ids is None else ids.select("perm_id")
+    pairs = numbers.select("perm_id", F.lit("").alias("dst"), F.lit("").alias("src"))
+    for kids in tree[:-1]:
         pairs = _paired(pairs, kids, seed, "label", size)
-    leaves = rows.select(F.col(f"p{last}").alias("parent"), "unit_id", F.col("unit_id").alias("label"), F.lit(True).alias("swaps"), F.lit("").alias("shape"))
-    return _paired(pairs, leaves, seed, "unit_id", size)
+    return _paired(pairs, tree[-1], seed, "unit_id", size)
 
 
 def _paired(pairs: DataFrame, kids: DataFrame, seed: int, label: str, size: int) -> DataFrame:
@@ -496,7 +481,8 @@ def parametric(stats: DataFrame, statistic: str, df1=None, df2=None) -> DataFram
 
 def across_units(units: DataFrame, n: int = 1000, method: str = "univariate", block: str | None = None, how: str = "free", fwer: bool = False, seed: int = 0, chunk: int = 200, keys: tuple[str, ...] = (), levels: tuple[str, ...] = ()) -> DataFrame:
     """Test of d against r over units. how: free, within, between or both (of block), or tree (of nested blocks, whose
-    columns are levels, as `tree_permutations` takes them). method: univariate (a correlation
+    columns are levels, as `tree_permutations` takes them), or distinct (the same without repeats) or exact (each shuffle
+    of the tree once, whatever n says; for both, no levels: all orders of the units). method: univariate (a correlation
     for each pair), multivariate (all predictors, an outcome at a time) or cca. n = 0: parametric p. Permutations are
     made `chunk` at a time and only their statistics kept."""
     from . import preprocess
@@ -511,8 +497,16 @@ def across_units(units: DataFrame, n: int = 1000, method: str = "univariate", bl
         "both": lambda a, b: both_permutations(one, b, seed, block, a),
         "tree": lambda a, b: tree_permutations(one, list(levels), b, seed, True, a),
     }
-    if how not in make or (how == "tree" and not levels) or (how not in ("free", "tree") and not block):
-        raise ValueError("how is free, with a block within, between or both, or with levels tree")
+    if how == "exact" and n:
+        every = exchange.Shuffles(one, list(levels))
+        n, make[how] = every.total, every.between
+    elif how == "distinct" and n:
+        ids, made = exchange.without_repeats(one, list(levels), n, seed)
+        n, make[how] = ids.count(), lambda a, b: made(ids.where(F.col("perm_id").between(a, b - 1)))
+    elif how in ("exact", "distinct"):
+        how = "free"  # the identity alone
+    if how not in make or (how == "tree" and not levels) or (how in ("within", "between", "both") and not block):
+        raise ValueError("how is free, exact or distinct, with a block within, between or both, or with levels tree")
     of = {"univariate": (lambda s: correlation_stats(kept, s, *keys), "t", ("p", "q")), "multivariate": (lambda s: multiple_regression(kept, s, p, q, *keys), "f", ("q",)), "cca": (lambda s: canonical(kept, s, p, q, 1, *keys), "r", ("component",))}
     if method not in of:
         raise ValueError(f"method is one of {sorted(of)}")

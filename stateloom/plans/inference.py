@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, predict, quantiles, spectral
+from ..operators import clusters, exchange, predict, quantiles, spectral
 from ..operators import testing as T
 from . import sqltext as S
 from . import views as V
@@ -437,6 +437,55 @@ def tree_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.toDF("predictor", "q", "observed", "pv").select(F.round("observed", 5).alias("observed"), F.round("pv", 6).alias("p"))
 
 
+_MONTHS = """x AS (SELECT month(o_orderdate) - 1 AS u, CAST(count(*) AS DOUBLE) AS d, avg(CAST(o_totalprice AS DOUBLE)) AS r FROM orders GROUP BY 1),
+b2 AS (SELECT unnest([0, 1]) AS s), i3 AS (SELECT unnest([0, 1, 2]) AS i),
+p3 AS (SELECT [a.i, b.i, c.i] AS p FROM i3 a, i3 b, i3 c WHERE a.i <> b.i AND b.i <> c.i AND a.i <> c.i),
+s AS (SELECT h.s AS h, [q.s, v.s] AS q, [e.p, f.p, g.p, k.p] AS p, row_number() OVER (ORDER BY h.s, q.s, v.s, e.p, f.p, g.p, k.p) AS id
+  FROM b2 h, b2 q, b2 v, p3 e, p3 f, p3 g, p3 k),
+m AS (SELECT id, u AS dst, 6 * xor(u // 6, h) + 3 * xor((u // 3) % 2, q[u // 6 + 1]) + p[u // 3 + 1][u % 3 + 1] AS src FROM s, x)"""
+
+
+@query(f"""WITH {_MONTHS}, c AS (SELECT id, count(*) AS k, corr(a.d, b.r) AS r FROM m JOIN x a ON a.u = dst JOIN x b ON b.u = src GROUP BY 1),
+t AS (SELECT id, r * sqrt((k - 2) / (1 - r * r)) AS t FROM c), o AS (SELECT t AS o FROM t WHERE id = 1)
+SELECT count(*) AS shuffles, round(any_value(o), 5) AS observed, CAST(sum(CASE WHEN abs(t) >= abs(o) - 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS extreme,
+  round(min(t), 5) AS lowest, round(max(t), 5) AS highest, round(stddev_pop(t), 6) AS spread FROM t, o""")
+def exact_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a month's number of orders go with their mean price? All shuffles of months in quarters in halves of a year."""
+    month = F.month("o_orderdate").cast("int")
+    o = V.table(spark, sf_dir, "orders").groupBy(month.alias("unit_id"))
+    o = cut(o.agg(F.count(F.lit(1)).cast("double").alias("d"), F.avg(F.col("o_totalprice").cast("double")).alias("r")))
+    u = o.select("unit_id", F.ceil(F.col("unit_id") / 6).cast("int").alias("half"), F.ceil(F.col("unit_id") / 3).cast("int").alias("quarter"), F.array("d").alias("d"), F.array("r").alias("r"))
+    s = cut(T.correlation_stats(u, exchange.every_shuffle(u, ["half", "quarter"])).select("perm_id", "t"))
+    s = s.crossJoin(F.broadcast(s.where("perm_id = 0").select(F.col("t").alias("o"))))
+    extreme = F.sum(F.when(F.abs("t") >= F.abs("o") - 1e-9, 1).otherwise(0)).cast("long")
+    return s.agg(F.count(F.lit(1)).alias("shuffles"), F.round(F.max("o"), 5).alias("observed"), extreme.alias("extreme"), F.round(F.min("t"), 5).alias("lowest"), F.round(F.max("t"), 5).alias("highest"), F.round(F.stddev_pop("t"), 6).alias("spread"))
+
+
+@query("""WITH c AS (SELECT n_regionkey AS r, n_nationkey AS n, count(*) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+g AS (SELECT r, k, count(*) AS m FROM c GROUP BY 1, 2), h AS (SELECT shape, count(*) AS m FROM (SELECT r, list(k || ':' || m ORDER BY k) AS shape FROM g GROUP BY 1) GROUP BY 1)
+SELECT round((SELECT sum(lgamma(k + 1)) FROM c) + (SELECT sum(lgamma(m + 1)) FROM g) + (SELECT sum(lgamma(m + 1)) FROM h), 4) AS log_shuffles""")
+def shuffle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many shuffles of customers in nations in regions there are: blocks of one make-up change places."""
+    n = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") + 1).alias("nation"), (F.col("n_regionkey") + 1).alias("region"))
+    c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit_id"), "c_nationkey").join(n, "c_nationkey")
+    return spark.createDataFrame([(round(exchange.log_shuffles(c, ["region", "nation"]), 4),)], "log_shuffles double")
+
+
+@query(f"""WITH x AS (SELECT CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS u, o_totalprice FROM orders),
+v AS (SELECT u, CAST(count(*) AS DOUBLE) AS d, avg(CAST(o_totalprice AS DOUBLE)) AS r FROM x GROUP BY 1), i AS (SELECT u FROM v),
+o AS (SELECT [a.u, b.u, c.u, d.u, e.u] AS p FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.u, b.u, c.u, d.u, e.u])) = 5),
+k AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS number FROM o),
+s AS (SELECT p, number FROM k ORDER BY CASE WHEN number = 0 THEN '' ELSE md5('{SEED}:' || number) END, number LIMIT 60),
+c AS (SELECT number, count(*) AS k, corr(a.d, b.r) AS r FROM s JOIN v a ON true JOIN v b ON b.u = p[a.u] GROUP BY 1),
+t AS (SELECT number, r * sqrt((k - 2) / (1 - r * r)) AS t FROM c), z AS (SELECT t AS o FROM t WHERE number = 0)
+SELECT round(any_value(o), 5) AS observed, round(avg(CASE WHEN abs(t) >= abs(o) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS p FROM t, z""")
+def distinct_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a priority's number of orders go with their mean price? 60 different shuffles of the five priorities."""
+    o = V.coded(V.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("d"), F.avg(F.col("o_totalprice").cast("double")).alias("r")), "o_orderpriority", "unit_id")
+    out = T.across_units(cut(o.select("unit_id", F.array("d").alias("d"), F.array("r").alias("r"))), 60, how="distinct", seed=SEED)
+    return out.toDF("predictor", "q", "observed", "pv").select(F.round("observed", 5).alias("observed"), F.round("pv", 6).alias("p"))
+
+
 @query()
 def nmf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency factors of the coherence of all channels of the embeddings."""

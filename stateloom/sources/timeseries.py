@@ -140,12 +140,22 @@ def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/table"), json.loads(spark.read.text(f"{path}/about").first()[0])
 
 
-def read_blocks(spark: SparkSession, path: str) -> np.ndarray:
-    """Exchangeability blocks: a CSV of integers without a header, a row for each unit. A design table: small."""
-    rows = spark.read.csv(path, header=False, inferSchema=True).collect()
-    return np.array([[int(v) for v in r] for r in rows])
-
-
-def write_blocks(spark: SparkSession, blocks: np.ndarray, path: str) -> None:
-    names = [f"c{i}" for i in range(blocks.shape[1])]
-    spark.createDataFrame([tuple(map(int, r)) for r in blocks], names).coalesce(1).write.mode("overwrite").csv(path, header=False)
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(unit_id, c0, c1, ...): exchangeability blocks from a CSV of whole numbers without a header, a row for each unit.
+    unit_id is the row's number from 0 in the order of the files' names: rows are numbered where they are read, and a small
+    table of the files' pieces tells how many come before."""
+    rows = spark.read.csv(path, header=False, inferSchema=True)
+    names = rows.columns
+    piece = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = rows.select(*(F.col(c).cast("long").alias(f"c{i}") for i, c in enumerate(names)), *piece, F.monotonically_increasing_id().alias("at"))
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("file", "start").orderBy("at")) - 1
+    told = rows.withColumn("place", place).join(before, ["file", "start"])
+    return told.select((F.col("place") + F.col("before")).alias("unit_id"), *(f"c{i}" for i in range(len(names))))
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """The columns beside unit_id as CSV without a header, in order of unit_id."""
+    rows = blocks.repartitionByRange("unit_id").sortWithinPartitions("unit_id").drop("unit_id")
+    rows.write.mode("overwrite").csv(path, header=False)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stateloom.functions import chain, dsp, exchange, special
+from stateloom.functions import chain, dsp, special
 from stateloom.operators import hmm, index, predict, preprocess, results, spectral, summary, testing
 
 
@@ -235,19 +235,6 @@ def test_p_values(spark):
     assert testing.max_p_values(s, "stat", ("q",)).first()["p"] == pytest.approx(1 / 10)
 
 
-def test_exchange_trees():
-    blocks = np.array([[1, 1, 1], [1, 1, 2], [1, 2, 3], [1, 2, 4], [1, 3, 5], [1, 3, 6]])
-    s = exchange.shuffles(blocks, 20, seed=2)
-    assert (s[0] == np.arange(6)).all() and len({tuple(r) for r in s}) == len(s) == 20
-    assert all({r[i] // 2, r[i + 1] // 2} == {r[i] // 2} for r in s for i in (0, 2, 4))
-    within = np.array([[-1, 1, 1], [-1, 1, 2], [-1, 2, 3], [-1, 2, 4]])
-    assert all({r[0], r[1]} == {0, 1} for r in exchange.shuffles(within, 4, seed=1))
-    assert exchange.log_count(exchange.tree(blocks)) == pytest.approx(math.log(6 * 8))
-    assert exchange.renumber(np.array([[7, 9], [7, 5], [3, 9]])).tolist() == [[2, 2], [2, 1], [1, 1]]
-    fam = exchange.families_to_blocks([1, 2, 3, 4, 5], ["a", "a", "b", "b", "c"], [None] * 5, ["MZ", "MZ", "DZ", "DZ", "x"])
-    assert fam[0, 2] == fam[1, 2] != fam[2, 2] and (fam[:, 0] == -1).all()
-
-
 def test_spectra_peak_where_the_wave_is(spark):
     t = np.arange(1024) / 100
     y = np.stack([np.sin(2 * np.pi * 12.5 * t), np.sin(2 * np.pi * 12.5 * t + 1)], 1)

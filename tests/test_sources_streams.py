@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 
-from stateloom.functions import exchange
 from stateloom.operators import hmm
 from stateloom.sources import timeseries as ts
 from stateloom.streaming import online
@@ -27,9 +26,10 @@ def test_text_and_results(spark, tmp_path):
     ts.write_result(df, str(tmp_path / "r"), {"method": "x"})
     back, about = ts.read_result(spark, str(tmp_path / "r"))
     assert back.collect() == df.collect() and about == {"method": "x"}
-    b = np.array([[-1, 1, 2], [-1, 1, 3]])
-    ts.write_blocks(spark, b, str(tmp_path / "eb"))
-    assert (np.sort(ts.read_blocks(spark, str(tmp_path / "eb")), 0) == b).all() and len(exchange.shuffles(b, 3)) == 2
+    b = spark.createDataFrame([(i, -1, i % 7 + 1, 100 - i) for i in range(50)], "unit_id long, a int, b int, c int").repartition(5)
+    ts.write_blocks(b, str(tmp_path / "eb"))
+    back = ts.read_blocks(spark, str(tmp_path / "eb"))
+    assert back.columns == ["unit_id", "c0", "c1", "c2"] and sorted(map(tuple, back.collect())) == sorted(map(tuple, b.collect()))
     p = spark.createDataFrame([("/d/s_10.npy",), ("/d/s_2.npy",), ("/e/s_2.npy",)], "path string")
     assert [r.path for r in ts.sorted_paths(p).collect()] == ["/d/s_2.npy", "/e/s_2.npy", "/d/s_10.npy"]
     assert {r.path: r.name for r in ts.short_names(p).collect()} == {"/d/s_10.npy": "s_10.npy", "/d/s_2.npy": "d/s_2.npy", "/e/s_2.npy": "e/s_2.npy"}
