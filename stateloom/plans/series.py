@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..operators import blocks, hmm, index, preprocess, summary
+from ..operators import blocks, hmm, index, preprocess, subspace, summary
 from ..sources import timeseries
 from . import sqltext as S
 from . import views as V
@@ -250,6 +250,25 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("t", *(F.round(F.col("y")[i], 5).alias(f"pc{i}") for i in range(5)))
 
 
+_SQUARES = 12
+_POWER = f"""{_EMB}, mu AS (SELECT i, avg(a) AS m FROM v GROUP BY 1), w AS MATERIALIZED (SELECT vec_id, i, a - m AS a FROM v JOIN mu USING (i)),
+c AS MATERIALIZED (SELECT x.i, y.i AS j, sum(x.a * y.a) / (SELECT count(*) FROM embeddings) AS v FROM w x JOIN w y USING (vec_id) GROUP BY 1, 2),
+m0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM c WHERE i = j) AS v FROM c), """ + ", ".join(
+    f"s{k} AS MATERIALIZED (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM m{k - 1} x JOIN m{k - 1} y ON x.j = y.i GROUP BY 1, 2), m{k} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM s{k} WHERE i = j) AS v FROM s{k})" for k in range(1, _SQUARES + 1)
+) + f""", g AS (SELECT i, v FROM m{_SQUARES} WHERE j = (SELECT arg_max(i, v) FROM m{_SQUARES} WHERE i = j)),
+axis AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM g) * (SELECT sign(arg_max(v, abs(v))) FROM g) AS e FROM g)"""
+
+
+@query(f"""WITH {_POWER}, l AS (SELECT sum(x.e * c.v * y.e) AS variance FROM c JOIN axis x ON x.i = c.i JOIN axis y ON y.i = c.j)
+SELECT vec_id AS t, round(sum(a * e), 4) + 0.0 AS pc0, round(any_value(variance), 6) AS variance FROM w JOIN axis USING (i), l GROUP BY 1""")
+def wide_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores on the leading axis by subspace iteration; the SQL takes a power of the covariance."""
+    e = _emb(spark, sf_dir)
+    axes, var, mean = subspace.leading_axes(e, 1, extra=55)
+    scores = preprocess.project(e, axes, mean)
+    return scores.select("t", (F.round(F.col("y")[0], 4) + 0.0).alias("pc0"), F.lit(round(float(var[0]), 6)).alias("variance"))
+
+
 @query()
 def ica_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = preprocess.apply_ica(_emb(spark, sf_dir), 3, steps=20)
