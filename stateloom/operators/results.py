@@ -73,6 +73,7 @@ def _nulls(stats: DataFrame, stat: str, *keys: str) -> DataFrame:
 def null_summary(stats: DataFrame, stat: str, *keys: str, absolute: bool = True) -> DataFrame:
     """(keys, observed, p, lower, upper): p is the share of permutations, the identity included, that reach the observed
     statistic (its absolute value for t, plain for F); lower and upper are the 2.5 and 97.5 percentiles without it."""
+    stats = cut(stats.select("perm_id", *keys, stat))
     v = F.abs(stat) if absolute else F.col(stat)
     at = F.max(F.when(F.col("perm_id") == 0, v)).over(Window.partitionBy(*keys))
     s = stats.withColumn("_reached", (v >= at).cast("double"))

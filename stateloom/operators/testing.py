@@ -42,10 +42,11 @@ def _at_random(units: DataFrame, n_units: int, key, *keys: str) -> DataFrame:
     """Adds place, the rank by the text key (as evenly spread as an MD5) and unit_id inside keys: taken inside buckets of
     the key's first bits, offset by the buckets' sizes."""
     bits = min(16, max(0, math.ceil(math.log2(max(1, n_units / RANK_ROWS)))))
-    keyed = units.withColumn("key", key)
+    # 16 bytes travel, in the order of their 32 digits
+    keyed = units.withColumn("key", F.unhex(key))
     if not bits:
         return keyed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "unit_id"))).drop("key")
-    head = F.coalesce(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(0))
+    head = F.coalesce(F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int"), F.lit(0))
     return _placed(keyed.withColumn("part", F.shiftright(head, 16 - bits)), ("key", "unit_id"), *keys).drop("key")
 
 
@@ -71,9 +72,9 @@ def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = No
         return still if first == 0 else still.limit(0)
     ids = F.explode(F.sequence(F.lit(max(1, first)), F.lit(n - 1)))
     moved = u.withColumn("perm_id", ids)
-    a = placed.withColumnRenamed("unit_id", "dst").withColumn("perm_id", ids)
     b = _at_random(moved, size, order_key(seed, F.col("perm_id"), F.col("unit_id")), "perm_id", *keys).withColumnRenamed("unit_id", "src")
-    shuffled = a.join(b, ["perm_id", *keys, "place"]).select("perm_id", "dst", "src")
+    # all permutations look into one table of places
+    shuffled = b.join(placed.withColumnRenamed("unit_id", "dst"), [*keys, "place"]).select("perm_id", "dst", "src")
     return still.unionByName(shuffled) if first == 0 else shuffled
 
 
@@ -142,13 +143,17 @@ def count_permutations(units: DataFrame, block: str | None = None, whole_blocks:
 
 
 def _pairs(units: DataFrame, perms: DataFrame | None, *keys: str) -> DataFrame:
-    """(perm_id, keys, p, q, x, y): each predictor with each outcome of the permuted unit, nulls left out."""
-    d = units.select(F.col("unit_id").alias("dst"), *keys, F.posexplode("d").alias("p", "x")).where("x is not null and not isnan(x)")
+    """(perm_id, keys, p, q, x, y): each predictor with each outcome of the permuted unit, nulls left out. Vectors travel
+    whole and are opened where they have met."""
+    some = lambda c: F.exists(c, lambda v: v.isNotNull() & ~F.isnan(v))
+    d = units.where(some("d")).select(F.col("unit_id").alias("dst"), *keys, "d")
     if perms is None:
-        r = units.select(F.col("unit_id").alias("dst"), *keys, F.posexplode("r").alias("q", "y")).where("y is not null and not isnan(y)")
-        return d.join(r, ["dst", *keys]).withColumn("perm_id", F.lit(0))
-    r = units.select(F.col("unit_id").alias("src"), *keys, F.posexplode("r").alias("q", "y")).where("y is not null and not isnan(y)")
-    return perms.join(d, "dst").join(r, ["src", *keys])
+        met = d.join(units.where(some("r")).select(F.col("unit_id").alias("dst"), *keys, "r"), ["dst", *keys]).withColumn("perm_id", F.lit(0))
+    else:
+        moved = perms.join(d, "dst").drop("dst")
+        met = moved.join(units.where(some("r")).select(F.col("unit_id").alias("src"), *keys, "r"), ["src", *keys])
+    opened = met.select("perm_id", *keys, F.posexplode("d").alias("p", "x"), "r").where("x is not null and not isnan(x)")
+    return opened.select("perm_id", *keys, "p", F.posexplode("r").alias("q", "y"), "x").where("y is not null and not isnan(y)")
 
 
 def correlation_stats(units: DataFrame, perms: DataFrame | None = None, *keys: str) -> DataFrame:
@@ -159,6 +164,77 @@ def correlation_stats(units: DataFrame, perms: DataFrame | None = None, *keys: s
     return s.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
+def fixed_predictor_stats(predictors: DataFrame, outcomes: DataFrame, perms: DataFrame, *keys: str) -> DataFrame:
+    """As `correlation_stats`, of predictors (unit_id, d) that are the same for all values of keys and of outcomes (unit_id,
+    keys, r), one row for each of them that there is. A unit's predictors under all permutations meet its outcomes once, as a
+    row, and tasks emit sums by permutation and cell, so neither permuted outcomes nor empty cells are ever rows. A task holds
+    permutations x cells numbers, taken from the cell's mean. A spread under 1e-12 of the squares is taken for none."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from . import preprocess
+
+    p, q = preprocess.width(predictors, "d"), preprocess.width(outcomes, "r")
+    middle = lambda c, n: [F.coalesce(F.avg(F.when(~F.isnan(F.col(c)[i]), F.col(c)[i])), F.lit(0.0)).alias(f"_{i}") for i in range(n)]
+    mx = np.array(predictors.agg(*middle("d", p)).first())
+    # a row for each cell
+    means = {tuple(r[: len(keys)]): np.array(r[len(keys) :]) for r in outcomes.groupBy(*keys).agg(*middle("r", q)).collect()}
+    x = perms.join(predictors.select(F.col("unit_id").alias("dst"), "d"), "dst").groupBy("src").agg(F.collect_list(F.struct("perm_id", "d")).alias("xs"))
+    y = outcomes.select(F.col("unit_id").alias("src"), F.struct(F.struct(*keys, F.lit(0).alias("_")).alias("cell"), "r").alias("y")).groupBy("src").agg(F.collect_list("y").alias("ys"))
+    kinds = dict(outcomes.dtypes)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def unpacked(column):
+        """The unit, and the two fields, of each entry of a list of pairs."""
+        return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), *column.flatten().flatten()
+
+    def numbers(column, width: int, mean):
+        v = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) - mean
+        return np.where(np.isnan(v), 0.0, v), (~np.isnan(v)).astype(float)
+
+    def run(batches):
+        cells, total = {}, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit, perm, d = unpacked(b.column("xs"))
+            v, there = numbers(d, p, mx)
+            ids, place = np.unique(perm.to_numpy(), return_inverse=True)
+            xs, xt = (np.zeros((b.num_rows, len(ids), p)) for _ in range(2))
+            xs[unit, place], xt[unit, place] = v, there
+            unit, cell, r = unpacked(b.column("ys"))
+            told = list(zip(*(c.to_pylist() for c in cell.flatten()[:-1]))) if keys else [()] * len(unit)
+            place = np.array([cells.setdefault(c, len(cells)) for c in told], int)
+            v, there = numbers(r, q, np.array([means[c] for c in cells])[place])
+            for j in range(q):
+                ys, yt = (np.zeros((b.num_rows, len(cells))) for _ in range(2))
+                ys[unit, place], yt[unit, place] = v[:, j], there[:, j]
+                for i in range(p):
+                    a, on = xs[:, :, i].T, xt[:, :, i].T
+                    sums = np.stack([on @ yt, a @ yt, on @ ys, (a * a) @ yt, on @ (ys * ys), a @ ys])
+                    for n, k in enumerate(ids):
+                        old = total.get((int(k), i, j))
+                        new = sums[:, n]
+                        if old is not None:
+                            new = new + np.pad(old, ((0, 0), (0, new.shape[1] - old.shape[1])))
+                        total[int(k), i, j] = new
+        at = list(cells)
+        for (k, i, j), m in total.items():
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"perm_id": np.full(m.shape[1], k, np.int32), **{c: [v[n] for v in at[: m.shape[1]]] for n, c in enumerate(keys)}, "p": np.int32(i), "q": np.int32(j), **dict(zip(names, m))}), schema=out, preserve_index=False)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = ", ".join(["perm_id int", *(f"{k} {kinds[k]}" for k in keys), "p int", "q int", *(f"{n} double" for n in names)])
+    out = to_arrow_schema(StructType.fromDDL(ddl))
+    sums = x.join(y, "src").select("xs", "ys").mapInArrow(run, ddl).groupBy("perm_id", *keys, "p", "q").agg(*(F.sum(n).alias(n) for n in names)).where("n > 0")
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    least = lambda s, ss: F.when(spread(s, ss) > 1e-12 * F.col(ss), spread(s, ss)).otherwise(0.0)
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(least("sx", "sxx")) * F.sqrt(least("sy", "syy")))
+    s = sums.select("perm_id", *keys, "p", "q", F.col("n").cast("long").alias("n"), r.alias("r"))
+    return s.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
+
+
 def single_regression(units: DataFrame, perms: DataFrame | None = None, *keys: str) -> DataFrame:
     """(perm_id, keys, p, q, n, r2, f): share of variance that one predictor explains, and its F value."""
     s = _pairs(units, perms, *keys).groupBy("perm_id", *keys, "p", "q").agg(F.count(F.lit(1)).alias("n"), F.regr_r2("y", "x").alias("r2"))
@@ -394,7 +470,8 @@ def relabelled_visits(path: DataFrame, n: int, k: int, seed: int = 0) -> DataFra
 def p_values(stats: DataFrame, stat: str, *keys: str, two_sided: bool = True) -> DataFrame:
     """(keys, observed, p): share of permutations, the identity included, whose statistic reaches the observed one."""
     v = F.abs(stat) if two_sided else F.col(stat)
-    s = stats.select("perm_id", *keys, F.col(stat).alias("raw"), v.alias("v"))
+    # made once: sums that are made again differ in the last digits, and the identity would not reach itself
+    s = cut(stats.select("perm_id", *keys, F.col(stat).alias("raw"), v.alias("v")))
     observed = s.where("perm_id = 0").select(*keys, F.col("raw").alias("observed"), F.col("v").alias("v0"))
     j = s.join(observed, list(keys)) if keys else s.crossJoin(F.broadcast(observed))  # one row
     return j.groupBy(*keys).agg(F.first("observed").alias("observed"), F.avg((F.col("v") >= F.col("v0")).cast("double")).alias("p"))
@@ -403,7 +480,7 @@ def p_values(stats: DataFrame, stat: str, *keys: str, two_sided: bool = True) ->
 def max_p_values(stats: DataFrame, stat: str, over: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
     """(within, over, observed, p): family-wise corrected by the largest statistic of each permutation among all tests
     `over`; (count + 1) / (permutations + 1), the identity left out of the count."""
-    s = stats.select("perm_id", *within, *over, F.col(stat).alias("raw"), F.abs(stat).alias("v"))
+    s = cut(stats.select("perm_id", *within, *over, F.col(stat).alias("raw"), F.abs(stat).alias("v")))
     top = s.groupBy("perm_id", *within).agg(F.max("v").alias("top"))
     observed = s.where("perm_id = 0").select(*within, *over, F.col("raw").alias("observed"), F.col("v").alias("v0"))
     # a row of as many numbers as there are permutations
@@ -438,6 +515,7 @@ def cluster_masses(stats: DataFrame, threshold: float, stat: str = "stat", *keys
 def cluster_p_values(stats: DataFrame, stat: str = "stat", alpha: float = 0.05, *keys: str) -> DataFrame:
     """(keys, cluster, start, end, mass, p): clusters above the (1 - alpha) percentile of all permutations' statistics,
     against the largest cluster of each permutation; (count + 1) / (permutations + 1)."""
+    stats = cut(stats.select("perm_id", *keys, "tau", stat))
     at = quantiles.quantiles(stats, F.abs(stat), [1 - alpha], *keys).select(*keys, F.col("quantiles")[0].alias("limit"))
     s = stats.join(at, list(keys)) if keys else stats.crossJoin(F.broadcast(at))  # one row
     over = s.withColumn("stat", F.abs(stat)).withColumn("stat", F.when(F.col("stat") > F.col("limit"), F.col("stat")).otherwise(0.0))
