@@ -10,6 +10,7 @@ than some blocks, or `FAN` parts, of a session."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,32 +38,49 @@ def scan(parts: DataFrame, step: Step, combine: Callable[[np.ndarray, np.ndarray
     schema = f"session_id {kind}, block long, carry array<double>"
     last = parts.agg(F.max("block")).first()[0]
 
-    def in_order(pdf: pd.DataFrame, carry):
-        rows = []
-        for s, b, part in pdf.sort_values("block", ascending=not backwards)[["session_id", "block", "part"]].itertuples(index=False):
-            rows.append((s, b, carry))
-            carry = step(carry, np.asarray(part))
-        return pd.DataFrame(rows, columns=["session_id", "block", "carry"])
+    out = hmm._arrow(schema)
 
-    if last is None or last < fan:
-        return parts.groupBy("session_id").applyInPandas(lambda pdf: in_order(pdf, None), schema)
-    grouped = parts.withColumn("group", F.floor(F.col("block") / fan))
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", ascending=not backwards)
-        whole = np.asarray(pdf["part"].iloc[0])
-        for part in pdf["part"].iloc[1:]:
-            whole = combine(whole, np.asarray(part))
-        return pd.DataFrame({"session_id": pdf["session_id"].iloc[:1], "block": pdf["group"].iloc[:1], "part": [whole]})
+    def in_order(batches):
+        for b in batches:
+            rows = []
+            for r, numbers, made in _listed_parts(b):
+                carry = None if r.get("before") is None else np.asarray(r["before"])
+                for block, part in zip(numbers, made):
+                    rows.append((r["session_id"], block, carry))
+                    carry = step(carry, part)
+            if rows:
+                yield hmm._told(out, *map(list, zip(*rows)))
 
-    products = cut(grouped.groupBy("session_id", "group").applyInPandas(product, f"session_id {kind}, block long, part array<double>"))
+    listed = F.sort_array(F.collect_list(F.struct("block", "part")), not backwards).alias("parts")
+    if last is None or last < fan:
+        return parts.groupBy("session_id").agg(listed).mapInArrow(in_order, schema)
+    grouped = parts.withColumn("group", F.floor(F.col("block") / fan)).groupBy("session_id", "group").agg(listed)
+    whole_schema = f"session_id {kind}, block long, part array<double>"
+    wholes = hmm._arrow(whole_schema)
+
+    def product(batches):
+        for b in batches:
+            rows = [(r["session_id"], r["group"], reduce(combine, made)) for r, _, made in _listed_parts(b)]
+            if rows:
+                yield hmm._told(wholes, *map(list, zip(*rows)))
+
+    grouped = cut(grouped)
+    products = cut(grouped.mapInArrow(product, whole_schema))
     entered = scan(products, step, combine, backwards, fan).select("session_id", F.col("block").alias("group"), F.col("carry").alias("before"))
+    return grouped.join(entered, ["session_id", "group"]).mapInArrow(in_order, schema)
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        before = pdf["before"].iloc[0]
-        return in_order(pdf, None if before is None else np.asarray(before))
 
-    return grouped.join(entered, ["session_id", "group"]).groupBy("session_id", "group").applyInPandas(within, schema)
+def _listed_parts(batch):
+    """(the other columns, the numbers of the blocks, their parts as rows of a matrix) of each row of an Arrow batch."""
+    names = [f.name for f in batch.schema if f.name != "parts"]
+    column = batch.column(batch.schema.get_field_index("parts"))
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    if not len(ends):
+        return
+    block, part = column.flatten().flatten()
+    block, part = block.to_pylist(), hmm._numbers(part)
+    for r, a, b in zip(batch.select(names).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        yield r, block[a:b], part[a:b]
 
 
 def cut_rows(obs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -74,21 +92,32 @@ def cut_rows(obs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return obs.groupBy("session_id", F.floor(t / block_rows).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
-def _held(frames, *carries: str):
+def _held(batches, *carries: str):
     """Lists of (session, block, y, x, t, carries) of blocks that are worked on at once."""
     held, longest = [], 0
-    for f in frames:
-        for r in f.to_dict("records"):
-            y, x, t = hmm._matrices(r["rows"])
+    for b in batches:
+        told = b.select(["session_id", "block", *carries]).to_pylist()
+        for i, y, x, t in hmm._opened(b):
             if held and (len(held) + 1) * max(longest, len(y)) > hmm.BATCH_ROWS:
                 yield held
                 held, longest = [], 0
+            r = told[i]
             held.append((r["session_id"], r["block"], y, x, t, *(None if r[c] is None else np.asarray(r[c], float) for c in carries)))
             longest = max(longest, len(y))
     if held:
         yield held
 
 
+def _liks(model, held) -> list[np.ndarray]:
+    return hmm._liks(model, [h[2:5] for h in held])
+
+
+def _rows_of(schema, held, order, lengths, values):
+    """A record batch (session_id, t, value) of blocks in the given order, of padded values."""
+    ids = hmm._repeated([held[j][0] for j in order], lengths)
+    return hmm._told(schema, ids, np.concatenate([held[j][4] for j in order]), np.concatenate([values[i, :n] for i, n in enumerate(lengths)]))
+
+
 class _Chain:
     """Parts of a hidden chain: [log scale, the first row's log likelihoods (K), transfer from first to last row (K x K)].
     Carries forward: [log scale, state probabilities or scores at the row before (K)]; backward: what follows (K)."""
@@ -101,15 +130,17 @@ class _Chain:
     def parts(self, obs: DataFrame, block_rows: int) -> DataFrame:
         kind = dict(obs.dtypes)["session_id"]
 
-        def run(frames):
-            for held in _held(frames):
-                liks = [self.model.loglik(y, x) for _, _, y, x, *_ in held]
-                padded, lengths, order = chain.pad(liks)
+        ddl = f"session_id {kind}, block long, part array<double>"
+        out = hmm._arrow(ddl)
+
+        def run(batches):
+            for held in _held(batches):
+                padded, lengths, order = chain.pad(_liks(self.model, held))
                 scale, move = chain.transfer(padded, lengths, self.p, self.best)
                 part = np.concatenate([scale[:, None], padded[:, 0], move.reshape(len(move), -1)], 1)
-                yield pd.DataFrame({"session_id": [held[j][0] for j in order], "block": [held[j][1] for j in order], "part": list(part)})
+                yield hmm._told(out, [held[j][0] for j in order], [held[j][1] for j in order], part)
 
-        return cut(cut_rows(obs, block_rows).mapInPandas(run, f"session_id {kind}, block long, part array<double>"))
+        return cut(cut_rows(obs, block_rows).mapInArrow(run, ddl))
 
     def _open(self, part):
         return part[0], part[1 : 1 + self.k], part[1 + self.k :].reshape(self.k, self.k)
@@ -158,18 +189,19 @@ def decode(obs: DataFrame, model, block_rows: int = BLOCK_ROWS) -> DataFrame:
     behind = scan(parts, c.back, lambda a, b: c.combine(b, a), backwards=True).withColumnRenamed("carry", "tail")
     kind = dict(obs.dtypes)["session_id"]
 
-    def run(frames):
-        for held in _held(frames, "carry", "tail"):
-            padded, lengths, order = chain.pad([model.loglik(y, x) for _, _, y, x, *_ in held])
+    ddl = f"session_id {kind}, t int, gamma array<double>"
+    out = hmm._arrow(ddl)
+
+    def run(batches):
+        for held in _held(batches, "carry", "tail"):
+            padded, lengths, order = chain.pad(_liks(model, held))
             starts = np.array([c.enter(held[j][5]) for j in order])
             tails = np.array([np.ones(c.k) if held[j][6] is None else held[j][6] for j in order])
             gamma, _, _ = chain.smooth(padded, lengths, c.p, starts, tails)
-            for i, j in enumerate(order):
-                t = held[j][4]
-                yield pd.DataFrame({"session_id": [held[j][0]] * len(t), "t": t, "gamma": list(gamma[i, : len(t)])})
+            yield _rows_of(out, held, order, lengths, gamma)
 
     rows = cut_rows(obs, block_rows).join(ahead.join(behind, ["session_id", "block"]), ["session_id", "block"])
-    return rows.mapInPandas(run, f"session_id {kind}, t int, gamma array<double>")
+    return rows.mapInArrow(run, ddl)
 
 
 def loglik(obs: DataFrame, model, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -194,19 +226,23 @@ def viterbi(obs: DataFrame, model, block_rows: int = BLOCK_ROWS) -> DataFrame:
     ahead = cut(scan(parts, c.step, c.combine))
     kind = dict(obs.dtypes)["session_id"]
 
-    def maps(frames):
-        for f in frames:
+    step_ddl = f"session_id {kind}, block long, part array<double>"
+    told = hmm._arrow(step_ddl)
+
+    def maps(batches):
+        for b in batches:
             out = []
-            for r in f.to_dict("records"):
+            for r in b.to_pylist():
                 carry, part = (None if r[n] is None else np.asarray(r[n], float) for n in ("carry", "part"))
                 _, first, move = c._open(part)
                 end = c.step(carry, part)[1:].argmax()
                 # for each last state the state before the block; and which last state is best, for a session's last block
                 came = np.zeros(c.k) if carry is None else (carry[1:, None] + ((c.lp + first)[:, :, None] + move).max(1)).argmax(0)
                 out.append((r["session_id"], r["block"], np.append(came, end).astype(float)))
-            yield pd.DataFrame(out, columns=["session_id", "block", "part"])
+            if out:
+                yield hmm._told(told, *map(list, zip(*out)))
 
-    steps = cut(ahead.join(parts, ["session_id", "block"]).mapInPandas(maps, f"session_id {kind}, block long, part array<double>"))
+    steps = cut(ahead.join(parts, ["session_id", "block"]).mapInArrow(maps, step_ddl))
     # the carry is the last state of the block before, as a single number
     follow = lambda carry, part: part[[int(part[-1] if carry is None else carry[0])]]
     both = lambda a, b: np.append(b[a[:-1].astype(int)], a[-1])
@@ -214,17 +250,18 @@ def viterbi(obs: DataFrame, model, block_rows: int = BLOCK_ROWS) -> DataFrame:
     tops = steps.select("session_id", "block", F.element_at("part", -1).alias("top"))
     states = ends.join(tops, ["session_id", "block"]).select("session_id", "block", F.coalesce(F.col("last"), F.array("top")).alias("last"))
 
-    def run(frames):
-        for held in _held(frames, "carry", "last"):
-            padded, lengths, order = chain.pad([model.loglik(y, x) for _, _, y, x, *_ in held])
+    ddl = f"session_id {kind}, t int, state int"
+    paths_of = hmm._arrow(ddl)
+
+    def run(batches):
+        for held in _held(batches, "carry", "last"):
+            padded, lengths, order = chain.pad(_liks(model, held))
             begin = np.array([c.enter(held[j][5]) for j in order])
             paths = chain.best_path(padded, lengths, c.p, model.starts, begin, np.array([int(held[j][6][0]) for j in order]))
-            for i, j in enumerate(order):
-                t = held[j][4]
-                yield pd.DataFrame({"session_id": [held[j][0]] * len(t), "t": t, "state": paths[i, : len(t)]})
+            yield _rows_of(paths_of, held, order, lengths, paths)
 
     rows = cut_rows(obs, block_rows).join(ahead.join(states, ["session_id", "block"]), ["session_id", "block"])
-    return rows.mapInPandas(run, f"session_id {kind}, t int, state int")
+    return rows.mapInArrow(run, ddl)
 
 
 def filtered(obs: DataFrame, band: tuple[float | None, float | None], fs: float, order: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -234,8 +271,11 @@ def filtered(obs: DataFrame, band: tuple[float | None, float | None], fs: float,
     m = 2 * len(sos)
     kind = dict(obs.dtypes)["session_id"]
 
-    def parts_of(frames):
-        for held in _held(frames):
+    part_ddl, ddl = f"session_id {kind}, block long, part array<double>", f"session_id {kind}, t int, y array<double>"
+    parts_out, rows_out = hmm._arrow(part_ddl), hmm._arrow(ddl)
+
+    def parts_of(batches):
+        for held in _held(batches):
             ys, lengths, places = chain.pad([y for _, _, y, *_ in held])
             n, steps, q = ys.shape
             _, end = dsp.sos_blocks(sos, ys, lengths, np.zeros((n, len(sos), 2, q)))
@@ -243,7 +283,7 @@ def filtered(obs: DataFrame, band: tuple[float | None, float | None], fs: float,
             unit = np.broadcast_to(np.eye(m).reshape(len(sos), 2, m), (n, len(sos), 2, m))
             _, power = dsp.sos_blocks(sos, np.zeros((n, steps, m)), lengths, unit)
             part = np.concatenate([power.reshape(n, m * m), end.reshape(n, m * q)], 1)
-            yield pd.DataFrame({"session_id": [held[j][0] for j in places], "block": [held[j][1] for j in places], "part": list(part)})
+            yield hmm._told(parts_out, [held[j][0] for j in places], [held[j][1] for j in places], part)
 
     opened = lambda part: (part[: m * m].reshape(m, m), part[m * m :].reshape(m, -1))
 
@@ -255,17 +295,15 @@ def filtered(obs: DataFrame, band: tuple[float | None, float | None], fs: float,
         (a, e), (b, g) = opened(x), opened(y)
         return np.concatenate([(b @ a).ravel(), (b @ e + g).ravel()])
 
-    parts = cut(cut_rows(obs, block_rows).mapInPandas(parts_of, f"session_id {kind}, block long, part array<double>"))
+    parts = cut(cut_rows(obs, block_rows).mapInArrow(parts_of, part_ddl))
     entered = scan(parts, step, combine)
 
-    def run(frames):
-        for held in _held(frames, "carry"):
+    def run(batches):
+        for held in _held(batches, "carry"):
             ys, lengths, places = chain.pad([y for _, _, y, *_ in held])
             n, _, q = ys.shape
             state = np.stack([np.zeros((len(sos), 2, q)) if held[j][5] is None else held[j][5].reshape(len(sos), 2, q) for j in places])
             out, _ = dsp.sos_blocks(sos, ys, lengths, state)
-            for i, j in enumerate(places):
-                t = held[j][4]
-                yield pd.DataFrame({"session_id": [held[j][0]] * len(t), "t": t, "y": list(out[i, : len(t)])})
+            yield _rows_of(rows_out, held, places, lengths, out)
 
-    return cut_rows(obs, block_rows).join(entered, ["session_id", "block"]).mapInPandas(run, f"session_id {kind}, t int, y array<double>")
+    return cut_rows(obs, block_rows).join(entered, ["session_id", "block"]).mapInArrow(run, ddl)

@@ -31,3 +31,23 @@ def test_fixed_predictors_give_the_statistics_of_the_full_grid(spark):
     # no row of a permuted outcome: a row for each unit goes into the sums
     plan = T.fixed_predictor_stats(units, cells, perms, "c")._jdf.queryExecution().toString()
     assert "ArrayJoin" not in plan and "MapInArrow" in plan
+
+
+def test_packed_sessions_stay_in_arrow_buffers(spark, monkeypatch):
+    from stateloom.operators import blocks, hmm
+    from stateloom.plans.series import fixed_model
+
+    m, r = fixed_model(), np.random.default_rng(1)
+    rows = [(s, t, [float(r.normal())]) for s in range(7) for t in range(1 + 5 * s)]
+    obs = spark.createDataFrame(rows, "session_id long, t int, y array<double>")
+    # no row of a session becomes a Python object, no group of rows a pandas frame
+    for f in (hmm.decode, hmm.viterbi, hmm.loglik, hmm.entropy, lambda o, m: blocks.decode(o, m, 4), lambda o, m: blocks.viterbi(o, m, 4)):
+        plan = f(obs, m)._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan and "FlatMapGroups" not in plan
+    one = {(x["session_id"], x["t"]): x["gamma"] for x in hmm.decode(obs, m).collect()}
+    two = {(x["session_id"], x["t"]): x["gamma"] for x in blocks.decode(obs, m, 4).collect()}
+    assert len(one) == len(rows) and all(np.allclose(one[k], two[k]) for k in one)
+    alone = [x["stats"] for x in hmm.statistics(hmm.packed(obs), m, per_session=True).collect()]
+    total = hmm.statistics(hmm.packed(obs), m)
+    layout = hmm.Layout(m.spec, m.p, m.q)
+    assert all(np.allclose(v, total[k]) for k, v in layout.read(np.sum(alone, 0)).items())
