@@ -422,10 +422,26 @@ def relabelled_runs(path: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame
 
     from . import summary
 
-    # a group holds a session's visits, and makes PERM_CHUNK of its relabellings
-    starts = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(PERM_CHUNK)))
-    runs = summary.visits(path).withColumn("chunk", starts)
     kind = dict(path.dtypes)["session_id"]
+    made = relabelled(n, k, seed)
+
+    def draw(frames):
+        for f in frames:
+            for sid, first, rows in zip(f["session_id"], f["chunk"], f["rows"]):
+                onset, length, state = (np.array([r[c] for r in rows]) for c in ("onset", "length", "state"))
+                perms, new = made(sid, first, state)
+                yield pd.DataFrame({"perm_id": np.repeat(perms, len(rows)), "session_id": sid, "onset": np.tile(onset, len(perms)), "length": np.tile(length, len(perms)), "state": new.ravel()})
+
+    # a row holds a session's visits, and makes PERM_CHUNK of its relabellings
+    starts = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(PERM_CHUNK)))
+    listed = F.sort_array(F.collect_list(F.struct("onset", "length", "state"))).alias("rows")
+    packed = summary.visits(path).groupBy("session_id").agg(listed).withColumn("chunk", starts)
+    return packed.mapInPandas(draw, f"perm_id int, session_id {kind}, onset int, length long, state int")
+
+
+def relabelled(n: int, k: int, seed: int):
+    """A function of (session, first permutation of a chunk, its visits' states) that gives the chunk's permutations and, a
+    row for each, the new states."""
 
     def labels(m: int, r: np.random.Generator) -> np.ndarray:
         steps = r.integers(1, max(2, k), m)
@@ -441,17 +457,13 @@ def relabelled_runs(path: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame
         right = (order[-1] + np.cumsum(steps[at + need :])) % k
         return np.concatenate([left, order, right]).astype(int)
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def made(sid, first: int, state: np.ndarray):
         import zlib
 
-        pdf = pdf.sort_values("onset")
-        first, sid = int(pdf["chunk"].iloc[0]), pdf["session_id"].iloc[0]
         perms = range(first, min(first + PERM_CHUNK, n))
-        new = [labels(len(pdf), np.random.default_rng([seed, p, zlib.crc32(str(sid).encode())])) if p else pdf["state"].to_numpy() for p in perms]
-        at = np.tile(np.arange(len(pdf)), len(perms))
-        return pd.DataFrame({"perm_id": np.repeat(perms, len(pdf)), "session_id": sid, "onset": pdf["onset"].to_numpy()[at], "length": pdf["length"].to_numpy()[at], "state": np.concatenate(new)})
+        return perms, np.stack([labels(len(state), np.random.default_rng([seed, p, zlib.crc32(str(sid).encode())])) if p else state for p in perms])
 
-    return runs.groupBy("chunk", "session_id").applyInPandas(draw, f"perm_id int, session_id {kind}, onset int, length long, state int")
+    return made
 
 
 def _rows_of(runs: DataFrame) -> DataFrame:
@@ -643,8 +655,9 @@ def across_visits(path: DataFrame, k: int, n: int = 200, pairs: bool = False, ho
     if how == "mean":
         visits = _rows_of(summary.visits(path.select("session_id", "t", "state"))).select("session_id", "onset", "t")
         sums = visits.join(values, ["session_id", "t"]).groupBy("session_id", "onset").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
-        told = relabelled_runs(path.select("session_id", "t", "state"), n, k, seed).join(sums, ["session_id", "onset"])
-        s = told.groupBy("perm_id", "state").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).withColumn("v", F.col("s") / F.col("c"))
+        runs = summary.visits(path.select("session_id", "t", "state")).join(sums, ["session_id", "onset"])
+        s = _relabelled_sums(runs, n, k, seed).groupBy("perm_id", "state").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).withColumn("v", F.col("s") / F.col("c"))
+        s = cut(s)
     else:
         labelled = relabelled_visits(path.select("session_id", "t", "state"), n, k, seed).join(values, ["session_id", "t"])
         s = quantiles.quantiles(labelled, "value", [0.5], "perm_id", "state").select("perm_id", "state", F.col("quantiles")[0].alias("v"))
@@ -657,6 +670,41 @@ def across_visits(path: DataFrame, k: int, n: int = 200, pairs: bool = False, ho
     return p_values(stats, "stat", "state")
 
 
+def _relabelled_sums(runs: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """(perm_id, state, s, c): sums of s and c by relabelled state, a task's own: relabelled visits are never rows."""
+    import pandas as pd
+
+    made = relabelled(n, k, seed)
+    listed = F.sort_array(F.collect_list(F.struct("onset", "state", "s", "c"))).alias("rows")
+    packed = runs.groupBy("session_id").agg(listed)
+    starts = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(PERM_CHUNK)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        size = k
+        total = np.zeros((3, n, size))  # sums, counts, visits
+        for b in batches:
+            column = b.column(2)
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            if not len(ends):
+                continue
+            _, state, s, c = (v.to_numpy(zero_copy_only=False) for v in column.flatten().flatten())
+            s = np.where(c > 0, s.astype(float), 0.0)  # a visit without values has no sum
+            for sid, first, a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                perms, new = made(sid, first, state[a:e])
+                most = int(new.max()) + 1
+                if most > size:
+                    total, size = np.pad(total, ((0, 0), (0, 0), (0, most - size))), most
+                at = (np.arange(len(perms))[:, None] * size + new).ravel()
+                for i, v in enumerate((s[a:e], c[a:e], np.ones(e - a))):
+                    total[i, perms.start : perms.stop] += np.bincount(at, np.tile(v, len(perms)), len(perms) * size).reshape(len(perms), size)
+        perm, of = np.nonzero(total[2])
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"perm_id": perm.astype(np.int32), "state": of.astype(np.int32), "s": total[0][perm, of], "c": total[1][perm, of].astype(np.int64)}), preserve_index=False)
+
+    return packed.select("session_id", starts.alias("chunk"), "rows").mapInArrow(run, "perm_id int, state int, s double, c long")
+
+
 def session_halves(units: DataFrame, seed: int = 0) -> DataFrame:
     """Adds train: every other unit of a session in hash order."""
     w = Window.partitionBy("session_id").orderBy(order_key(seed, F.col("session_id"), F.col("unit_id")), "unit_id")
@@ -668,32 +716,43 @@ def across_sessions(units: DataFrame, p: int, q: int, n: int = 200, seed: int =
     statistic is the share of variance they explain in the other halves. Sessions are shuffled, not units."""
     import pandas as pd
 
-    halves = session_halves(units, seed)
-    kind = dict(units.dtypes)["session_id"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for half in (True, False):
-            m = (pdf["train"] == half).to_numpy()
-            d = np.array([list(v) for v in pdf["d"][m]], float).reshape(-1, p)
-            r = np.array([list(v) for v in pdf["r"][m]], float).reshape(-1, q)
-            d, r = d - d.mean(0) if len(d) else d, r - r.mean(0) if len(r) else r
-            out += [d.T @ d, d.T @ r, (r * r).sum(0)]
-        beta = np.linalg.solve(out[0] + ridge * np.eye(p), out[1])
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "beta": [beta.ravel()], "dd": [out[3].ravel()], "dr": [out[4].ravel()], "rr": [out[5]]})
-
-    fits = halves.groupBy("session_id").applyInPandas(fit, f"session_id {kind}, beta array<double>, dd array<double>, dr array<double>, rr array<double>")
+    # moments of each half about its means, as one aggregation; the algebra is done for a batch of sessions at once
+    halves = session_halves(units, seed).where(F.col("session_id").isNotNull())
+    d, r = [F.col("d")[i] for i in range(p)], [F.col("r")[i] for i in range(q)]
+
+    def moment(a, b, half: bool):
+        a, b = (F.coalesce(v.cast("double"), F.lit(float("nan"))) for v in (a, b))
+        on = F.col("train") == half
+        return F.coalesce(F.covar_pop(F.when(on, a), F.when(on, b)) * F.count_if(on), F.lit(0.0))
+
+    def moments(half: bool, *pairs):
+        return F.array(*(moment(a, b, half) for a, b in pairs))
+
+    dd, dr = [(a, b) for a in d for b in d], [(a, b) for a in d for b in r]
+    m = halves.groupBy("session_id").agg(moments(True, *dd).alias("a"), moments(True, *dr).alias("b"), moments(False, *dd).alias("dd"), moments(False, *dr).alias("dr"), moments(False, *((b, b) for b in r)).alias("rr"))
+    stack = lambda column, *shape: np.stack(column.to_numpy()).astype(float).reshape(-1, *shape)
+
+    @F.pandas_udf("array<double>")
+    def solved(a, b):
+        if not len(a):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.linalg.solve(stack(a, p, p) + ridge * np.eye(p), stack(b, p, q)).reshape(len(a), -1)))
+
+    fits = cut(m.select("session_id", solved("a", "b").alias("beta"), "dd", "dr", "rr"))
     perms = permutations(fits.select(F.col("session_id").alias("unit_id")), n, seed)
     j = perms.join(fits.select(F.col("session_id").alias("dst"), "dd", "dr", "rr"), "dst").join(fits.select(F.col("session_id").alias("src"), "beta"), "src")
 
     def score(frames):
         for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                b, dd, dr = np.reshape(r["beta"], (p, q)), np.reshape(r["dd"], (p, p)), np.reshape(r["dr"], (p, q))
-                sse = r["rr"] - 2 * (b * dr).sum(0) + np.einsum("ij,ik,kj->j", b, dd, b)
-                rows += [(r["perm_id"], i, sse[i], r["rr"][i]) for i in range(q)]
-            yield pd.DataFrame(rows, columns=["perm_id", "q", "sse", "sst"])
+            if not len(f):
+                continue
+            b, rr = stack(f["beta"], p, q), stack(f["rr"], q)
+            sse = rr - 2 * (b * stack(f["dr"], p, q)).sum(1) + np.einsum("nij,nik,nkj->nj", b, stack(f["dd"], p, p), b)
+            ids, at = np.unique(f["perm_id"].to_numpy(), return_inverse=True)
+            sums = np.zeros((2, len(ids), q))
+            np.add.at(sums[0], at, sse)
+            np.add.at(sums[1], at, rr)
+            yield pd.DataFrame({"perm_id": np.repeat(ids, q), "q": np.tile(np.arange(q), len(ids)), "sse": sums[0].ravel(), "sst": sums[1].ravel()})
 
     s = j.mapInPandas(score, "perm_id int, q int, sse double, sst double").groupBy("perm_id", "q").agg((1 - F.sum("sse") / F.sum("sst")).alias("stat"))
     return p_values(s, "stat", "q", two_sided=False)

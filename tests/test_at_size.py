@@ -51,3 +51,16 @@ def test_packed_sessions_stay_in_arrow_buffers(spark, monkeypatch):
     total = hmm.statistics(hmm.packed(obs), m)
     layout = hmm.Layout(m.spec, m.p, m.q)
     assert all(np.allclose(v, total[k]) for k, v in layout.read(np.sum(alone, 0)).items())
+
+
+def test_tests_of_sessions_and_visits_make_no_group_of_rows(spark):
+    r = np.random.default_rng(2)
+    path = spark.createDataFrame([(s, t, int(r.integers(3)), float(r.normal())) for s in range(6) for t in range(30)], "session_id long, t int, state int, value double")
+    plans = [T._relabelled_sums(path.selectExpr("session_id", "t as onset", "state", "value as s", "1L as c"), 5, 3, 0), T.relabelled_runs(path, 5, 3)]
+    assert all("FlatMapGroups" not in p._jdf.queryExecution().toString() for p in plans)
+    sums = {(x["perm_id"], x["state"]): (x["s"], x["c"]) for x in plans[0].groupBy("perm_id", "state").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).collect()}
+    rows = path.collect()
+    for k in range(3):
+        own = [x["value"] for x in rows if x["state"] == k]
+        assert abs(sums[0, k][0] - sum(own)) < 1e-9 and sums[0, k][1] == len(own)
+    assert sum(c for (p, _), (_, c) in sums.items() if p == 4) == len(rows)
