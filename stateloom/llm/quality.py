@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -287,8 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if rounds < 1 or pool < 1:
         return co_train(known, None, rounds)
     # all unlabelled documents as numbers, written once; each round reads them
-    features = _typed(docs).where("doc_id is not null").transform(common.in_batches, _featured(vocabulary), _FEATURES).join(said.select("doc_id"), "doc_id", "left_anti")
-    rest = common.stored(features.groupBy("doc_id").agg(F.min(F.struct(*_FEATURED[1:])).alias("f")).select("doc_id", "f.*"))
+    rest = _unlabelled(_typed(docs).where("doc_id is not null"), said.select("doc_id"), vocabulary)
 
     def draw(content, metadata, ids, most):
         best = common.cut(rest.transform(common.in_batches, _surest(content, metadata, ids, most), f"giver string, side double, rank double, tie long, {_FEATURES}"))
@@ -304,6 +304,45 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return model
 
 
+def _unlabelled(docs: DataFrame, said: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """A stored row of features for each id that has no label. A bitmap holds the labelled and the repeated ids, so most
+    other rows are known to be wanted where they are read. A second one holds the wanted ids that the first one hits;
+    only rows that both hit are compared by their ids, and shuffled."""
+    ids = docs.select("doc_id")
+    known = common.cut(said.distinct())
+    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bits = common.bitmap(known.unionByName(again), "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def hit(position: pd.Series) -> pd.Series:
+        return pd.Series(common.bitmap_has(sent.value, position.to_numpy()))
+
+    back = common.cut(ids.where(hit(common.bit_position("doc_id"))).distinct().join(known, "doc_id", "left_anti"))
+    second = common.bit_position(F.lit(1), F.col("doc_id"))
+    both = docs.sparkSession.sparkContext.broadcast((bits, common.bitmap_of(back.select(second.alias("p")))))
+    placed = docs.withColumns({"p": common.bit_position("doc_id"), "q": second})
+    found = common.stored(placed.transform(common.in_batches, _wanted(both, _featured(vocabulary)), f"{_FEATURES}, sure boolean"))
+    few = found.where("not sure").drop("sure").join(back, "doc_id", "left_semi")
+    few = common.stored(few.groupBy("doc_id").agg(F.min(F.struct(*_FEATURED[1:])).alias("f")).select("doc_id", "f.*"))
+    return found.where("sure").drop("sure").unionByName(few)
+
+
+def _wanted(shared, featured):
+    """The features of rows that the first bitmap does not hit (they are sure), or that the second one hits."""
+
+    def run(batches):
+        first, second = shared.value
+        for b in batches:
+            hit = common.bitmap_has(first, b.column("p").to_numpy())
+            for sure, on in ((True, ~hit), (False, hit & common.bitmap_has(second, b.column("q").to_numpy()))):
+                if on.any():
+                    for out in featured([b.filter(pa.array(on))]):
+                        yield out.append_column("sure", pa.array([sure] * out.num_rows))
+
+    return run
+
+
 def _rows(df: DataFrame) -> list[dict]:
     """A bounded number of rows, their lists as arrays."""
     t = df.toArrow().combine_chunks()

@@ -267,6 +267,21 @@ def test_quality_rounds_draw_from_all_unlabelled_rows(spark, monkeypatch):
                 assert np.allclose(sorted(p[i] for i in got), sorted(p.values(), reverse=bool(side))[: len(got)][:: -1 if side else 1])
 
 
+def test_unlabelled_rows_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITMAP_BITS", 1 << 16)  # some ids share a bit
+    rows = [(i, f"text {i} of {i % 7}", "en", "web", i) for i in range(9000)] + [(i, f"other {i}", "en", None, 3) for i in range(0, 9000, 50)]
+    d = quality._typed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    said = spark.createDataFrame([(i,) for i in range(0, 12000, 3)], "doc_id long")
+    got = quality._unlabelled(d, said, np.zeros(0, np.int64))
+    plain = d.transform(common.in_batches, quality._featured(np.zeros(0, np.int64)), quality._FEATURES).join(said, "doc_id", "left_anti")
+    plain = plain.groupBy("doc_id").agg(F.min(F.struct(*quality._FEATURED[1:])).alias("f")).select("doc_id", "f.*")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    # what both bitmaps hit is compared by id: two thirds of the repeated ids, and few more
+    few = [f for f in got.inputFiles() if "sure" not in spark.read.parquet(f).columns]
+    assert 0 < spark.read.parquet(*few).count() < 600
+    common.discard(got)
+
+
 def test_quality_cases(docs, rows, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.accepted for r in quality.classify(docs, none).collect()] == [True] * len(rows)
