@@ -40,41 +40,44 @@ def _in_order(units: DataFrame, n_units: int, *keys: str) -> DataFrame:
 
 def _at_random(units: DataFrame, n_units: int, key, *keys: str) -> DataFrame:
     """Adds place, the rank by the text key (as evenly spread as an MD5) and unit_id inside keys: taken inside buckets of
-    the key's first bits, offset by the buckets' sizes."""
+    the key's first bits, offset by the buckets' sizes. The key doesn't travel: it is made where its bucket is ranked."""
     bits = min(16, max(0, math.ceil(math.log2(max(1, n_units / RANK_ROWS)))))
-    # 16 bytes travel, in the order of their 32 digits
-    keyed = units.withColumn("key", F.unhex(key))
+    made = F.unhex(key)
     if not bits:
-        return keyed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "unit_id"))).drop("key")
-    head = F.coalesce(F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int"), F.lit(0))
-    return _placed(keyed.withColumn("part", F.shiftright(head, 16 - bits)), ("key", "unit_id"), *keys).drop("key")
+        dealt = units.repartition(*keys).withColumn("key", made)
+        return dealt.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "unit_id"))).drop("key")
+    head = F.coalesce(F.conv(F.hex(F.substring(made, 1, 2)), 16, 10).cast("int"), F.lit(0))
+    return _placed(units.withColumn("part", F.shiftright(head, 16 - bits)), ("key", "unit_id"), *keys, key=made).drop("key")
 
 
-def _placed(rows: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
-    """The rank by order inside keys, of rows whose part rises with the order."""
+def _placed(rows: DataFrame, order: tuple[str, ...], *keys: str, key=None) -> DataFrame:
+    """The rank by order inside keys, of rows whose part rises with the order; key, if any, is made after they are dealt."""
     # a row for each part and value of keys
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     within = Window.partitionBy(*keys, "part").orderBy(*order)
-    ranked = rows.withColumn("place", F.row_number().over(within)).join(sizes, [*keys, "part"])
+    dealt = rows if key is None else rows.repartition(*keys, "part").withColumn("key", key)
+    ranked = dealt.withColumn("place", F.row_number().over(within)).join(sizes, [*keys, "part"])
     return ranked.withColumn("place", F.col("place") + F.col("before")).drop("part", "before")
 
 
-def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = None, first: int = 0) -> DataFrame:
+def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = None, first: int = 0, carry: bool = False) -> DataFrame:
     """(perm_id, dst, src) for perm_id first..n-1: free, or inside blocks. units has unit_id and the block column. No task
-    ranks many more than RANK_ROWS units of a permutation."""
+    ranks many more than RANK_ROWS units of a permutation. carry adds d of dst and r of src, which units then has too, so that
+    nothing need be looked up for each permutation."""
     keys = ["block"] if block else []
-    u = units.select("unit_id", *([F.col(block).alias("block")] if block else []))
+    u = units.select("unit_id", *([F.col(block).alias("block")] if block else []), *(["d", "r"] if carry else []))
     size = u.count()
     placed = _in_order(u, size, *keys)
-    still = placed.select(F.lit(0).alias("perm_id"), F.col("unit_id").alias("dst"), F.col("unit_id").alias("src"))
+    out = ["perm_id", "dst", "src", *(["d", "r"] if carry else [])]
+    still = placed.select(F.lit(0).alias("perm_id"), F.col("unit_id").alias("dst"), F.col("unit_id").alias("src"), *out[3:])
     if n < 2:
         return still if first == 0 else still.limit(0)
     ids = F.explode(F.sequence(F.lit(max(1, first)), F.lit(n - 1)))
-    moved = u.withColumn("perm_id", ids)
+    moved = u.drop("d").withColumn("perm_id", ids)
     b = _at_random(moved, size, order_key(seed, F.col("perm_id"), F.col("unit_id")), "perm_id", *keys).withColumnRenamed("unit_id", "src")
     # all permutations look into one table of places
-    shuffled = b.join(placed.withColumnRenamed("unit_id", "dst"), [*keys, "place"]).select("perm_id", "dst", "src")
+    shuffled = b.join(placed.drop("r").withColumnRenamed("unit_id", "dst"), [*keys, "place"]).select(*out)
     return still.unionByName(shuffled) if first == 0 else shuffled
 
 
@@ -144,10 +147,12 @@ def count_permutations(units: DataFrame, block: str | None = None, whole_blocks:
 
 def _pairs(units: DataFrame, perms: DataFrame | None, *keys: str) -> DataFrame:
     """(perm_id, keys, p, q, x, y): each predictor with each outcome of the permuted unit, nulls left out. Vectors travel
-    whole and are opened where they have met."""
+    whole and are opened where they have met, or came with the permutations."""
     some = lambda c: F.exists(c, lambda v: v.isNotNull() & ~F.isnan(v))
     d = units.where(some("d")).select(F.col("unit_id").alias("dst"), *keys, "d")
-    if perms is None:
+    if perms is not None and {"d", "r"} <= set(perms.columns):
+        met = perms
+    elif perms is None:
         met = d.join(units.where(some("r")).select(F.col("unit_id").alias("dst"), *keys, "r"), ["dst", *keys]).withColumn("perm_id", F.lit(0))
     else:
         moved = perms.join(d, "dst").drop("dst")

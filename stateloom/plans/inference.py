@@ -71,7 +71,7 @@ ts AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM st)"""
 @query(f"WITH {_perm_sql(True)}, {_CORR} SELECT perm_id, p, n, round(r, 6) AS r, round(t, 5) AS t FROM ts")
 def corr_tstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _units(spark, sf_dir)
-    return T.correlation_stats(u, T.permutations(u, PERMS, SEED, "block")).select("perm_id", "p", "n", F.round("r", 6).alias("r"), F.round("t", 5).alias("t"))
+    return T.correlation_stats(u, T.permutations(u, PERMS, SEED, "block", carry=True)).select("perm_id", "p", "n", F.round("r", 6).alias("r"), F.round("t", 5).alias("t"))
 
 
 @query(f"WITH {_perm_sql(True)}, {_CORR}, o AS (SELECT p, t AS observed FROM ts WHERE perm_id = 0) SELECT ts.p AS predictor, round(any_value(observed), 5) AS observed, round(avg(CASE WHEN abs(t) >= abs(observed) THEN 1.0 ELSE 0.0 END), 6) AS p FROM ts JOIN o USING (p) GROUP BY 1")

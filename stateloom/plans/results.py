@@ -18,7 +18,7 @@ _STATS = f"{I._perm_sql(True)}, {I._CORR}"
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = I._units(spark, sf_dir)
-    return T.correlation_stats(u, T.permutations(u, I.PERMS, I.SEED, "block"))
+    return T.correlation_stats(u, T.permutations(u, I.PERMS, I.SEED, "block", carry=True))
 
 
 @query(f"""WITH {_STATS}, d AS (SELECT perm_id, max(r) FILTER (p = 0) - max(r) FILTER (p = 1) AS d FROM st GROUP BY 1),

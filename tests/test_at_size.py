@@ -64,3 +64,23 @@ def test_tests_of_sessions_and_visits_make_no_group_of_rows(spark):
         own = [x["value"] for x in rows if x["state"] == k]
         assert abs(sums[0, k][0] - sum(own)) < 1e-9 and sums[0, k][1] == len(own)
     assert sum(c for (p, _), (_, c) in sums.items() if p == 4) == len(rows)
+
+
+def test_values_travel_with_permutations(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(u, u % 3, [float(r.normal()), None if u % 9 == 0 else float(u)], [float(r.normal()) if u % 5 else float("nan")]) for u in range(90)]
+    units = spark.createDataFrame(rows, "unit_id long, block int, d array<double>, r array<double>")
+    for most in (100_000, 20):
+        monkeypatch.setattr(T, "RANK_ROWS", most)
+        perms = T.permutations(units, 6, 5, "block", carry=True)
+        alone = T.permutations(units, 6, 5, "block")
+        ids = lambda p: sorted(map(tuple, p.select("perm_id", "dst", "src").collect()))
+        assert ids(perms) == ids(alone) and len(ids(perms)) == 540
+        key = lambda x: (x["perm_id"], x["p"], x["q"])
+        want = {key(x): x for x in T.correlation_stats(units, alone).collect()}
+        got = {key(x): x for x in T.correlation_stats(units, perms).collect()}
+        assert set(got) == set(want) and all(got[k]["n"] == want[k]["n"] and abs(got[k]["t"] - want[k]["t"]) < 1e-9 for k in want)
+    # the only joins are by place and of the buckets' sizes, and no key crosses a shuffle
+    plan = T.correlation_stats(units, perms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4 < T.correlation_stats(units, alone)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert not any("key" in line for line in perms._jdf.queryExecution().sparkPlan().toString().splitlines() if "Exchange" in line)
