@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..plans.lineage import cut
+from ..plans.lineage import cut, stored
 from . import exchange, quantiles, results
 
 
@@ -63,13 +63,14 @@ def _placed(rows: DataFrame, order: tuple[str, ...], *keys: str, key=None) -> Da
 
 def permutations(units: DataFrame, n: int, seed: int = 0, block: str | None = None, first: int = 0, carry: bool = False) -> DataFrame:
     """(perm_id, dst, src) for perm_id first..n-1: free, or inside blocks. units has unit_id and the block column. No task
-    ranks many more than RANK_ROWS units of a permutation. carry adds d of dst and r of src, which units then has too, so that
-    nothing need be looked up for each permutation."""
+    ranks many more than RANK_ROWS units of a permutation. carry adds d of dst and r of src, those of them that units has, so
+    that nothing need be looked up for each permutation."""
     keys = ["block"] if block else []
-    u = units.select("unit_id", *([F.col(block).alias("block")] if block else []), *(["d", "r"] if carry else []))
+    carried = [c for c in ("d", "r") if carry and c in units.columns]
+    u = units.select("unit_id", *([F.col(block).alias("block")] if block else []), *carried)
     size = u.count()
     placed = _in_order(u, size, *keys)
-    out = ["perm_id", "dst", "src", *(["d", "r"] if carry else [])]
+    out = ["perm_id", "dst", "src", *carried]
     still = placed.select(F.lit(0).alias("perm_id"), F.col("unit_id").alias("dst"), F.col("unit_id").alias("src"), *out[3:])
     if n < 2:
         return still if first == 0 else still.limit(0)
@@ -171,7 +172,7 @@ def correlation_stats(units: DataFrame, perms: DataFrame | None = None, *keys: s
 
 def fixed_predictor_stats(predictors: DataFrame, outcomes: DataFrame, perms: DataFrame, *keys: str) -> DataFrame:
     """As `correlation_stats`, of predictors (unit_id, d) that are the same for all values of keys and of outcomes (unit_id,
-    keys, r), one row for each of them that there is. A unit's predictors under all permutations meet its outcomes once, as a
+    keys, r), one row for each of them that there is; perms may carry d. A unit's predictors under all permutations meet its outcomes once, as a
     row, and tasks emit sums by permutation and cell, so neither permuted outcomes nor empty cells are ever rows. A task holds
     permutations x cells numbers, taken from the cell's mean. A spread under 1e-12 of the squares is taken for none."""
     import pandas as pd
@@ -179,13 +180,17 @@ def fixed_predictor_stats(predictors: DataFrame, outcomes: DataFrame, perms: Dat
 
     from . import preprocess
 
-    p, q = preprocess.width(predictors, "d"), preprocess.width(outcomes, "r")
+    entry = F.struct(F.struct(*keys, F.lit(0).alias("_")).alias("cell"), "r")
+    # outcomes are made once: width, means and sums read these rows
+    y = stored(outcomes.select(F.col("unit_id").alias("src"), entry.alias("y")).groupBy("src").agg(F.collect_list("y").alias("ys")))
+    p, q = preprocess.width(predictors, "d"), preprocess.width(y.select(F.col("ys")[0]["r"].alias("r")), "r")
     middle = lambda c, n: [F.coalesce(F.avg(F.when(~F.isnan(F.col(c)[i]), F.col(c)[i])), F.lit(0.0)).alias(f"_{i}") for i in range(n)]
     mx = np.array(predictors.agg(*middle("d", p)).first())
     # a row for each cell
-    means = {tuple(r[: len(keys)]): np.array(r[len(keys) :]) for r in outcomes.groupBy(*keys).agg(*middle("r", q)).collect()}
-    x = perms.join(predictors.select(F.col("unit_id").alias("dst"), "d"), "dst").groupBy("src").agg(F.collect_list(F.struct("perm_id", "d")).alias("xs"))
-    y = outcomes.select(F.col("unit_id").alias("src"), F.struct(F.struct(*keys, F.lit(0).alias("_")).alias("cell"), "r").alias("y")).groupBy("src").agg(F.collect_list("y").alias("ys"))
+    cells = y.select(F.explode("ys").alias("y")).select("y.cell.*", "y.r")
+    means = {tuple(r[: len(keys)]): np.array(r[len(keys) :]) for r in cells.groupBy(*keys).agg(*middle("r", q)).collect()}
+    moved = perms if "d" in perms.columns else perms.join(predictors.select(F.col("unit_id").alias("dst"), "d"), "dst")
+    x = moved.groupBy("src").agg(F.collect_list(F.struct("perm_id", "d")).alias("xs"))
     kinds = dict(outcomes.dtypes)
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 

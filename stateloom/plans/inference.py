@@ -186,8 +186,8 @@ def _hour_stats(spark: SparkSession, sf_dir: str, n_perms: int) -> DataFrame:
     n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
     m = e.groupBy("unit_id", "tau").agg(F.avg("value").alias("m"))
     # a unit without events in an hour still lends its number to others
-    n = cut(n)
-    s = T.fixed_predictor_stats(n.select("unit_id", F.array("n").alias("d")), m.select("unit_id", "tau", F.array("m").alias("r")), T.permutations(n, n_perms, SEED), "tau")
+    d = cut(n.select("unit_id", F.array("n").alias("d")))
+    s = T.fixed_predictor_stats(d, m.select("unit_id", "tau", F.array("m").alias("r")), T.permutations(d, n_perms, SEED, carry=True), "tau")
     return s.where("n > 2 and t is not null and not isnan(t)").select("perm_id", "tau", "t")
 
 
@@ -294,11 +294,12 @@ def _day_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(perm_id, tau, day, t): does the number of a user's events go with the mean value in an hour of a weekday?"""
     e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), F.weekday("ts").alias("day"), "value")
     n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    m = e.groupBy("unit_id", "tau", "day").agg(F.avg("value").alias("m"))
+    # a user has few events in a cell: they are dealt once, by user
+    m = e.repartition("unit_id").groupBy("unit_id", "tau", "day").agg(F.avg("value").alias("m"))
     # a unit without events in a cell still lends its number to others
-    n = cut(n)
-    d, r = n.select("unit_id", F.array("n").alias("d")), m.select("unit_id", "tau", "day", F.array("m").alias("r"))
-    return T.fixed_predictor_stats(d, r, T.permutations(n, MAP_PERMS, SEED), "tau", "day").where("n > 2").select("perm_id", "tau", "day", "t")
+    d = cut(n.select("unit_id", F.array("n").alias("d")))
+    r = m.select("unit_id", "tau", "day", F.array("m").alias("r"))
+    return T.fixed_predictor_stats(d, r, T.permutations(d, MAP_PERMS, SEED, carry=True), "tau", "day").where("n > 2").select("perm_id", "tau", "day", "t")
 
 
 @query(_map_sql("tau, day", _DAY_CELLS, _NEAR_DAY, "raw"))
@@ -319,9 +320,8 @@ def cluster_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit_id"), F.hour("ts").alias("tau"), "value", "event_type")
     n = e.groupBy("unit_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("event_type") == "purchase").cast("double").alias("b"))
     m = e.groupBy("unit_id", "tau").agg(F.avg("value").alias("m"))
-    n = cut(n)
-    d, r = n.select("unit_id", F.array("n", "b").alias("d")), m.select("unit_id", "tau", F.array("m").alias("r"))
-    s = T.fixed_predictor_stats(d, r, T.permutations(n, MAP_PERMS, SEED), "tau").where("n > 2").select("perm_id", "p", "tau", "t")
+    d, r = cut(n.select("unit_id", F.array("n", "b").alias("d"))), m.select("unit_id", "tau", F.array("m").alias("r"))
+    s = T.fixed_predictor_stats(d, r, T.permutations(d, MAP_PERMS, SEED, carry=True), "tau").where("n > 2").select("perm_id", "p", "tau", "t")
     return _map_result(clusters.cluster_correction(cut(s), ("p", "tau"), "t", how="z"), "p", "tau")
 
 

@@ -84,3 +84,20 @@ def test_values_travel_with_permutations(spark, monkeypatch):
     plan = T.correlation_stats(units, perms)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 4 < T.correlation_stats(units, alone)._jdf.queryExecution().optimizedPlan().toString().count("Join")
     assert not any("key" in line for line in perms._jdf.queryExecution().sparkPlan().toString().splitlines() if "Exchange" in line)
+
+
+def test_outcomes_of_fixed_predictors_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(u):
+        made.add(1)
+        return float(u % 5)
+
+    units = spark.range(30).select(F.col("id").alias("unit_id"), F.array(F.col("id").cast("double")).alias("d")).cache()
+    outcomes = units.select("unit_id", F.lit(1).alias("c"), F.array(F.udf(counted, "double").asNondeterministic()("unit_id")).alias("r"))
+    perms = T.permutations(units, 3, 5, carry=True)
+    assert set(perms.columns) == {"perm_id", "dst", "src", "d"}
+    got = T.fixed_predictor_stats(units, outcomes, perms, "c")
+    assert got.count() == 3 and made.value == 30
+    # predictors came with the permutations: the joins are by place and by unit
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
