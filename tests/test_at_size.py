@@ -116,7 +116,7 @@ def rows_by_sql(query, data):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
-@pytest.mark.parametrize("query", ["bonferroni", "combine_p", "corrections", "holm", "mean_of_p", "sig_intervals"])
+@pytest.mark.parametrize("query", ["bonferroni", "combine_p", "corrections", "holm", "mean_of_p", "sig_intervals", "test_summary"])
 def test_tests_by_hour_where_sums_differ_in_the_last_digits(spark, query, monkeypatch):
     # many executors add in another order each time that a statistic is made
     noisy = F.udf(lambda t: t * (1 + random.random() * 1e-12), "double").asNondeterministic()
