@@ -125,3 +125,20 @@ def test_tests_by_hour_where_sums_differ_in_the_last_digits(spark, query, monkey
     columns, want = rows_by_sql(query, "/root/testdata/sf0.001")
     told = lambda rs: sorted((tuple(round(v, 4) + 0.0 if isinstance(v, float) else v for v in r) for r in rs), key=repr)
     assert told(registry.QUERIES[query](spark, "/root/testdata/sf0.001").select(*(f"`{c}`" for c in columns)).collect()) == told(want)
+
+
+def test_kernel_blocks_meet_as_rows(spark, monkeypatch):
+    from stateloom.operators import predict
+
+    monkeypatch.setattr(predict, "PIECE", 64)
+    r = np.random.default_rng(8)
+    v = r.normal(size=(90, 3))
+    f = spark.createDataFrame([(f"s{i:02d}", [float(x) for x in v[i]]) for i in range(90)], "session_id string, features array<double>")
+    for shape in ("linear", "gaussian"):
+        got = {(x["a"], x["b"]): x["value"] for x in predict.kernel(f, shape, 2.0, block=16).collect()}
+        want = v @ v.T if shape == "linear" else np.exp(-((v[:, None] - v[None]) ** 2).sum(2) / 8)
+        assert len(got) == 90 * 91 // 2 and all(abs(got[f"s{i:02d}", f"s{j:02d}"] - want[i, j]) < 1e-9 for i in range(90) for j in range(i, 90))
+    # blocks are rows: no session is sent for each pair of blocks
+    plan = predict.kernel(f, block=16)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "BroadcastHashJoin" not in plan
+    assert predict.kernel(f.limit(0)).count() == 0
