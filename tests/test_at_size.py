@@ -142,3 +142,34 @@ def test_kernel_blocks_meet_as_rows(spark, monkeypatch):
     plan = predict.kernel(f, block=16)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "BroadcastHashJoin" not in plan
     assert predict.kernel(f.limit(0)).count() == 0
+
+
+def test_sweep_trains_all_runs_together_and_until_they_converge(spark, monkeypatch):
+    from stateloom.operators import hmm, summary
+
+    r = np.random.default_rng(4)
+    rows = [(s, t, [float(r.normal() + 3 * (t // 6 % 3))]) for s in range(5) for t in range(30 + s)]
+    obs = spark.createDataFrame(rows, "session_id long, t int, y array<double>")
+    of, passes = hmm._statistics_of, []
+    monkeypatch.setattr(hmm, "_statistics_of", lambda sessions, models, seeds=None: passes.append(len(models)) or of(sessions, models, seeds))
+    o = hmm.Options(cycles=12, starts=2, start_cycles=2, least=2.0)
+    got = {(x["n_states"], x["repeat"]): x for x in hmm.sweep(obs, [2, 3, 4], 2, hmm.Spec(2, "diag", "state", "no"), o).collect()}
+    # six runs: their starts together, then themselves
+    assert passes[:3] == [12, 12, 12] and max(passes[3:]) == 6 and len(passes) <= 3 + 12
+    for k in (2, 3):  # as each alone
+        alone = []
+        for rep in (0, 1):
+            one = hmm.copy.copy(o)
+            one.seed = 97 * rep
+            m = hmm.train(obs, hmm.Spec(k, "diag", "state", "no"), one)
+            alone.append(hmm.decode(obs, m))
+            assert abs(m.trace[-1] - got[k, rep]["free_energy"]) < 1e-6 and len(m.trace) == got[k, rep]["cycles"]
+        assert got[k, 0]["similarity"] is None and abs(got[k, 1]["similarity"] - summary.similarity(*alone)[0]) < 1e-6
+    chosen = {x["n_states"]: x for x in hmm.selection(spark.createDataFrame(list(got.values()), "n_states int, repeat int, free_energy double, cycles int, converged boolean, similarity double")).collect()}
+    fe = [chosen[k]["free_energy"] for k in (2, 3, 4)]
+    # the first run's likeness to itself is no evidence, and there is a bend
+    assert chosen[3]["similarity"] == got[3, 1]["similarity"] and abs(chosen[3]["bend"] - (fe[0] - 2 * fe[1] + fe[2])) < 1e-9
+    asked = {}
+    monkeypatch.setattr(hmm, "sweep", lambda obs, states, repeats, spec, options=None: asked.update(states=states, repeats=repeats, options=options or hmm.Options()) or spark.createDataFrame(list(got.values()), "n_states int, repeat int, free_energy double, cycles int, converged boolean, similarity double"))
+    registry.QUERIES["model_selection"](spark, "/root/testdata/sf0.001")
+    assert len(asked["states"]) >= 3 and asked["repeats"] >= 2 and asked["options"].cycles == 100
